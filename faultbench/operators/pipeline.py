@@ -1,0 +1,141 @@
+"""The managed downstream tables (staging, marts, reporting), for any variant set.
+
+Each builder accepts plain tables or variant tables (see ``variants``); with a
+variant table every variant is rebuilt in the same job.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from faultbench.operators.variants import MASK, VariantSet, wide_aggregate, with_mask
+
+# Managed tables in dependency order (fixed names of the campaign's data model).
+SOURCE_TABLES = ("raw_customers", "raw_orders")
+DERIVED_TABLES = ("orders_enriched", "daily_revenue", "customer_value", "executive_dashboard")
+MANAGED_TABLES = SOURCE_TABLES + DERIVED_TABLES
+
+
+def build_enriched(
+    orders: DataFrame, customers: DataFrame, vs: VariantSet, *, customers_vary: bool = False
+) -> DataFrame:
+    """Left join orders -> customers on customer_id; keeps the order's key.
+
+    Both sides are variant tables; a pair joins only in the variants both rows are in.
+    Variants of an order row that no customer row of its key covers keep the order
+    with NULL customer attributes (left-join semantics per variant). The join strategy
+    is left to AQE: broadcast when the customer side is small at runtime, otherwise a
+    sort-merge join whose skewed (hot or NULL) key partitions AQE splits.
+
+    ``customers_vary`` must be set when a fault changes customer rows; the key
+    coverage of the customer side is then computed with a window on the join key,
+    which reuses the join's clustering.
+    """
+    o = with_mask(orders, vs)
+    c = with_mask(customers, vs).withColumnRenamed(MASK, "_cmask")
+    if customers_vary:
+        c = c.withColumn("_cov", F.bit_or("_cmask").over(Window.partitionBy("customer_id")))
+    else:
+        c = c.withColumn("_cov", F.lit(vs.all_mask).cast("bigint"))
+    o, c = o.alias("o"), c.alias("c")
+    om, cm, cov = F.col(f"o.{MASK}"), F.col("c._cmask"), F.col("c._cov")
+    joined = o.join(
+        c,
+        (F.col("o.customer_id") == F.col("c.customer_id")) & (om.bitwiseAND(cm) != 0),
+        "left",
+    )
+    covered = om.bitwiseAND(cov)
+    lowest = covered.bitwiseAND(-covered)
+    unmatched = (
+        F.when(cm.isNull(), om)
+        .when(cm.bitwiseAND(lowest) != 0, om - covered)
+        .otherwise(F.lit(0).cast("bigint"))
+    )
+    attrs = ("customer_name", "segment", "country_code")
+    out_cols = (
+        "order_id", "customer_id", *attrs, "order_ts", "order_date",
+        "amount_cents", "currency", "source_partition",
+    )
+    value = {
+        "order_id": F.col("o.order_id"),
+        "customer_id": F.col("o.customer_id"),
+        "order_ts": F.col("o.order_ts"),
+        "order_date": F.col("o.order_ts").cast("date"),
+        "amount_cents": F.col("o.amount_cents"),
+        "currency": F.col("o.currency"),
+        "source_partition": F.col("o.source_partition"),
+        **{a: F.col(f"c.{a}") for a in attrs},
+    }
+    matched_row = F.struct(
+        *[value[n].alias(n) for n in out_cols],
+        F.coalesce(om.bitwiseAND(cm), F.lit(0).cast("bigint")).alias(MASK),
+    )
+    unmatched_row = F.struct(
+        *[(F.lit(None).cast("string") if n in attrs else value[n]).alias(n) for n in out_cols],
+        unmatched.alias(MASK),
+    )
+    rows = F.filter(F.array(matched_row, unmatched_row), lambda x: x[MASK] != 0)
+    return joined.select(F.explode(rows).alias("_r")).select("_r.*")
+
+
+def daily_revenue(enriched: DataFrame, vs: VariantSet) -> DataFrame:
+    return wide_aggregate(
+        enriched,
+        vs,
+        ["order_date", "currency"],
+        [("order_count", "count", None), ("revenue_cents", "sum", F.col("amount_cents"))],
+    )
+
+
+def customer_value(enriched: DataFrame, vs: VariantSet) -> DataFrame:
+    """NULL customer keys form one group, as in SQL GROUP BY."""
+    return wide_aggregate(
+        enriched,
+        vs,
+        ["customer_id", "customer_name", "segment", "country_code"],
+        [
+            ("order_count", "count", None),
+            ("lifetime_value_cents", "sum", F.col("amount_cents")),
+            ("last_order_ts", "max", F.col("order_ts")),
+        ],
+    )
+
+
+def executive_dashboard(customer_value_df: DataFrame, vs: VariantSet) -> DataFrame:
+    """Aggregate of an aggregate; a NULL-customer group counts as one customer."""
+    return wide_aggregate(
+        customer_value_df,
+        vs,
+        [],
+        [
+            ("active_customers", "count", None),
+            ("total_orders", "sum", F.col("order_count")),
+            ("total_revenue_cents", "sum", F.col("lifetime_value_cents")),
+            ("latest_order_ts", "max", F.col("last_order_ts")),
+        ],
+        global_agg=True,
+    )
+
+
+def build_tables(
+    customers: DataFrame, orders: DataFrame, vs: VariantSet, *, customers_vary: bool = False
+) -> dict[str, DataFrame]:
+    """All six managed tables as (lazy) variant tables."""
+    customers = with_mask(customers, vs)
+    orders = with_mask(orders, vs)
+    enriched = build_enriched(orders, customers, vs, customers_vary=customers_vary)
+    cv = customer_value(enriched, vs)
+    return {
+        "raw_customers": customers,
+        "raw_orders": orders,
+        "orders_enriched": enriched,
+        "daily_revenue": daily_revenue(enriched, vs),
+        "customer_value": cv,
+        "executive_dashboard": executive_dashboard(cv, vs),
+    }
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Drop the mask of a single-variant table."""
+    return df.drop(MASK) if MASK in df.columns else df
