@@ -149,7 +149,7 @@ def validate_spec(spec: FaultSpec, schema: T.StructType, key: str) -> list[str]:
         JOIN_KEY_CORRUPTION: {"column"},
         DUPLICATE_KEYS: set(),
         REF_INTEGRITY_BREAK: set(),
-    }[spec.kind] | {"row_count", "percent"}
+    }[spec.kind] | {"row_count", "percent", "salt"}
     extra = set(p) - allowed
     if extra:
         reasons.append(f"unexpected parameters {sorted(extra)}")
@@ -181,6 +181,7 @@ def plan_fault(
     if reasons:
         raise FaultError(f"{spec.fault_id}: " + "; ".join(reasons))
     p = dict(spec.parameters)
+    salt = str(p.pop("salt", spec.fault_id))
     keycol = F.col(key)
     if spec.kind == STALE_PARTITION:
         ts, part, group = str(p["timestamp_column"]), str(p["partition_column"]), str(p["group_column"])
@@ -198,15 +199,15 @@ def plan_fault(
             n_rest = int(p["row_count"]) - 1
             if n_rest > 0:
                 sub = {"row_count": n_rest}
-                boundary = find_boundary(rest, key, seed, spec.fault_id, sub)
+                boundary = find_boundary(rest, key, seed, salt, sub)
         else:
             total = cands.count()
             n = requested_count(p, total)
             if n - 1 > 0:
-                boundary = find_boundary(rest, key, seed, spec.fault_id, {"row_count": n - 1})
+                boundary = find_boundary(rest, key, seed, salt, {"row_count": n - 1})
         chosen = keycol == F.lit(anchor_key)
         if boundary is not None:
-            chosen = chosen | selection_predicate(boundary, seed, spec.fault_id, keycol)
+            chosen = chosen | selection_predicate(boundary, seed, salt, keycol)
         selected_keys = cands.filter(chosen).select(key)
         n_sel = 1 + (boundary.n if boundary else 0)
         flag = f"_sel{index}"
@@ -222,8 +223,8 @@ def plan_fault(
         change = RowChange(spec.fault_id, selected, "update", updates)
         return flagged, FaultPlan(spec, change, boundary, n_sel, flag)
 
-    boundary = find_boundary(_candidates(spec, df, key), key, seed, spec.fault_id, p)
-    selected = selection_predicate(boundary, seed, spec.fault_id, keycol)
+    boundary = find_boundary(_candidates(spec, df, key), key, seed, salt, p)
+    selected = selection_predicate(boundary, seed, salt, keycol)
     if spec.kind in (NULL_DENSITY_SURGE, JOIN_KEY_CORRUPTION):
         selected = F.col(str(p["column"])).isNotNull() & selected
     if spec.kind == NUMERIC_SCALE:
