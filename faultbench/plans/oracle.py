@@ -225,3 +225,78 @@ class Oracle:
             "(SELECT * FROM checksums WHERE variant <> 'clean') AS f FULL OUTER JOIN "
             "(SELECT * FROM checksums WHERE variant = 'clean') AS c ON f.table_name = c.table_name)"
         )
+
+
+def eligible_generators(o: Oracle) -> list[tuple[str, str, str, str, str, str]]:
+    """(fault_id, kind, column, statistic, control_id, comparison) for generator kinds."""
+    types = dict(COLUMNS["raw_orders"])
+    out = []
+    for s in o.faults:
+        if s.target_table != "raw_orders":
+            continue
+        if s.kind == NUMERIC_SCALE:
+            col = str(s.parameters["column"])
+            if types.get(col) in ("BIGINT", "INTEGER", "DECIMAL"):
+                out.append((s.fault_id, s.kind, col, "max", f"orders_{col}_reasonable", ">"))
+        elif s.kind == STALE_PARTITION:
+            col = str(s.parameters["partition_column"])
+            if types.get(col) == "DATE":
+                out.append((s.fault_id, s.kind, col, "min", "orders_partition_not_stale", "<"))
+    return out
+
+
+def campaign_ctes(o: Oracle, baseline_controls_sql: str) -> list[str]:
+    """base, gaps, profile, gen, allres, matrix, coverage."""
+    ctes = [
+        f"base AS ({baseline_controls_sql})",
+        "gaps AS (SELECT fault_id, kind FROM faults WHERE fault_id NOT IN "
+        "(SELECT variant FROM base WHERE NOT passed))",
+    ]
+    prof, gen = [], []
+    for fid, _kind, col, stat, cid, op in eligible_generators(o):
+        prof.append(
+            f"SELECT * FROM (SELECT {q(fid)} AS fault_id, {q(col)} AS column_name, {q(stat)} AS "
+            f"statistic, CAST({stat}({col}) AS VARCHAR) AS value FROM raw_orders) WHERE fault_id "
+            "IN (SELECT fault_id FROM gaps)"
+        )
+        gen.append(
+            f"SELECT variant, {q(cid)} AS control_id, 'raw_orders' AS target_table, count(*) FILTER "
+            f"(WHERE {col} {op} (SELECT {stat}({col}) FROM raw_orders)) AS violation_count FROM "
+            f"v_raw_orders WHERE {q(fid)} IN (SELECT fault_id FROM gaps) GROUP BY variant"
+        )
+    empty_prof = (
+        "SELECT CAST(NULL AS VARCHAR) AS fault_id, CAST(NULL AS VARCHAR) AS column_name, "
+        "CAST(NULL AS VARCHAR) AS statistic, CAST(NULL AS VARCHAR) AS value WHERE FALSE"
+    )
+    empty_gen = (
+        "SELECT CAST(NULL AS VARCHAR) AS variant, CAST(NULL AS VARCHAR) AS control_id, "
+        "CAST(NULL AS VARCHAR) AS target_table, CAST(0 AS BIGINT) AS violation_count WHERE FALSE"
+    )
+    ctes.append("profile AS (" + (" UNION ALL ".join(prof) or empty_prof) + ")")
+    ctes.append(
+        "gen AS (SELECT *, violation_count = 0 AS passed FROM ("
+        + (" UNION ALL ".join(gen) or empty_gen)
+        + "))"
+    )
+    ctes.append(
+        "allres AS (SELECT *, FALSE AS generated FROM base UNION ALL SELECT *, TRUE AS generated FROM gen)"
+    )
+
+    def phase(name: str, cond: str) -> str:
+        return (
+            f"SELECT f.fault_id, f.kind, COALESCE(string_agg(r.control_id, ',' ORDER BY "
+            "r.control_id), '') AS failing_control_ids, count(r.control_id) AS failing_controls, "
+            f"count(r.control_id) > 0 AS detected, {q(name)} AS phase FROM faults AS f LEFT JOIN "
+            f"(SELECT * FROM allres WHERE NOT passed AND {cond}) AS r ON r.variant = f.fault_id "
+            "GROUP BY f.fault_id, f.kind"
+        )
+
+    ctes.append(
+        "matrix AS (" + phase("baseline", "NOT generated") + " UNION ALL " + phase("improved", "TRUE") + ")"
+    )
+    ctes.append(
+        "coverage AS (SELECT phase, count(*) FILTER (WHERE detected) AS detected_faults, count(*) "
+        "AS total_faults, CAST(round(count(*) FILTER (WHERE detected) * 100.0 / count(*), 1) AS "
+        "DOUBLE) AS coverage_pct FROM matrix GROUP BY phase)"
+    )
+    return ctes

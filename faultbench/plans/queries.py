@@ -399,3 +399,290 @@ register("control_ref_integrity", INT.with_(_results_sql(INT, INTEGRITY_CONTROLS
 register(
     "integrity_checksums", INT.with_("SELECT * FROM checksums", [INT.checksums_cte()])
 )(lambda spark, sf: _integrity(spark, sf).checksums())
+
+
+# -- G1-G5, R1-R5: profile, generation, scoring (events campaign) ------------------
+from faultbench.operators.controls import coverage as _coverage  # noqa: E402
+from faultbench.operators.lineage import RECORD_EDGES_SQL, closure, neighbors, record_edges  # noqa: E402
+from faultbench.operators.profile import column_profile as _column_profile  # noqa: E402
+from faultbench.operators.snapshots import snapshot, verify_restore  # noqa: E402
+from faultbench.operators.variants import CLEAN  # noqa: E402
+from faultbench.plans.oracle import campaign_ctes, eligible_generators  # noqa: E402
+
+
+def _camp_sql(o: Oracle, body: str, extra=()) -> str:
+    return o.with_(body, [*campaign_ctes(o, _results_sql(o, BASELINE_CONTROLS)), *extra])
+
+
+register("clean_profile", _camp_sql(EV, "SELECT * FROM profile"))(
+    lambda spark, sf: campaign(spark, sf).clean_profile_frame()
+)
+
+
+@register("measured_gaps", _camp_sql(EV, "SELECT fault_id, kind FROM gaps"))
+def measured_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return campaign(spark, sf).baseline_matrix().filter(~F.col("detected")).select("fault_id", "kind")
+
+
+def _generation_sql(o: Oracle) -> str:
+    gen_rows = ", ".join(
+        f"({q(fid)}, {q(cid)}, {q(op)})" for fid, _k, _c, _s, cid, op in eligible_generators(o)
+    ) or "(NULL, NULL, NULL)"
+    return _camp_sql(
+        o,
+        "SELECT g.fault_id, g.kind, e.control_id, p.column_name, CASE WHEN p.statistic = 'max' "
+        "THEN p.column_name || ' > ' || p.value WHEN p.statistic = 'min' THEN p.column_name || "
+        "' < DATE ''' || p.value || '''' END AS predicate, CASE WHEN p.fault_id IS NULL THEN "
+        "'refused: no bounded generator for this kind and column type' ELSE 'generated' END AS "
+        "status FROM gaps AS g LEFT JOIN profile AS p ON p.fault_id = g.fault_id LEFT JOIN "
+        f"(SELECT * FROM (VALUES {gen_rows}) AS t(fault_id, control_id, op)) AS e ON "
+        "e.fault_id = p.fault_id",
+    )
+
+
+@register("control_generation", _generation_sql(EV))
+def control_generation(spark: SparkSession, sf: str) -> DataFrame:
+    c = campaign(spark, sf)
+    gaps = c.baseline_matrix().filter(~F.col("detected")).select("fault_id", "kind")
+    prof = c.clean_profile_frame()
+    j = gaps.join(prof, "fault_id", "left")
+    is_max = F.col("statistic") == "max"
+    return j.select(
+        "fault_id",
+        "kind",
+        F.when(is_max, F.concat(F.lit("orders_"), F.col("column_name"), F.lit("_reasonable")))
+        .when(F.col("statistic") == "min", F.lit("orders_partition_not_stale"))
+        .alias("control_id"),
+        "column_name",
+        F.when(is_max, F.concat_ws(" > ", "column_name", "value"))
+        .when(
+            F.col("statistic") == "min",
+            F.concat(F.col("column_name"), F.lit(" < DATE '"), F.col("value"), F.lit("'")),
+        )
+        .alias("predicate"),
+        F.when(F.col("statistic").isNull(), "refused: no bounded generator for this kind and column type")
+        .otherwise("generated")
+        .alias("status"),
+    )
+
+
+register(
+    "generated_control_results",
+    _camp_sql(EV, "SELECT variant, control_id, target_table, violation_count, passed FROM gen"),
+)(lambda spark, sf: campaign(spark, sf).all_results().filter("generated").drop("generated"))
+register(
+    "generated_controls_clean",
+    _camp_sql(EV, "SELECT control_id, violation_count, passed FROM gen WHERE variant = 'clean'"),
+)(
+    lambda spark, sf: campaign(spark, sf)
+    .all_results()
+    .filter(F.col("generated") & (F.col("variant") == CLEAN))
+    .select("control_id", "violation_count", "passed")
+)
+register("detection_matrix", _camp_sql(EV, "SELECT * FROM matrix"))(
+    lambda spark, sf: campaign(spark, sf).matrices()
+)
+register("coverage_report", _camp_sql(EV, "SELECT * FROM coverage"))(
+    lambda spark, sf: campaign(spark, sf).coverage_report()
+)
+
+
+def campaign_coverage_frame(c: Campaign) -> DataFrame:
+    m = c.matrices()
+    cov = _coverage(m.filter(F.col("phase") == "baseline"), "baseline").unionByName(
+        _coverage(m.filter(F.col("phase") == "improved"), "improved")
+    )
+    return m.join(cov, "phase")
+
+
+register(
+    "campaign_coverage",
+    _camp_sql(EV, "SELECT m.*, c.detected_faults, c.total_faults, c.coverage_pct FROM matrix AS m JOIN coverage AS c ON m.phase = c.phase"),
+)(lambda spark, sf: campaign_coverage_frame(campaign(spark, sf)))
+register(
+    "campaign_coverage_orders",
+    _camp_sql(OR, "SELECT m.*, c.detected_faults, c.total_faults, c.coverage_pct FROM matrix AS m JOIN coverage AS c ON m.phase = c.phase"),
+)(lambda spark, sf: campaign_coverage_frame(campaign(spark, sf, "orders")))
+
+DECLARED = (
+    ("orders_customer_id_not_null", "null_density_surge"),
+    ("orders_amount_cents_reasonable", "numeric_scale"),
+    ("orders_partition_not_stale", "stale_partition"),
+)
+
+
+@register(
+    "detection_attribution",
+    _camp_sql(
+        EV,
+        "SELECT r.variant AS fault_id, f.kind, r.control_id, d.kind IS NOT NULL AS declared, "
+        "NOT r.passed AS fired, CASE WHEN NOT r.passed AND d.kind IS NOT NULL THEN "
+        "'true_positive' WHEN NOT r.passed THEN 'unexpected_detection' WHEN d.kind IS NOT NULL "
+        "THEN 'false_negative' ELSE 'true_negative' END AS status FROM allres AS r JOIN faults "
+        "AS f ON r.variant = f.fault_id LEFT JOIN (SELECT * FROM (VALUES "
+        + ", ".join(f"({q(a)}, {q(b)})" for a, b in DECLARED)
+        + ") AS t(control_id, kind)) AS d ON d.control_id = r.control_id AND d.kind = f.kind",
+    ),
+)
+def detection_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    c = campaign(spark, sf)
+    res = c.all_results().filter(F.col("variant") != CLEAN)
+    faults = c.fault_table().select("fault_id", "kind")
+    pairs = [(cid, k) for ctl in (*c.baseline_controls, *c.generated_controls)
+             for cid, k in [(ctl.control_id, kk) for kk in ctl.detects_faults]]
+    declared = spark.createDataFrame(pairs, "control_id string, kind string").withColumn(
+        "declared", F.lit(True)
+    )
+    j = res.join(faults, res.variant == faults.fault_id).join(declared, ["control_id", "kind"], "left")
+    fired = ~F.col("passed")
+    dec = F.coalesce(F.col("declared"), F.lit(False))
+    return j.select(
+        "fault_id",
+        "kind",
+        "control_id",
+        dec.alias("declared"),
+        fired.alias("fired"),
+        F.when(fired & dec, "true_positive")
+        .when(fired, "unexpected_detection")
+        .when(dec, "false_negative")
+        .otherwise("true_negative")
+        .alias("status"),
+    )
+
+
+@register(
+    "weighted_coverage",
+    _camp_sql(
+        EV,
+        "SELECT m.phase, sum(w.weight) AS total_weight, sum(CASE WHEN m.detected THEN w.weight "
+        "ELSE 0 END) AS detected_weight, CAST(round(sum(CASE WHEN m.detected THEN w.weight ELSE 0 "
+        "END) * 100.0 / sum(w.weight), 1) AS DOUBLE) AS weighted_coverage_pct FROM matrix AS m JOIN "
+        "(SELECT fault_id, count(*) AS weight FROM predicted GROUP BY fault_id) AS w ON "
+        "m.fault_id = w.fault_id GROUP BY m.phase",
+        [_predicted_values(EV)],
+    ),
+)
+def weighted_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Coverage weighted by each fault's predicted blast radius (tables reached)."""
+    c = campaign(spark, sf)
+    w = c.predicted_radius().groupBy("fault_id").agg(F.count(F.lit(1)).alias("weight"))
+    m = c.matrices().join(w, "fault_id")
+    det = F.sum(F.when(F.col("detected"), F.col("weight")).otherwise(0))
+    return m.groupBy("phase").agg(
+        F.sum("weight").alias("total_weight"),
+        det.alias("detected_weight"),
+        F.round(det * 100.0 / F.sum("weight"), 1).alias("weighted_coverage_pct"),
+    )
+
+
+def _selected_counts(o: Oracle) -> str:
+    return "selcounts AS (" + " UNION ALL ".join(
+        f"SELECT {q(s.fault_id)} AS fault_id, count(*) AS mutated_rows FROM sel{i}"
+        for i, s in enumerate(o.faults)
+    ) + ")"
+
+
+register(
+    "generated_recall",
+    _camp_sql(
+        EV,
+        "SELECT s.fault_id, g.control_id, g.violation_count, s.mutated_rows, CAST(round("
+        "g.violation_count / s.mutated_rows, 4) AS DOUBLE) AS recall FROM gen AS g JOIN selcounts "
+        "AS s ON g.variant = s.fault_id",
+        [_selected_counts(EV)],
+    ),
+)(lambda spark, sf: campaign(spark, sf).generated_recall())
+
+
+# -- G7: column profile --------------------------------------------------------------
+def _profile_sql() -> str:
+    types = {"order_id": "bigint", "customer_id": "bigint", "order_ts": "timestamp_ntz",
+             "amount_cents": "bigint", "currency": "string", "source_partition": "date"}
+    native = dict(COLUMNS["raw_orders"])
+    parts = []
+    for c, t in types.items():
+        def txt(e: str) -> str:
+            return f"strftime({e}, '%Y-%m-%dT%H:%M:%S.%f')" if native[c] == "TIMESTAMP" else f"CAST({e} AS VARCHAR)"
+        parts.append(
+            f"SELECT {q(c)} AS column_name, {q(t)} AS data_type, count(*) AS row_count, count(*) "
+            f"FILTER (WHERE {c} IS NULL) AS null_count, {txt(f'min({c})')} AS min_value, "
+            f"{txt(f'max({c})')} AS max_value FROM raw_orders"
+        )
+    return OR.with_(" UNION ALL ".join(parts))
+
+
+register("column_profile", _profile_sql())(
+    lambda spark, sf: _column_profile(raw_orders(spark, sf, "orders"))
+)
+
+
+# -- M14: smallest escaping mutation (eight factors, one pass) ---------------------
+@register(
+    "fault_minimization",
+    MIN.with_(
+        "SELECT v.variant AS fault_id, f.factor, count(*) FILTER (WHERE v.amount_cents > "
+        "(SELECT max(amount_cents) FROM raw_orders)) AS violation_count, s.mutated_rows, "
+        "count(*) FILTER (WHERE v.amount_cents > (SELECT max(amount_cents) FROM raw_orders)) > 0 "
+        "AS detected FROM v_raw_orders AS v JOIN (SELECT * FROM (VALUES "
+        + ", ".join(f"({q(s.fault_id)}, {s.parameters['factor']})" for s in MINIMIZATION_FAULTS)
+        + ") AS t(fault_id, factor)) AS f ON v.variant = f.fault_id JOIN selcounts AS s ON "
+        "s.fault_id = v.variant GROUP BY v.variant, f.factor, s.mutated_rows",
+        [_selected_counts(MIN)],
+    ),
+)
+def fault_minimization(spark: SparkSession, sf: str) -> DataFrame:
+    """Detection of the amount bound for scale factors 2..1000 on the same rows."""
+    c = campaign(spark, sf, "events", MINIMIZATION_FAULTS)
+    bound = raw_orders(spark, sf, "events").agg(F.max("amount_cents")).collect()[0][0]
+    ctl = Control("orders_amount_cents_reasonable", "raw_orders", predicate=f"amount_cents > {int(bound)}")
+    res = c.control_results([ctl]).filter(F.col("variant") != CLEAN)
+    factors = spark.createDataFrame(
+        [(s.fault_id, int(s.parameters["factor"])) for s in MINIMIZATION_FAULTS],
+        "fault_id string, factor int",
+    )
+    ev = c.mutation_evidence().select("fault_id", "mutated_rows")
+    return (
+        res.join(factors, res.variant == factors.fault_id)
+        .join(ev, "fault_id")
+        .select("fault_id", "factor", "violation_count", "mutated_rows", (F.col("violation_count") > 0).alias("detected"))
+    )
+
+
+# -- L1, L2: record-level lineage --------------------------------------------------
+@register(
+    "lineage_closure",
+    "WITH RECURSIVE " + RECORD_EDGES_SQL + ", reach(node, hops) AS (SELECT 'n:' || "
+    "CAST(n_nationkey AS VARCHAR), 0 FROM nation WHERE n_regionkey = 0 UNION SELECT e.dst, "
+    "r.hops + 1 FROM reach AS r JOIN edges AS e ON e.src = r.node) SELECT node, min(hops) AS hops "
+    "FROM reach GROUP BY node",
+)
+def lineage_closure(spark: SparkSession, sf: str) -> DataFrame:
+    """Records downstream of the nations of region 0 (nation -> customer -> order -> line)."""
+    seeds = read_table(spark, sf, "nation").filter(F.col("n_regionkey") == 0).select(
+        F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("node")
+    )
+    return closure(record_edges(spark, sf), seeds)
+
+
+register(
+    "lineage_neighbors",
+    "WITH " + RECORD_EDGES_SQL + " SELECT COALESCE(d.node, u.node) AS node, COALESCE(u.n, 0) AS "
+    "upstreams, COALESCE(d.n, 0) AS downstreams FROM (SELECT src AS node, count(*) AS n FROM "
+    "edges GROUP BY src) AS d FULL OUTER JOIN (SELECT dst AS node, count(*) AS n FROM edges "
+    "GROUP BY dst) AS u ON d.node = u.node",
+)(lambda spark, sf: neighbors(record_edges(spark, sf)))
+
+
+# -- E1/E2: snapshot and verified restore ------------------------------------------
+@register(
+    "restore_verification",
+    OR.with_(
+        "SELECT table_name, row_count, checksum, row_count AS manifest_row_count, checksum AS "
+        "manifest_checksum, TRUE AS verified FROM checksums WHERE variant = 'clean'",
+        [OR.checksums_cte()],
+    ),
+)
+def restore_verification(spark: SparkSession, sf: str) -> DataFrame:
+    tables = _clean_tables(spark, sf)
+    path = snapshot(spark, tables, seed=campaign(spark, sf, "orders").seed)
+    return verify_restore(spark, path, list(tables))
