@@ -21,10 +21,17 @@ def hash60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
+_EPOCH_NTZ = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+
+
 def canonical_text(column: Column, dtype: T.DataType) -> Column:
-    """Text of a non-null value: ISO dates, microsecond timestamps, hex bytes."""
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(column, TS_FORMAT)
+    """Text of a non-null value: ISO dates, timestamps as integer microseconds since
+    the epoch (zone-independent for TIMESTAMP_NTZ, and cheaper than formatting),
+    hex bytes."""
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", _EPOCH_NTZ, column).cast("string")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(column).cast("string")
     if isinstance(dtype, T.BinaryType):
         return F.lower(F.hex(column))
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
@@ -60,10 +67,33 @@ def key_rank(seed: int, salt: str, key: Column) -> Column:
     return hash60(F.concat(F.lit(f"{seed}:{salt}:"), key.cast("string")))
 
 
-def as_checksum(total: Column) -> Column:
-    """Sum of row hashes rendered as text (decimal(38,0) never overflows here)."""
-    return F.coalesce(total.cast("string"), F.lit("0"))
+def display_text(column: Column, dtype: T.DataType) -> Column:
+    """Readable text for reports (ISO timestamps with microseconds)."""
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(column, TS_FORMAT)
+    return canonical_text(column, dtype)
+
+
+# A 60-bit hash is summed as three 20-bit parts in bigint: exact, codegen-friendly
+# (no BigDecimal arithmetic per row) and safe up to 2**43 rows per sum.
+PART_BITS = 20
+PART_MASK = (1 << PART_BITS) - 1
+
+
+def hash_parts(h: Column) -> tuple[Column, Column, Column]:
+    return (
+        F.shiftright(h, 2 * PART_BITS),
+        F.shiftright(h, PART_BITS).bitwiseAND(F.lit(PART_MASK)),
+        h.bitwiseAND(F.lit(PART_MASK)),
+    )
 
 
-def sum_hashes(h: Column) -> Column:
-    return F.sum(h.cast("decimal(38,0)"))
+def combine_parts(hi: Column, mid: Column, lo: Column) -> Column:
+    """Exact total of the three part sums, as text ('0' for an empty sum)."""
+    dec = "decimal(38,0)"
+    total = (
+        F.coalesce(hi, F.lit(0)).cast(dec) * F.lit(1 << (2 * PART_BITS)).cast(dec)
+        + F.coalesce(mid, F.lit(0)).cast(dec) * F.lit(1 << PART_BITS).cast(dec)
+        + F.coalesce(lo, F.lit(0)).cast(dec)
+    )
+    return total.cast("decimal(38,0)").cast("string")

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultbench.functions.hashing import as_checksum, row_hash, table_prefix
+from faultbench.functions.hashing import combine_parts, hash_parts, row_hash, table_prefix
 from faultbench.operators.variants import (
     CLEAN,
     VariantSet,
@@ -28,13 +28,17 @@ def table_checksum(df: DataFrame, table_name: str, vs: VariantSet | None = None)
     vs = vs or VariantSet()
     df = with_mask(df, vs)
     cols = data_columns(df)
-    h = row_hash(df, cols, table_prefix(table_name, cols)).cast("decimal(38,0)")
-    sums = per_variant(df, vs, [("row_count", "count", None), ("_hsum", "sum", h)])
+    hi, mid, lo = hash_parts(row_hash(df, cols, table_prefix(table_name, cols)))
+    sums = per_variant(
+        df,
+        vs,
+        [("row_count", "count", None), ("_h2", "sum", hi), ("_h1", "sum", mid), ("_h0", "sum", lo)],
+    )
     return sums.select(
         "variant",
         F.lit(table_name).alias("table_name"),
         "row_count",
-        as_checksum(F.col("_hsum")).alias("checksum"),
+        combine_parts(F.col("_h2"), F.col("_h1"), F.col("_h0")).alias("checksum"),
     )
 
 

@@ -30,11 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultbench.functions.hashing import as_checksum, field_text, hash60, row_text
+from faultbench.functions.hashing import combine_parts, field_text, hash60, hash_parts, row_text
 from faultbench.operators.selection import (
     Boundary,
-    find_boundary,
+    SelectionRequest,
     requested_count,
+    resolve_boundaries,
     selection_predicate,
 )
 from faultbench.operators.variants import RowChange, VariantSet, stack, with_mask
@@ -173,58 +174,66 @@ def _latest_per_group(df: DataFrame, key: str, group: str, ts: str) -> DataFrame
     return latest.select(F.col(f"_m.{key}").alias(key), F.col(f"_m.{ts}").alias(ts))
 
 
-def plan_fault(
-    spec: FaultSpec, df: DataFrame, key: str, seed: int, vs: VariantSet, index: int
-) -> tuple[DataFrame, FaultPlan]:
-    """Resolve the selection of one fault; returns the (possibly flagged) target."""
+@dataclass
+class _Pending:
+    spec: FaultSpec
+    index: int
+    key: str
+    salt: str
+    request: SelectionRequest | None
+    anchor_key: object = None
+    candidates: DataFrame | None = None
+
+
+def _prepare(spec: FaultSpec, df: DataFrame, key: str, seed: int, index: int) -> _Pending:
+    """Validate and turn one fault into a selection request (stale: + one small job)."""
     reasons = validate_spec(spec, df.schema, key)
     if reasons:
         raise FaultError(f"{spec.fault_id}: " + "; ".join(reasons))
     p = dict(spec.parameters)
     salt = str(p.pop("salt", spec.fault_id))
+    if spec.kind != STALE_PARTITION:
+        req = SelectionRequest(_candidates(spec, df, key), key, seed, salt, p)
+        return _Pending(spec, index, key, salt, req)
+    ts, group = str(p["timestamp_column"]), str(p["group_column"])
+    cands = _latest_per_group(df, key, group, ts)
+    # One aggregate: candidate count and the newest candidate (= newest row overall).
+    stats = cands.agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.struct(F.col(ts), F.col(key))).alias("a")
+    ).collect()[0]
+    if stats["a"] is None:
+        raise FaultError(f"{spec.fault_id}: no candidate rows")
+    n = requested_count({k: v for k, v in p.items() if k in ("row_count", "percent")}, stats["n"])
+    anchor_key = stats["a"][key]
+    req = None
+    if n > 1:
+        rest = cands.filter(F.col(key) != F.lit(anchor_key))
+        req = SelectionRequest(rest, key, seed, salt, {"row_count": n - 1})
+    return _Pending(spec, index, key, salt, req, anchor_key, cands)
+
+
+def _finish(pend: _Pending, boundary: Boundary | None, df: DataFrame, seed: int) -> tuple[DataFrame, FaultPlan]:
+    spec, key = pend.spec, pend.key
+    p = dict(spec.parameters)
     keycol = F.col(key)
     if spec.kind == STALE_PARTITION:
-        ts, part, group = str(p["timestamp_column"]), str(p["partition_column"]), str(p["group_column"])
-        days = int(p["days"])
-        cands = _latest_per_group(df, key, group, ts)
-        anchor = df.agg(F.max(F.struct(F.col(ts), keycol)).alias("a")).collect()[0]["a"]
-        if anchor is None:
-            raise FaultError(f"{spec.fault_id}: no candidate rows")
-        anchor_key = anchor[key]
-        # The anchor is one of the candidates; the rest are ranked by hash.
-        rest = cands.filter(keycol != F.lit(anchor_key))
-        sub = dict(p)
-        boundary = None
-        if "row_count" in p:
-            n_rest = int(p["row_count"]) - 1
-            if n_rest > 0:
-                sub = {"row_count": n_rest}
-                boundary = find_boundary(rest, key, seed, salt, sub)
-        else:
-            total = cands.count()
-            n = requested_count(p, total)
-            if n - 1 > 0:
-                boundary = find_boundary(rest, key, seed, salt, {"row_count": n - 1})
-        chosen = keycol == F.lit(anchor_key)
+        ts, part, days = str(p["timestamp_column"]), str(p["partition_column"]), int(p["days"])
+        chosen = keycol == F.lit(pend.anchor_key)
         if boundary is not None:
-            chosen = chosen | selection_predicate(boundary, seed, salt, keycol)
-        selected_keys = cands.filter(chosen).select(key)
+            chosen = chosen | selection_predicate(boundary, seed, pend.salt, keycol)
         n_sel = 1 + (boundary.n if boundary else 0)
-        flag = f"_sel{index}"
-        keyed = selected_keys.withColumn(flag, F.lit(True))
-        if n_sel <= BROADCAST_KEYS:
+        flag = f"_sel{pend.index}"
+        keyed = pend.candidates.filter(chosen).select(key).withColumn(flag, F.lit(True))
+        if n_sel <= BROADCAST_KEYS:  # size bound known from the parameters
             keyed = F.broadcast(keyed)
         flagged = df.join(keyed, key, "left")
-        selected = F.col(flag).isNotNull()
         updates = {
             ts: F.col(ts) - F.make_dt_interval(days=F.lit(days)),
             part: F.date_sub(F.col(part), days),
         }
-        change = RowChange(spec.fault_id, selected, "update", updates)
+        change = RowChange(spec.fault_id, F.col(flag).isNotNull(), "update", updates)
         return flagged, FaultPlan(spec, change, boundary, n_sel, flag)
-
-    boundary = find_boundary(_candidates(spec, df, key), key, seed, salt, p)
-    selected = selection_predicate(boundary, seed, salt, keycol)
+    selected = selection_predicate(boundary, seed, pend.salt, keycol)
     if spec.kind in (NULL_DENSITY_SURGE, JOIN_KEY_CORRUPTION):
         selected = F.col(str(p["column"])).isNotNull() & selected
     if spec.kind == NUMERIC_SCALE:
@@ -274,17 +283,24 @@ def apply_faults(
     if unknown:
         raise FaultError(f"faults target unknown tables {sorted(unknown)}")
     vs = VariantSet.of(ids)
+    pending = [
+        _prepare(spec, tables[spec.target_table], keys[spec.target_table], seed, i)
+        for i, spec in enumerate(specs)
+    ]
+    requests = [pd.request for pd in pending if pd.request is not None]
+    resolved = iter(resolve_boundaries(requests)) if requests else iter(())
+    boundaries = [next(resolved) if pd.request is not None else None for pd in pending]
     out: dict[str, DataFrame] = {}
     flagged: dict[str, DataFrame] = {}
     plans: list[FaultPlan] = []
     for name, df in tables.items():
-        mine = [(i, s) for i, s in enumerate(specs) if s.target_table == name]
+        mine = [(pd, b) for pd, b in zip(pending, boundaries) if pd.spec.target_table == name]
         if not mine:
             out[name] = with_mask(df, vs)
             continue
         changes, flags = [], []
-        for i, spec in mine:
-            df, plan = plan_fault(spec, df, keys[name], seed, vs, i)
+        for pd, boundary in mine:
+            df, plan = _finish(pd, boundary, df, seed)
             plans.append(plan)
             changes.append(plan.change)
             if plan.flag_column:
@@ -319,7 +335,7 @@ def mutation_evidence(faulted: FaultedTables, keys: Mapping[str, str]) -> DataFr
                 c for c in data_cols if c != key
             ]
             cols = [key, *changed]
-            before = hash60(row_text(df, cols)).cast("decimal(38,0)")
+            before = hash60(row_text(df, cols))
             after_text = F.concat(
                 F.lit(""),
                 *[
@@ -330,20 +346,27 @@ def mutation_evidence(faulted: FaultedTables, keys: Mapping[str, str]) -> DataFr
                     for c in cols
                 ],
             )
-            after = hash60(after_text).cast("decimal(38,0)")
+            after = hash60(after_text)
+            sel = pl.change.selected
+
+            def digest(h: Column, weight: int = 1) -> Column:
+                parts = [F.sum(F.when(sel, x * F.lit(weight))) for x in hash_parts(h)]
+                return combine_parts(*parts)
+
             if pl.change.mode == "delete":
-                after = F.lit(0).cast("decimal(38,0)")
+                after_digest = F.lit("0")
             elif pl.change.mode == "insert":
-                after = before * 2
-            sel = pl.change.selected
+                after_digest = digest(before, 2)
+            else:
+                after_digest = digest(after)
             measures.append(
                 F.struct(
                     F.lit(pl.spec.fault_id).alias("fault_id"),
                     F.lit(pl.spec.kind).alias("kind"),
                     F.lit(name).alias("target_table"),
                     F.count(F.when(sel, 1)).alias("mutated_rows"),
-                    as_checksum(F.sum(F.when(sel, before))).alias("before_digest"),
-                    as_checksum(F.sum(F.when(sel, after))).alias("after_digest"),
+                    digest(before).alias("before_digest"),
+                    after_digest.alias("after_digest"),
                 )
             )
         part = df.agg(F.array(*measures).alias("_e")).select(F.explode("_e").alias("e")).select("e.*")

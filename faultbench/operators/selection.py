@@ -1,26 +1,29 @@
 """Seeded, exact selection of N rows by hash rank, without gathering rows.
 
-Rows are ranked by ``(hash60('<seed>:<fault_id>:<key>'), key)``. The N smallest are
+Rows are ranked by ``(hash60('<seed>:<salt>:<key>'), key)``; the N smallest are
 selected. Instead of materialising the selected keys, the N-th smallest pair (the
-*boundary*) is found and selection becomes a row predicate ``(rank, key) <= boundary``
-that every later job evaluates locally, with no join and no shuffle.
+*boundary*) is found, and selection becomes the row predicate
+``(rank, key) <= boundary`` that later jobs evaluate locally: no join, no shuffle.
 
-Finding the boundary never moves more than a bounded number of rows to one place:
+All selections of a campaign are resolved together, in two jobs:
 
-* a histogram over the top 16 bits of the rank (at most 65,536 rows to the driver)
-  locates the bucket that holds the N-th row and how many rows precede it;
-* inside that bucket the next 16 bits are histogrammed, and so on;
-* once the bucket holds at most ``gather_limit`` rows, a top-k of the remainder
-  (``TakeOrderedAndProject``, bounded by ``gather_limit``) gives the exact pair.
+1. one aggregate histograms the top 16 bits of every request's rank (at most
+   65,536 rows per request reach the driver) and gives each request's candidate
+   count, the bucket that holds its N-th row and how many rows precede that bucket;
+2. one job ranks, per request, only the rows of that bucket (or, for a small fixed
+   ``row_count``, a bounded top-k of all candidates) and picks the exact pair.
 
-The result is identical for any partitioning and for any engine that computes md5.
+A boundary bucket larger than ``gather_limit`` rows is refined on the next 16 bits
+first, so no task ever sorts more than ``gather_limit`` rows of one request. The
+result is identical for any partitioning and for any engine that computes md5.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultbench.functions.hashing import key_rank
@@ -45,6 +48,43 @@ class Boundary:
         return (rank < F.lit(self.rank)) | ((rank == F.lit(self.rank)) & (key <= F.lit(self.key)))
 
 
+@dataclass
+class SelectionRequest:
+    """Select ``row_count`` or ``percent`` of ``candidates`` (one row per key)."""
+
+    candidates: DataFrame
+    key: str
+    seed: int
+    salt: str
+    parameters: dict
+    # resolved state
+    n: int | None = None
+    available: int | None = None
+    shift: int = RANK_BITS - LEVEL_BITS
+    prefix: list[tuple[int, int]] = field(default_factory=list)  # (shift, bucket)
+    before: int = 0
+
+    def ranked(self) -> DataFrame:
+        return self.candidates.select(
+            key_rank(self.seed, self.salt, F.col(self.key)).alias("_rank"),
+            F.col(self.key).alias("_key"),
+        )
+
+    def scoped(self) -> DataFrame:
+        df = self.ranked()
+        for shift, bucket in self.prefix:
+            df = df.filter(_bucket(F.col("_rank"), shift) == F.lit(bucket))
+        return df
+
+    def small_fixed(self, gather_limit: int) -> bool:
+        n = self.parameters.get("row_count")
+        return isinstance(n, int) and not isinstance(n, bool) and 0 < n <= gather_limit
+
+
+def _bucket(rank: Column, shift: int) -> Column:
+    return F.shiftright(rank, shift).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
+
+
 def requested_count(parameters: dict, available: int) -> int:
     """``row_count`` (absolute) or ``percent`` (integer 1..100 of the candidates)."""
     if "row_count" in parameters and "percent" in parameters:
@@ -65,75 +105,99 @@ def requested_count(parameters: dict, available: int) -> int:
     return n
 
 
-def _top_k_boundary(df: DataFrame, k: int) -> tuple[int, object]:
-    last = (
-        df.orderBy("_rank", "_key")
-        .limit(k)
-        .agg(F.max(F.struct("_rank", "_key")).alias("b"))
-        .collect()[0]["b"]
-    )
-    return int(last["_rank"]), last["_key"]
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def resolve_boundaries(
+    requests: Sequence[SelectionRequest], *, gather_limit: int = GATHER_LIMIT
+) -> list[Boundary]:
+    """Boundaries of all requests, in as few jobs as possible (usually two)."""
+    by_type: dict[str, list[int]] = {}
+    for i, r in enumerate(requests):
+        by_type.setdefault(r.candidates.schema[r.key].dataType.simpleString(), []).append(i)
+    out: list[Boundary | None] = [None] * len(requests)
+    for idx in by_type.values():
+        for i, b in zip(idx, _resolve_same_type([requests[i] for i in idx], gather_limit)):
+            out[i] = b
+    return out  # type: ignore[return-value]
+
+
+def _resolve_same_type(reqs: list[SelectionRequest], gather_limit: int) -> list[Boundary]:
+    pending = [i for i, r in enumerate(reqs) if not r.small_fixed(gather_limit)]
+    # Histogram levels until every pending request's boundary bucket is small.
+    while pending:
+        hist = _union(
+            [
+                reqs[i].scoped().select(
+                    F.lit(i).alias("_rid"), _bucket(F.col("_rank"), reqs[i].shift).alias("_b")
+                )
+                for i in pending
+            ]
+        ).groupBy("_rid", "_b").agg(F.count(F.lit(1)).alias("_c")).collect()
+        per: dict[int, list[tuple[int, int]]] = {i: [] for i in pending}
+        for row in hist:
+            per[int(row["_rid"])].append((int(row["_b"]), int(row["_c"])))
+        still = []
+        for i in pending:
+            r = reqs[i]
+            buckets = sorted(per[i])
+            if r.available is None:
+                r.available = sum(c for _, c in buckets)
+                r.n = requested_count(r.parameters, r.available)
+            need = r.n - r.before
+            cum = 0
+            for b, c in buckets:
+                if cum + c >= need:
+                    break
+                cum += c
+            else:
+                raise SelectionError("selection histogram is inconsistent")
+            r.before += cum
+            r.prefix.append((r.shift, b))
+            if c > gather_limit and r.shift > 0:
+                r.shift = max(0, r.shift - LEVEL_BITS)
+                still.append(i)
+        pending = still
+    # Final job: exact pair per request among bounded rows.
+    frames = []
+    needs = {}
+    for i, r in enumerate(reqs):
+        if r.small_fixed(gather_limit) and not r.prefix:
+            k = int(r.parameters["row_count"])
+            frames.append(r.ranked().orderBy("_rank", "_key").limit(k).withColumn("_rid", F.lit(i)))
+            needs[i] = k
+        else:
+            frames.append(r.scoped().withColumn("_rid", F.lit(i)))
+            needs[i] = r.n - r.before
+    need_map = F.create_map(*[x for i, k in needs.items() for x in (F.lit(i), F.lit(k))])
+    w = Window.partitionBy("_rid").orderBy("_rank", "_key")
+    ranked = _union(frames).withColumn("_pos", F.row_number().over(w))
+    picked = ranked.filter(F.col("_pos") == need_map[F.col("_rid")])
+    found = {int(row["_rid"]): row for row in picked.collect()}
+    result = []
+    for i, r in enumerate(reqs):
+        if i not in found:
+            have = r.available if r.available is not None else "fewer"
+            raise SelectionError(
+                f"fault row_count {needs[i] if r.n is None else r.n} exceeds the {have} available rows"
+            )
+        row = found[i]
+        n = r.n if r.n is not None else needs[i]
+        result.append(Boundary(int(row["_rank"]), row["_key"], n, -1 if r.available is None else r.available))
+    return result
 
 
 def find_boundary(
-    candidates: DataFrame,
-    key: str,
-    seed: int,
-    salt: str,
-    parameters: dict,
-    *,
+    candidates: DataFrame, key: str, seed: int, salt: str, parameters: dict, *,
     gather_limit: int = GATHER_LIMIT,
 ) -> Boundary:
-    """Boundary of the seeded selection among ``candidates`` (one row per key)."""
-    ranked = candidates.select(
-        key_rank(seed, salt, F.col(key)).alias("_rank"), F.col(key).alias("_key")
-    )
-    fixed = parameters.get("row_count")
-    if isinstance(fixed, int) and not isinstance(fixed, bool) and 0 < fixed <= gather_limit:
-        # One job: bounded top-k; its count also proves enough rows exist.
-        stats = (
-            ranked.orderBy("_rank", "_key")
-            .limit(fixed)
-            .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("_rank", "_key")).alias("b"))
-            .collect()[0]
-        )
-        if stats["n"] < fixed:
-            raise SelectionError(
-                f"fault row_count {fixed} exceeds the {stats['n']} available rows"
-            )
-        b = stats["b"]
-        return Boundary(int(b["_rank"]), b["_key"], fixed, -1)
-
-    shift = RANK_BITS - LEVEL_BITS
-    scope = ranked
-    before = 0
-    available = None
-    n = None
-    while True:
-        bucket = F.shiftright(F.col("_rank"), shift).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
-        hist = scope.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()
-        hist = sorted((int(r["b"]), int(r["c"])) for r in hist)
-        if available is None:
-            available = sum(c for _, c in hist)
-            n = requested_count(parameters, available)
-        need = n - before
-        cum = 0
-        for b, c in hist:
-            if cum + c >= need:
-                chosen, chosen_count = b, c
-                break
-            cum += c
-        else:  # pragma: no cover - guarded by requested_count
-            raise SelectionError("selection histogram is inconsistent")
-        before += cum
-        scope = scope.filter(
-            F.shiftright(F.col("_rank"), shift).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
-            == F.lit(chosen)
-        )
-        if chosen_count <= gather_limit or shift == 0:
-            rank, k = _top_k_boundary(scope, n - before)
-            return Boundary(rank, k, n, available)
-        shift = max(0, shift - LEVEL_BITS)
+    return resolve_boundaries(
+        [SelectionRequest(candidates, key, seed, salt, dict(parameters))], gather_limit=gather_limit
+    )[0]
 
 
 def selection_predicate(boundary: Boundary, seed: int, salt: str, key: Column) -> Column:

@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import date
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +39,14 @@ from faultbench.operators.faults import (
     apply_faults,
     mutation_evidence,
 )
-from faultbench.operators.pipeline import MANAGED_TABLES, build_tables
+from faultbench.operators.pipeline import (
+    MANAGED_TABLES,
+    build_enriched,
+    customer_value,
+    daily_revenue,
+    executive_dashboard,
+)
+from faultbench.session import checkpoint_dir
 from faultbench.plans.contract import (
     BASELINE_CONTROLS,
     DEFAULT_SEED,
@@ -61,6 +69,11 @@ class Campaign:
     faults: Sequence[FaultSpec] = field(default_factory=default_faults)
     seed: int = DEFAULT_SEED
     baseline_controls: Sequence[Control] = BASELINE_CONTROLS
+    # How shared intermediates (the stacked orders and the enriched variant table)
+    # are kept between the campaign's jobs: "cache" (executor memory and disk; lost
+    # blocks are recomputed from lineage), "checkpoint" (written to the shared
+    # checkpoint folder) or "none" (recomputed by every job).
+    materialize: str = "cache"
 
     # -- inputs -------------------------------------------------------------
     @functools.cached_property
@@ -75,14 +88,42 @@ class Campaign:
     def variants(self):
         return self.faulted.variants
 
+    def _keep(self, df: DataFrame) -> DataFrame:
+        if self.materialize == "cache":
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._kept.append(df)
+            return df
+        if self.materialize == "checkpoint":
+            checkpoint_dir(self.spark)
+            return df.checkpoint(eager=True)
+        if self.materialize != "none":
+            raise ValueError(f"unknown materialize mode {self.materialize!r}")
+        return df
+
     @functools.cached_property
     def tables(self) -> dict[str, DataFrame]:
         ft = self.faulted
+        vs = ft.variants
         customers_vary = any(s.target_table == "raw_customers" for s in self.faults)
-        return build_tables(
-            ft.tables["raw_customers"], ft.tables["raw_orders"], ft.variants,
-            customers_vary=customers_vary,
-        )
+        self._kept = getattr(self, "_kept", [])
+        orders = self._keep(ft.tables["raw_orders"])
+        customers = ft.tables["raw_customers"]
+        enriched = self._keep(build_enriched(orders, customers, vs, customers_vary=customers_vary))
+        cv = customer_value(enriched, vs)
+        return {
+            "raw_customers": customers,
+            "raw_orders": orders,
+            "orders_enriched": enriched,
+            "daily_revenue": daily_revenue(enriched, vs),
+            "customer_value": cv,
+            "executive_dashboard": executive_dashboard(cv, vs),
+        }
+
+    def close(self) -> None:
+        """Release cached intermediates."""
+        for df in getattr(self, "_kept", []):
+            df.unpersist()
+        self._kept = []
 
     def fault_table(self) -> DataFrame:
         rows = [(s.fault_id, s.kind, s.target_table) for s in self.faults]

@@ -38,7 +38,7 @@ def hash60(text: str) -> str:
 
 
 def field_text(col: str, native: str) -> str:
-    text = f"strftime({col}, '{TS_FMT}')" if native == "TIMESTAMP" else f"CAST({col} AS VARCHAR)"
+    text = f"CAST(epoch_us({col}) AS VARCHAR)" if native == "TIMESTAMP" else f"CAST({col} AS VARCHAR)"
     return f"(CASE WHEN {col} IS NULL THEN '~' ELSE CAST(length({text}) AS VARCHAR) || ':' || {text} END)"
 
 
