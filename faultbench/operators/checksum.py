@@ -13,7 +13,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultbench.functions.hashing import combine_parts, hash_parts, row_hash, table_prefix
+from faultbench.functions.hashing import (
+    combine_parts_sql,
+    hash60_sql,
+    hash_parts_sql,
+    row_text_sql,
+    table_prefix,
+)
 from faultbench.operators.variants import (
     CLEAN,
     VariantSet,
@@ -23,31 +29,43 @@ from faultbench.operators.variants import (
 )
 
 
-def table_checksum(df: DataFrame, table_name: str, vs: VariantSet | None = None) -> DataFrame:
-    """``(variant, table_name, row_count, checksum)`` for every variant of one table."""
-    vs = vs or VariantSet()
+def _hashed(df: DataFrame, table_name: str, vs: VariantSet) -> DataFrame:
+    """``(table_name, _vmask, _h)``: one row hash per stored row."""
     df = with_mask(df, vs)
     cols = data_columns(df)
-    hi, mid, lo = hash_parts(row_hash(df, cols, table_prefix(table_name, cols)))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    h = hash60_sql(row_text_sql(types, cols, table_prefix(table_name, cols)))
+    return df.selectExpr(f"'{table_name}' AS table_name", "_vmask", f"{h} AS _h")
+
+
+def table_checksums(tables: Mapping[str, DataFrame], vs: VariantSet | None = None) -> DataFrame:
+    """``(variant, table_name, row_count, checksum)`` for every table and variant.
+
+    All tables' row hashes are unioned and summed in one aggregate grouped by table:
+    one shuffle stage for the whole table set, whatever its size.
+    """
+    vs = vs or VariantSet()
+    hashed = None
+    for name, df in tables.items():
+        part = _hashed(df, name, vs)
+        hashed = part if hashed is None else hashed.unionByName(part)
+    hi, mid, lo = hash_parts_sql("_h")
     sums = per_variant(
-        df,
+        hashed,
         vs,
         [("row_count", "count", None), ("_h2", "sum", hi), ("_h1", "sum", mid), ("_h0", "sum", lo)],
+        keys=["table_name"],
     )
-    return sums.select(
+    return sums.selectExpr(
         "variant",
-        F.lit(table_name).alias("table_name"),
+        "table_name",
         "row_count",
-        combine_parts(F.col("_h2"), F.col("_h1"), F.col("_h0")).alias("checksum"),
+        f"{combine_parts_sql('_h2', '_h1', '_h0')} AS checksum",
     )
 
 
-def table_checksums(tables: Mapping[str, DataFrame], vs: VariantSet | None = None) -> DataFrame:
-    out = None
-    for name, df in tables.items():
-        part = table_checksum(df, name, vs)
-        out = part if out is None else out.unionByName(part)
-    return out
+def table_checksum(df: DataFrame, table_name: str, vs: VariantSet | None = None) -> DataFrame:
+    return table_checksums({table_name: df}, vs)
 
 
 def observed_blast_radius(checksums: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultbench.functions.hashing import sql_str
 from faultbench.operators.variants import CLEAN, VariantSet, per_variant, with_mask
 
 _IDENT = re.compile(r"^[a-z_][a-z0-9_]*$")
@@ -79,19 +80,14 @@ class Control:
 def _row_controls(df: DataFrame, vs: VariantSet, controls: Sequence[Control]) -> DataFrame:
     # A row violates when the predicate is TRUE; NULL (unknown) does not violate.
     sums = per_variant(
-        df, vs, [(f"c{i}", "count_true", F.expr(c.predicate)) for i, c in enumerate(controls)]
+        df, vs, [(f"c{i}", "count_true", f"({c.predicate})") for i, c in enumerate(controls)]
     )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c.control_id).alias("control_id"),
-                F.lit(c.target_table).alias("target_table"),
-                F.coalesce(F.col(f"c{i}"), F.lit(0)).cast("bigint").alias("violation_count"),
-            )
-            for i, c in enumerate(controls)
-        ]
+    rows = ", ".join(
+        f"named_struct('control_id', {sql_str(c.control_id)}, 'target_table', "
+        f"{sql_str(c.target_table)}, 'violation_count', CAST(coalesce(c{i}, 0) AS BIGINT))"
+        for i, c in enumerate(controls)
     )
-    return sums.select("variant", F.explode(rows).alias("r")).select("variant", "r.*")
+    return sums.selectExpr("variant", f"inline(array({rows}))")
 
 
 def _unique_control_wide(df: DataFrame, vs: VariantSet, c: Control) -> DataFrame:

@@ -30,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultbench.functions.hashing import combine_parts, field_text, hash60, hash_parts, row_text
+from faultbench.functions.hashing import combine_parts, field_text, hash60, hash_parts, qi, row_text
+from faultbench.functions.ordering import pack_sql, packable, unpack_key_sql
 from faultbench.operators.selection import (
     Boundary,
     SelectionRequest,
-    requested_count,
     resolve_boundaries,
     selection_predicate,
 )
@@ -167,11 +167,17 @@ def _candidates(spec: FaultSpec, df: DataFrame, key: str) -> DataFrame:
 def _latest_per_group(df: DataFrame, key: str, group: str, ts: str) -> DataFrame:
     """Latest row of each group by (ts desc, key desc); a NULL group is one group.
 
-    An aggregate (max of a struct), not a window: partial aggregation collapses a
-    hot group on the map side, so no task ever holds a whole group.
+    Returns ``(key, _latest)`` where ``_latest`` orders candidates like (ts, key).
+    An aggregate, not a window: partial aggregation collapses a hot group on the map
+    side, so no task ever holds a whole group; with an integer key the (ts, key) pair
+    is packed into a decimal so the aggregate stays hash based.
     """
-    latest = df.groupBy(group).agg(F.max(F.struct(F.col(ts), F.col(key))).alias("_m"))
-    return latest.select(F.col(f"_m.{key}").alias(key), F.col(f"_m.{ts}").alias(ts))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    if packable(types[ts], types[key]):
+        packed = df.groupBy(group).agg(F.expr(f"max({pack_sql(ts, types[ts], key)}) AS _latest"))
+        return packed.selectExpr(f"{unpack_key_sql('_latest')} AS {qi(key)}", "_latest")
+    latest = df.groupBy(group).agg(F.max(F.struct(F.col(ts), F.col(key))).alias("_latest"))
+    return latest.select(F.col(f"_latest.{key}").alias(key), "_latest")
 
 
 @dataclass
@@ -180,51 +186,38 @@ class _Pending:
     index: int
     key: str
     salt: str
-    request: SelectionRequest | None
-    anchor_key: object = None
-    candidates: DataFrame | None = None
+    request: SelectionRequest
 
 
 def _prepare(spec: FaultSpec, df: DataFrame, key: str, seed: int, index: int) -> _Pending:
-    """Validate and turn one fault into a selection request (stale: + one small job)."""
+    """Validate one fault and turn it into a selection request (no job runs here)."""
     reasons = validate_spec(spec, df.schema, key)
     if reasons:
         raise FaultError(f"{spec.fault_id}: " + "; ".join(reasons))
     p = dict(spec.parameters)
     salt = str(p.pop("salt", spec.fault_id))
+    count = {k: v for k, v in p.items() if k in ("row_count", "percent")}
     if spec.kind != STALE_PARTITION:
-        req = SelectionRequest(_candidates(spec, df, key), key, seed, salt, p)
+        req = SelectionRequest(_candidates(spec, df, key), key, seed, salt, count)
         return _Pending(spec, index, key, salt, req)
     ts, group = str(p["timestamp_column"]), str(p["group_column"])
     cands = _latest_per_group(df, key, group, ts)
-    # One aggregate: candidate count and the newest candidate (= newest row overall).
-    stats = cands.agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.struct(F.col(ts), F.col(key))).alias("a")
-    ).collect()[0]
-    if stats["a"] is None:
-        raise FaultError(f"{spec.fault_id}: no candidate rows")
-    n = requested_count({k: v for k, v in p.items() if k in ("row_count", "percent")}, stats["n"])
-    anchor_key = stats["a"][key]
-    req = None
-    if n > 1:
-        rest = cands.filter(F.col(key) != F.lit(anchor_key))
-        req = SelectionRequest(rest, key, seed, salt, {"row_count": n - 1})
-    return _Pending(spec, index, key, salt, req, anchor_key, cands)
-
-
-def _finish(pend: _Pending, boundary: Boundary | None, df: DataFrame, seed: int) -> tuple[DataFrame, FaultPlan]:
-    spec, key = pend.spec, pend.key
+    # The newest candidate (= newest row overall) is always selected: it ranks 0.
+    # It is a scalar subquery, evaluated inside the jobs that use it.
+    anchor = cands.agg(F.max("_latest")).scalar()
+    req = SelectionRequest(cands, key, seed, salt, count, anchor=anchor, anchor_order=("_latest",))
+    return _Pending(spec, index, key, salt, req)
+
+
+def _finish(pend: _Pending, boundary: Boundary, df: DataFrame, seed: int) -> tuple[DataFrame, FaultPlan]:
+    spec, key, req = pend.spec, pend.key, pend.request
     p = dict(spec.parameters)
-    keycol = F.col(key)
+    selected = selection_predicate(boundary, seed, pend.salt, key, req.anchor, req.anchor_order)
     if spec.kind == STALE_PARTITION:
         ts, part, days = str(p["timestamp_column"]), str(p["partition_column"]), int(p["days"])
-        chosen = keycol == F.lit(pend.anchor_key)
-        if boundary is not None:
-            chosen = chosen | selection_predicate(boundary, seed, pend.salt, keycol)
-        n_sel = 1 + (boundary.n if boundary else 0)
         flag = f"_sel{pend.index}"
-        keyed = pend.candidates.filter(chosen).select(key).withColumn(flag, F.lit(True))
-        if n_sel <= BROADCAST_KEYS:  # size bound known from the parameters
+        keyed = req.candidates.filter(selected).select(key).withColumn(flag, F.lit(True))
+        if boundary.n <= BROADCAST_KEYS:  # size bound known from the parameters
             keyed = F.broadcast(keyed)
         flagged = df.join(keyed, key, "left")
         updates = {
@@ -232,8 +225,7 @@ def _finish(pend: _Pending, boundary: Boundary | None, df: DataFrame, seed: int)
             part: F.date_sub(F.col(part), days),
         }
         change = RowChange(spec.fault_id, F.col(flag).isNotNull(), "update", updates)
-        return flagged, FaultPlan(spec, change, boundary, n_sel, flag)
-    selected = selection_predicate(boundary, seed, pend.salt, keycol)
+        return flagged, FaultPlan(spec, change, boundary, boundary.n, flag)
     if spec.kind in (NULL_DENSITY_SURGE, JOIN_KEY_CORRUPTION):
         selected = F.col(str(p["column"])).isNotNull() & selected
     if spec.kind == NUMERIC_SCALE:
@@ -287,9 +279,7 @@ def apply_faults(
         _prepare(spec, tables[spec.target_table], keys[spec.target_table], seed, i)
         for i, spec in enumerate(specs)
     ]
-    requests = [pd.request for pd in pending if pd.request is not None]
-    resolved = iter(resolve_boundaries(requests)) if requests else iter(())
-    boundaries = [next(resolved) if pd.request is not None else None for pd in pending]
+    boundaries = resolve_boundaries([pd.request for pd in pending]) if pending else []
     out: dict[str, DataFrame] = {}
     flagged: dict[str, DataFrame] = {}
     plans: list[FaultPlan] = []

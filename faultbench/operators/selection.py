@@ -7,13 +7,14 @@ selected. Instead of materialising the selected keys, the N-th smallest pair (th
 
 All selections of a campaign are resolved together, in two jobs:
 
-1. one aggregate histograms the top 16 bits of every request's rank (at most
-   65,536 rows per request reach the driver) and gives each request's candidate
-   count, the bucket that holds its N-th row and how many rows precede that bucket;
+1. one aggregate histograms the top 12 bits of every request's rank; a window over
+   each request's histogram (at most 4,096 rows) finds the candidate count, the
+   bucket that holds the N-th row and how many rows precede it, so one row per
+   request reaches the driver;
 2. one job ranks, per request, only the rows of that bucket (or, for a small fixed
    ``row_count``, a bounded top-k of all candidates) and picks the exact pair.
 
-A boundary bucket larger than ``gather_limit`` rows is refined on the next 16 bits
+A boundary bucket larger than ``gather_limit`` rows is refined on the next 12 bits
 first, so no task ever sorts more than ``gather_limit`` rows of one request. The
 result is identical for any partitioning and for any engine that computes md5.
 """
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from faultbench.functions.hashing import key_rank
 
-RANK_BITS = 60
-LEVEL_BITS = 16
+# Ranks are hash60 + 1, so rank 0 is free for a forced first row (an anchor);
+# they fit in 61 bits.
+RANK_BITS = 61
+LEVEL_BITS = 12
 GATHER_LIMIT = 200_000
 
 
@@ -57,6 +60,10 @@ class SelectionRequest:
     seed: int
     salt: str
     parameters: dict
+    # optional anchor: a row (given by a scalar-subquery Column comparing equal to
+    # ``struct(anchor_order...)``) that always ranks first
+    anchor: Column | None = None
+    anchor_order: tuple[str, ...] = ()
     # resolved state
     n: int | None = None
     available: int | None = None
@@ -64,11 +71,11 @@ class SelectionRequest:
     prefix: list[tuple[int, int]] = field(default_factory=list)  # (shift, bucket)
     before: int = 0
 
+    def rank(self) -> Column:
+        return selection_rank(self.seed, self.salt, self.key, self.anchor, self.anchor_order)
+
     def ranked(self) -> DataFrame:
-        return self.candidates.select(
-            key_rank(self.seed, self.salt, F.col(self.key)).alias("_rank"),
-            F.col(self.key).alias("_key"),
-        )
+        return self.candidates.select(self.rank().alias("_rank"), F.col(self.key).alias("_key"))
 
     def scoped(self) -> DataFrame:
         df = self.ranked()
@@ -137,28 +144,52 @@ def _resolve_same_type(reqs: list[SelectionRequest], gather_limit: int) -> list[
                 )
                 for i in pending
             ]
-        ).groupBy("_rid", "_b").agg(F.count(F.lit(1)).alias("_c")).collect()
-        per: dict[int, list[tuple[int, int]]] = {i: [] for i in pending}
-        for row in hist:
-            per[int(row["_rid"])].append((int(row["_b"]), int(row["_c"])))
+        ).groupBy("_rid", "_b").agg(F.count(F.lit(1)).alias("_c"))
+        # Rows needed inside this level, per request: fixed, or percent of the total.
+        need_cases = []
+        for i in pending:
+            r = reqs[i]
+            if r.n is not None:
+                need = str(r.n - r.before)
+            elif "percent" in r.parameters:
+                pct = r.parameters["percent"]
+                if isinstance(pct, bool) or not isinstance(pct, int) or not 1 <= pct <= 100:
+                    raise SelectionError("percent must be an integer in 1..100")
+                need = f"(_total * {pct} DIV 100)"
+            else:
+                need = str(int(r.parameters["row_count"]))
+            need_cases.append(f"WHEN {i} THEN {need}")
+        per_req = Window.partitionBy("_rid")
+        cum = per_req.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        located = (
+            hist.withColumn("_total", F.sum("_c").over(per_req))
+            .withColumn("_cum", F.sum("_c").over(cum))
+            .withColumn("_need", F.expr(f"CASE _rid {' '.join(need_cases)} END"))
+            .filter((F.col("_cum") >= F.col("_need")) & (F.col("_cum") - F.col("_c") < F.col("_need")))
+            .select("_rid", "_b", "_c", "_cum", "_total", "_need")
+            .collect()
+        )
+        found = {int(row["_rid"]): row for row in located}
+        totals = {}
+        if any(reqs[i].available is None and i not in found for i in pending):
+            # Only for the error message: candidate counts of failing requests.
+            for row in hist.groupBy("_rid").agg(F.sum("_c").alias("t")).collect():
+                totals[int(row["_rid"])] = int(row["t"])
         still = []
         for i in pending:
             r = reqs[i]
-            buckets = sorted(per[i])
+            if i not in found:
+                if r.available is None:
+                    r.available = totals.get(i, 0)
+                requested_count(r.parameters, r.available)  # raises with the reason
+                raise SelectionError("selection found no boundary")
+            row = found[i]
             if r.available is None:
-                r.available = sum(c for _, c in buckets)
+                r.available = int(row["_total"])
                 r.n = requested_count(r.parameters, r.available)
-            need = r.n - r.before
-            cum = 0
-            for b, c in buckets:
-                if cum + c >= need:
-                    break
-                cum += c
-            else:
-                raise SelectionError("selection histogram is inconsistent")
-            r.before += cum
-            r.prefix.append((r.shift, b))
-            if c > gather_limit and r.shift > 0:
+            r.before += int(row["_cum"]) - int(row["_c"])
+            r.prefix.append((r.shift, int(row["_b"])))
+            if int(row["_c"]) > gather_limit and r.shift > 0:
                 r.shift = max(0, r.shift - LEVEL_BITS)
                 still.append(i)
         pending = still
@@ -200,5 +231,28 @@ def find_boundary(
     )[0]
 
 
-def selection_predicate(boundary: Boundary, seed: int, salt: str, key: Column) -> Column:
-    return boundary.predicate(key_rank(seed, salt, key), key)
+def selection_rank(
+    seed: int,
+    salt: str,
+    key: str,
+    anchor: Column | None = None,
+    anchor_order: tuple[str, ...] = (),
+) -> Column:
+    """hash60 + 1 of the seeded key text; 0 for the anchor row, if any."""
+    r = key_rank(seed, salt, key) + F.lit(1)
+    if anchor is not None:
+        this = F.col(anchor_order[0]) if len(anchor_order) == 1 else F.struct(*[F.col(c) for c in anchor_order])
+        r = F.when(this == anchor, F.lit(0)).otherwise(r)
+    return r
+
+
+def selection_predicate(
+    boundary: Boundary,
+    seed: int,
+    salt: str,
+    key: str,
+    anchor: Column | None = None,
+    anchor_order: tuple[str, ...] = (),
+) -> Column:
+    rank = selection_rank(seed, salt, key, anchor, anchor_order)
+    return boundary.predicate(rank, F.col(key))

@@ -21,6 +21,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultbench.functions.hashing import qi, sql_str
+
 MASK = "_vmask"
 CLEAN = "clean"
 MAX_VARIANTS = 62
@@ -49,9 +51,13 @@ class VariantSet:
     def all_mask(self) -> int:
         return (1 << len(self.names)) - 1
 
+    def member_sql(self, name: str, mask: str = MASK) -> str:
+        return f"(`{mask}` & {self.bit(name)}) != 0"
+
     def member(self, name: str, mask: Column | None = None) -> Column:
-        m = F.col(MASK) if mask is None else mask
-        return m.bitwiseAND(F.lit(self.bit(name))) != 0
+        if mask is None:
+            return F.expr(self.member_sql(name))
+        return mask.bitwiseAND(F.lit(self.bit(name))) != 0
 
 
 def with_mask(df: DataFrame, vs: VariantSet) -> DataFrame:
@@ -121,10 +127,11 @@ def stack(df: DataFrame, vs: VariantSet, changes: Sequence[RowChange]) -> DataFr
 def expand(df: DataFrame, vs: VariantSet, variant_col: str = "variant") -> DataFrame:
     """One row per (variant, row): the naive representation, for output only."""
     df = with_mask(df, vs)
-    names = F.filter(
-        F.array(*[F.when(vs.member(v), F.lit(v)) for v in vs.names]), lambda x: x.isNotNull()
+    names = ", ".join(f"CASE WHEN {vs.member_sql(v)} THEN {sql_str(v)} END" for v in vs.names)
+    cols = [qi(c) for c in data_columns(df)]
+    return df.selectExpr(
+        f"explode(filter(array({names}), x -> x IS NOT NULL)) AS {qi(variant_col)}", *cols
     )
-    return df.select(F.explode(names).alias(variant_col), *data_columns(df))
 
 
 def only(df: DataFrame, vs: VariantSet, name: str) -> DataFrame:
@@ -135,27 +142,47 @@ def only(df: DataFrame, vs: VariantSet, name: str) -> DataFrame:
 
 # An aggregate spec: (output name, function, expression); function is one of
 # count (expression ignored: count of rows), count_true (rows where the boolean
-# expression is TRUE), sum, max, min, bit_or.
-Agg = tuple[str, str, Column | None]
+# expression is TRUE), sum, max, min, bit_or. Expressions are Columns or SQL text.
+Agg = tuple[str, str, "Column | str | None"]
+
+
+def _project_measures(
+    df: DataFrame, keys: Sequence[str], aggs: Sequence[Agg]
+) -> tuple[DataFrame, list[tuple[str, str, str | None]]]:
+    """Evaluate every measure expression once per row, before the aggregate.
+
+    Each measure is referenced by one conditional aggregate per variant; inlined,
+    an expensive expression (a row hash) would be evaluated once per variant and the
+    aggregate could outgrow whole-stage codegen. Catalyst keeps such a projection
+    separate because it does not inline non-cheap expressions referenced repeatedly.
+    """
+    cols: list[Column] = [F.col(k) for k in keys] + [F.col(MASK)]
+    out: list[tuple[str, str, str | None]] = []
+    for j, (name, fn, expr) in enumerate(aggs):
+        if expr is None:
+            out.append((name, fn, None))
+            continue
+        e = F.expr(expr) if isinstance(expr, str) else expr
+        cols.append(e.alias(f"_m{j}"))
+        out.append((name, fn, f"`_m{j}`"))
+    return df.select(*cols), out
 
 
-def _conditional(fn: str, member: Column, expr: Column | None) -> Column:
+def _conditional_sql(fn: str, member: str, expr: str | None) -> str:
     if fn == "count":
-        return F.count(F.when(member, F.lit(1)))
+        return f"count(CASE WHEN {member} THEN 1 END)"
     if fn == "count_true":
-        return F.count(F.when(member & expr, F.lit(1)))
-    value = F.when(member, expr)
-    if fn == "sum":
-        return F.sum(value)
-    if fn == "max":
-        return F.max(value)
-    if fn == "min":
-        return F.min(value)
-    if fn == "bit_or":
-        return F.bit_or(value)
+        return f"count(CASE WHEN {member} AND {expr} THEN 1 END)"
+    if fn in ("sum", "max", "min", "bit_or"):
+        return f"{fn}(CASE WHEN {member} THEN {expr} END)"
     raise ValueError(f"unknown aggregate {fn!r}")
 
 
+def _aggregate(df: DataFrame, keys: Sequence[str], exprs: list[str]) -> DataFrame:
+    cols = [F.expr(e) for e in exprs]
+    return df.groupBy(*keys).agg(*cols) if keys else df.agg(*cols)
+
+
 def wide_aggregate(
     df: DataFrame,
     vs: VariantSet,
@@ -170,39 +197,30 @@ def wide_aggregate(
     aggregate without GROUP BY; otherwise a group exists in a variant only if the
     variant has a row in it.
     """
-    df = with_mask(df, vs)
+    df, aggs_p = _project_measures(with_mask(df, vs), keys, aggs)
     exprs = []
     for i, v in enumerate(vs.names):
-        member = vs.member(v)
-        exprs.append(F.count(F.when(member, F.lit(1))).alias(f"_n{i}"))
-        for name, fn, expr in aggs:
-            exprs.append(_conditional(fn, member, expr).alias(f"_a{i}_{name}"))
-    grouped = df.groupBy(*keys).agg(*exprs) if keys else df.agg(*exprs)
+        m = vs.member_sql(v)
+        exprs.append(f"{_conditional_sql('count', m, None)} AS `_n{i}`")
+        for name, fn, expr in aggs_p:
+            exprs.append(f"{_conditional_sql(fn, m, expr)} AS `_a{i}_{name}`")
+    grouped = _aggregate(df, keys, exprs)
     entries = []
     for i, v in enumerate(vs.names):
-        values = F.struct(*[F.col(f"_a{i}_{name}").alias(name) for name, _, _ in aggs])
-        entry = F.struct(F.lit(vs.bit(v)).cast("bigint").alias("b"), values.alias("v"))
+        values = ", ".join(f"'{name}', `_a{i}_{name}`" for name, _, _ in aggs_p)
+        e = f"named_struct('b', CAST({vs.bit(v)} AS BIGINT), 'v', named_struct({values}))"
         if not global_agg:
-            entry = F.when(F.col(f"_n{i}") > 0, entry)
-        entries.append(entry)
-    present = F.filter(F.array(*entries), lambda x: x.isNotNull())
-    folded = F.array_distinct(
-        F.transform(
-            present,
-            lambda x: F.struct(
-                x["v"].alias("v"),
-                F.aggregate(
-                    F.filter(present, lambda y: y["v"].eqNullSafe(x["v"])),
-                    F.lit(0).cast("bigint"),
-                    lambda acc, y: acc.bitwiseOR(y["b"]),
-                ).alias("m"),
-            ),
-        )
+            e = f"CASE WHEN `_n{i}` > 0 THEN {e} END"
+        entries.append(e)
+    present = f"filter(array({', '.join(entries)}), z -> z IS NOT NULL)"
+    folded = (
+        f"array_distinct(transform({present}, x -> named_struct('v', x.v, 'm', "
+        f"aggregate(filter({present}, y -> y.v <=> x.v), CAST(0 AS BIGINT), "
+        "(acc, y) -> acc | y.b))))"
     )
-    return grouped.select(*keys, F.explode(folded).alias("_e")).select(
-        *keys,
-        *[F.col(f"_e.v.{name}").alias(name) for name, _, _ in aggs],
-        F.col("_e.m").alias(MASK),
+    kq = [qi(k) for k in keys]
+    return grouped.selectExpr(*kq, f"explode({folded}) AS _e").selectExpr(
+        *kq, *[f"_e.v.`{name}` AS `{name}`" for name, _, _ in aggs_p], f"_e.m AS {MASK}"
     )
 
 
@@ -215,24 +233,20 @@ def per_variant(
     variant_col: str = "variant",
 ) -> DataFrame:
     """Aggregates per variant as plain rows ``(variant, *keys, *measures)``."""
-    df = with_mask(df, vs)
+    df, ms = _project_measures(with_mask(df, vs), keys, measures)
     exprs = [
-        _conditional(fn, vs.member(v), expr).alias(f"_a{i}_{name}")
+        f"{_conditional_sql(fn, vs.member_sql(v), expr)} AS `_a{i}_{name}`"
         for i, v in enumerate(vs.names)
-        for name, fn, expr in measures
+        for name, fn, expr in ms
     ]
-    grouped = df.groupBy(*keys).agg(*exprs) if keys else df.agg(*exprs)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(v).alias(variant_col),
-                *[F.col(f"_a{i}_{name}").alias(name) for name, _, _ in measures],
-            )
-            for i, v in enumerate(vs.names)
-        ]
+    grouped = _aggregate(df, keys, exprs)
+    rows = ", ".join(
+        f"named_struct('{variant_col}', {sql_str(v)}, "
+        + ", ".join(f"'{name}', `_a{i}_{name}`" for name, _, _ in ms)
+        + ")"
+        for i, v in enumerate(vs.names)
     )
-    return grouped.select(*keys, F.explode(rows).alias("_r")).select(
-        F.col(f"_r.{variant_col}").alias(variant_col),
-        *keys,
-        *[F.col(f"_r.{name}").alias(name) for name, _, _ in measures],
+    kq = [qi(k) for k in keys]
+    return grouped.selectExpr(*kq, f"inline(array({rows}))").selectExpr(
+        qi(variant_col), *kq, *[qi(name) for name, _, _ in ms]
     )

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultbench.functions.hashing import field_text as spark_field_text
+from faultbench.functions.ordering import pack_sql, unpack_key_sql, unpack_ts_sql
 from faultbench.operators import checksum as ck
 from faultbench.operators.controls import Control, evaluate_controls
 from faultbench.operators.faults import (
@@ -198,9 +198,13 @@ for _t in ("orders_enriched", "daily_revenue", "customer_value", "executive_dash
     ),
 )
 def latest_order_per_customer(spark: SparkSession, sf: str) -> DataFrame:
+    """Hash aggregate over a packed (ts, key) decimal: no sort, no window."""
     o = raw_orders(spark, sf, "orders")
-    m = o.groupBy("customer_id").agg(F.max(F.struct("order_ts", "order_id")).alias("m"))
-    return m.select("customer_id", "m.order_id", "m.order_ts")
+    ts_type = o.schema["order_ts"].dataType
+    m = o.groupBy("customer_id").agg(F.expr(f"max({pack_sql('order_ts', ts_type, 'order_id')}) AS m"))
+    return m.selectExpr(
+        "customer_id", f"{unpack_key_sql('m')} AS order_id", f"{unpack_ts_sql('m', ts_type)} AS order_ts"
+    )
 
 
 # -- M1-M5, M8: faults on the orders profile ---------------------------------------

@@ -43,7 +43,21 @@ CUSTOMER_COLUMNS = ("customer_id", "customer_name", "segment", "country_code")
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use the whole cluster even for a scan with few splits.
+
+    A file with a single row group is one scan task, and every narrow step after it
+    (hashing, stacking, predicates) would run on one core. When the scan has fewer
+    partitions than the default parallelism it is spread round-robin; a large table
+    has far more splits than cores and is left alone (no shuffle).
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
 
 
 def raw_orders(spark: SparkSession, sf_dir: str, profile: str = "orders") -> DataFrame:
