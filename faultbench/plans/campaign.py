@@ -89,6 +89,8 @@ class Campaign:
         return self.faulted.variants
 
     def _keep(self, df: DataFrame) -> DataFrame:
+        if not hasattr(self, "_kept"):
+            self._kept = []
         if self.materialize == "cache":
             df = df.persist(StorageLevel.MEMORY_AND_DISK)
             self._kept.append(df)
@@ -105,7 +107,6 @@ class Campaign:
         ft = self.faulted
         vs = ft.variants
         customers_vary = any(s.target_table == "raw_customers" for s in self.faults)
-        self._kept = getattr(self, "_kept", [])
         orders = self._keep(ft.tables["raw_orders"])
         customers = ft.tables["raw_customers"]
         enriched = self._keep(build_enriched(orders, customers, vs, customers_vary=customers_vary))
@@ -153,8 +154,14 @@ class Campaign:
     def control_results(self, controls: Sequence[Control]) -> DataFrame:
         return evaluate_controls(self.tables, self.variants, controls)
 
+    @functools.cached_property
+    def baseline_results(self) -> DataFrame:
+        """Baseline control results, kept: the gap decision and the final matrices
+        both read them, so the controls run once per campaign."""
+        return self._keep(self.control_results(self.baseline_controls))
+
     def baseline_matrix(self) -> DataFrame:
-        return detection_matrix(self.control_results(self.baseline_controls), self.fault_table())
+        return detection_matrix(self.baseline_results, self.fault_table())
 
     @functools.cached_property
     def gaps(self) -> tuple[str, ...]:
@@ -249,10 +256,12 @@ class Campaign:
         return tuple(out)
 
     def all_results(self) -> DataFrame:
-        """Control results of baseline + generated controls (one shared plan)."""
-        res = self.control_results([*self.baseline_controls, *self.generated_controls])
-        gen = {c.control_id for c in self.generated_controls}
-        return res.withColumn("generated", F.col("control_id").isin(list(gen)) if gen else F.lit(False))
+        """Control results of baseline + generated controls."""
+        base = self.baseline_results.withColumn("generated", F.lit(False))
+        if not self.generated_controls:
+            return base
+        gen = self.control_results(self.generated_controls).withColumn("generated", F.lit(True))
+        return base.unionByName(gen)
 
     def matrices(self) -> DataFrame:
         res = self.all_results()
