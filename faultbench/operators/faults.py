@@ -16,6 +16,11 @@ Kinds (parameters):
 * ``join_key_corruption`` (column): key -> ``-key - 1`` (outside a non-negative
   key domain), so the row no longer joins.
 * ``ref_integrity_break``: delete parent rows (run on the parent table).
+* ``payload_key_rename`` (column, key, new_key): schema drift inside a JSON object
+  column: the key is renamed in the selected rows (the table schema stays).
+
+Table-level schema drift (renamed or retyped columns) changes the schema, so it is not
+a row change: see :func:`drift_schema`.
 
 Each takes ``row_count`` or ``percent`` of the candidates; asking for more rows than
 exist is an error.
@@ -46,7 +51,9 @@ NULL_DENSITY_SURGE = "null_density_surge"
 DUPLICATE_KEYS = "duplicate_keys"
 JOIN_KEY_CORRUPTION = "join_key_corruption"
 REF_INTEGRITY_BREAK = "ref_integrity_break"
+PAYLOAD_KEY_RENAME = "payload_key_rename"
 FAULT_KINDS = (
+    PAYLOAD_KEY_RENAME,
     NUMERIC_SCALE,
     STALE_PARTITION,
     NULL_DENSITY_SURGE,
@@ -77,7 +84,7 @@ class FaultSpec:
         p = self.parameters
         if self.kind == STALE_PARTITION:
             return (str(p["timestamp_column"]), str(p["partition_column"]))
-        if self.kind in (NUMERIC_SCALE, NULL_DENSITY_SURGE, JOIN_KEY_CORRUPTION):
+        if self.kind in (NUMERIC_SCALE, NULL_DENSITY_SURGE, JOIN_KEY_CORRUPTION, PAYLOAD_KEY_RENAME):
             return (str(p["column"]),)
         return ("*",)
 
@@ -132,6 +139,11 @@ def validate_spec(spec: FaultSpec, schema: T.StructType, key: str) -> list[str]:
         column("partition_column", (T.DateType,))
         column("group_column")
         integer("days", 1, 365)
+    elif spec.kind == PAYLOAD_KEY_RENAME:
+        column("column", (T.StringType,))
+        for name in ("key", "new_key"):
+            if not isinstance(p.get(name), str) or not re.match(_IDENT, p[name]):
+                reasons.append(f"{name} is not a safe JSON key")
     elif spec.kind in (NULL_DENSITY_SURGE, JOIN_KEY_CORRUPTION):
         kinds = (T.IntegralType,) if spec.kind == JOIN_KEY_CORRUPTION else None
         column("column", kinds)
@@ -150,6 +162,7 @@ def validate_spec(spec: FaultSpec, schema: T.StructType, key: str) -> list[str]:
         JOIN_KEY_CORRUPTION: {"column"},
         DUPLICATE_KEYS: set(),
         REF_INTEGRITY_BREAK: set(),
+        PAYLOAD_KEY_RENAME: {"column", "key", "new_key"},
     }[spec.kind] | {"row_count", "percent", "salt"}
     extra = set(p) - allowed
     if extra:
@@ -159,7 +172,7 @@ def validate_spec(spec: FaultSpec, schema: T.StructType, key: str) -> list[str]:
 
 def _candidates(spec: FaultSpec, df: DataFrame, key: str) -> DataFrame:
     p = spec.parameters
-    if spec.kind in (NULL_DENSITY_SURGE, JOIN_KEY_CORRUPTION):
+    if spec.kind in (NULL_DENSITY_SURGE, JOIN_KEY_CORRUPTION, PAYLOAD_KEY_RENAME):
         return df.filter(F.col(str(p["column"])).isNotNull()).select(key)
     return df.select(key)
 
@@ -226,9 +239,13 @@ def _finish(pend: _Pending, boundary: Boundary, df: DataFrame, seed: int) -> tup
         }
         change = RowChange(spec.fault_id, F.col(flag).isNotNull(), "update", updates)
         return flagged, FaultPlan(spec, change, boundary, boundary.n, flag)
-    if spec.kind in (NULL_DENSITY_SURGE, JOIN_KEY_CORRUPTION):
+    if spec.kind in (NULL_DENSITY_SURGE, JOIN_KEY_CORRUPTION, PAYLOAD_KEY_RENAME):
         selected = F.col(str(p["column"])).isNotNull() & selected
-    if spec.kind == NUMERIC_SCALE:
+    if spec.kind == PAYLOAD_KEY_RENAME:
+        c = str(p["column"])
+        renamed = F.regexp_replace(F.col(c), f'"{p["key"]}"\\s*:', f'"{p["new_key"]}":')
+        change = RowChange(spec.fault_id, selected, "update", {c: renamed})
+    elif spec.kind == NUMERIC_SCALE:
         c = str(p["column"])
         change = RowChange(spec.fault_id, selected, "update", {c: F.col(c) * F.lit(int(p["factor"]))})
     elif spec.kind == NULL_DENSITY_SURGE:
@@ -362,3 +379,18 @@ def mutation_evidence(faulted: FaultedTables, keys: Mapping[str, str]) -> DataFr
         part = df.agg(F.array(*measures).alias("_e")).select(F.explode("_e").alias("e")).select("e.*")
         out = part if out is None else out.unionByName(part)
     return out.withColumn("changed", F.col("before_digest") != F.col("after_digest"))
+
+
+def drift_schema(
+    df: DataFrame, rename: Mapping[str, str] | None = None, retype: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Table-level schema drift: renamed and/or retyped columns (a new DataFrame)."""
+    rename, retype = dict(rename or {}), dict(retype or {})
+    unknown = (set(rename) | set(retype)) - set(df.columns)
+    if unknown:
+        raise FaultError(f"unknown columns {sorted(unknown)}")
+    cols = []
+    for c in df.columns:
+        e = F.col(c).cast(retype[c]) if c in retype else F.col(c)
+        cols.append(e.alias(rename.get(c, c)))
+    return df.select(*cols)

@@ -690,3 +690,132 @@ def restore_verification(spark: SparkSession, sf: str) -> DataFrame:
     tables = _clean_tables(spark, sf)
     path = snapshot(spark, tables, seed=campaign(spark, sf, "orders").seed)
     return verify_restore(spark, path, list(tables))
+
+
+# -- C1/C3 on data: JSON payload schema drift; M11 payload drift fault ---------------
+from faultbench.operators.catalog import (  # noqa: E402
+    control_sql_lint,
+    lint_body_sql,
+    payload_schema_drift,
+)
+from faultbench.operators.faults import PAYLOAD_KEY_RENAME, apply_faults  # noqa: E402
+from faultbench.plans.contract import DEFAULT_SEED  # noqa: E402
+
+PROPS_CONTRACT = {"k": "integer"}
+PAYLOAD_FAULT = FaultSpec(
+    "rename-props-key-10pct",
+    PAYLOAD_KEY_RENAME,
+    "events",
+    {"column": "props", "key": "k", "new_key": "k_renamed", "percent": 10},
+)
+
+_DUCK_CLASS = (
+    "CASE WHEN t IN ('BIGINT','UBIGINT','INTEGER','UINTEGER','SMALLINT','TINYINT','HUGEINT') "
+    "THEN 'integer' WHEN t = 'DOUBLE' OR t = 'FLOAT' OR t LIKE 'DECIMAL%' THEN 'number' WHEN t "
+    "= 'VARCHAR' THEN 'string' WHEN t = 'BOOLEAN' THEN 'boolean' WHEN t = 'OBJECT' THEN "
+    "'object' WHEN t = 'ARRAY' THEN 'array' WHEN t = 'NULL' THEN 'null' ELSE lower(t) END"
+)
+
+
+def _payload_drift_sql(src: str, column: str, contract: dict) -> str:
+    exp_map = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in contract.items()) + "}"
+    exp = f"{exp_map}[field]"
+    obj = f"json_valid({column}) AND json_type({column}) = 'OBJECT'"
+    missing = " UNION ALL ".join(
+        f"SELECT {q(column)} AS column_name, {q(k)} AS field, {q(v)} AS expected_type, CAST(NULL "
+        f"AS VARCHAR) AS observed_type, 'missing' AS status, count(*) AS rows FROM {src} WHERE {obj} "
+        f"AND NOT json_exists({column}, {q('$.' + k)}) HAVING count(*) > 0"
+        for k, v in contract.items()
+    )
+    return (
+        f"SELECT {q(column)} AS column_name, field, {exp} AS expected_type, observed_type, CASE "
+        f"WHEN {exp} IS NULL THEN 'extra' WHEN {exp} = observed_type THEN 'ok' ELSE "
+        "'type_mismatch' END AS status, count(*) AS rows FROM (SELECT field, "
+        f"{_DUCK_CLASS} AS observed_type FROM (SELECT u.field, json_type({column}, '$.\"' || "
+        f"u.field || '\"') AS t FROM {src}, unnest(json_keys({column})) AS u(field) WHERE {obj})) "
+        f"GROUP BY field, observed_type UNION ALL {missing} UNION ALL SELECT {q(column)}, NULL, "
+        f"NULL, NULL, 'not_an_object', count(*) FROM {src} WHERE {column} IS NOT NULL AND NOT "
+        f"({obj}) HAVING count(*) > 0"
+    )
+
+
+register("payload_schema_drift", _payload_drift_sql("events", "props", PROPS_CONTRACT))(
+    lambda spark, sf: payload_schema_drift(read_table(spark, sf, "events"), "props", PROPS_CONTRACT)
+)
+
+
+def _payload_fault_sql() -> str:
+    o = Oracle("events", (PAYLOAD_FAULT,))
+    r = o.rank(PAYLOAD_FAULT.fault_id, "event_id")
+    return (
+        f"WITH sel AS (SELECT k FROM (SELECT event_id AS k, row_number() OVER (ORDER BY {r}, "
+        "event_id) AS rn, count(*) OVER () AS cnt FROM events WHERE props IS NOT NULL) WHERE rn "
+        "<= cnt * 10 // 100), ev AS (SELECT event_id, CASE WHEN event_id IN (SELECT k FROM sel) "
+        "THEN regexp_replace(props, '\"k\"\\s*:', '\"k_renamed\":', 'g') ELSE props END AS props "
+        "FROM events) " + _payload_drift_sql("ev", "props", PROPS_CONTRACT)
+    )
+
+
+@register("fault_payload_drift", _payload_fault_sql())
+def fault_payload_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """M11 inside a JSON column: drift report of the variant with a renamed key."""
+    ev = read_table(spark, sf, "events").select("event_id", "props")
+    ft = apply_faults({"events": ev}, {"events": "event_id"}, [PAYLOAD_FAULT], DEFAULT_SEED)
+    return payload_schema_drift(only(ft.tables["events"], ft.variants, PAYLOAD_FAULT.fault_id), "props", PROPS_CONTRACT)
+
+
+# -- Q6: lint of the campaign's control SQL (baseline + generated from the profile) ----
+GENERATED_HEADER = "-- generated from the clean profile; zero violations pass\n"
+
+
+def _control_sql_frame(spark: SparkSession, c: Campaign) -> DataFrame:
+    base = spark.createDataFrame(
+        [(ctl.control_id, ctl.violation_sql()) for ctl in c.baseline_controls],
+        "control_id string, violation_sql string",
+    )
+    gen = control_generation(spark, c.sf_dir).filter(F.col("status") == "generated").select(
+        "control_id",
+        F.concat(
+            F.lit(GENERATED_HEADER + "SELECT count(*) AS violation_count FROM raw_orders WHERE "),
+            F.col("predicate"),
+        ).alias("violation_sql"),
+    )
+    return base.unionByName(gen)
+
+
+def _lint_sql(o: Oracle) -> str:
+    from faultbench.operators.catalog import FORBIDDEN_KEYWORDS
+
+    base_rows = ", ".join(f"({q(ctl.control_id)}, {q(ctl.violation_sql())})" for ctl in BASELINE_CONTROLS)
+    body = lint_body_sql("violation_sql")
+    allowed = "[" + ", ".join(q(t) for t in MANAGED_TABLES) + "]"
+    rels = f"regexp_extract_all(lower({body}), '\\b(?:from|join)\\s+([a-z_][a-z0-9_.]*)', 1)"
+    forbidden = "(?i)\\b(" + "|".join(FORBIDDEN_KEYWORDS) + ")\\b"
+    comma = "\\b(?:from|join)\\s+[a-z_][a-z0-9_.]*(\\s+(as\\s+)?[a-z_][a-z0-9_]*)?\\s*,"
+    checks = [
+        ("not_empty", f"length({body}) > 0"),
+        ("read_only_select", f"regexp_matches({body}, '(?i)^(select|with)\\b')"),
+        ("forbidden_operations_absent", f"NOT regexp_matches({body}, '{forbidden}')"),
+        ("single_statement", f"strpos(regexp_replace({body}, ';+\\s*$', ''), ';') = 0"),
+        ("approved_relations_only", f"len({rels}) > 0 AND len(list_filter({rels}, lambda x: NOT "
+         f"list_contains({allowed}, x))) = 0 AND NOT regexp_matches(lower({body}), '{comma}')"),
+    ]
+    fails = "list_filter([" + ", ".join(f"CASE WHEN NOT ({c}) THEN {q(n)} END" for n, c in checks) + "], lambda x: x IS NOT NULL)"
+    header = q(GENERATED_HEADER + "SELECT count(*) AS violation_count FROM raw_orders WHERE ")
+    gen_rows = ", ".join(
+        f"({q(fid)}, {q(cid)}, {q(op)})" for fid, _k, _c, _s, cid, op in eligible_generators(o)
+    )
+    return _camp_sql(
+        o,
+        f"SELECT control_id, array_to_string({fails}, ',') AS failed_checks, len({fails}) = 0 AS "
+        "passed FROM (SELECT * FROM (VALUES " + base_rows + ") AS b(control_id, violation_sql) "
+        f"UNION ALL SELECT e.control_id, {header} || CASE WHEN p.statistic = 'max' THEN "
+        "p.column_name || ' > ' || p.value ELSE p.column_name || ' < DATE ''' || p.value || '''' "
+        f"END FROM profile AS p JOIN (SELECT * FROM (VALUES {gen_rows}) AS t(fault_id, control_id, "
+        "op)) AS e ON e.fault_id = p.fault_id)",
+    )
+
+
+register("control_sql_lint", _lint_sql(EV))(
+    lambda spark, sf: control_sql_lint(_control_sql_frame(spark, campaign(spark, sf)), MANAGED_TABLES)
+)
