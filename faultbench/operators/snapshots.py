@@ -78,3 +78,21 @@ def verify_restore(spark: SparkSession, path: str, names: list[str]) -> DataFram
             & F.col("row_count").eqNullSafe(F.col("manifest_row_count"))
         ).alias("verified"),
     )
+
+
+class EvidenceConflict(RuntimeError):
+    pass
+
+
+def write_evidence(df: DataFrame, path: str) -> str:
+    """Write-once evidence: a new path is written; an existing one must hold exactly
+    the same rows (multiset, compared with ``exceptAll`` both ways) or it is an error.
+    Returns ``"written"`` or ``"identical"``."""
+    spark = df.sparkSession
+    if os.path.exists(os.path.join(path, "_SUCCESS")):
+        old = spark.read.parquet(path)
+        if old.exceptAll(df).isEmpty() and df.exceptAll(old).isEmpty():
+            return "identical"
+        raise EvidenceConflict(f"{path} already holds different evidence")
+    df.write.mode("errorifexists").parquet(path)
+    return "written"

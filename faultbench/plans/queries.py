@@ -819,3 +819,38 @@ def _lint_sql(o: Oracle) -> str:
 register("control_sql_lint", _lint_sql(EV))(
     lambda spark, sf: control_sql_lint(_control_sql_frame(spark, campaign(spark, sf)), MANAGED_TABLES)
 )
+
+
+# -- E4: replay digest over the detection matrices and the final checksums -----------
+from faultbench.plans.oracle import hash60 as _ohash, row_text as _orow  # noqa: E402
+
+_MATRIX_COLS = [("fault_id", "VARCHAR"), ("kind", "VARCHAR"), ("failing_control_ids", "VARCHAR"),
+                ("failing_controls", "BIGINT"), ("detected", "BOOLEAN"), ("phase", "VARCHAR")]
+_CK_COLS = [("variant", "VARCHAR"), ("table_name", "VARCHAR"), ("row_count", "BIGINT"), ("checksum", "VARCHAR")]
+
+
+def _digest_select(name: str, src: str, cols) -> str:
+    prefix = f"{name}|{','.join(c for c, _ in cols)}|"
+    h = _ohash(_orow(cols, prefix))
+    return (
+        f"SELECT {q(name)} AS table_name, count(*) AS row_count, COALESCE(CAST(sum(CAST({h} AS "
+        f"HUGEINT)) AS VARCHAR), '0') AS checksum FROM {src}"
+    )
+
+
+register(
+    "replay_digest",
+    _camp_sql(
+        EV,
+        _digest_select("detection_matrix", "matrix", _MATRIX_COLS) + " UNION ALL "
+        + _digest_select("table_checksums", "checksums", _CK_COLS),
+        [EV.checksums_cte()],
+    ),
+)(
+    lambda spark, sf: ck.table_checksums(
+        {
+            "detection_matrix": campaign(spark, sf).matrices().select(*[c for c, _ in _MATRIX_COLS]),
+            "table_checksums": campaign(spark, sf).checksums(),
+        }
+    ).drop("variant")
+)

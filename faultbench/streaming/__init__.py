@@ -1,0 +1,5 @@
+"""No streaming operators: the reference runs bounded batches only.
+
+Row-level controls are plain Column predicates, so they can be applied per micro-batch
+with ``foreachBatch`` by a caller; nothing here depends on that.
+"""
