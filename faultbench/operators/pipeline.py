@@ -33,6 +33,8 @@ def build_enriched(
     which reuses the join's clustering.
     """
     o = with_mask(orders, vs)
+    if not customers_vary:
+        return _enrich_plain(o, customers)
     c = with_mask(customers, vs).withColumnRenamed(MASK, "_cmask")
     if customers_vary:
         c = c.withColumn("_cov", F.bit_or("_cmask").over(Window.partitionBy("customer_id")))
@@ -79,6 +81,28 @@ def build_enriched(
     return joined.select(F.explode(rows).alias("_r")).select("_r.*")
 
 
+def _enrich_plain(o: DataFrame, customers: DataFrame) -> DataFrame:
+    """Customers identical in every variant: a plain left join keeps the order row's
+    mask. A plain projection (no generator) keeps the join's clustering on
+    ``customer_id``, so ``customer_value`` needs no further shuffle after a sort-merge
+    join."""
+    c = customers.drop(MASK) if MASK in customers.columns else customers
+    j = o.alias("o").join(c.alias("c"), F.col("o.customer_id") == F.col("c.customer_id"), "left")
+    return j.select(
+        F.col("o.order_id").alias("order_id"),
+        F.col("o.customer_id").alias("customer_id"),
+        F.col("c.customer_name").alias("customer_name"),
+        F.col("c.segment").alias("segment"),
+        F.col("c.country_code").alias("country_code"),
+        F.col("o.order_ts").alias("order_ts"),
+        F.col("o.order_ts").cast("date").alias("order_date"),
+        F.col("o.amount_cents").alias("amount_cents"),
+        F.col("o.currency").alias("currency"),
+        F.col("o.source_partition").alias("source_partition"),
+        F.col(f"o.{MASK}").alias(MASK),
+    )
+
+
 def daily_revenue(enriched: DataFrame, vs: VariantSet) -> DataFrame:
     return wide_aggregate(
         enriched,

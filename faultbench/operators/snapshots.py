@@ -9,7 +9,6 @@ written files, so the manifest describes exactly what a restore reads.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,7 @@ MANIFEST = "_manifest"
 def snapshot(spark: SparkSession, tables: Mapping[str, DataFrame], seed: int, path: str | None = None) -> str:
     path = path or scratch_path(spark, "snapshot")
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(os.path.join(path, name))
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
     restored = restore(spark, path, list(tables), require_manifest=False)
     sums = None
     for name, df in restored.items():
@@ -38,20 +37,31 @@ def snapshot(spark: SparkSession, tables: Mapping[str, DataFrame], seed: int, pa
         [(t, n, c, seed, snapshot_id) for t, n, c in rows],
         "table_name string, row_count bigint, checksum string, seed bigint, snapshot_id string",
     )
-    manifest.coalesce(1).write.mode("errorifexists").json(os.path.join(path, MANIFEST))
+    manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/{MANIFEST}")
     return path
 
 
+def _readable(spark: SparkSession, fmt: str, path: str) -> bool:
+    """Whether a finished dataset exists at ``path`` (any filesystem Spark can read)."""
+    try:
+        spark.read.format(fmt).load(path).schema
+        return True
+    except Exception as e:  # noqa: BLE001 - Spark raises AnalysisException for a missing path
+        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return False
+        raise
+
+
 def restore(
     spark: SparkSession, path: str, names: list[str], *, require_manifest: bool = True
 ) -> dict[str, DataFrame]:
-    if require_manifest and not os.path.exists(os.path.join(path, MANIFEST, "_SUCCESS")):
+    if require_manifest and not _readable(spark, "json", f"{path}/{MANIFEST}"):
         raise FileNotFoundError(f"{path} has no manifest: not a complete snapshot")
-    return {n: spark.read.parquet(os.path.join(path, n)) for n in names}
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(os.path.join(path, MANIFEST))
+    return spark.read.json(f"{path}/{MANIFEST}")
 
 
 def verify_restore(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -89,7 +99,7 @@ def write_evidence(df: DataFrame, path: str) -> str:
     the same rows (multiset, compared with ``exceptAll`` both ways) or it is an error.
     Returns ``"written"`` or ``"identical"``."""
     spark = df.sparkSession
-    if os.path.exists(os.path.join(path, "_SUCCESS")):
+    if _readable(spark, "parquet", path):
         old = spark.read.parquet(path)
         if old.exceptAll(df).isEmpty() and df.exceptAll(old).isEmpty():
             return "identical"

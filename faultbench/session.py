@@ -50,6 +50,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         CHECKPOINT_CONF, None
     )
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(
+                f"set {CHECKPOINT_CONF} to a folder shared by the cluster; a machine-local "
+                "temporary folder is not reachable from executors"
+            )
         configured = tempfile.mkdtemp(prefix="faultbench-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
     spark.sparkContext.setCheckpointDir(configured)
@@ -58,8 +63,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
+    base = checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{name}-{spark.sparkContext.applicationId}-{os.getpid()}-{next(_counter)}"
+
+
+def recommended_conf(total_input_bytes: int, *, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Shuffle and scan sizing for a given input volume.
+
+    Shuffle partitions are sized so that a partition of the largest shuffle (about
+    the stacked input) stays near ``target_partition_bytes``; AQE coalesces them when
+    the data is smaller and splits skewed ones.
+    """
+    parts = max(200, total_input_bytes // target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
 
 
 def _count():
