@@ -77,8 +77,11 @@ def build_enriched(
         *[(F.lit(None).cast("string") if n in attrs else value[n]).alias(n) for n in out_cols],
         unmatched.alias(MASK),
     )
-    rows = F.filter(F.array(matched_row, unmatched_row), lambda x: x[MASK] != 0)
-    return joined.select(F.explode(rows).alias("_r")).select("_r.*")
+    return (
+        joined.select(F.explode(F.array(matched_row, unmatched_row)).alias("_r"))
+        .filter(F.col(f"_r.{MASK}") != 0)
+        .select("_r.*")
+    )
 
 
 def _enrich_plain(o: DataFrame, customers: DataFrame) -> DataFrame:

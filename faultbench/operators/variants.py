@@ -87,40 +87,49 @@ class RowChange:
 
 
 def stack(df: DataFrame, vs: VariantSet, changes: Sequence[RowChange]) -> DataFrame:
-    """Apply per-variant row changes in one projection + explode (no shuffle)."""
+    """Apply per-variant row changes in one projection + explode (no shuffle).
+
+    Selection predicates are evaluated once per row into flag columns first; the
+    generator then only reads flags, and empty entries are dropped by an ordinary
+    (code-generated) filter after the explode.
+    """
     df = with_mask(df, vs)
     cols = data_columns(df)
     types = {f.name: f.dataType for f in df.schema.fields}
-    base = F.col(MASK)
-    cleared = F.lit(0).cast("bigint")
     for ch in changes:
         if ch.mode not in ("update", "delete", "insert"):
             raise ValueError(f"unknown change mode {ch.mode!r}")
         unknown = set(ch.updates) - set(cols)
         if unknown:
             raise ValueError(f"change {ch.variant} updates unknown columns {sorted(unknown)}")
-        if ch.mode in ("update", "delete"):
-            bit = vs.bit(ch.variant)
-            cleared = cleared + F.when(ch.selected & vs.member(ch.variant), F.lit(bit)).otherwise(0)
-    original = F.struct(
-        base.bitwiseAND(F.lit(vs.all_mask) - cleared).alias(MASK), *[F.col(c) for c in cols]
+    flags = [f"_s{i}" for i in range(len(changes))]
+    pre = df.select(
+        *[F.col(c) for c in cols],
+        F.col(MASK),
+        *[(ch.selected & vs.member(ch.variant)).alias(f) for ch, f in zip(changes, flags)],
     )
-    entries = [original]
-    for ch in changes:
+    cleared = F.lit(0).cast("bigint")
+    for ch, f in zip(changes, flags):
+        if ch.mode in ("update", "delete"):
+            cleared = cleared + F.when(F.col(f), F.lit(vs.bit(ch.variant))).otherwise(0)
+    entries = [
+        F.struct(F.col(MASK).bitwiseAND(F.lit(vs.all_mask) - cleared).alias(MASK), *[F.col(c) for c in cols])
+    ]
+    for ch, f in zip(changes, flags):
         if ch.mode == "delete":
             continue
-        bit = vs.bit(ch.variant)
         row = F.struct(
-            F.lit(bit).cast("bigint").alias(MASK),
+            F.lit(vs.bit(ch.variant)).cast("bigint").alias(MASK),
             *[
                 (ch.updates[c].cast(types[c]) if c in ch.updates else F.col(c)).alias(c)
                 for c in cols
             ],
         )
-        entries.append(F.when(ch.selected & vs.member(ch.variant), row))
-    arr = F.filter(F.array(*entries), lambda x: x.isNotNull() & (x[MASK] != 0))
-    return df.select(F.explode(arr).alias("_row")).select(
-        *[F.col(f"_row.{c}").alias(c) for c in cols], F.col(f"_row.{MASK}").alias(MASK)
+        entries.append(F.when(F.col(f), row))
+    return (
+        pre.select(F.explode(F.array(*entries)).alias("_row"))
+        .filter(F.col("_row").isNotNull() & (F.col(f"_row.{MASK}") != 0))
+        .select(*[F.col(f"_row.{c}").alias(c) for c in cols], F.col(f"_row.{MASK}").alias(MASK))
     )
 
 
@@ -129,8 +138,8 @@ def expand(df: DataFrame, vs: VariantSet, variant_col: str = "variant") -> DataF
     df = with_mask(df, vs)
     names = ", ".join(f"CASE WHEN {vs.member_sql(v)} THEN {sql_str(v)} END" for v in vs.names)
     cols = [qi(c) for c in data_columns(df)]
-    return df.selectExpr(
-        f"explode(filter(array({names}), x -> x IS NOT NULL)) AS {qi(variant_col)}", *cols
+    return df.selectExpr(f"explode(array({names})) AS {qi(variant_col)}", *cols).filter(
+        F.col(variant_col).isNotNull()
     )
 
 

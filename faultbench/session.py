@@ -28,6 +28,9 @@ def build_session(
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Small shuffles keep some parallelism instead of collapsing to one task;
+        # irrelevant at scale, where partitions are far larger than this.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     if shuffle_partitions is not None:
