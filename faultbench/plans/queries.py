@@ -558,9 +558,10 @@ def detection_attribution(spark: SparkSession, sf: str) -> DataFrame:
     "weighted_coverage",
     _camp_sql(
         EV,
-        "SELECT m.phase, sum(w.weight) AS total_weight, sum(CASE WHEN m.detected THEN w.weight "
-        "ELSE 0 END) AS detected_weight, CAST(round(sum(CASE WHEN m.detected THEN w.weight ELSE 0 "
-        "END) * 100.0 / sum(w.weight), 1) AS DOUBLE) AS weighted_coverage_pct FROM matrix AS m JOIN "
+        "SELECT m.phase, CAST(sum(w.weight) AS BIGINT) AS total_weight, CAST(sum(CASE WHEN "
+        "m.detected THEN w.weight ELSE 0 END) AS BIGINT) AS detected_weight, CAST(round(sum(CASE "
+        "WHEN m.detected THEN w.weight ELSE 0 END) * 100.0 / sum(w.weight), 1) AS DOUBLE) AS "
+        "weighted_coverage_pct FROM matrix AS m JOIN "
         "(SELECT fault_id, count(*) AS weight FROM predicted GROUP BY fault_id) AS w ON "
         "m.fault_id = w.fault_id GROUP BY m.phase",
         [_predicted_values(EV)],
