@@ -119,10 +119,35 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _same(a: SelectionRequest, b: SelectionRequest) -> bool:
+    return (
+        (a.key, a.seed, a.salt, a.parameters, a.anchor_order) == (b.key, b.seed, b.salt, b.parameters, b.anchor_order)
+        and a.anchor is None
+        and b.anchor is None
+        and a.candidates.sameSemantics(b.candidates)
+    )
+
+
 def resolve_boundaries(
     requests: Sequence[SelectionRequest], *, gather_limit: int = GATHER_LIMIT
 ) -> list[Boundary]:
-    """Boundaries of all requests, in as few jobs as possible (usually two)."""
+    """Boundaries of all requests, in as few jobs as possible (usually two).
+
+    Identical requests (same candidates plan, key, seed, salt and count) resolve once.
+    """
+    unique: list[SelectionRequest] = []
+    index: list[int] = []
+    for r in requests:
+        for j, u in enumerate(unique):
+            if _same(r, u):
+                index.append(j)
+                break
+        else:
+            index.append(len(unique))
+            unique.append(r)
+    if len(unique) < len(requests):
+        resolved = resolve_boundaries(unique, gather_limit=gather_limit)
+        return [resolved[j] for j in index]
     by_type: dict[str, list[int]] = {}
     for i, r in enumerate(requests):
         by_type.setdefault(r.candidates.schema[r.key].dataType.simpleString(), []).append(i)
