@@ -9,6 +9,7 @@ Cycles terminate because visited nodes never re-enter the frontier.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,12 @@ def closure(
     """
     spark = edges.sparkSession
     checkpoint_dir(spark)
-    e = edges.select(F.col("src"), F.col("dst")).filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    # Every hop joins the same edges: keep them (lost blocks recompute from lineage).
+    e = (
+        edges.select(F.col("src"), F.col("dst"))
+        .filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     visited = seeds.select("node").filter(F.col("node").isNotNull()).distinct()
     visited = visited.withColumn("hops", F.lit(0)).checkpoint(eager=True)
     frontier = visited.select("node")
@@ -43,6 +49,7 @@ def closure(
             break
         parts.append(new)
         frontier = new.select("node")
+    e.unpersist()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
