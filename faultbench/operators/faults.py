@@ -31,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -214,7 +215,8 @@ def _prepare(spec: FaultSpec, df: DataFrame, key: str, seed: int, index: int) ->
         req = SelectionRequest(_candidates(spec, df, key), key, seed, salt, count)
         return _Pending(spec, index, key, salt, req)
     ts, group = str(p["timestamp_column"]), str(p["group_column"])
-    cands = _latest_per_group(df, key, group, ts)
+    # One row per group, read by both selection jobs and by the flag join: kept.
+    cands = _latest_per_group(df, key, group, ts).persist(StorageLevel.MEMORY_AND_DISK)
     # The newest candidate (= newest row overall) is always selected: it ranks 0.
     # It is a scalar subquery, evaluated inside the jobs that use it.
     anchor = cands.agg(F.max("_latest")).scalar()
@@ -273,6 +275,12 @@ class FaultedTables:
     variants: VariantSet
     plans: list[FaultPlan]
     flagged: dict[str, DataFrame] = field(default_factory=dict)
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        for df in self.kept:
+            df.unpersist()
+        self.kept = []
 
 
 def apply_faults(
@@ -317,7 +325,8 @@ def apply_faults(
         out[name] = stacked.drop(*flags) if flags else stacked
     order = {s.fault_id: i for i, s in enumerate(specs)}
     plans.sort(key=lambda pl: order[pl.spec.fault_id])
-    return FaultedTables(out, vs, plans, flagged)
+    kept = [pd.request.candidates for pd in pending if pd.spec.kind == STALE_PARTITION]
+    return FaultedTables(out, vs, plans, flagged, kept)
 
 
 def mutation_evidence(faulted: FaultedTables, keys: Mapping[str, str]) -> DataFrame:

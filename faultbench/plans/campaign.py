@@ -125,6 +125,8 @@ class Campaign:
         for df in getattr(self, "_kept", []):
             df.unpersist()
         self._kept = []
+        if "faulted" in self.__dict__:
+            self.faulted.release()
 
     def fault_table(self) -> DataFrame:
         rows = [(s.fault_id, s.kind, s.target_table) for s in self.faults]
