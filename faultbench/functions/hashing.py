@@ -96,10 +96,6 @@ def row_text(df: DataFrame, columns: list[str], prefix: str = "") -> Column:
     return F.expr(row_text_sql(_types(df), columns, prefix))
 
 
-def row_hash(df: DataFrame, columns: list[str], prefix: str = "") -> Column:
-    return F.expr(hash60_sql(row_text_sql(_types(df), columns, prefix)))
-
-
 def table_prefix(table_name: str, columns: list[str]) -> str:
     """Constant prefix so that a table or column rename changes every row hash."""
     return f"{table_name}|{','.join(columns)}|"

@@ -247,15 +247,6 @@ def _resolve_same_type(reqs: list[SelectionRequest], gather_limit: int) -> list[
     return result
 
 
-def find_boundary(
-    candidates: DataFrame, key: str, seed: int, salt: str, parameters: dict, *,
-    gather_limit: int = GATHER_LIMIT,
-) -> Boundary:
-    return resolve_boundaries(
-        [SelectionRequest(candidates, key, seed, salt, dict(parameters))], gather_limit=gather_limit
-    )[0]
-
-
 def selection_rank(
     seed: int,
     salt: str,

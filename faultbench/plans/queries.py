@@ -303,16 +303,18 @@ def _predicted_values(o: Oracle) -> str:
     return "predicted AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") AS p(fault_id, table_name))"
 
 
-def _compare_sql(o: Oracle) -> str:
-    return o.with_(
-        "SELECT COALESCE(p.fault_id, ob.fault_id) AS fault_id, COALESCE(p.table_name, "
-        "ob.table_name) AS table_name, p.fault_id IS NOT NULL AS predicted, ob.fault_id IS NOT "
-        "NULL AS observed, CASE WHEN p.fault_id IS NOT NULL AND ob.fault_id IS NOT NULL THEN "
-        "'matched' WHEN p.fault_id IS NOT NULL THEN 'missed' ELSE 'unexpected' END AS status "
-        "FROM predicted AS p FULL OUTER JOIN (SELECT fault_id, table_name FROM observed WHERE "
-        "changed) AS ob ON p.fault_id = ob.fault_id AND p.table_name = ob.table_name",
-        [o.checksums_cte(), o.observed_cte(), _predicted_values(o)],
-    )
+COMPARE_BODY = (
+    "SELECT COALESCE(p.fault_id, ob.fault_id) AS fault_id, COALESCE(p.table_name, "
+    "ob.table_name) AS table_name, p.fault_id IS NOT NULL AS predicted, ob.fault_id IS NOT "
+    "NULL AS observed, CASE WHEN p.fault_id IS NOT NULL AND ob.fault_id IS NOT NULL THEN "
+    "'matched' WHEN p.fault_id IS NOT NULL THEN 'missed' ELSE 'unexpected' END AS status "
+    "FROM predicted AS p FULL OUTER JOIN (SELECT fault_id, table_name FROM observed WHERE "
+    "changed) AS ob ON p.fault_id = ob.fault_id AND p.table_name = ob.table_name"
+)
+
+
+def _compare_sql(o: Oracle, body: str = COMPARE_BODY) -> str:
+    return o.with_(body, [o.checksums_cte(), o.observed_cte(), _predicted_values(o)])
 
 
 register("blast_radius_compare", _compare_sql(EV))(
@@ -855,3 +857,17 @@ register(
         }
     ).drop("variant")
 )
+
+
+# -- B3 summary: exact match of predicted and observed radius per fault ---------------
+register(
+    "blast_radius_exact_match",
+    _compare_sql(
+        EV,
+        "SELECT fault_id, count(*) FILTER (WHERE predicted) AS predicted_tables, count(*) FILTER "
+        "(WHERE observed) AS observed_tables, count(*) FILTER (WHERE status = 'matched') AS "
+        "matched_tables, count(*) FILTER (WHERE status = 'missed') AS missed_tables, count(*) "
+        "FILTER (WHERE status = 'unexpected') AS unexpected_tables, count(*) FILTER (WHERE status "
+        "<> 'matched') = 0 AS exact_match FROM (" + COMPARE_BODY + ") GROUP BY fault_id",
+    ),
+)(lambda spark, sf: ck.radius_summary(campaign(spark, sf).radius_comparison()))

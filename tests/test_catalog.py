@@ -242,3 +242,23 @@ def test_assertion_gaps_and_ranking(spark):
     sizes = spark.createDataFrame([("raw_orders", 5), ("raw_customers", 4)], "table_name string, closure_size int")
     top = C.target_ranking(sizes, gaps).first()
     assert top["table_name"] == "raw_orders" and top["score"] == 20
+
+
+def test_lineage_edges_and_upstream_sets(spark):
+    env = C.lineage_envelopes(spark.createDataFrame(
+        [(SRC, json.dumps(page([DOWN]))), ("urn:x", json.dumps(page([SRC], hasMore=True)))],
+        "source_urn string, payload string"))
+    edges = C.lineage_edges(env).collect()
+    assert [(r["source_urn"], r["downstream_urn"]) for r in edges] == [(SRC, DOWN)]
+    observed = spark.createDataFrame([("a", "t"), ("b", "t")], "upstream string, downstream string")
+    expected = spark.createDataFrame([("a", "t"), ("c", "t")], "upstream string, downstream string")
+    st = {r["upstream"]: r["status"] for r in C.upstream_set_check(observed, expected).collect()}
+    assert st == {"a": "ok", "b": "unexpected", "c": "missing"}
+
+
+def test_recommended_conf_scales_partitions():
+    from faultbench.session import recommended_conf
+
+    small, big = recommended_conf(1 << 30), recommended_conf(100 << 40)
+    assert int(small["spark.sql.shuffle.partitions"]) == 200
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
