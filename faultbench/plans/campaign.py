@@ -166,10 +166,26 @@ class Campaign:
         return detection_matrix(self.baseline_results, self.fault_table())
 
     @functools.cached_property
+    def _gaps_and_profile(self) -> tuple[tuple[str, ...], dict[str, tuple[str, str, str]]]:
+        """One action: undetected faults of the baseline and the clean profile of every
+        generator-eligible fault (one small row each)."""
+        m = self.baseline_matrix().filter(~F.col("detected")).select(
+            F.lit("gap").alias("row"), "fault_id",
+            F.lit(None).cast("string").alias("column_name"),
+            F.lit(None).cast("string").alias("statistic"),
+            F.lit(None).cast("string").alias("value"),
+        )
+        eligible = [s.fault_id for s in self.faults]
+        p = self.clean_profile_frame(eligible).select(F.lit("profile").alias("row"), "*")
+        rows = m.unionByName(p).collect()
+        found = {r["fault_id"] for r in rows if r["row"] == "gap"}
+        gaps = tuple(s.fault_id for s in self.faults if s.fault_id in found)
+        prof = {r["fault_id"]: (r["column_name"], r["statistic"], r["value"]) for r in rows if r["row"] == "profile"}
+        return gaps, prof
+
+    @property
     def gaps(self) -> tuple[str, ...]:
-        rows = self.baseline_matrix().filter(~F.col("detected")).select("fault_id").collect()
-        found = {r["fault_id"] for r in rows}
-        return tuple(s.fault_id for s in self.faults if s.fault_id in found)
+        return self._gaps_and_profile[0]
 
     # -- profile and generation --------------------------------------------
     def profile_columns(self, gaps: Sequence[str]) -> list[tuple[str, str, str]]:
@@ -218,9 +234,12 @@ class Campaign:
             )
         return src.agg(F.array(*aggs).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
-    @functools.cached_property
+    @property
     def clean_profile(self) -> list[tuple[str, str, str, str]]:
-        return [tuple(r) for r in self.clean_profile_frame().collect()]
+        """Profile rows of the measured gaps (from the same action as the gaps)."""
+        gaps, prof = self._gaps_and_profile
+        eligible = {f for f, _, _ in self.profile_columns(gaps)}
+        return [(f, *prof[f]) for f in gaps if f in eligible and f in prof]
 
     @functools.cached_property
     def generated_controls(self) -> tuple[Control, ...]:
