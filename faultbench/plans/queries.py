@@ -872,3 +872,29 @@ register(
         "<> 'matched') = 0 AS exact_match FROM (" + COMPARE_BODY + ") GROUP BY fault_id",
     ),
 )(lambda spark, sf: ck.radius_summary(campaign(spark, sf).radius_comparison()))
+
+
+# -- E1/S5: snapshot with manifest (seed + checksums + content-derived id) -------------
+from faultbench.operators.snapshots import read_manifest  # noqa: E402
+
+
+@register(
+    "snapshot_manifest",
+    OR.with_(
+        "SELECT table_name, row_count, checksum, CAST(" + str(DEFAULT_SEED) + " AS BIGINT) AS seed, "
+        "sha256('" + str(DEFAULT_SEED) + "|' || (SELECT string_agg(table_name || ':' || "
+        "CAST(row_count AS VARCHAR) || ':' || checksum, ',' ORDER BY table_name) FROM checksums "
+        "WHERE variant = 'clean')) AS snapshot_id FROM checksums WHERE variant = 'clean'",
+        [OR.checksums_cte()],
+    ),
+)
+def snapshot_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Write the six clean tables to a fresh snapshot folder and return its manifest."""
+    path = snapshot(spark, _clean_tables(spark, sf), seed=DEFAULT_SEED)
+    return read_manifest(spark, path).select(
+        "table_name",
+        F.col("row_count").cast("bigint").alias("row_count"),
+        "checksum",
+        F.col("seed").cast("bigint").alias("seed"),
+        "snapshot_id",
+    )
