@@ -44,7 +44,7 @@ from faultbench.operators.selection import (
     resolve_boundaries,
     selection_predicate,
 )
-from faultbench.operators.variants import RowChange, VariantSet, stack, with_mask
+from faultbench.operators.variants import RowChange, VariantSet, as_column, stack, with_mask
 
 NUMERIC_SCALE = "numeric_scale"
 STALE_PARTITION = "stale_partition"
@@ -236,26 +236,23 @@ def _finish(pend: _Pending, boundary: Boundary, df: DataFrame, seed: int) -> tup
             keyed = F.broadcast(keyed)
         flagged = df.join(keyed, key, "left")
         updates = {
-            ts: F.col(ts) - F.make_dt_interval(days=F.lit(days)),
-            part: F.date_sub(F.col(part), days),
+            ts: f"{qi(ts)} - make_dt_interval({days})",
+            part: f"date_sub({qi(part)}, {days})",
         }
-        change = RowChange(spec.fault_id, F.col(flag).isNotNull(), "update", updates)
+        change = RowChange(spec.fault_id, f"{qi(flag)} IS NOT NULL", "update", updates)
         return flagged, FaultPlan(spec, change, boundary, boundary.n, flag)
     if spec.kind in (NULL_DENSITY_SURGE, JOIN_KEY_CORRUPTION, PAYLOAD_KEY_RENAME):
-        selected = F.col(str(p["column"])).isNotNull() & selected
+        selected = f"{qi(str(p['column']))} IS NOT NULL AND {selected}"
+    c = qi(str(p["column"])) if "column" in p else None
     if spec.kind == PAYLOAD_KEY_RENAME:
-        c = str(p["column"])
-        renamed = F.regexp_replace(F.col(c), f'"{p["key"]}"\\s*:', f'"{p["new_key"]}":')
-        change = RowChange(spec.fault_id, selected, "update", {c: renamed})
+        renamed = F.regexp_replace(F.col(str(p["column"])), f'"{p["key"]}"\\s*:', f'"{p["new_key"]}":')
+        change = RowChange(spec.fault_id, selected, "update", {str(p["column"]): renamed})
     elif spec.kind == NUMERIC_SCALE:
-        c = str(p["column"])
-        change = RowChange(spec.fault_id, selected, "update", {c: F.col(c) * F.lit(int(p["factor"]))})
+        change = RowChange(spec.fault_id, selected, "update", {str(p["column"]): f"{c} * {int(p['factor'])}"})
     elif spec.kind == NULL_DENSITY_SURGE:
-        c = str(p["column"])
-        change = RowChange(spec.fault_id, selected, "update", {c: F.lit(None)})
+        change = RowChange(spec.fault_id, selected, "update", {str(p["column"]): "NULL"})
     elif spec.kind == JOIN_KEY_CORRUPTION:
-        c = str(p["column"])
-        change = RowChange(spec.fault_id, selected, "update", {c: -F.col(c) - F.lit(1)})
+        change = RowChange(spec.fault_id, selected, "update", {str(p["column"]): f"-{c} - 1"})
     elif spec.kind == DUPLICATE_KEYS:
         change = RowChange(spec.fault_id, selected, "insert", {})
     else:  # REF_INTEGRITY_BREAK
@@ -356,14 +353,14 @@ def mutation_evidence(faulted: FaultedTables, keys: Mapping[str, str]) -> DataFr
                 F.lit(""),
                 *[
                     field_text(
-                        pl.change.updates[c].cast(types[c]) if c in pl.change.updates else F.col(c),
+                        as_column(pl.change.updates[c]).cast(types[c]) if c in pl.change.updates else F.col(c),
                         types[c],
                     )
                     for c in cols
                 ],
             )
             after = hash60(after_text)
-            sel = pl.change.selected
+            sel = as_column(pl.change.selected)
 
             def digest(h: Column, weight: int = 1) -> Column:
                 parts = [F.sum(F.when(sel, x * F.lit(weight))) for x in hash_parts(h)]

@@ -91,18 +91,18 @@ def _enrich_plain(o: DataFrame, customers: DataFrame) -> DataFrame:
     join."""
     c = customers.drop(MASK) if MASK in customers.columns else customers
     j = o.alias("o").join(c.alias("c"), F.col("o.customer_id") == F.col("c.customer_id"), "left")
-    return j.select(
-        F.col("o.order_id").alias("order_id"),
-        F.col("o.customer_id").alias("customer_id"),
-        F.col("c.customer_name").alias("customer_name"),
-        F.col("c.segment").alias("segment"),
-        F.col("c.country_code").alias("country_code"),
-        F.col("o.order_ts").alias("order_ts"),
-        F.col("o.order_ts").cast("date").alias("order_date"),
-        F.col("o.amount_cents").alias("amount_cents"),
-        F.col("o.currency").alias("currency"),
-        F.col("o.source_partition").alias("source_partition"),
-        F.col(f"o.{MASK}").alias(MASK),
+    return j.selectExpr(
+        "o.order_id AS order_id",
+        "o.customer_id AS customer_id",
+        "c.customer_name AS customer_name",
+        "c.segment AS segment",
+        "c.country_code AS country_code",
+        "o.order_ts AS order_ts",
+        "CAST(o.order_ts AS DATE) AS order_date",
+        "o.amount_cents AS amount_cents",
+        "o.currency AS currency",
+        "o.source_partition AS source_partition",
+        f"o.{MASK} AS {MASK}",
     )
 
 

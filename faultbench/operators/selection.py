@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultbench.functions.hashing import key_rank
+from faultbench.functions.hashing import key_rank, key_rank_sql, qi, sql_str
 
 # Ranks are hash60 + 1, so rank 0 is free for a forced first row (an anchor);
 # they fit in 61 bits.
@@ -50,6 +50,10 @@ class Boundary:
     def predicate(self, rank: Column, key: Column) -> Column:
         return (rank < F.lit(self.rank)) | ((rank == F.lit(self.rank)) & (key <= F.lit(self.key)))
 
+    def predicate_sql(self, rank: str, key: str) -> str:
+        k = sql_str(self.key) if isinstance(self.key, str) else repr(int(self.key))
+        return f"(({rank}) < {self.rank} OR (({rank}) = {self.rank} AND {qi(key)} <= {k}))"
+
 
 @dataclass
 class SelectionRequest:
@@ -269,6 +273,9 @@ def selection_predicate(
     key: str,
     anchor: Column | None = None,
     anchor_order: tuple[str, ...] = (),
-) -> Column:
+) -> Column | str:
+    """Row predicate of a resolved selection: SQL text, or a Column with an anchor."""
+    if anchor is None:
+        return boundary.predicate_sql(f"{key_rank_sql(seed, salt, key)} + 1", key)
     rank = selection_rank(seed, salt, key, anchor, anchor_order)
     return boundary.predicate(rank, F.col(key))

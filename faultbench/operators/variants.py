@@ -78,12 +78,17 @@ class RowChange:
     mode ``update``: the row is replaced by ``updates`` applied to it;
     mode ``delete``: the row is absent from the variant;
     mode ``insert``: the row stays and a copy (with ``updates``) is added.
+    ``selected`` and the update values are Columns or SQL expression text.
     """
 
     variant: str
-    selected: Column
+    selected: Column | str
     mode: str = "update"
-    updates: Mapping[str, Column] = field(default_factory=dict)
+    updates: Mapping[str, Column | str] = field(default_factory=dict)
+
+
+def as_column(x: Column | str) -> Column:
+    return F.expr(x) if isinstance(x, str) else x
 
 
 def stack(df: DataFrame, vs: VariantSet, changes: Sequence[RowChange]) -> DataFrame:
@@ -91,7 +96,7 @@ def stack(df: DataFrame, vs: VariantSet, changes: Sequence[RowChange]) -> DataFr
 
     Selection predicates are evaluated once per row into flag columns first; the
     generator then only reads flags, and empty entries are dropped by an ordinary
-    (code-generated) filter after the explode.
+    (code-generated) filter after the explode. The generator is one SQL expression.
     """
     df = with_mask(df, vs)
     cols = data_columns(df)
@@ -103,33 +108,45 @@ def stack(df: DataFrame, vs: VariantSet, changes: Sequence[RowChange]) -> DataFr
         if unknown:
             raise ValueError(f"change {ch.variant} updates unknown columns {sorted(unknown)}")
     flags = [f"_s{i}" for i in range(len(changes))]
-    pre = df.select(
-        *[F.col(c) for c in cols],
-        F.col(MASK),
-        *[(ch.selected & vs.member(ch.variant)).alias(f) for ch, f in zip(changes, flags)],
-    )
-    cleared = F.lit(0).cast("bigint")
-    for ch, f in zip(changes, flags):
-        if ch.mode in ("update", "delete"):
-            cleared = cleared + F.when(F.col(f), F.lit(vs.bit(ch.variant))).otherwise(0)
-    entries = [
-        F.struct(F.col(MASK).bitwiseAND(F.lit(vs.all_mask) - cleared).alias(MASK), *[F.col(c) for c in cols])
-    ]
-    for ch, f in zip(changes, flags):
+    extra: list[Column] = []
+    for i, (ch, f) in enumerate(zip(changes, flags)):
+        sel = ch.selected if isinstance(ch.selected, str) else None
+        member = vs.member_sql(ch.variant)
+        if sel is not None:
+            extra.append(F.expr(f"({sel}) AND {member} AS {qi(f)}"))
+        else:
+            extra.append((ch.selected & F.expr(member)).alias(f))
+        # Column-valued updates are evaluated only for selected rows.
+        for c, u in ch.updates.items():
+            if not isinstance(u, str):
+                extra.append(F.when(F.col(f), u).alias(f"_u{i}_{cols.index(c)}"))
+    pre = df.select("*", *extra)
+    cleared = " + ".join(
+        f"CASE WHEN {qi(f)} THEN {vs.bit(ch.variant)} ELSE 0 END"
+        for ch, f in zip(changes, flags)
+        if ch.mode in ("update", "delete")
+    ) or "0"
+    fields = ", ".join(f"{sql_str(c)}, {qi(c)}" for c in cols)
+    entries = [f"named_struct('{MASK}', {qi(MASK)} & ({vs.all_mask} - ({cleared})), {fields})"]
+    for i, (ch, f) in enumerate(zip(changes, flags)):
         if ch.mode == "delete":
             continue
-        row = F.struct(
-            F.lit(vs.bit(ch.variant)).cast("bigint").alias(MASK),
-            *[
-                (ch.updates[c].cast(types[c]) if c in ch.updates else F.col(c)).alias(c)
-                for c in cols
-            ],
+        vals = []
+        for j, c in enumerate(cols):
+            if c in ch.updates:
+                u = ch.updates[c]
+                e = f"({u})" if isinstance(u, str) else qi(f"_u{i}_{j}")
+                vals.append(f"{sql_str(c)}, CAST({e} AS {types[c].simpleString()})")
+            else:
+                vals.append(f"{sql_str(c)}, {qi(c)}")
+        entries.append(
+            f"CASE WHEN {qi(f)} THEN named_struct('{MASK}', CAST({vs.bit(ch.variant)} AS BIGINT), "
+            f"{', '.join(vals)}) END"
         )
-        entries.append(F.when(F.col(f), row))
     return (
-        pre.select(F.explode(F.array(*entries)).alias("_row"))
-        .filter(F.col("_row").isNotNull() & (F.col(f"_row.{MASK}") != 0))
-        .select(*[F.col(f"_row.{c}").alias(c) for c in cols], F.col(f"_row.{MASK}").alias(MASK))
+        pre.selectExpr(f"explode(array({', '.join(entries)})) AS _row")
+        .filter(f"_row IS NOT NULL AND _row.{MASK} <> 0")
+        .selectExpr(*[f"_row.{qi(c)} AS {qi(c)}" for c in cols], f"_row.{MASK} AS {MASK}")
     )
 
 
