@@ -898,3 +898,57 @@ def snapshot_manifest(spark: SparkSession, sf: str) -> DataFrame:
         F.col("seed").cast("bigint").alias("seed"),
         "snapshot_id",
     )
+
+
+# -- G4/G6: the generated-control SQL artifact, bound to manifest and profile digests --
+from faultbench.plans.manifest import manifest_sha256  # noqa: E402
+
+ARTIFACT_HEAD = "-- Generated from the measured gaps and the clean profile.\n"
+
+
+def _stmt_spark() -> F.Column:
+    return F.concat(
+        F.lit("SELECT '"), F.col("control_id"), F.lit("' AS control_id, count(*) AS violation_count "),
+        F.lit("FROM raw_orders WHERE "), F.col("predicate"),
+    )
+
+
+@register(
+    "generated_artifact",
+    _camp_sql(
+        EV,
+        "SELECT count(*) AS control_count, sha256(string_agg(column_name || ':' || statistic || "
+        "':' || value, ',' ORDER BY fault_id)) AS profile_sha256, sha256("
+        + q(ARTIFACT_HEAD + f"-- manifest_sha256={manifest_sha256(EV.faults, DEFAULT_SEED)}\n")
+        + " || '-- profile_sha256=' || sha256(string_agg(column_name || ':' || statistic || ':' || "
+        "value, ',' ORDER BY fault_id)) || chr(10) || string_agg('SELECT ''' || control_id || "
+        "''' AS control_id, count(*) AS violation_count FROM raw_orders WHERE ' || predicate, "
+        "chr(10) || 'UNION ALL' || chr(10) ORDER BY control_id) || chr(10) || 'ORDER BY "
+        "control_id' || chr(10)) AS artifact_sha256 FROM (SELECT p.*, e.control_id, CASE WHEN "
+        "p.statistic = 'max' THEN p.column_name || ' > ' || p.value ELSE p.column_name || ' < "
+        "DATE ''' || p.value || '''' END AS predicate FROM profile AS p JOIN (SELECT * FROM "
+        "(VALUES " + ", ".join(f"({q(fid)}, {q(cid)})" for fid, _k, _c, _s, cid, _o in eligible_generators(EV))
+        + ") AS t(fault_id, control_id)) AS e ON e.fault_id = p.fault_id)",
+    ),
+)
+def generated_artifact(spark: SparkSession, sf: str) -> DataFrame:
+    """SQL text of the generated controls (UNION ALL, ordered by id) with a header that
+    binds it to the campaign manifest and the clean profile; returns the digests."""
+    c = campaign(spark, sf)
+    gen = control_generation(spark, sf).filter(F.col("status") == "generated")
+    prof = c.clean_profile_frame()
+    rows = gen.join(prof.select("fault_id", "statistic", "value"), "fault_id")
+    prof_text = F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("fault_id", F.concat_ws(":", "column_name", "statistic", "value").alias("t")))),
+        lambda x: x["t"]), ",")
+    stmts = F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("control_id", _stmt_spark().alias("s")))),
+        lambda x: x["s"]), "\nUNION ALL\n")
+    head = ARTIFACT_HEAD + f"-- manifest_sha256={manifest_sha256(c.faults, c.seed)}\n"
+    agg = rows.agg(F.count(F.lit(1)).alias("control_count"), prof_text.alias("p"), stmts.alias("s"))
+    return agg.select(
+        "control_count",
+        F.sha2("p", 256).alias("profile_sha256"),
+        F.sha2(F.concat(F.lit(head + "-- profile_sha256="), F.sha2("p", 256), F.lit("\n"), F.col("s"),
+                        F.lit("\nORDER BY control_id\n")), 256).alias("artifact_sha256"),
+    )
