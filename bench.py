@@ -77,7 +77,7 @@ def naive_vs_shared(spark, sf_dir: str) -> dict:
     tables) vs the naive form (one full pipeline per variant, run one after the other).
     Both start after the same key selection; not part of the headline total."""
     from faultbench.operators.checksum import table_checksums
-    from faultbench.operators.pipeline import build_tables, plain
+    from faultbench.operators.downstream import build_tables, plain
     from faultbench.operators.variants import VariantSet, only
     from faultbench.plans.campaign import Campaign
 

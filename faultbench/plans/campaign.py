@@ -39,7 +39,7 @@ from faultbench.operators.faults import (
     apply_faults,
     mutation_evidence,
 )
-from faultbench.operators.pipeline import (
+from faultbench.operators.downstream import (
     MANAGED_TABLES,
     build_enriched,
     customer_value,

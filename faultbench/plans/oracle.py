@@ -19,7 +19,7 @@ from faultbench.operators.faults import (
     STALE_PARTITION,
     FaultSpec,
 )
-from faultbench.operators.pipeline import MANAGED_TABLES
+from faultbench.operators.downstream import MANAGED_TABLES
 from faultbench.plans.contract import DEFAULT_SEED, PRIMARY_KEYS, SCHEMA_CONTRACT, default_faults
 
 TS_FMT = "%Y-%m-%dT%H:%M:%S.%f"

@@ -22,7 +22,7 @@ from faultbench.operators.faults import (
     REF_INTEGRITY_BREAK,
     FaultSpec,
 )
-from faultbench.operators.pipeline import MANAGED_TABLES, build_tables, plain
+from faultbench.operators.downstream import MANAGED_TABLES, build_tables, plain
 from faultbench.operators.variants import VariantSet, expand, only
 from faultbench.plans.campaign import Campaign
 from faultbench.plans.contract import BASELINE_CONTROLS, PRIMARY_KEYS, REF_INTEGRITY_CONTROL

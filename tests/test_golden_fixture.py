@@ -7,7 +7,7 @@ import pytest
 from faultbench.operators.faults import FaultSpec
 from faultbench.plans.campaign import Campaign
 from faultbench.plans.contract import default_faults
-from faultbench.operators.pipeline import MANAGED_TABLES, build_tables, plain
+from faultbench.operators.downstream import MANAGED_TABLES, build_tables, plain
 from faultbench.operators.variants import VariantSet
 from tests.fixture import fixture_tables
 

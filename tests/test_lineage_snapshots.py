@@ -1,7 +1,7 @@
 """Lineage closure (cycles, hops), contract prediction, snapshot and restore."""
 
 from faultbench.operators.lineage import closure
-from faultbench.operators.pipeline import MANAGED_TABLES
+from faultbench.operators.downstream import MANAGED_TABLES
 from faultbench.operators.snapshots import snapshot, verify_restore
 from faultbench.plans.lineage_contract import downstream_tables, predicted_tables
 from tests.fixture import fixture_tables
@@ -24,7 +24,7 @@ def test_contract_prediction():
 
 
 def test_snapshot_restore_verifies(spark):
-    from faultbench.operators.pipeline import build_tables, plain
+    from faultbench.operators.downstream import build_tables, plain
     from faultbench.operators.variants import VariantSet
 
     t = fixture_tables(spark)
