@@ -75,7 +75,8 @@ def main() -> None:
 def naive_vs_shared(spark, sf_dir: str) -> dict:
     """Checksums of all tables for clean + every fault: one shared plan (variant
     tables) vs the naive form (one full pipeline per variant, run one after the other).
-    Both start after the same key selection; not part of the headline total."""
+    Both start after the same key selection; best of two alternating runs each; not
+    part of the headline total."""
     from faultbench.operators.checksum import table_checksums
     from faultbench.operators.downstream import build_tables, plain
     from faultbench.operators.variants import VariantSet, only
@@ -83,24 +84,35 @@ def naive_vs_shared(spark, sf_dir: str) -> dict:
 
     c = Campaign(spark, sf_dir, profile="events", materialize="none")
     ft = c.faulted
-    t0 = time.perf_counter()
-    shared = sorted(tuple(r) for r in c.checksums().collect())
-    t_shared = time.perf_counter() - t0
-    t0 = time.perf_counter()
-    naive = []
-    for v in ft.variants.names:
-        tables = build_tables(
-            only(ft.tables["raw_customers"], ft.variants, v),
-            only(ft.tables["raw_orders"], ft.variants, v),
-            VariantSet(),
-        )
-        rows = table_checksums({k: plain(x) for k, x in tables.items()}).collect()
-        naive += [(v, r["table_name"], r["row_count"], r["checksum"]) for r in rows]
-    t_naive = time.perf_counter() - t0
+
+    def run_shared():
+        return sorted(tuple(r) for r in c.checksums().collect())
+
+    def run_naive():
+        naive = []
+        for v in ft.variants.names:
+            tables = build_tables(
+                only(ft.tables["raw_customers"], ft.variants, v),
+                only(ft.tables["raw_orders"], ft.variants, v),
+                VariantSet(),
+            )
+            rows = table_checksums({k: plain(x) for k, x in tables.items()}).collect()
+            naive += [(v, r["table_name"], r["row_count"], r["checksum"]) for r in rows]
+        return sorted(naive)
+
+    # Alternate the two forms twice and keep each one's best time (compile effects).
+    t_shared = t_naive = float("inf")
+    for _ in range(2):
+        t0 = time.perf_counter()
+        shared = run_shared()
+        t_shared = min(t_shared, time.perf_counter() - t0)
+        t0 = time.perf_counter()
+        naive = run_naive()
+        t_naive = min(t_naive, time.perf_counter() - t0)
     return {
         "checksums_shared_sec": round(t_shared, 3),
         "checksums_naive_sec": round(t_naive, 3),
-        "checksums_equal": shared == sorted(naive),
+        "checksums_equal": shared == naive,
     }
 
 
