@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultbench.functions.hashing import combine_parts, field_text, hash60, hash_parts, qi, row_text
+from faultbench.functions.hashing import combine_parts, field_text, hash60, hash_parts, key_rank_sql, qi, row_text
 from faultbench.functions.ordering import pack_sql, packable, unpack_key_sql
 from faultbench.operators.selection import (
     Boundary,
@@ -233,8 +233,20 @@ def _finish(pend: _Pending, boundary: Boundary, df: DataFrame, seed: int) -> tup
         flag = f"_sel{pend.index}"
         keyed = req.candidates.filter(selected).select(key).withColumn(flag, F.lit(True))
         if boundary.n <= BROADCAST_KEYS:  # size bound known from the parameters
-            keyed = F.broadcast(keyed)
-        flagged = df.join(keyed, key, "left")
+            flagged = df.join(F.broadcast(keyed), key, "left")
+        else:
+            # Too many keys to broadcast. A row can only be selected if its own rank
+            # passes the boundary or it is the anchor, both row-local tests, so only
+            # that fraction of the table goes through the shuffle join; the rest is
+            # passed through unshuffled (two scans instead of a full shuffle).
+            types = {f.name: f.dataType for f in df.schema.fields}
+            own = F.expr(pack_sql(ts, types[ts], key)) == req.anchor
+            maybe = F.coalesce(
+                F.expr(boundary.predicate_sql(f"{key_rank_sql(seed, pend.salt, key)} + 1", key)) | own,
+                F.lit(False),
+            )
+            hit = df.filter(maybe).join(keyed, key, "left")
+            flagged = hit.unionByName(df.filter(~maybe).withColumn(flag, F.lit(None).cast("boolean")))
         updates = {
             ts: f"{qi(ts)} - make_dt_interval({days})",
             part: f"date_sub({qi(part)}, {days})",

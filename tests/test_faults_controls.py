@@ -118,3 +118,17 @@ def test_row_count_beyond_available_is_refused(spark):
 def test_control_identifiers_are_checked():
     with pytest.raises(ControlError):
         Control("c", "t", kind="unique", columns=("bad name",))
+
+
+def test_large_stale_selection_path_matches_broadcast_path(spark, monkeypatch):
+    import faultbench.operators.faults as FM
+
+    specs = default_faults(percent=40)
+    base = apply_faults(fixture_tables(spark), PRIMARY_KEYS, specs, 9)
+    monkeypatch.setattr(FM, "BROADCAST_KEYS", 0)
+    big = apply_faults(fixture_tables(spark), PRIMARY_KEYS, specs, 9)
+    a = expand(base.tables["raw_orders"], base.variants)
+    b = expand(big.tables["raw_orders"], big.variants)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    base.release()
+    big.release()
