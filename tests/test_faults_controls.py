@@ -132,3 +132,12 @@ def test_large_stale_selection_path_matches_broadcast_path(spark, monkeypatch):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     base.release()
     big.release()
+
+
+def test_unknown_fault_kind_is_refused(spark):
+    schema = fixture_tables(spark)["raw_orders"].schema
+    assert validate_spec(FaultSpec("f", "teleport_rows", "raw_orders", {"row_count": 1}), schema, "order_id") == [
+        "unknown fault kind teleport_rows"
+    ]
+    with pytest.raises(FaultError):
+        apply_faults(fixture_tables(spark), PRIMARY_KEYS, [FaultSpec("f", "teleport_rows", "raw_orders", {})], 1)
