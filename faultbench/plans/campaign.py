@@ -74,10 +74,14 @@ class Campaign:
     # blocks are recomputed from lineage), "checkpoint" (written to the shared
     # checkpoint folder) or "none" (recomputed by every job).
     materialize: str = "cache"
+    # Source tables ``raw_customers`` / ``raw_orders``; read from ``sf_dir`` if None.
+    tables_in: dict[str, DataFrame] | None = None
 
     # -- inputs -------------------------------------------------------------
     @functools.cached_property
     def sources(self) -> dict[str, DataFrame]:
+        if self.tables_in is not None:
+            return dict(self.tables_in)
         return source_tables(self.spark, self.sf_dir, self.profile)
 
     @functools.cached_property

@@ -23,8 +23,7 @@ def _fixture_faults():
 
 @pytest.fixture(scope="module")
 def camp(spark):
-    c = Campaign(spark, "unused", faults=_fixture_faults())
-    c.__dict__["sources"] = fixture_tables(spark)
+    c = Campaign(spark, "unused", faults=_fixture_faults(), tables_in=fixture_tables(spark))
     yield c
     c.close()
 
@@ -85,8 +84,7 @@ def test_blast_radius_matches_prediction(camp):
 
 @pytest.mark.parametrize("mode", ["checkpoint", "none"])
 def test_materialize_modes_agree(spark, camp, mode):
-    other = Campaign(spark, "unused", faults=_fixture_faults(), materialize=mode)
-    other.__dict__["sources"] = fixture_tables(spark)
+    other = Campaign(spark, "unused", faults=_fixture_faults(), materialize=mode, tables_in=fixture_tables(spark))
     try:
         a = sorted(tuple(r) for r in camp.checksums().collect())
         b = sorted(tuple(r) for r in other.checksums().collect())
