@@ -4,8 +4,8 @@ A *variant table* carries a bigint column ``_vmask``; bit ``i`` set means the ro
 part of variant ``i`` (bit 0 is always ``clean``). A row that no fault touches is
 stored once with every bit set; a row that fault ``f`` changes is stored twice: the
 original without bit ``f`` and the changed row with only bit ``f``. Hence the data
-volume stays about one copy of the table however many faults run, and every later
-step (joins, aggregates, hashes, controls) processes shared rows once.
+volume is one copy of the table plus the changed rows, however many faults run, and
+every later step (joins, aggregates, hashes, controls) processes shared rows once.
 
 Per-variant aggregates are computed "wide": group by the business key only, with one
 conditional aggregate per variant. Map-side partial aggregation then emits one row
