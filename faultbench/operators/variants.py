@@ -94,9 +94,10 @@ def as_column(x: Column | str) -> Column:
 def stack(df: DataFrame, vs: VariantSet, changes: Sequence[RowChange]) -> DataFrame:
     """Apply per-variant row changes in one projection + explode (no shuffle).
 
-    Selection predicates are evaluated once per row into flag columns first; the
-    generator then only reads flags, and empty entries are dropped by an ordinary
-    (code-generated) filter after the explode. The generator is one SQL expression.
+    Selection predicates are evaluated once per row into flag columns. The generator
+    explodes only a small integer per row (0 = the original row, i + 1 = the changed
+    row of change i), and every output column is then an ordinary expression of the
+    input columns and that integer; unused columns are pruned down to the scan.
     """
     df = with_mask(df, vs)
     cols = data_columns(df)
@@ -110,10 +111,9 @@ def stack(df: DataFrame, vs: VariantSet, changes: Sequence[RowChange]) -> DataFr
     flags = [f"_s{i}" for i in range(len(changes))]
     extra: list[Column] = []
     for i, (ch, f) in enumerate(zip(changes, flags)):
-        sel = ch.selected if isinstance(ch.selected, str) else None
         member = vs.member_sql(ch.variant)
-        if sel is not None:
-            extra.append(F.expr(f"({sel}) AND {member} AS {qi(f)}"))
+        if isinstance(ch.selected, str):
+            extra.append(F.expr(f"({ch.selected}) AND {member} AS {qi(f)}"))
         else:
             extra.append((ch.selected & F.expr(member)).alias(f))
         # Column-valued updates are evaluated only for selected rows.
@@ -126,28 +126,34 @@ def stack(df: DataFrame, vs: VariantSet, changes: Sequence[RowChange]) -> DataFr
         for ch, f in zip(changes, flags)
         if ch.mode in ("update", "delete")
     ) or "0"
-    fields = ", ".join(f"{sql_str(c)}, {qi(c)}" for c in cols)
-    entries = [f"named_struct('{MASK}', {qi(MASK)} & ({vs.all_mask} - ({cleared})), {fields})"]
-    for i, (ch, f) in enumerate(zip(changes, flags)):
-        if ch.mode == "delete":
-            continue
-        vals = []
-        for j, c in enumerate(cols):
-            if c in ch.updates:
-                u = ch.updates[c]
-                e = f"({u})" if isinstance(u, str) else qi(f"_u{i}_{j}")
-                vals.append(f"{sql_str(c)}, CAST({e} AS {types[c].simpleString()})")
-            else:
-                vals.append(f"{sql_str(c)}, {qi(c)}")
-        entries.append(
-            f"CASE WHEN {qi(f)} THEN named_struct('{MASK}', CAST({vs.bit(ch.variant)} AS BIGINT), "
-            f"{', '.join(vals)}) END"
+    entries = ["0"] + [
+        f"CASE WHEN {qi(f)} THEN {i + 1} END"
+        for i, (ch, f) in enumerate(zip(changes, flags))
+        if ch.mode != "delete"
+    ]
+    exploded = pre.selectExpr("*", f"explode(array({', '.join(entries)})) AS _which").filter(
+        "_which IS NOT NULL"
+    )
+    mask = (
+        f"CASE _which WHEN 0 THEN {qi(MASK)} & ({vs.all_mask} - ({cleared})) "
+        + " ".join(
+            f"WHEN {i + 1} THEN CAST({vs.bit(ch.variant)} AS BIGINT)"
+            for i, ch in enumerate(changes)
+            if ch.mode != "delete"
         )
-    return (
-        pre.selectExpr(f"explode(array({', '.join(entries)})) AS _row")
-        .filter(f"_row IS NOT NULL AND _row.{MASK} <> 0")
-        .selectExpr(*[f"_row.{qi(c)} AS {qi(c)}" for c in cols], f"_row.{MASK} AS {MASK}")
+        + " END"
     )
+    out_cols = []
+    for j, c in enumerate(cols):
+        cases = []
+        for i, ch in enumerate(changes):
+            if ch.mode != "delete" and c in ch.updates:
+                u = ch.updates[c]
+                e = f"({u})" if isinstance(u, str) else qi(f"_u{i}_{j}")
+                cases.append(f"WHEN {i + 1} THEN CAST({e} AS {types[c].simpleString()})")
+        expr = f"CASE _which {' '.join(cases)} ELSE {qi(c)} END" if cases else qi(c)
+        out_cols.append(f"{expr} AS {qi(c)}")
+    return exploded.selectExpr(*out_cols, f"{mask} AS {MASK}").filter(f"{MASK} <> 0")
 
 
 def expand(df: DataFrame, vs: VariantSet, variant_col: str = "variant") -> DataFrame:

@@ -69,11 +69,12 @@ class Campaign:
     faults: Sequence[FaultSpec] = field(default_factory=default_faults)
     seed: int = DEFAULT_SEED
     baseline_controls: Sequence[Control] = BASELINE_CONTROLS
-    # How shared intermediates (the stacked orders and the enriched variant table)
-    # are kept between the campaign's jobs: "cache" (executor memory and disk; lost
-    # blocks are recomputed from lineage), "checkpoint" (written to the shared
-    # checkpoint folder) or "none" (recomputed by every job).
-    materialize: str = "cache"
+    # How the large shared intermediates (the stacked orders and the enriched variant
+    # table) are kept between the campaign's jobs: "none" (default: every job reads
+    # only the columns it needs from the sources), "cache" (executor memory and disk;
+    # lost blocks are recomputed from lineage) or "checkpoint" (written to the shared
+    # checkpoint folder). Small aggregated results are always kept.
+    materialize: str = "none"
     # Source tables ``raw_customers`` / ``raw_orders``; read from ``sf_dir`` if None.
     tables_in: dict[str, DataFrame] | None = None
 
@@ -162,9 +163,13 @@ class Campaign:
 
     @functools.cached_property
     def baseline_results(self) -> DataFrame:
-        """Baseline control results, kept: the gap decision and the final matrices
-        both read them, so the controls run once per campaign."""
-        return self._keep(self.control_results(self.baseline_controls))
+        """Baseline control results, kept (one row per variant and control): the gap
+        decision and the final matrices both read them, so the controls run once."""
+        df = self.control_results(self.baseline_controls).persist(StorageLevel.MEMORY_AND_DISK)
+        if not hasattr(self, "_kept"):
+            self._kept = []
+        self._kept.append(df)
+        return df
 
     def baseline_matrix(self) -> DataFrame:
         return detection_matrix(self.baseline_results, self.fault_table())
