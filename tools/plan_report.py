@@ -39,8 +39,8 @@ def main() -> None:
     print("# Physical plans of the registered queries\n")
     print(f"`explain(\"formatted\")` at `{sf}` (AQE initial plans; counts of plan nodes, "
           "including subqueries and cached sub-plans). Generated by `tools/plan_report.py`.\n")
-    print("| query | " + " | ".join(PATTERNS) + " |")
-    print("|---|" + "---|" * len(PATTERNS))
+    print("| query | " + " | ".join(PATTERNS) + " | widest scan (columns) |")
+    print("|---|" + "---|" * (len(PATTERNS) + 1))
     flagged = []
     for name in qs:
         df = qs[name](spark, sf)
@@ -53,7 +53,8 @@ def main() -> None:
         keyed_sort = re.findall(r"^\(\d+\) SortAggregate\n(?:.*\n)*?Keys \[\d+\]: \[", text, re.M)
         if counts["nested_loop"] or keyed_sort:
             flagged.append(name)
-        print(f"| {name} | " + " | ".join(str(counts[k]) for k in PATTERNS) + " |")
+        widths = [len(re.findall(r"[A-Za-z_]+:", m)) for m in re.findall(r"^ReadSchema: struct<(.*)>$", text, re.M)]
+        print(f"| {name} | " + " | ".join(str(counts[k]) for k in PATTERNS) + f" | {max(widths, default=0)} |")
     print()
     print("Queries with a nested-loop/cartesian join or a keyed sort-based aggregate: "
           + (", ".join(flagged) if flagged else "none") + ".")
