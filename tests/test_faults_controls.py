@@ -141,3 +141,28 @@ def test_unknown_fault_kind_is_refused(spark):
     ]
     with pytest.raises(FaultError):
         apply_faults(fixture_tables(spark), PRIMARY_KEYS, [FaultSpec("f", "teleport_rows", "raw_orders", {})], 1)
+
+
+def test_wide_aggregate_with_null_measures(spark):
+    rows = [(k, k % 3, None if k % 3 == 2 or (k % 2 and k % 3 == 1) else k) for k in range(30)]
+    df = spark.createDataFrame(rows, "k int, g int, x int")
+    vs = VariantSet.of(["a", "b"])
+    st = stack(df, vs, [
+        RowChange("a", "k < 6", "update", {"x": "NULL"}),
+        RowChange("b", "g = 0", "delete"),
+    ])
+    agg = wide_aggregate(st, vs, ["g"], [("n", "count", None), ("s", "sum", F.col("x")), ("m", "max", F.col("x"))])
+    got = {(r["variant"], r["g"], r["n"], r["s"], r["m"]) for r in expand(agg, vs).collect()}
+
+    def naive(variant):
+        out = {}
+        for k, g, x in rows:
+            if variant == "b" and g == 0:
+                continue
+            if variant == "a" and k < 6:
+                x = None
+            n, s, m = out.get(g, (0, None, None))
+            out[g] = (n + 1, s if x is None else (s or 0) + x, m if x is None else max(m if m is not None else x, x))
+        return {(variant, g, *v) for g, v in out.items()}
+
+    assert got == naive("clean") | naive("a") | naive("b")
