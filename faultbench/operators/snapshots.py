@@ -94,15 +94,15 @@ class EvidenceConflict(RuntimeError):
     pass
 
 
-def write_evidence(df: DataFrame, path: str) -> str:
+def write_evidence(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     """Write-once evidence: a new path is written; an existing one must hold exactly
     the same rows (multiset, compared with ``exceptAll`` both ways) or it is an error.
     Returns ``"written"`` or ``"identical"``."""
     spark = df.sparkSession
-    if _readable(spark, "parquet", path):
-        old = spark.read.parquet(path)
+    if _readable(spark, fmt, path):
+        old = spark.read.format(fmt).schema(df.schema).load(path)
         if old.exceptAll(df).isEmpty() and df.exceptAll(old).isEmpty():
             return "identical"
         raise EvidenceConflict(f"{path} already holds different evidence")
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").format(fmt).save(path)
     return "written"

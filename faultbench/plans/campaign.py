@@ -319,3 +319,21 @@ class Campaign:
             "mutated_rows",
             F.round(F.col("violation_count") / F.col("mutated_rows"), 4).alias("recall"),
         )
+
+    # -- evidence -----------------------------------------------------------
+    def write_evidence(self, root: str) -> dict[str, str]:
+        """Write the campaign's results as write-once JSON under
+        ``<root>/m-<manifest digest>``: a replay with identical results succeeds,
+        different results for the same manifest raise ``EvidenceConflict``."""
+        from faultbench.operators.snapshots import write_evidence
+        from faultbench.plans.manifest import manifest_sha256
+
+        base = f"{root.rstrip('/')}/m-{manifest_sha256(self.faults, self.seed)[:16]}"
+        parts = {
+            "coverage": self.coverage_report(),
+            "detection_matrix": self.matrices(),
+            "table_checksums": self.checksums(),
+            "mutation_evidence": self.mutation_evidence(),
+            "blast_radius": self.radius_comparison(),
+        }
+        return {name: write_evidence(df, f"{base}/{name}", "json") for name, df in parts.items()}

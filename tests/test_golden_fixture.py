@@ -94,3 +94,19 @@ def test_materialize_modes_agree(spark, camp, mode):
         )
     finally:
         other.close()
+
+
+def test_campaign_evidence_is_write_once(spark, camp):
+    import tempfile
+
+    from faultbench.operators.snapshots import EvidenceConflict
+
+    root = tempfile.mkdtemp(prefix="fb-evidence-")
+    assert set(camp.write_evidence(root).values()) == {"written"}
+    assert set(camp.write_evidence(root).values()) == {"identical"}
+    other = Campaign(spark, "unused", faults=_fixture_faults(), tables_in=fixture_tables(spark, seed=7))
+    try:
+        with pytest.raises(EvidenceConflict):
+            other.write_evidence(root)
+    finally:
+        other.close()
