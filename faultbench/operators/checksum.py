@@ -49,6 +49,13 @@ def table_checksums(tables: Mapping[str, DataFrame], vs: VariantSet | None = Non
     for name, df in tables.items():
         part = _hashed(df, name, vs)
         hashed = part if hashed is None else hashed.unionByName(part)
+    # One row per table in no variant (mask 0): an empty table still reports
+    # row_count 0 and checksum '0' for every variant.
+    spark = hashed.sparkSession
+    sentinel = spark.createDataFrame(
+        [(name, 0, None) for name in tables], "table_name string, _vmask bigint, _h bigint"
+    )
+    hashed = hashed.unionByName(sentinel)
     hi, mid, lo = hash_parts_sql("_h")
     sums = per_variant(
         hashed,

@@ -166,3 +166,12 @@ def test_wide_aggregate_with_null_measures(spark):
         return {(variant, g, *v) for g, v in out.items()}
 
     assert got == naive("clean") | naive("a") | naive("b")
+
+
+def test_checksum_of_empty_table(spark):
+    empty = spark.range(0).withColumnRenamed("id", "k")
+    vs = VariantSet.of(["a"])
+    rows = {(r["variant"], r["table_name"]): (r["row_count"], r["checksum"])
+            for r in table_checksums({"e": empty, "t": spark.range(3)}, vs).collect()}
+    assert rows[("clean", "e")] == (0, "0") and rows[("a", "e")] == (0, "0")
+    assert rows[("clean", "t")][0] == 3
