@@ -7,11 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from faultbench.llm.bpe_codec import encode_decode_digests
 from faultbench.llm.common import read_table
 from faultbench.llm.sharding import shard_documents
 from faultbench.llm.token_counts import count_tokens
 
 
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode_digests(
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+
+
 def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=40)
 
@@ -23,6 +30,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe_codec": op3_bpe_codec,
     "op6_jump_shards": op6_jump_shards,
     "op10_token_counts": op10_token_counts,
 }
