@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultbench.llm.bpe_codec import encode_decode_digests
 from faultbench.llm.common import read_table
 from faultbench.llm.sharding import shard_documents
+from faultbench.llm.simhash import near_duplicates
 from faultbench.llm.token_counts import count_tokens
 
 
@@ -19,6 +21,11 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, max_distance=4, seed=42)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=40)
 
@@ -31,6 +38,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_codec": op3_bpe_codec,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_jump_shards": op6_jump_shards,
     "op10_token_counts": op10_token_counts,
 }
