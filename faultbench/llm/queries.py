@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from faultbench.llm.bpe_codec import encode_decode_digests
 from faultbench.llm.common import read_table
+from faultbench.llm.quality_rules import quality_rules
 from faultbench.llm.sharding import shard_documents
 from faultbench.llm.simhash import near_duplicates
 from faultbench.llm.token_counts import count_tokens
@@ -26,6 +27,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=40)
 
@@ -39,6 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_codec": op3_bpe_codec,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op6_jump_shards": op6_jump_shards,
     "op10_token_counts": op10_token_counts,
 }
