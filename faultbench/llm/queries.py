@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from faultbench.llm.bpe_codec import encode_decode_digests
 from faultbench.llm.common import read_table
+from faultbench.llm.quality_cnn import held_out, score, train
 from faultbench.llm.quality_rules import quality_rules
 from faultbench.llm.sharding import shard_documents
 from faultbench.llm.simhash import near_duplicates
@@ -35,6 +36,17 @@ def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = train(docs, read_table(spark, sf_dir, "labels"))
+    return score(docs, net, threshold=0.7).select(
+        "doc_id",
+        held_out().alias("held_out"),
+        F.col("_score").alias("score"),
+        F.col("_predicted").alias("predicted"),
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024
@@ -46,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_jump_shards": op6_jump_shards,
+    "op9_quality_cnn": op9_quality_cnn,
     "op10_token_counts": op10_token_counts,
 }
 
