@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from faultbench.llm.common import sliced, strings
 
@@ -213,7 +214,7 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
     weights = net.p
     docs = docs.drop("_score", "_predicted")
     names = docs.columns
-    schema = docs.schema.add("_score", "double").add("_predicted", "int")
+    schema = StructType([*docs.schema, StructField("_score", DoubleType()), StructField("_predicted", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network()
