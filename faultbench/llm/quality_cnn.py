@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Net
     )
     # Ids and labels only, how.rows of them at most, whatever the size of the tables.
     chosen = F.broadcast(good.union(bad))
-    sample = fitting.join(chosen, F.col("_d") == F.col("_id")).select("_id", "_y", "text")
+    sample = fitting.join(chosen, F.col("_d") == F.col("_id")).select("_id", "_y", "text", F.lit(1).alias("_all"))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_id", "text"], na_position="first").drop_duplicates("_id")
@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Net
         net = Network(how.seed).fit(texts, rows["_y"].to_numpy(np.float32), how)
         return pd.DataFrame({"weights": [pickle.dumps(net.p)]})
 
-    found = sample.groupBy(F.lit(1)).applyInPandas(fit, "weights binary").collect()
+    found = sample.groupBy("_all").applyInPandas(fit, "weights binary").collect()
     net = Network(how.seed)
     if found:
         net.p = pickle.loads(found[0].weights)
