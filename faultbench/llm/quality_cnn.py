@@ -32,11 +32,13 @@ PAD = 32
 @dataclass(frozen=True)
 class Training:
     """The bounded sample and the schedule: at most ``rows`` labelled texts, half of each label,
-    the first by a hash of the id; texts of over ``max_bytes`` bytes are left out of it."""
+    the first by a hash of the id; texts of over ``max_bytes`` bytes are left out of it. A small
+    sample is gone through until ``least_steps`` batches have been learnt from."""
 
     rows: int = 3000
     max_bytes: int = 32_768
     epochs: int = 6
+    least_steps: int = 1500
     batch: int = 16
     rate: float = 0.01
     seed: int = 7
@@ -127,9 +129,10 @@ class Network:
         weights = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        steps = how.epochs * -(-len(texts) // how.batch)
-        t = 0
-        for _ in range(how.epochs):
+        batches = -(-len(texts) // how.batch)
+        epochs = max(how.epochs, -(-how.least_steps // batches))
+        steps, t = epochs * batches, 0
+        for _ in range(epochs):
             order = rng.permutation(len(texts))
             for i in range(0, len(texts), how.batch):
                 own = order[i : i + how.batch]
