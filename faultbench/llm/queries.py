@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultbench.llm.bpe_codec import encode_decode_digests
+from faultbench.llm.chat import MarkedTurns, format_conversations, read_back
 from faultbench.llm.common import read_table
 from faultbench.llm.quality_cnn import held_out, score, train
 from faultbench.llm.quality_rules import quality_rules
@@ -17,6 +18,17 @@ from faultbench.llm.simhash import near_duplicates
 from faultbench.llm.token_counts import count_tokens
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    turns = [(F.lit(-7).cast("long"), F.lit(i).cast("long"), F.lit(r), F.lit(said)) for i, r in enumerate(["user", "assistant"])]
+    names = ["conv_id", "turn", "role", "text"]
+    table = read_table(spark, sf_dir, "conversations").select(*names)
+    for turn in turns:
+        table = table.union(spark.range(1).select(*[c.alias(n) for c, n in zip(turn, names)]))
+    template = MarkedTurns()
+    return read_back(format_conversations(table, template), template)
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digests(
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
