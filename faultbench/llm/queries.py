@@ -12,6 +12,7 @@ from faultbench.llm.bitsliced import top_k
 from faultbench.llm.bpe_codec import encode_decode_digests
 from faultbench.llm.chat import MarkedTurns, format_conversations, read_back
 from faultbench.llm.common import read_table
+from faultbench.llm.packing import pack_documents
 from faultbench.llm.quality_cnn import held_out, score, train
 from faultbench.llm.quality_rules import quality_rules
 from faultbench.llm.sharding import shard_documents
@@ -53,6 +54,12 @@ def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end=0
+    )
+
+
 def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     net = train(docs, read_table(spark, sf_dir, "labels"))
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_jump_shards": op6_jump_shards,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_quality_cnn": op9_quality_cnn,
     "op10_token_counts": op10_token_counts,
 }
