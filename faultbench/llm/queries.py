@@ -13,6 +13,8 @@ from faultbench.llm.bpe_codec import encode_decode_digests
 from faultbench.llm.chat import MarkedTurns, format_conversations, read_back
 from faultbench.llm.common import read_table
 from faultbench.llm.packing import pack_documents
+from faultbench.llm.pii import digests, personal_spans
+from faultbench.llm.pii import train as train_pii
 from faultbench.llm.quality_cnn import held_out, score, train
 from faultbench.llm.quality_rules import quality_rules
 from faultbench.llm.sharding import shard_documents
@@ -60,6 +62,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(personal_spans(docs, train_pii(docs)))
+
+
 def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     net = train(docs, read_table(spark, sf_dir, "labels"))
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_jump_shards": op6_jump_shards,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_skip_chain_pii": op8_skip_chain_pii,
     "op9_quality_cnn": op9_quality_cnn,
     "op10_token_counts": op10_token_counts,
 }
