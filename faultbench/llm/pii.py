@@ -347,10 +347,13 @@ def digests(found: DataFrame) -> DataFrame:
     def shown(of: Column) -> Column:
         return F.array_join(F.transform(of, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
+    def number(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter(spans, lambda s: s.base)
     return found.select(
         "doc_id",
-        *[F.size(F.filter(base, lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *map(number, KINDS),
         F.sha2(shown(base), 256).alias("base_sha256"),
         shown(spans).alias("spans"),
     )
