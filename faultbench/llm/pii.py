@@ -234,7 +234,10 @@ class SkipChain:
         return self
 
     def marginals(self, g: Graph, rounds: int = 30, damping: float = 0.5) -> np.ndarray:
-        """Label probabilities by loopy message passing, all messages of a round at once."""
+        """Label probabilities by loopy message passing, all messages of a round at once.
+
+        The number of rounds is fixed, so a document's result doesn't depend on its batch.
+        """
         field = g.x @ self.unary
         known = np.flatnonzero(g.base)
         field[known] = 0
@@ -253,10 +256,7 @@ class SkipChain:
             top = out.max(axis=1)
             new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
             new = np.clip(new - new.max(axis=1, keepdims=True), -CLAMP * 4, 0)
-            moved = np.abs(new - msg).max()
             msg = damping * msg + (1 - damping) * new
-            if moved < 1e-3:
-                break
         if m:
             total = field.copy()
             np.add.at(total, dst, msg)

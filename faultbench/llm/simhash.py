@@ -46,16 +46,21 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """Rows (doc_id, fp): the fingerprint as a signed bigint."""
+    """Rows (doc_id, row, fp): a key of id and text, and the fingerprint as a signed bigint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             fps = np.array([fingerprint(t, shingle, seed) for t in strings(batch)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64), pa.int64())], names=["doc_id", "fp"]
+                [batch.column("doc_id").cast(pa.int64()), batch.column("row"), pa.array(fps.view(np.int64), pa.int64())],
+                names=["doc_id", "row", "fp"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", _row().alias("row"), "text").mapInArrow(run, "doc_id long, row long, fp long")
+
+
+def _row() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
 def _segments(max_distance: int) -> list[tuple[int, int]]:
@@ -103,6 +108,19 @@ def links(nodes: DataFrame, max_distance: int) -> DataFrame:
     return a.join(b, ["k", "part"]).where((F.col("a") < F.col("b")) & once & near).select("a", "b").distinct()
 
 
+def _grouped(docs: DataFrame, shingle: int, max_distance: int, seed: int) -> DataFrame:
+    """Rows (doc_id, row, fp, root, component_id); root is the component's smallest fingerprint."""
+    fps = checkpointed(fingerprints(docs, shingle, seed))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(links(nodes.select("fp"), max_distance))
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = placed.join(least, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
+    return fps.join(named, fps["fp"] == named["_fp"]).drop("_fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, seed: int = 42) -> DataFrame:
     """Per row of ``docs``: doc_id, fp (signed bigint), component_id.
 
@@ -111,12 +129,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, se
     fingerprint zero and are linked like any other; repeated rows share a component; an empty
     table gives an empty result; extra columns are ignored.
     """
-    fps = checkpointed(fingerprints(docs, shingle, seed))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(nodes.select("fp"), max_distance))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return fps.join(named, fps["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
+    return _grouped(docs, shingle, max_distance, seed).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, max_distance: int = 4, seed: int = 42) -> DataFrame:
+    """One row of ``docs``, all columns, of each component: the one with the smallest doc_id."""
+    grouped = _grouped(docs, shingle, max_distance, seed)
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first")
+    kept = grouped.groupBy("root").agg(first).select(F.col("first.row").alias("_kept"))
+    names = docs.columns
+    rows = docs.withColumn("_row", _row())
+    # Repeated rows have one key; the join has brought them together already.
+    return rows.join(kept, rows["_row"] == kept["_kept"]).dropDuplicates(["_row"]).select(*names)
