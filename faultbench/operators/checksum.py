@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultbench.functions.hashing import (
@@ -78,23 +78,29 @@ def table_checksum(df: DataFrame, table_name: str, vs: VariantSet | None = None)
 def observed_blast_radius(checksums: DataFrame) -> DataFrame:
     """Per (fault variant, table): did the checksum or row count move off clean?
 
-    Full outer join on table_name so a table missing on one side is reported too.
+    The clean values are spread over the table's rows by a window over the checksum rows
+    (one per variant and table), so the checksums are computed once. A table that only
+    clean has is reported with a NULL fault.
     """
-    clean = checksums.filter(F.col("variant") == CLEAN).select(
+    per_table = Window.partitionBy("table_name")
+    is_clean = F.col("variant") == CLEAN
+    rows = checksums.select(
+        F.when(~is_clean, F.col("variant")).alias("fault_id"),
         "table_name",
-        F.col("row_count").alias("clean_row_count"),
-        F.col("checksum").alias("clean_checksum"),
+        F.max(F.when(is_clean, F.col("row_count"))).over(per_table).alias("clean_row_count"),
+        F.when(~is_clean, F.col("row_count")).alias("fault_row_count"),
+        F.max(F.when(is_clean, F.col("checksum"))).over(per_table).alias("_clean"),
+        F.when(~is_clean, F.col("checksum")).alias("_fault"),
+        F.count(F.when(~is_clean, 1)).over(per_table).alias("_faults"),
     )
-    faulted = checksums.filter(F.col("variant") != CLEAN).withColumnRenamed("variant", "fault_id")
-    j = faulted.join(clean, "table_name", "full_outer")
-    return j.select(
+    return rows.filter("fault_id IS NOT NULL OR _faults = 0").select(
         "fault_id",
         "table_name",
         "clean_row_count",
-        F.col("row_count").alias("fault_row_count"),
+        "fault_row_count",
         (
-            ~F.col("checksum").eqNullSafe(F.col("clean_checksum"))
-            | ~F.col("row_count").eqNullSafe(F.col("clean_row_count"))
+            ~F.col("_fault").eqNullSafe(F.col("_clean"))
+            | ~F.col("fault_row_count").eqNullSafe(F.col("clean_row_count"))
         ).alias("changed"),
     )
 

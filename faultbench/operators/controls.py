@@ -18,11 +18,11 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultbench.functions.hashing import sql_str
-from faultbench.operators.variants import CLEAN, VariantSet, per_variant, with_mask
+from faultbench.operators.variants import CLEAN, MASK, VariantSet, per_variant, with_mask
 
 _IDENT = re.compile(r"^[a-z_][a-z0-9_]*$")
 
@@ -116,32 +116,32 @@ def _unique_control_wide(df: DataFrame, vs: VariantSet, c: Control) -> DataFrame
 def _orphan_control(df: DataFrame, parent: DataFrame, vs: VariantSet, c: Control) -> DataFrame:
     """Child rows whose key has no parent row in the same variant.
 
-    Parent keys are reduced to (key, OR of masks) first, so the join side is one row
-    per key; the join strategy is left to AQE.
+    Both sides are reduced first: parents to (key, OR of masks), children to a count per
+    (key, mask), on the map side. A hot key is a few rows when it reaches the join.
     """
-    df, parent = with_mask(df, vs), with_mask(parent, vs)
-    pkeys = parent.groupBy(
-        *[F.col(p).alias(f"_k{i}") for i, p in enumerate(c.parent_columns)]
-    ).agg(F.bit_or("_vmask").alias("_pmask"))
-    cond = None
-    for i, col in enumerate(c.columns):
-        e = F.col(col) == F.col(f"_k{i}")
-        cond = e if cond is None else cond & e
-    notnull = None
-    for col in c.columns:
-        e = F.col(col).isNotNull()
-        notnull = e if notnull is None else notnull & e
-    j = df.filter(notnull).join(pkeys, cond, "left")
-    orphan_mask = F.col("_vmask").bitwiseAND(
-        F.lit(vs.all_mask) - F.coalesce(F.col("_pmask"), F.lit(0))
+    keys = [f"_k{i}" for i in range(len(c.columns))]
+    children = (
+        with_mask(df, vs)
+        .select(*[F.col(x).alias(k) for x, k in zip(c.columns, keys)], MASK)
+        .dropna(subset=keys)
+        .groupBy(*keys, MASK)
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    j = j.select(orphan_mask.alias("_vmask"))
-    sums = per_variant(j, vs, [("violation_count", "count", None)])
+    parents = (
+        with_mask(parent, vs)
+        .select(*[F.col(x).alias(k) for x, k in zip(c.parent_columns, keys)], MASK)
+        .groupBy(*keys)
+        .agg(F.bit_or(MASK).alias("_pmask"))
+    )
+    orphans = children.join(parents, keys, "left").selectExpr(
+        "_n", f"{MASK} & ~coalesce(_pmask, 0) AS {MASK}"
+    )
+    sums = per_variant(orphans, vs, [("violation_count", "sum", "_n")])
     return sums.select(
         "variant",
         F.lit(c.control_id).alias("control_id"),
         F.lit(c.target_table).alias("target_table"),
-        F.col("violation_count").cast("bigint"),
+        F.coalesce("violation_count", F.lit(0)).cast("bigint").alias("violation_count"),
     )
 
 
@@ -173,14 +173,30 @@ def evaluate_controls(
     return out.withColumn("passed", F.col("violation_count") == 0)
 
 
+def against_clean(results: DataFrame) -> DataFrame:
+    """Results with ``clean_count``, the control's violations on the clean table, and
+    ``detects``: it counts more violations on the variant than on clean. What was wrong
+    before a fault says nothing about the fault."""
+    clean = F.max(F.when(F.col("variant") == CLEAN, F.col("violation_count")))
+    return results.withColumn(
+        "clean_count", F.coalesce(clean.over(Window.partitionBy("control_id")), F.lit(0))
+    ).withColumn("detects", (F.col("variant") != CLEAN) & (F.col("violation_count") > F.col("clean_count")))
+
+
+def failing_on_clean(results: DataFrame) -> DataFrame:
+    """``(control_id, target_table, violation_count)`` of controls that fail on clean data."""
+    return results.filter((F.col("variant") == CLEAN) & ~F.col("passed")).select(
+        "control_id", "target_table", "violation_count"
+    )
+
+
 def detection_matrix(results: DataFrame, faults: DataFrame) -> DataFrame:
-    """Per fault: failing controls (sorted, comma-joined), count and detected flag.
+    """Per fault: detecting controls (sorted, comma-joined), count and detected flag.
 
-    ``faults``: ``(fault_id, kind)``. Like the reference semantics, a fault is detected
-    when any control fails on its variant.
+    ``faults``: ``(fault_id, kind)``. A control detects a fault when it counts more
+    violations on its variant than on the clean table (see :func:`against_clean`).
     """
-    failing = results.filter((F.col("variant") != CLEAN) & ~F.col("passed"))
-    per_fault = failing.groupBy(F.col("variant").alias("fault_id")).agg(
+    per_fault = against_clean(results).filter("detects").groupBy(F.col("variant").alias("fault_id")).agg(
         F.concat_ws(",", F.sort_array(F.collect_list("control_id"))).alias("failing_control_ids"),
         F.count(F.lit(1)).alias("failing_controls"),
     )

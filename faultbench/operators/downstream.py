@@ -6,9 +6,10 @@ variant table every variant is rebuilt in the same job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultbench.functions.hashing import qi
 from faultbench.operators.variants import MASK, VariantSet, wide_aggregate, with_mask
 
 # Managed tables in dependency order (fixed names of the campaign's data model).
@@ -17,93 +18,45 @@ DERIVED_TABLES = ("orders_enriched", "daily_revenue", "customer_value", "executi
 MANAGED_TABLES = SOURCE_TABLES + DERIVED_TABLES
 
 
-def build_enriched(
-    orders: DataFrame, customers: DataFrame, vs: VariantSet, *, customers_vary: bool = False
+ATTRIBUTES = ("customer_name", "segment", "country_code")
+
+
+def join_customers(
+    left: DataFrame, customers: DataFrame, vs: VariantSet, *, customers_vary: bool = False
 ) -> DataFrame:
-    """Left join orders -> customers on customer_id; keeps the order's key.
+    """Left join a variant table with ``customer_id`` to customers, for every variant.
 
-    Both sides are variant tables; a pair joins only in the variants both rows are in.
-    Variants of an order row that no customer row of its key covers keep the order
-    with NULL customer attributes (left-join semantics per variant). The join strategy
+    Returns the columns of ``left`` and the customer attributes. A row keeps NULL
+    attributes in the variants in which no customer row has its key. The join strategy
     is left to AQE: broadcast when the customer side is small at runtime, otherwise a
-    sort-merge join whose skewed (hot or NULL) key partitions AQE splits.
+    sort-merge join between two plain shuffles, whose hot or NULL key AQE can split.
 
-    ``customers_vary`` must be set when a fault changes customer rows; the key
-    coverage of the customer side is then computed with a window on the join key,
-    which reuses the join's clustering.
+    ``customers_vary`` must be set when a fault changes customer rows. Every key then
+    gets one more customer row, without attributes, in the variants in which it has no
+    row; so a left row emits its unmatched part once, however many customer rows share
+    the key.
     """
-    o = with_mask(orders, vs)
+    cols = [qi(c) for c in left.columns if c != MASK]
+    attrs = [qi(a) for a in ATTRIBUTES]
     if not customers_vary:
-        return _enrich_plain(o, customers)
-    c = with_mask(customers, vs).withColumnRenamed(MASK, "_cmask")
-    if customers_vary:
-        c = c.withColumn("_cov", F.bit_or("_cmask").over(Window.partitionBy("customer_id")))
-    else:
-        c = c.withColumn("_cov", F.lit(vs.all_mask).cast("bigint"))
-    o, c = o.alias("o"), c.alias("c")
-    om, cm, cov = F.col(f"o.{MASK}"), F.col("c._cmask"), F.col("c._cov")
-    joined = o.join(
-        c,
-        (F.col("o.customer_id") == F.col("c.customer_id")) & (om.bitwiseAND(cm) != 0),
-        "left",
-    )
-    covered = om.bitwiseAND(cov)
-    lowest = covered.bitwiseAND(-covered)
-    unmatched = (
-        F.when(cm.isNull(), om)
-        .when(cm.bitwiseAND(lowest) != 0, om - covered)
-        .otherwise(F.lit(0).cast("bigint"))
-    )
-    attrs = ("customer_name", "segment", "country_code")
-    out_cols = (
-        "order_id", "customer_id", *attrs, "order_ts", "order_date",
-        "amount_cents", "currency", "source_partition",
-    )
-    value = {
-        "order_id": F.col("o.order_id"),
-        "customer_id": F.col("o.customer_id"),
-        "order_ts": F.col("o.order_ts"),
-        "order_date": F.col("o.order_ts").cast("date"),
-        "amount_cents": F.col("o.amount_cents"),
-        "currency": F.col("o.currency"),
-        "source_partition": F.col("o.source_partition"),
-        **{a: F.col(f"c.{a}") for a in attrs},
-    }
-    matched_row = F.struct(
-        *[value[n].alias(n) for n in out_cols],
-        F.coalesce(om.bitwiseAND(cm), F.lit(0).cast("bigint")).alias(MASK),
-    )
-    unmatched_row = F.struct(
-        *[(F.lit(None).cast("string") if n in attrs else value[n]).alias(n) for n in out_cols],
-        unmatched.alias(MASK),
-    )
-    return (
-        joined.select(F.explode(F.array(matched_row, unmatched_row)).alias("_r"))
-        .filter(F.col(f"_r.{MASK}") != 0)
-        .select("_r.*")
-    )
+        c = customers.selectExpr("customer_id AS _ck", *attrs)
+        return left.join(c, F.col("customer_id") == F.col("_ck"), "left").selectExpr(*cols, *attrs, MASK)
+    c = with_mask(customers, vs).selectExpr("customer_id AS _ck", *attrs, f"{MASK} AS _cm")
+    absent = c.groupBy("_ck").agg(F.expr(f"{vs.all_mask} & ~bit_or(_cm) AS _cm")).filter("_cm != 0")
+    c = c.unionByName(absent.selectExpr("_ck", *[f"CAST(NULL AS STRING) AS {a}" for a in attrs], "_cm"))
+    joined = left.join(c, F.col("customer_id") == F.col("_ck"), "left")
+    mask = f"CASE WHEN _cm IS NULL THEN {MASK} ELSE {MASK} & _cm END"
+    return joined.selectExpr(*cols, *attrs, f"{mask} AS {MASK}").filter(f"{MASK} != 0")
 
 
-def _enrich_plain(o: DataFrame, customers: DataFrame) -> DataFrame:
-    """Customers identical in every variant: a plain left join keeps the order row's
-    mask. A plain projection (no generator) keeps the join's clustering on
-    ``customer_id``, so ``customer_value`` needs no further shuffle after a sort-merge
-    join."""
-    c = customers.drop(MASK) if MASK in customers.columns else customers
-    j = o.alias("o").join(c.alias("c"), F.col("o.customer_id") == F.col("c.customer_id"), "left")
-    return j.selectExpr(
-        "o.order_id AS order_id",
-        "o.customer_id AS customer_id",
-        "c.customer_name AS customer_name",
-        "c.segment AS segment",
-        "c.country_code AS country_code",
-        "o.order_ts AS order_ts",
-        "CAST(o.order_ts AS DATE) AS order_date",
-        "o.amount_cents AS amount_cents",
-        "o.currency AS currency",
-        "o.source_partition AS source_partition",
-        f"o.{MASK} AS {MASK}",
-    )
+def build_enriched(
+    orders: DataFrame, customers: DataFrame, vs: VariantSet, *, customers_vary: bool = False
+) -> DataFrame:
+    """Orders with their customer's attributes; keeps orders without a customer."""
+    return join_customers(with_mask(orders, vs), customers, vs, customers_vary=customers_vary).selectExpr(
+        "order_id", "customer_id", *ATTRIBUTES, "order_ts", "CAST(order_ts AS DATE) AS order_date",
+        "amount_cents", "currency", "source_partition", MASK,
+    )
 
 
 def daily_revenue(enriched: DataFrame, vs: VariantSet) -> DataFrame:
@@ -115,18 +68,35 @@ def daily_revenue(enriched: DataFrame, vs: VariantSet) -> DataFrame:
     )
 
 
-def customer_value(enriched: DataFrame, vs: VariantSet) -> DataFrame:
-    """NULL customer keys form one group, as in SQL GROUP BY."""
-    return wide_aggregate(
-        enriched,
+def customer_value(
+    orders: DataFrame, customers: DataFrame, vs: VariantSet, *, customers_vary: bool = False
+) -> DataFrame:
+    """Totals per customer. NULL customer keys form one group, as in SQL GROUP BY.
+
+    Orders are summed by key before the join, on the map side first, so a hot or NULL
+    key is a few rows by the time it is shuffled or joined. Customer rows that share a
+    key each get the key's totals; equal ones are summed.
+    """
+    per_key = wide_aggregate(
+        with_mask(orders, vs),
         vs,
-        ["customer_id", "customer_name", "segment", "country_code"],
+        ["customer_id"],
         [
             ("order_count", "count", None),
             ("lifetime_value_cents", "sum", F.col("amount_cents")),
             ("last_order_ts", "max", F.col("order_ts")),
         ],
     )
+    return wide_aggregate(
+        join_customers(per_key, customers, vs, customers_vary=customers_vary),
+        vs,
+        ["customer_id", *ATTRIBUTES],
+        [
+            ("order_count", "sum", F.col("order_count")),
+            ("lifetime_value_cents", "sum", F.col("lifetime_value_cents")),
+            ("last_order_ts", "max", F.col("last_order_ts")),
+        ],
+    )
 
 
 def executive_dashboard(customer_value_df: DataFrame, vs: VariantSet) -> DataFrame:
@@ -152,7 +122,7 @@ def build_tables(
     customers = with_mask(customers, vs)
     orders = with_mask(orders, vs)
     enriched = build_enriched(orders, customers, vs, customers_vary=customers_vary)
-    cv = customer_value(enriched, vs)
+    cv = customer_value(orders, customers, vs, customers_vary=customers_vary)
     return {
         "raw_customers": customers,
         "raw_orders": orders,

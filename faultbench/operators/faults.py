@@ -7,7 +7,7 @@ copy). All faults of a campaign are applied in one projection by
 
 Kinds (parameters):
 
-* ``numeric_scale`` (column, factor 2..1000): value * factor.
+* ``numeric_scale`` (column, factor 2..1000): value * factor, of any numeric type.
 * ``stale_partition`` (timestamp_column, partition_column, days 1..365,
   group_column): shift timestamp and partition back by ``days``; candidates are the
   latest row of each group (ties by key), and the newest row overall is always taken.
@@ -17,18 +17,19 @@ Kinds (parameters):
   key domain), so the row no longer joins.
 * ``ref_integrity_break``: delete parent rows (run on the parent table).
 * ``payload_key_rename`` (column, key, new_key): schema drift inside a JSON object
-  column: the key is renamed in the selected rows (the table schema stays).
+  column: the top-level key is renamed in the selected rows (the table schema stays).
 
-Table-level schema drift (renamed or retyped columns) changes the schema, so it is not
-a row change: see :func:`drift_schema`.
+:func:`register_fault` adds a kind. Table-level schema drift (renamed or retyped
+columns) changes the schema, so it is not a row change: see :func:`drift_schema`.
 
 Each takes ``row_count`` or ``percent`` of the candidates; asking for more rows than
-exist is an error.
+exist is an error. Rows with a NULL key are never candidates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -36,13 +37,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultbench.functions.hashing import combine_parts, field_text, hash60, hash_parts, key_rank_sql, qi, row_text
+from faultbench.functions.hashing import combine_parts, field_text, hash60, hash_parts, qi, row_text, sql_str
 from faultbench.functions.ordering import pack_sql, packable, unpack_key_sql
 from faultbench.operators.selection import (
     Boundary,
+    SelectionError,
     SelectionRequest,
     resolve_boundaries,
     selection_predicate,
+    share,
 )
 from faultbench.operators.variants import RowChange, VariantSet, as_column, stack, with_mask
 
@@ -53,18 +56,6 @@ DUPLICATE_KEYS = "duplicate_keys"
 JOIN_KEY_CORRUPTION = "join_key_corruption"
 REF_INTEGRITY_BREAK = "ref_integrity_break"
 PAYLOAD_KEY_RENAME = "payload_key_rename"
-FAULT_KINDS = (
-    PAYLOAD_KEY_RENAME,
-    NUMERIC_SCALE,
-    STALE_PARTITION,
-    NULL_DENSITY_SURGE,
-    DUPLICATE_KEYS,
-    JOIN_KEY_CORRUPTION,
-    REF_INTEGRITY_BREAK,
-)
-
-# Selected-key sets up to this many rows are broadcast (8-byte keys: 16 MB).
-BROADCAST_KEYS = 2_000_000
 
 
 class FaultError(ValueError):
@@ -82,12 +73,9 @@ class FaultSpec:
 
     @property
     def changed_columns(self) -> tuple[str, ...]:
-        p = self.parameters
-        if self.kind == STALE_PARTITION:
-            return (str(p["timestamp_column"]), str(p["partition_column"]))
-        if self.kind in (NUMERIC_SCALE, NULL_DENSITY_SURGE, JOIN_KEY_CORRUPTION, PAYLOAD_KEY_RENAME):
-            return (str(p["column"]),)
-        return ("*",)
+        """The columns that change, ``*`` for whole rows."""
+        kind = FAULT_KINDS[self.kind]
+        return tuple(str(self.parameters[name]) for name in kind.changes) or ("*",)
 
 
 @dataclass(frozen=True)
@@ -99,85 +87,169 @@ class FaultPlan:
     flag_column: str | None = None
 
 
+# -- fault kinds ---------------------------------------------------------------------
+
 _IDENT = "^[a-z_][a-z0-9_]*$"
 
+# A check returns the reason why a parameter value is refused, or None.
+Check = Callable[[str, object, Mapping[str, T.DataType], str], "str | None"]
+
+
+def whole_number(low: int, high: int) -> Check:
+    def check(name: str, value: object, types: Mapping[str, T.DataType], key: str) -> str | None:
+        if isinstance(value, bool) or not isinstance(value, int):
+            return f"{name} must be an integer"
+        return None if low <= value <= high else f"{name} is outside {low}..{high}"
+
+    return check
+
+
+def column_of(*kinds: type, not_key: bool = False) -> Check:
+    def check(name: str, value: object, types: Mapping[str, T.DataType], key: str) -> str | None:
+        if not isinstance(value, str) or not re.match(_IDENT, value):
+            return f"{name} is not a safe column name"
+        if value not in types:
+            return f"{name} {value} is not a column of the target"
+        if kinds and not isinstance(types[value], kinds):
+            return f"{name} {value} has type {types[value].simpleString()}"
+        if not_key and value == key:
+            return "the key column cannot be changed by this fault"
+        return None
+
+    return check
+
+
+def json_key(name: str, value: object, types: Mapping[str, T.DataType], key: str) -> str | None:
+    return None if isinstance(value, str) and re.match(_IDENT, value) else f"{name} is not a safe JSON key"
+
+
+@dataclass(frozen=True)
+class FaultKind:
+    """How one kind of fault is checked and turned into a row change.
+
+    ``parameters``: a check for each parameter; ``changes``: the parameters that name the
+    changed columns (none: whole rows); ``updates``: new values by column as SQL text;
+    ``mode``: see :class:`~variants.RowChange`; ``needs``: the parameter whose column must
+    not be NULL in a candidate; ``latest``: the parameters (group, timestamp) if only the
+    latest row of each group is a candidate.
+    """
+
+    name: str
+    parameters: Mapping[str, Check]
+    changes: tuple[str, ...] = ()
+    updates: Callable[[Mapping[str, object]], Mapping[str, str]] = lambda p: {}
+    mode: str = "update"
+    needs: str | None = None
+    latest: tuple[str, str] | None = None
+
+
+FAULT_KINDS: dict[str, FaultKind] = {}
+
+
+def register_fault(kind: FaultKind) -> FaultKind:
+    """Make a fault kind known; a name can be taken once."""
+    if kind.name in FAULT_KINDS:
+        raise FaultError(f"fault kind {kind.name} exists")
+    FAULT_KINDS[kind.name] = kind
+    return kind
+
+
+def _shifted(p: Mapping[str, object]) -> dict[str, str]:
+    ts, part, days = str(p["timestamp_column"]), str(p["partition_column"]), int(p["days"])  # type: ignore[call-overload]
+    return {ts: f"{qi(ts)} - make_dt_interval({days})", part: f"date_sub({qi(part)}, {days})"}
+
+
+def _renamed(p: Mapping[str, object]) -> dict[str, str]:
+    """The object is parsed, so nested keys and text values that look like the key stay.
+    Text that is no object, or has no such key or the new one already, stays as it is."""
+    c, old, new = qi(str(p["column"])), sql_str(str(p["key"])), sql_str(str(p["new_key"]))
+    entries = f"try_cast(try_parse_json({c}) AS MAP<STRING, VARIANT>)"
+    keys = f"map_keys({entries})"
+    renamed = f"transform_keys({entries}, (k, v) -> CASE WHEN k = {old} THEN {new} ELSE k END)"
+    found = f"coalesce(array_contains({keys}, {old}) AND NOT array_contains({keys}, {new}), false)"
+    return {str(p["column"]): f"CASE WHEN {found} THEN to_json({renamed}) ELSE {c} END"}
+
+
+def _on_column(expression: str) -> Callable[[Mapping[str, object]], dict[str, str]]:
+    return lambda p: {str(p["column"]): expression.format(column=qi(str(p["column"])), **{k: v for k, v in p.items() if k != "column"})}
+
+
+register_fault(FaultKind(
+    NUMERIC_SCALE,
+    {"column": column_of(T.NumericType), "factor": whole_number(2, 1000)},
+    changes=("column",),
+    updates=_on_column("{column} * {factor}"),
+))
+register_fault(FaultKind(
+    STALE_PARTITION,
+    {
+        "timestamp_column": column_of(T.TimestampType, T.TimestampNTZType),
+        "partition_column": column_of(T.DateType),
+        "group_column": column_of(),
+        "days": whole_number(1, 365),
+    },
+    changes=("timestamp_column", "partition_column"),
+    updates=_shifted,
+    latest=("group_column", "timestamp_column"),
+))
+register_fault(FaultKind(
+    NULL_DENSITY_SURGE,
+    {"column": column_of(not_key=True)},
+    changes=("column",),
+    updates=_on_column("NULL"),
+    needs="column",
+))
+register_fault(FaultKind(
+    JOIN_KEY_CORRUPTION,
+    {"column": column_of(T.IntegralType, not_key=True)},
+    changes=("column",),
+    updates=_on_column("-{column} - 1"),
+    needs="column",
+))
+register_fault(FaultKind(
+    PAYLOAD_KEY_RENAME,
+    {"column": column_of(T.StringType), "key": json_key, "new_key": json_key},
+    changes=("column",),
+    updates=_renamed,
+    needs="column",
+))
+register_fault(FaultKind(DUPLICATE_KEYS, {}, mode="insert"))
+register_fault(FaultKind(REF_INTEGRITY_BREAK, {}, mode="delete"))
+
 
 def validate_spec(spec: FaultSpec, schema: T.StructType, key: str) -> list[str]:
     """All reasons a spec is refused (empty list = valid)."""
-    import re
-
+    kind = FAULT_KINDS.get(spec.kind)
+    if kind is None:
+        return [f"unknown fault kind {spec.kind}"]
     reasons = []
     p = dict(spec.parameters)
     types = {f.name: f.dataType for f in schema.fields}
-    if spec.kind not in FAULT_KINDS:
-        return [f"unknown fault kind {spec.kind}"]
     if not re.match(_IDENT, spec.fault_id.replace("-", "_")):
         reasons.append("fault_id is not a safe identifier")
     if key not in types:
         reasons.append(f"key column {key} missing from target")
-
-    def integer(name: str, lo: int, hi: int) -> None:
-        v = p.get(name)
-        if isinstance(v, bool) or not isinstance(v, int):
-            reasons.append(f"{name} must be an integer")
-        elif not lo <= v <= hi:
-            reasons.append(f"{name} is outside {lo}..{hi}")
-
-    def column(name: str, kinds: tuple[type, ...] | None = None) -> None:
-        v = p.get(name)
-        if not isinstance(v, str) or not re.match(_IDENT, v):
-            reasons.append(f"{name} is not a safe column name")
-        elif v not in types:
-            reasons.append(f"{name} {v} is not a column of {spec.target_table}")
-        elif kinds and not isinstance(types[v], kinds):
-            reasons.append(f"{name} {v} has type {types[v].simpleString()}")
-
-    if spec.kind == NUMERIC_SCALE:
-        column("column", (T.IntegralType, T.DecimalType))
-        integer("factor", 2, 1000)
-    elif spec.kind == STALE_PARTITION:
-        column("timestamp_column", (T.TimestampType, T.TimestampNTZType))
-        column("partition_column", (T.DateType,))
-        column("group_column")
-        integer("days", 1, 365)
-    elif spec.kind == PAYLOAD_KEY_RENAME:
-        column("column", (T.StringType,))
-        for name in ("key", "new_key"):
-            if not isinstance(p.get(name), str) or not re.match(_IDENT, p[name]):
-                reasons.append(f"{name} is not a safe JSON key")
-    elif spec.kind in (NULL_DENSITY_SURGE, JOIN_KEY_CORRUPTION):
-        kinds = (T.IntegralType,) if spec.kind == JOIN_KEY_CORRUPTION else None
-        column("column", kinds)
-        if p.get("column") == key:
-            reasons.append("the key column cannot be changed by this fault")
+    for name, check in kind.parameters.items():
+        reason = check(name, p.get(name), types, key)
+        if reason:
+            reasons.append(reason)
     if ("row_count" in p) == ("percent" in p):
         reasons.append("exactly one of row_count or percent is required")
     elif "row_count" in p:
-        integer("row_count", 1, 1 << 62)
+        reason = whole_number(1, 1 << 62)("row_count", p["row_count"], types, key)
+        if reason:
+            reasons.append(reason)
     else:
-        integer("percent", 1, 100)
-    allowed = {
-        NUMERIC_SCALE: {"column", "factor"},
-        STALE_PARTITION: {"timestamp_column", "partition_column", "group_column", "days"},
-        NULL_DENSITY_SURGE: {"column"},
-        JOIN_KEY_CORRUPTION: {"column"},
-        DUPLICATE_KEYS: set(),
-        REF_INTEGRITY_BREAK: set(),
-        PAYLOAD_KEY_RENAME: {"column", "key", "new_key"},
-    }[spec.kind] | {"row_count", "percent", "salt"}
-    extra = set(p) - allowed
+        try:
+            share(p["percent"])
+        except SelectionError as e:
+            reasons.append(str(e))
+    extra = set(p) - set(kind.parameters) - {"row_count", "percent", "salt"}
     if extra:
         reasons.append(f"unexpected parameters {sorted(extra)}")
     return reasons
 
 
-def _candidates(spec: FaultSpec, df: DataFrame, key: str) -> DataFrame:
-    p = spec.parameters
-    if spec.kind in (NULL_DENSITY_SURGE, JOIN_KEY_CORRUPTION, PAYLOAD_KEY_RENAME):
-        return df.filter(F.col(str(p["column"])).isNotNull()).select(key)
-    return df.select(key)
-
-
 def _latest_per_group(df: DataFrame, key: str, group: str, ts: str) -> DataFrame:
     """Latest row of each group by (ts desc, key desc); a NULL group is one group.
 
@@ -187,10 +259,11 @@ def _latest_per_group(df: DataFrame, key: str, group: str, ts: str) -> DataFrame
     is packed into a decimal so the aggregate stays hash based.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
+    held = df.filter(F.col(key).isNotNull())
     if packable(types[ts], types[key]):
-        packed = df.groupBy(group).agg(F.expr(f"max({pack_sql(ts, types[ts], key)}) AS _latest"))
+        packed = held.groupBy(group).agg(F.expr(f"max({pack_sql(ts, types[ts], key)}) AS _latest"))
         return packed.selectExpr(f"{unpack_key_sql('_latest')} AS {qi(key)}", "_latest")
-    latest = df.groupBy(group).agg(F.max(F.struct(F.col(ts), F.col(key))).alias("_latest"))
+    latest = held.groupBy(group).agg(F.max(F.struct(F.col(ts), F.col(key))).alias("_latest"))
     return latest.select(F.col(f"_latest.{key}").alias(key), "_latest")
 
 
@@ -208,13 +281,15 @@ def _prepare(spec: FaultSpec, df: DataFrame, key: str, seed: int, index: int) ->
     reasons = validate_spec(spec, df.schema, key)
     if reasons:
         raise FaultError(f"{spec.fault_id}: " + "; ".join(reasons))
+    kind = FAULT_KINDS[spec.kind]
     p = dict(spec.parameters)
     salt = str(p.pop("salt", spec.fault_id))
     count = {k: v for k, v in p.items() if k in ("row_count", "percent")}
-    if spec.kind != STALE_PARTITION:
-        req = SelectionRequest(_candidates(spec, df, key), key, seed, salt, count)
+    if kind.latest is None:
+        eligible = f"{qi(str(p[kind.needs]))} IS NOT NULL" if kind.needs else None
+        req = SelectionRequest(df, key, seed, salt, count, eligible=eligible)
         return _Pending(spec, index, key, salt, req)
-    ts, group = str(p["timestamp_column"]), str(p["group_column"])
+    group, ts = (str(p[name]) for name in kind.latest)
     # One row per group, read by both selection jobs and by the flag join: kept.
     cands = _latest_per_group(df, key, group, ts).persist(StorageLevel.MEMORY_AND_DISK)
     # The newest candidate (= newest row overall) is always selected: it ranks 0.
@@ -226,50 +301,20 @@ def _prepare(spec: FaultSpec, df: DataFrame, key: str, seed: int, index: int) ->
 
 def _finish(pend: _Pending, boundary: Boundary, df: DataFrame, seed: int) -> tuple[DataFrame, FaultPlan]:
     spec, key, req = pend.spec, pend.key, pend.request
-    p = dict(spec.parameters)
+    kind, p = FAULT_KINDS[spec.kind], spec.parameters
     selected = selection_predicate(boundary, seed, pend.salt, key, req.anchor, req.anchor_order)
-    if spec.kind == STALE_PARTITION:
-        ts, part, days = str(p["timestamp_column"]), str(p["partition_column"]), int(p["days"])
+    flag = None
+    if kind.latest is not None:
+        # The selected rows are known by key only: one join for any type and number of
+        # keys, planned by their real size (broadcast or sort-merge).
         flag = f"_sel{pend.index}"
         keyed = req.candidates.filter(selected).select(key).withColumn(flag, F.lit(True))
-        if boundary.n <= BROADCAST_KEYS:  # size bound known from the parameters
-            flagged = df.join(F.broadcast(keyed), key, "left")
-        else:
-            # Too many keys to broadcast. A row can only be selected if its own rank
-            # passes the boundary or it is the anchor, both row-local tests, so only
-            # that fraction of the table goes through the shuffle join; the rest is
-            # passed through unshuffled (two scans instead of a full shuffle).
-            types = {f.name: f.dataType for f in df.schema.fields}
-            own = F.expr(pack_sql(ts, types[ts], key)) == req.anchor
-            maybe = F.coalesce(
-                F.expr(boundary.predicate_sql(f"{key_rank_sql(seed, pend.salt, key)} + 1", key)) | own,
-                F.lit(False),
-            )
-            hit = df.filter(maybe).join(keyed, key, "left")
-            flagged = hit.unionByName(df.filter(~maybe).withColumn(flag, F.lit(None).cast("boolean")))
-        updates = {
-            ts: f"{qi(ts)} - make_dt_interval({days})",
-            part: f"date_sub({qi(part)}, {days})",
-        }
-        change = RowChange(spec.fault_id, f"{qi(flag)} IS NOT NULL", "update", updates)
-        return flagged, FaultPlan(spec, change, boundary, boundary.n, flag)
-    if spec.kind in (NULL_DENSITY_SURGE, JOIN_KEY_CORRUPTION, PAYLOAD_KEY_RENAME):
-        selected = f"{qi(str(p['column']))} IS NOT NULL AND {selected}"
-    c = qi(str(p["column"])) if "column" in p else None
-    if spec.kind == PAYLOAD_KEY_RENAME:
-        renamed = F.regexp_replace(F.col(str(p["column"])), f'"{p["key"]}"\\s*:', f'"{p["new_key"]}":')
-        change = RowChange(spec.fault_id, selected, "update", {str(p["column"]): renamed})
-    elif spec.kind == NUMERIC_SCALE:
-        change = RowChange(spec.fault_id, selected, "update", {str(p["column"]): f"{c} * {int(p['factor'])}"})
-    elif spec.kind == NULL_DENSITY_SURGE:
-        change = RowChange(spec.fault_id, selected, "update", {str(p["column"]): "NULL"})
-    elif spec.kind == JOIN_KEY_CORRUPTION:
-        change = RowChange(spec.fault_id, selected, "update", {str(p["column"]): f"-{c} - 1"})
-    elif spec.kind == DUPLICATE_KEYS:
-        change = RowChange(spec.fault_id, selected, "insert", {})
-    else:  # REF_INTEGRITY_BREAK
-        change = RowChange(spec.fault_id, selected, "delete", {})
-    return df, FaultPlan(spec, change, boundary, boundary.n)
+        df = df.join(keyed, key, "left")
+        selected = f"{qi(flag)} IS NOT NULL"
+    elif kind.needs:
+        selected = f"{qi(str(p[kind.needs]))} IS NOT NULL AND {selected}"
+    change = RowChange(spec.fault_id, selected, kind.mode, dict(kind.updates(p)))
+    return df, FaultPlan(spec, change, boundary, boundary.n, flag)
 
 
 @dataclass
@@ -334,7 +379,7 @@ def apply_faults(
         out[name] = stacked.drop(*flags) if flags else stacked
     order = {s.fault_id: i for i, s in enumerate(specs)}
     plans.sort(key=lambda pl: order[pl.spec.fault_id])
-    kept = [pd.request.candidates for pd in pending if pd.spec.kind == STALE_PARTITION]
+    kept = [pd.request.candidates for pd in pending if FAULT_KINDS[pd.spec.kind].latest]
     return FaultedTables(out, vs, plans, flagged, kept)
 
 

@@ -1,10 +1,10 @@
 """Lineage operators over edge tables of any size.
 
-``closure`` is a breadth-first frontier loop: each hop joins the frontier with the
-edges on the source node, removes already visited nodes with a left anti join and
-checkpoints the new frontier (reliable checkpoint in the shared checkpoint folder),
-so the plan of hop k does not grow with k and lost executors only cost one hop.
-Cycles terminate because visited nodes never re-enter the frontier.
+``closure`` is a breadth-first frontier loop: each hop joins the last hop's nodes with
+the edges on the source node, merges the targets into the one table of nodes reached so
+far and checkpoints that (reliable checkpoint in the shared checkpoint folder), so the
+plan of hop k does not grow with k and lost executors only cost one hop. Cycles
+terminate because a hop that reaches no new node is the last.
 """
 
 from __future__ import annotations
@@ -32,32 +32,36 @@ def closure(
         .filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    visited = seeds.select("node").filter(F.col("node").isNotNull()).distinct()
-    visited = visited.withColumn("hops", F.lit(0)).checkpoint(eager=True)
-    frontier = visited.select("node")
-    parts = [visited]
-    hop = 0
+    # One table of all nodes so far. A hop adds the targets of the last hop's nodes and keeps
+    # the first hop of each node: one shuffle on the node, and the former table can go.
+    reached = seeds.select("node").filter(F.col("node").isNotNull()).distinct()
+    reached = reached.withColumn("hops", F.lit(0)).checkpoint(eager=True)
+    known, hop = reached.count(), 0
     while max_hops is None or hop < max_hops:
+        last = reached.filter(F.col("hops") == hop)
         hop += 1
-        reached = frontier.join(e, frontier.node == e.src).select(F.col("dst").alias("node")).distinct()
-        seen = parts[0].select("node")
-        for p in parts[1:]:
-            seen = seen.unionByName(p.select("node"))
-        new = reached.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop))
-        new = new.checkpoint(eager=True)
-        if new.isEmpty():
+        nxt = last.join(e, last.node == e.src).select(F.col("dst").alias("node"), F.lit(hop).alias("hops"))
+        reached = reached.unionByName(nxt).groupBy("node").agg(F.min("hops").alias("hops")).checkpoint(eager=True)
+        now = reached.count()
+        if now == known:
             break
-        parts.append(new)
-        frontier = new.select("node")
+        known = now
     e.unpersist()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reached
 
 
 def neighbors(edges: DataFrame) -> DataFrame:
-    """Direct upstream / downstream counts per node (no collected lists)."""
+    """Direct neighbours as rows ``(node, neighbor, direction)``; direction is ``downstream``
+    or ``upstream`` of the node. Rows, not lists: a node may have any number of them."""
+    e = edges.select("src", "dst").dropna().distinct()
+    both = (
+        "stack(2, src, dst, 'downstream', dst, src, 'upstream') AS (node, neighbor, direction)"
+    )
+    return e.selectExpr(both)
+
+
+def neighbor_counts(edges: DataFrame) -> DataFrame:
+    """Direct upstream / downstream counts per node."""
     down = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("downstreams"))
     up = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("upstreams"))
     j = down.join(up, "node", "full_outer")

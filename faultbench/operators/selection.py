@@ -1,28 +1,33 @@
 """Seeded, exact selection of N rows by hash rank, without gathering rows.
 
-Rows are ranked by ``(hash60('<seed>:<salt>:<key>'), key)``; the N smallest are
-selected. Instead of materialising the selected keys, the N-th smallest pair (the
-*boundary*) is found, and selection becomes the row predicate
+Keys are ranked by ``(hash60('<seed>:<salt>:<key>'), key)``; the rows of the first keys
+are selected until N rows are reached. Instead of materialising the selected keys, the
+last selected pair (the *boundary*) is found, and selection becomes the row predicate
 ``(rank, key) <= boundary`` that later jobs evaluate locally: no join, no shuffle.
 
-All selections of a campaign are resolved together, in two jobs:
+All selections of a campaign are resolved together, in two jobs, whatever their number
+and size. Each job reads a source once for all its requests:
 
-1. one aggregate histograms the top 12 bits of every request's rank; a window over
-   each request's histogram (at most 4,096 rows) finds the candidate count, the
-   bucket that holds the N-th row and how many rows precede it, so one row per
-   request reaches the driver;
-2. one job ranks, per request, only the rows of that bucket (or, for a small fixed
-   ``row_count``, a bounded top-k of all candidates) and picks the exact pair.
+1. an aggregate counts rows by the top bits of every request's rank; a window over that
+   histogram (bounded by the number of buckets) finds the candidate count, the bucket
+   that holds the N-th row and how many rows precede it: one row per request reaches
+   the driver;
+2. the rows of those buckets are counted by (rank, key) and a running sum picks the
+   pair. A bucket holds one 2**18-th of the distinct keys; a key repeated any number
+   of times is one row there, counted on the map side.
 
-A boundary bucket larger than ``gather_limit`` rows is refined on the next 12 bits
-first, so no task ever sorts more than ``gather_limit`` rows of one request. The
+A NULL key is never a candidate. Where keys repeat, whole keys are selected, as many as
+it takes to reach N rows; ``Boundary.n`` is the number of rows actually selected. The
 result is identical for any partitioning and for any engine that computes md5.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from datetime import date, datetime
+from decimal import Decimal
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,14 +37,26 @@ from faultbench.functions.hashing import key_rank, key_rank_sql, qi, sql_str
 # Ranks are hash60 + 1, so rank 0 is free for a forced first row (an anchor);
 # they fit in 61 bits.
 RANK_BITS = 61
-LEVEL_BITS = 12
-GATHER_LIMIT = 200_000
+BUCKET_BITS = 18
 
 
 class SelectionError(ValueError):
     pass
 
 
+def literal_sql(value: object) -> str:
+    """A key value as an SQL literal of its own type."""
+    if isinstance(value, str):
+        return sql_str(value)
+    if isinstance(value, Decimal):
+        return f"{value:f}BD"
+    if isinstance(value, datetime):
+        return f"TIMESTAMP'{value.isoformat(sep=' ')}'" if value.tzinfo else f"TIMESTAMP_NTZ'{value.isoformat(sep=' ')}'"
+    if isinstance(value, date):
+        return f"DATE'{value.isoformat()}'"
+    return repr(int(value))  # type: ignore[call-overload]
+
+
 @dataclass(frozen=True)
 class Boundary:
     rank: int
@@ -51,13 +68,13 @@ class Boundary:
         return (rank < F.lit(self.rank)) | ((rank == F.lit(self.rank)) & (key <= F.lit(self.key)))
 
     def predicate_sql(self, rank: str, key: str) -> str:
-        k = sql_str(self.key) if isinstance(self.key, str) else repr(int(self.key))
-        return f"(({rank}) < {self.rank} OR (({rank}) = {self.rank} AND {qi(key)} <= {k}))"
+        return f"(({rank}) < {self.rank} OR (({rank}) = {self.rank} AND {qi(key)} <= {literal_sql(self.key)}))"
 
 
-@dataclass
+@dataclass(frozen=True)
 class SelectionRequest:
-    """Select ``row_count`` or ``percent`` of ``candidates`` (one row per key)."""
+    """Select ``row_count`` or ``percent`` of the rows of ``candidates`` with a non-null
+    ``key`` for which ``eligible`` (SQL text) holds."""
 
     candidates: DataFrame
     key: str
@@ -68,45 +85,37 @@ class SelectionRequest:
     # ``struct(anchor_order...)``) that always ranks first
     anchor: Column | None = None
     anchor_order: tuple[str, ...] = ()
-    # resolved state
-    n: int | None = None
-    available: int | None = None
-    shift: int = RANK_BITS - LEVEL_BITS
-    prefix: list[tuple[int, int]] = field(default_factory=list)  # (shift, bucket)
-    before: int = 0
+    eligible: str | None = None
 
     def rank(self) -> Column:
         return selection_rank(self.seed, self.salt, self.key, self.anchor, self.anchor_order)
 
-    def ranked(self) -> DataFrame:
-        return self.candidates.select(self.rank().alias("_rank"), F.col(self.key).alias("_key"))
-
-    def scoped(self) -> DataFrame:
-        df = self.ranked()
-        for shift, bucket in self.prefix:
-            df = df.filter(_bucket(F.col("_rank"), shift) == F.lit(bucket))
-        return df
-
-    def small_fixed(self, gather_limit: int) -> bool:
-        n = self.parameters.get("row_count")
-        return isinstance(n, int) and not isinstance(n, bool) and 0 < n <= gather_limit
-
-
-def _bucket(rank: Column, shift: int) -> Column:
-    return F.shiftright(rank, shift).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
+    def is_candidate(self) -> Column:
+        held = F.col(self.key).isNotNull()
+        return held if self.eligible is None else held & F.expr(self.eligible)
+
+
+def share(percent: object) -> Fraction:
+    """``percent`` (int, float or decimal text, over 0 and up to 100) as an exact share."""
+    try:
+        if isinstance(percent, bool):
+            raise ValueError
+        out = Fraction(str(percent)) / 100
+    except (ValueError, ZeroDivisionError):
+        raise SelectionError("percent must be a number") from None
+    if not 0 < out <= 1:
+        raise SelectionError("percent must be over 0 and at most 100")
+    return out
 
 
 def requested_count(parameters: dict, available: int) -> int:
-    """``row_count`` (absolute) or ``percent`` (integer 1..100 of the candidates)."""
+    """``row_count`` (absolute) or ``percent`` of the candidates, rounded down."""
     if "row_count" in parameters and "percent" in parameters:
         raise SelectionError("give row_count or percent, not both")
     if "row_count" in parameters:
         n = parameters["row_count"]
     elif "percent" in parameters:
-        pct = parameters["percent"]
-        if isinstance(pct, bool) or not isinstance(pct, int) or not 1 <= pct <= 100:
-            raise SelectionError("percent must be an integer in 1..100")
-        n = available * pct // 100
+        n = int(available * share(parameters["percent"]))
     else:
         raise SelectionError("row_count or percent is required")
     if isinstance(n, bool) or not isinstance(n, int) or n < 1:
@@ -116,6 +125,15 @@ def requested_count(parameters: dict, available: int) -> int:
     return n
 
 
+def _needed_sql(parameters: dict) -> str:
+    """``requested_count`` as SQL over ``_total``."""
+    if "percent" in parameters:
+        part = share(parameters["percent"])
+        return f"CAST(_total AS DECIMAL(20,0)) * {part.numerator} DIV {part.denominator}"
+    requested_count(parameters, 1 << 62)  # raises with the reason
+    return str(int(parameters["row_count"]))
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -123,132 +141,94 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _same(a: SelectionRequest, b: SelectionRequest) -> bool:
-    return (
-        (a.key, a.seed, a.salt, a.parameters, a.anchor_order) == (b.key, b.seed, b.salt, b.parameters, b.anchor_order)
-        and a.anchor is None
-        and b.anchor is None
-        and a.candidates.sameSemantics(b.candidates)
-    )
+def _ranked(requests: Sequence[tuple[int, SelectionRequest]], buckets: dict[int, int] | None = None) -> DataFrame:
+    """``(_rid, _rank, _key)`` of all requests' candidates: each source is read once and
+    its rows explode into one small struct for every request they are a candidate of."""
+    groups: list[list[tuple[int, SelectionRequest]]] = []
+    for i, r in requests:
+        for g in groups:
+            if g[0][1].key == r.key and g[0][1].candidates.sameSemantics(r.candidates):
+                g.append((i, r))
+                break
+        else:
+            groups.append([(i, r)])
+    parts = []
+    for group in groups:
+        first = group[0][1]
+        ranks = first.candidates.select(
+            F.col(first.key).alias("_key"),
+            *[F.when(r.is_candidate(), r.rank()).alias(f"_r{i}") for i, r in group],
+        )
+        entries = []
+        for i, _ in group:
+            held = f"_r{i} IS NOT NULL"
+            if buckets is not None:
+                held += f" AND {_bucket(f'_r{i}')} = {buckets[i]}"
+            entries.append(f"CASE WHEN {held} THEN named_struct('_rid', {i}, '_rank', _r{i}) END")
+        parts.append(
+            ranks.selectExpr("_key", f"explode(array({', '.join(entries)})) AS _e")
+            .filter("_e IS NOT NULL")
+            .selectExpr("_e._rid AS _rid", "_e._rank AS _rank", "_key")
+        )
+    return _union(parts)
 
 
-def resolve_boundaries(
-    requests: Sequence[SelectionRequest], *, gather_limit: int = GATHER_LIMIT
-) -> list[Boundary]:
-    """Boundaries of all requests, in as few jobs as possible (usually two).
+def _bucket(rank: str) -> str:
+    return f"shiftright({rank}, {RANK_BITS - BUCKET_BITS})"
 
-    Identical requests (same candidates plan, key, seed, salt and count) resolve once.
-    """
-    unique: list[SelectionRequest] = []
-    index: list[int] = []
-    for r in requests:
-        for j, u in enumerate(unique):
-            if _same(r, u):
-                index.append(j)
-                break
-        else:
-            index.append(len(unique))
-            unique.append(r)
-    if len(unique) < len(requests):
-        resolved = resolve_boundaries(unique, gather_limit=gather_limit)
-        return [resolved[j] for j in index]
+
+def resolve_boundaries(requests: Sequence[SelectionRequest]) -> list[Boundary]:
+    """Boundaries of all requests, in two jobs for each type of key."""
     by_type: dict[str, list[int]] = {}
     for i, r in enumerate(requests):
         by_type.setdefault(r.candidates.schema[r.key].dataType.simpleString(), []).append(i)
     out: list[Boundary | None] = [None] * len(requests)
     for idx in by_type.values():
-        for i, b in zip(idx, _resolve_same_type([requests[i] for i in idx], gather_limit)):
+        for i, b in zip(idx, _resolve_same_type([requests[i] for i in idx])):
             out[i] = b
     return out  # type: ignore[return-value]
 
 
-def _resolve_same_type(reqs: list[SelectionRequest], gather_limit: int) -> list[Boundary]:
-    pending = [i for i, r in enumerate(reqs) if not r.small_fixed(gather_limit)]
-    # Histogram levels until every pending request's boundary bucket is small.
-    while pending:
-        hist = _union(
-            [
-                reqs[i].scoped().select(
-                    F.lit(i).alias("_rid"), _bucket(F.col("_rank"), reqs[i].shift).alias("_b")
-                )
-                for i in pending
-            ]
-        ).groupBy("_rid", "_b").agg(F.count(F.lit(1)).alias("_c"))
-        # Rows needed inside this level, per request: fixed, or percent of the total.
-        need_cases = []
-        for i in pending:
-            r = reqs[i]
-            if r.n is not None:
-                need = str(r.n - r.before)
-            elif "percent" in r.parameters:
-                pct = r.parameters["percent"]
-                if isinstance(pct, bool) or not isinstance(pct, int) or not 1 <= pct <= 100:
-                    raise SelectionError("percent must be an integer in 1..100")
-                need = f"(_total * {pct} DIV 100)"
-            else:
-                need = str(int(r.parameters["row_count"]))
-            need_cases.append(f"WHEN {i} THEN {need}")
-        per_req = Window.partitionBy("_rid")
-        cum = per_req.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        located = (
-            hist.withColumn("_total", F.sum("_c").over(per_req))
-            .withColumn("_cum", F.sum("_c").over(cum))
-            .withColumn("_need", F.expr(f"CASE _rid {' '.join(need_cases)} END"))
-            .filter((F.col("_cum") >= F.col("_need")) & (F.col("_cum") - F.col("_c") < F.col("_need")))
-            .select("_rid", "_b", "_c", "_cum", "_total", "_need")
-            .collect()
-        )
-        found = {int(row["_rid"]): row for row in located}
-        totals = {}
-        if any(reqs[i].available is None and i not in found for i in pending):
-            # Only for the error message: candidate counts of failing requests.
-            for row in hist.groupBy("_rid").agg(F.sum("_c").alias("t")).collect():
-                totals[int(row["_rid"])] = int(row["t"])
-        still = []
-        for i in pending:
-            r = reqs[i]
-            if i not in found:
-                if r.available is None:
-                    r.available = totals.get(i, 0)
-                requested_count(r.parameters, r.available)  # raises with the reason
-                raise SelectionError("selection found no boundary")
-            row = found[i]
-            if r.available is None:
-                r.available = int(row["_total"])
-                r.n = requested_count(r.parameters, r.available)
-            r.before += int(row["_cum"]) - int(row["_c"])
-            r.prefix.append((r.shift, int(row["_b"])))
-            if int(row["_c"]) > gather_limit and r.shift > 0:
-                r.shift = max(0, r.shift - LEVEL_BITS)
-                still.append(i)
-        pending = still
-    # Final job: exact pair per request among bounded rows.
-    frames = []
-    needs = {}
-    for i, r in enumerate(reqs):
-        if r.small_fixed(gather_limit) and not r.prefix:
-            k = int(r.parameters["row_count"])
-            frames.append(r.ranked().orderBy("_rank", "_key").limit(k).withColumn("_rid", F.lit(i)))
-            needs[i] = k
-        else:
-            frames.append(r.scoped().withColumn("_rid", F.lit(i)))
-            needs[i] = r.n - r.before
-    need_map = F.create_map(*[x for i, k in needs.items() for x in (F.lit(i), F.lit(k))])
-    w = Window.partitionBy("_rid").orderBy("_rank", "_key")
-    ranked = _union(frames).withColumn("_pos", F.row_number().over(w))
-    picked = ranked.filter(F.col("_pos") == need_map[F.col("_rid")])
-    found = {int(row["_rid"]): row for row in picked.collect()}
-    result = []
-    for i, r in enumerate(reqs):
-        if i not in found:
-            have = r.available if r.available is not None else "fewer"
-            raise SelectionError(
-                f"fault row_count {needs[i] if r.n is None else r.n} exceeds the {have} available rows"
-            )
-        row = found[i]
-        n = r.n if r.n is not None else needs[i]
-        result.append(Boundary(int(row["_rank"]), row["_key"], n, -1 if r.available is None else r.available))
-    return result
+def _resolve_same_type(reqs: list[SelectionRequest]) -> list[Boundary]:
+    numbered = list(enumerate(reqs))
+    need = " ".join(f"WHEN {i} THEN {_needed_sql(r.parameters)}" for i, r in numbered)
+    per_req = Window.partitionBy("_rid")
+    running = per_req.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    located = (
+        _ranked(numbered)
+        .groupBy("_rid", F.expr(f"{_bucket('_rank')} AS _b"))
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_total", F.sum("_c").over(per_req))
+        .withColumn("_cum", F.sum("_c").over(running))
+        .withColumn("_need", F.expr(f"CAST(CASE _rid {need} END AS BIGINT)"))
+        # the boundary's bucket; where too few rows are there, the last one tells the total
+        .filter("_cum - _c < _need AND _cum >= _need OR _cum = _total AND (_need > _total OR _need < 1)")
+        .select("_rid", "_b", "_c", "_cum", "_total", "_need")
+        .collect()
+    )
+    found = {int(row["_rid"]): row for row in located}
+    for i, r in numbered:
+        requested_count(r.parameters, int(found[i]["_total"]) if i in found else 0)  # raises with the reason
+    buckets = {i: int(found[i]["_b"]) for i, _ in numbered}
+    before = {i: int(found[i]["_cum"]) - int(found[i]["_c"]) for i, _ in numbered}
+    rest = " ".join(f"WHEN {i} THEN {int(found[i]['_need']) - before[i]}" for i, _ in numbered)
+    up_to = Window.partitionBy("_rid").orderBy("_rank", "_key").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    picked = (
+        _ranked(numbered, buckets)
+        .groupBy("_rid", "_rank", "_key")
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_cum", F.sum("_c").over(up_to))
+        .withColumn("_rest", F.expr(f"CAST(CASE _rid {rest} END AS BIGINT)"))
+        .filter("_cum - _c < _rest AND _cum >= _rest")
+        .collect()
+    )
+    exact = {int(row["_rid"]): row for row in picked}
+    return [
+        Boundary(int(exact[i]["_rank"]), exact[i]["_key"], before[i] + int(exact[i]["_cum"]), int(found[i]["_total"]))
+        for i, _ in numbered
+    ]
 
 
 def selection_rank(

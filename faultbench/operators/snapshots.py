@@ -2,8 +2,8 @@
 
 A snapshot is a fresh folder under the shared checkpoint folder: one parquet
 directory per table, then a manifest (table, rows, checksum, snapshot id) written
-last; a folder without a manifest is not a snapshot. Checksums are taken from the
-written files, so the manifest describes exactly what a restore reads.
+last; a folder without a manifest is not a snapshot. The manifest's checksums are
+taken from the source tables; before it is written, the files must have the same ones.
 """
 
 from __future__ import annotations
@@ -14,23 +14,34 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultbench.operators.checksum import table_checksum
-from faultbench.session import scratch_path
+from faultbench.operators.checksum import table_checksums
+from faultbench.session import remove_folder, scratch_path
 
 MANIFEST = "_manifest"
 
 
+class SnapshotMismatch(RuntimeError):
+    """A copy differs from what it should hold."""
+
+
+def _sums(tables: Mapping[str, DataFrame]) -> dict[str, tuple[int, str]]:
+    """Row count and checksum of each table (one row per table reaches the driver)."""
+    rows = table_checksums(tables).collect()
+    return {r["table_name"]: (int(r["row_count"]), r["checksum"]) for r in rows}
+
+
 def snapshot(spark: SparkSession, tables: Mapping[str, DataFrame], seed: int, path: str | None = None) -> str:
+    """Copy ``tables`` and publish their manifest; raises if a copy differs from its source."""
     path = path or scratch_path(spark, "snapshot")
+    wanted = _sums(tables)
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{path}/{name}")
-    restored = restore(spark, path, list(tables), require_manifest=False)
-    sums = None
-    for name, df in restored.items():
-        part = table_checksum(df, name).drop("variant")
-        sums = part if sums is None else sums.unionByName(part)
-    # One row per table reaches the driver; the id digests seed + sorted checksums.
-    rows = sorted((r["table_name"], int(r["row_count"]), r["checksum"]) for r in sums.collect())
+    written = _sums(restore(spark, path, list(tables), require_manifest=False))
+    differing = sorted(t for t in wanted if written.get(t) != wanted[t])
+    if differing:
+        raise SnapshotMismatch(f"the copies of {differing} differ from their sources")
+    # The id digests seed + sorted checksums.
+    rows = sorted((t, n, c) for t, (n, c) in wanted.items())
     text = f"{seed}|" + ",".join(f"{t}:{n}:{c}" for t, n, c in rows)
     snapshot_id = hashlib.sha256(text.encode()).hexdigest()
     manifest = spark.createDataFrame(
@@ -41,6 +52,12 @@ def snapshot(spark: SparkSession, tables: Mapping[str, DataFrame], seed: int, pa
     return path
 
 
+def remove_snapshot(spark: SparkSession, path: str) -> None:
+    """Delete a snapshot, its manifest first."""
+    remove_folder(spark, f"{path}/{MANIFEST}")
+    remove_folder(spark, path)
+
+
 def _readable(spark: SparkSession, fmt: str, path: str) -> bool:
     """Whether a finished dataset exists at ``path`` (any filesystem Spark can read)."""
     try:
@@ -66,11 +83,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def verify_restore(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Recompute checksums of the restored tables and compare with the manifest."""
-    restored = restore(spark, path, names)
-    sums = None
-    for name, df in restored.items():
-        part = table_checksum(df, name).drop("variant")
-        sums = part if sums is None else sums.unionByName(part)
+    sums = table_checksums(restore(spark, path, names)).drop("variant")
     man = read_manifest(spark, path).select(
         "table_name",
         F.col("row_count").cast("bigint").alias("manifest_row_count"),
@@ -90,6 +103,14 @@ def verify_restore(spark: SparkSession, path: str, names: list[str]) -> DataFram
     )
 
 
+def require_verified(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    """The restored tables; raises if one differs from the manifest."""
+    bad = sorted(str(r["table_name"]) for r in verify_restore(spark, path, names).filter("NOT verified").collect())
+    if bad:
+        raise SnapshotMismatch(f"restored tables {bad} differ from the manifest")
+    return restore(spark, path, names)
+
+
 class EvidenceConflict(RuntimeError):
     pass
 

@@ -17,6 +17,7 @@ import functools
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import date
+from decimal import Decimal
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,7 @@ from faultbench.operators.controls import (
     coverage,
     detection_matrix,
     evaluate_controls,
+    failing_on_clean,
     safe_identifier,
 )
 from faultbench.operators.faults import (
@@ -46,10 +48,13 @@ from faultbench.operators.downstream import (
     daily_revenue,
     executive_dashboard,
 )
-from faultbench.session import checkpoint_dir
+from faultbench.operators.snapshots import remove_snapshot, require_verified, snapshot
+from faultbench.operators.variants import CLEAN, MAX_VARIANTS, VariantSet
+from faultbench.session import checkpoint_dir, remove_folder, scratch_path
 from faultbench.plans.contract import (
     BASELINE_CONTROLS,
     DEFAULT_SEED,
+    LOAD_CONTROLS,
     PRIMARY_KEYS,
     default_faults,
 )
@@ -61,6 +66,24 @@ class GenerationRefused(ValueError):
     pass
 
 
+class CampaignFailed(RuntimeError):
+    """A condition that an enforcing run checks does not hold."""
+
+
+@dataclass(frozen=True)
+class CampaignReport:
+    """Small results of an enforcing run."""
+
+    mutated_rows: dict[str, int]
+    failing_on_clean: tuple[str, ...]
+    baseline_detected: tuple[str, ...]
+    detected: tuple[str, ...]
+    gaps: tuple[str, ...]
+    generated: tuple[str, ...]
+    refused: tuple[tuple[str, str], ...]
+    radius_mismatches: tuple[tuple[str, str, str], ...]
+
+
 @dataclass
 class Campaign:
     spark: SparkSession
@@ -70,14 +93,20 @@ class Campaign:
     seed: int = DEFAULT_SEED
     baseline_controls: Sequence[Control] = BASELINE_CONTROLS
     # How the large shared intermediates (the stacked orders and the enriched variant
-    # table) are kept between the campaign's jobs: "none" (default: every job reads
-    # only the columns it needs from the sources), "cache" (executor memory and disk;
-    # lost blocks are recomputed from lineage) or "checkpoint" (written to the shared
-    # checkpoint folder). Small aggregated results are always kept.
-    materialize: str = "none"
+    # table) are kept between the campaign's jobs. "written" (default): checksums, which
+    # read every column of every table, write both once to the shared checkpoint folder,
+    # and what follows reads those; controls before that read only the columns they need
+    # from the sources. "none": every job goes back to the sources. "cache" (executor
+    # memory and disk) and "checkpoint" keep both from the start. ``close`` removes what
+    # was kept. Small aggregated results are always kept.
+    materialize: str = "written"
     # Source tables ``raw_customers`` / ``raw_orders``; read from ``sf_dir`` if None.
     tables_in: dict[str, DataFrame] | None = None
 
+    def __post_init__(self) -> None:
+        self._kept: list[DataFrame] = []
+        self._paths: list[str] = []
+
     # -- inputs -------------------------------------------------------------
     @functools.cached_property
     def sources(self) -> dict[str, DataFrame]:
@@ -86,36 +115,49 @@ class Campaign:
         return source_tables(self.spark, self.sf_dir, self.profile)
 
     @functools.cached_property
+    def blocks(self) -> list[FaultedTables]:
+        """The faults' variant tables. A mask holds MAX_VARIANTS variants, so more faults
+        than that are worked off in several blocks, each beside the clean variant."""
+        ids = [s.fault_id for s in self.faults]
+        if len(set(ids)) != len(ids):
+            raise ValueError("fault ids must be unique")
+        size = MAX_VARIANTS - 1
+        chunks = [self.faults[i : i + size] for i in range(0, len(self.faults), size)] or [()]
+        return [apply_faults(self.sources, PRIMARY_KEYS, chunk, self.seed) for chunk in chunks]
+
+    @property
     def faulted(self) -> FaultedTables:
-        return apply_faults(self.sources, PRIMARY_KEYS, self.faults, self.seed)
+        """The variant tables of a campaign with a single block of faults."""
+        if len(self.blocks) > 1:
+            raise ValueError(f"{len(self.faults)} faults fill {len(self.blocks)} blocks: see blocks")
+        return self.blocks[0]
 
     @property
     def variants(self):
         return self.faulted.variants
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        if not hasattr(self, "_kept"):
-            self._kept = []
-        if self.materialize == "cache":
+    def _keep(self, df: DataFrame, name: str, mode: str) -> DataFrame:
+        if mode == "cache":
             df = df.persist(StorageLevel.MEMORY_AND_DISK)
             self._kept.append(df)
-            return df
-        if self.materialize == "checkpoint":
+        elif mode == "checkpoint":
             checkpoint_dir(self.spark)
-            return df.checkpoint(eager=True)
-        if self.materialize != "none":
-            raise ValueError(f"unknown materialize mode {self.materialize!r}")
+            df = df.checkpoint(eager=True)
+        elif mode == "written":
+            path = scratch_path(self.spark, f"campaign-{name}")
+            df.write.parquet(path)
+            self._paths.append(path)
+            df = self.spark.read.schema(df.schema).parquet(path)
+        elif mode != "none":
+            raise ValueError(f"unknown materialize mode {mode!r}")
         return df
 
-    @functools.cached_property
-    def tables(self) -> dict[str, DataFrame]:
-        ft = self.faulted
-        vs = ft.variants
-        customers_vary = any(s.target_table == "raw_customers" for s in self.faults)
-        orders = self._keep(ft.tables["raw_orders"])
-        customers = ft.tables["raw_customers"]
-        enriched = self._keep(build_enriched(orders, customers, vs, customers_vary=customers_vary))
-        cv = customer_value(enriched, vs)
+    def _built(self, ft: FaultedTables, mode: str) -> dict[str, DataFrame]:
+        vs, customers = ft.variants, ft.tables["raw_customers"]
+        vary = any(pl.spec.target_table == "raw_customers" for pl in ft.plans)
+        orders = self._keep(ft.tables["raw_orders"], "orders", mode)
+        enriched = self._keep(build_enriched(orders, customers, vs, customers_vary=vary), "enriched", mode)
+        cv = customer_value(orders, customers, vs, customers_vary=vary)
         return {
             "raw_customers": customers,
             "raw_orders": orders,
@@ -125,13 +167,45 @@ class Campaign:
             "executive_dashboard": executive_dashboard(cv, vs),
         }
 
+    @functools.cached_property
+    def _lazy_tables(self) -> list[dict[str, DataFrame]]:
+        mode = "none" if self.materialize == "written" else self.materialize
+        return [self._built(ft, mode) for ft in self.blocks]
+
+    @functools.cached_property
+    def _written_tables(self) -> list[dict[str, DataFrame]]:
+        return [self._built(ft, "written") for ft in self.blocks]
+
+    def block_tables(self, whole: bool = False) -> list[dict[str, DataFrame]]:
+        """All managed tables of each block; ``whole``: they will be read in full."""
+        if self.materialize == "written" and (whole or "_written_tables" in self.__dict__):
+            return self._written_tables
+        return self._lazy_tables
+
+    @property
+    def tables(self) -> dict[str, DataFrame]:
+        self.faulted  # one block only
+        return self.block_tables()[0]
+
+    def _each_block(self, make) -> DataFrame:
+        """Union of ``make(tables, variants)`` over the blocks; clean rows from the first only."""
+        out = None
+        for ft, tables in zip(self.blocks, self.block_tables()):
+            part = make(tables, ft.variants)
+            out = part if out is None else out.unionByName(part.filter(F.col("variant") != CLEAN))
+        return out
+
     def close(self) -> None:
-        """Release cached intermediates."""
-        for df in getattr(self, "_kept", []):
+        """Release cached intermediates and remove written ones."""
+        for df in self._kept:
             df.unpersist()
-        self._kept = []
-        if "faulted" in self.__dict__:
-            self.faulted.release()
+        for path in self._paths:
+            remove_folder(self.spark, path)
+        self._kept, self._paths = [], []
+        for ft in self.__dict__.get("blocks", []):
+            ft.release()
+        for name in ("_lazy_tables", "_written_tables", "baseline_results", "_gaps_and_profile", "blocks"):
+            self.__dict__.pop(name, None)
 
     def fault_table(self) -> DataFrame:
         rows = [(s.fault_id, s.kind, s.target_table) for s in self.faults]
@@ -139,10 +213,11 @@ class Campaign:
 
     # -- evidence -----------------------------------------------------------
     def checksums(self) -> DataFrame:
-        return ck.table_checksums({n: self.tables[n] for n in MANAGED_TABLES}, self.variants)
+        self.block_tables(whole=True)
+        return self._each_block(lambda tables, vs: ck.table_checksums({n: tables[n] for n in MANAGED_TABLES}, vs))
 
     def mutation_evidence(self) -> DataFrame:
-        return mutation_evidence(self.faulted, PRIMARY_KEYS)
+        return functools.reduce(DataFrame.unionByName, [mutation_evidence(ft, PRIMARY_KEYS) for ft in self.blocks])
 
     def observed_radius(self) -> DataFrame:
         return ck.observed_blast_radius(self.checksums())
@@ -159,15 +234,13 @@ class Campaign:
 
     # -- controls -----------------------------------------------------------
     def control_results(self, controls: Sequence[Control]) -> DataFrame:
-        return evaluate_controls(self.tables, self.variants, controls)
+        return self._each_block(lambda tables, vs: evaluate_controls(tables, vs, controls))
 
     @functools.cached_property
     def baseline_results(self) -> DataFrame:
         """Baseline control results, kept (one row per variant and control): the gap
         decision and the final matrices both read them, so the controls run once."""
         df = self.control_results(self.baseline_controls).persist(StorageLevel.MEMORY_AND_DISK)
-        if not hasattr(self, "_kept"):
-            self._kept = []
         self._kept.append(df)
         return df
 
@@ -197,30 +270,37 @@ class Campaign:
         return self._gaps_and_profile[0]
 
     # -- profile and generation --------------------------------------------
+    def _generator(self, fault_id: str) -> tuple[str, str] | str:
+        """(column, statistic) of the bound that can catch a fault, or why there is none."""
+        s = next(f for f in self.faults if f.fault_id == fault_id)
+        if s.target_table != "raw_orders":
+            return f"no generator for faults on {s.target_table}"
+        types = {f.name: f.dataType for f in self.sources["raw_orders"].schema.fields}
+        for kind, parameter, wanted, statistic in (
+            (NUMERIC_SCALE, "column", T.NumericType, "max"),
+            (STALE_PARTITION, "partition_column", T.DateType, "min"),
+        ):
+            if s.kind == kind:
+                column = safe_identifier(str(s.parameters[parameter]))
+                if isinstance(types.get(column), wanted):
+                    return column, statistic
+                return f"column {column} has no type that can be bounded"
+        return f"no generator for kind {s.kind}"
+
     def profile_columns(self, gaps: Sequence[str]) -> list[tuple[str, str, str]]:
         """(fault_id, column, statistic) for every generator-eligible gap.
 
-        Type guard: numeric bound only on a numeric column, freshness only on DATE;
-        gaps of other kinds are refused with a reason.
+        Type guard: a numeric bound on any numeric column, freshness only on DATE.
         """
-        schema = {f.name: f.dataType for f in self.sources["raw_orders"].schema.fields}
-        specs = {s.fault_id: s for s in self.faults}
         if len(set(gaps)) != len(gaps):
             raise GenerationRefused("measured gaps are duplicated")
-        out = []
-        for g in gaps:
-            s = specs[g]
-            if s.target_table != "raw_orders":
-                continue
-            if s.kind == NUMERIC_SCALE:
-                col = safe_identifier(str(s.parameters["column"]))
-                if isinstance(schema.get(col), (T.IntegralType, T.DecimalType)):
-                    out.append((g, col, "max"))
-            elif s.kind == STALE_PARTITION:
-                col = safe_identifier(str(s.parameters["partition_column"]))
-                if isinstance(schema.get(col), T.DateType):
-                    out.append((g, col, "min"))
-        return out
+        found = [(g, self._generator(g)) for g in gaps]
+        return [(g, *how) for g, how in found if not isinstance(how, str)]
+
+    def refused(self, gaps: Sequence[str] | None = None) -> list[tuple[str, str]]:
+        """(fault_id, reason) of gaps for which no control is generated."""
+        found = [(g, self._generator(g)) for g in (self.gaps if gaps is None else gaps)]
+        return [(g, how) for g, how in found if isinstance(how, str)]
 
     def clean_profile_frame(self, gaps: Sequence[str] | None = None) -> DataFrame:
         """One aggregate over the clean source for all profiled columns."""
@@ -250,39 +330,42 @@ class Campaign:
         eligible = {f for f, _, _ in self.profile_columns(gaps)}
         return [(f, *prof[f]) for f in gaps if f in eligible and f in prof]
 
-    @functools.cached_property
+    def _bound(self, column: str, value: str) -> str:
+        """A profile value as a literal of the column's type."""
+        dtype = self.sources["raw_orders"].schema[column].dataType
+        if isinstance(dtype, T.IntegralType):
+            return str(int(value))
+        if isinstance(dtype, T.DateType):
+            return f"DATE '{date.fromisoformat(value).isoformat()}'"
+        Decimal(value)  # digits only
+        kind = dtype.simpleString() if isinstance(dtype, T.DecimalType) else "double"
+        return f"CAST('{value}' AS {kind.upper()})"
+
+    @property
     def generated_controls(self) -> tuple[Control, ...]:
-        out = []
+        """One control for each bound column and statistic, for all faults that share it."""
+        by: dict[tuple[str, str], tuple[str, list[str]]] = {}
         for fault_id, col, stat, value in self.clean_profile:
             if value is None:
                 raise GenerationRefused(f"clean profile of {col} is empty")
+            by.setdefault((col, stat), (value, []))[1].append(fault_id)
+        out = []
+        for (col, stat), (value, fault_ids) in by.items():
             if stat == "max":
-                int(value)  # integer bound only
-                out.append(
-                    Control(
-                        f"orders_{col}_reasonable",
-                        "raw_orders",
-                        predicate=f"{col} > {int(value)}",
-                        description=f"{col} must not exceed the clean profile maximum.",
-                        detects_faults=(NUMERIC_SCALE,),
-                        generated=True,
-                    )
-                )
+                name, kind, op = f"orders_{col}_reasonable", NUMERIC_SCALE, ">"
             else:
-                date.fromisoformat(value)
-                out.append(
-                    Control(
-                        "orders_partition_not_stale",
-                        "raw_orders",
-                        predicate=f"{col} < DATE '{value}'",
-                        description=f"{col} must not predate the clean profile window.",
-                        detects_faults=(STALE_PARTITION,),
-                        generated=True,
-                    )
+                part = "partition" if col == "source_partition" else col
+                name, kind, op = f"orders_{part}_not_stale", STALE_PARTITION, "<"
+            out.append(
+                Control(
+                    name,
+                    "raw_orders",
+                    predicate=f"{col} {op} {self._bound(col, value)}",
+                    description=f"{stat} of {col} on clean data, for " + ", ".join(fault_ids),
+                    detects_faults=(kind,),
+                    generated=True,
                 )
-        ids = [c.control_id for c in out]
-        if len(set(ids)) != len(ids):
-            raise GenerationRefused("generated control ids collide")
+            )
         return tuple(out)
 
     def all_results(self) -> DataFrame:
@@ -320,6 +403,59 @@ class Campaign:
             F.round(F.col("violation_count") / F.col("mutated_rows"), 4).alias("recall"),
         )
 
+    # -- an enforcing run ----------------------------------------------------
+    def run(self, strict: bool = True) -> CampaignReport:
+        """The whole campaign, with every condition enforced, in order:
+
+        the sources' keys are present and unique; every fault changed data; generated
+        controls are silent on clean data; with ``strict`` no gap stays open; a snapshot of
+        the sources restores to the same checksums. Raises CampaignFailed (or
+        SnapshotMismatch) where one does not hold. Baseline controls that fail on clean
+        data are reported, and detect nothing. What was kept is removed in any case.
+        """
+        names = list(self.sources)
+        path = None
+        try:
+            load = evaluate_controls(self.sources, VariantSet(), LOAD_CONTROLS)
+            self._require("load constraints violated", load.filter("NOT passed"), "control_id")
+            path = snapshot(self.spark, self.sources, self.seed)
+            evidence = self.mutation_evidence().collect()
+            same = sorted(r["fault_id"] for r in evidence if not r["changed"])
+            if same:
+                raise CampaignFailed(f"faults that changed nothing: {same}")
+            results = self.all_results().persist(StorageLevel.MEMORY_AND_DISK)
+            self._kept.append(results)
+            loud = results.filter(F.col("generated") & (F.col("variant") == CLEAN) & ~F.col("passed"))
+            self._require("generated controls that fire on clean data", loud, "control_id")
+            found = [r["fault_id"] for r in detection_matrix(results, self.fault_table()).filter("detected").collect()]
+            open_ = sorted({s.fault_id for s in self.faults} - set(found))
+            if strict and open_:
+                raise CampaignFailed(f"gaps that stay open: {open_}")
+            radius = self.radius_comparison().filter("status != 'matched'").collect()
+            noisy = failing_on_clean(results.filter("NOT generated")).collect()
+            report = CampaignReport(
+                mutated_rows={r["fault_id"]: int(r["mutated_rows"]) for r in evidence},
+                failing_on_clean=tuple(sorted(r["control_id"] for r in noisy)),
+                baseline_detected=tuple(s.fault_id for s in self.faults if s.fault_id not in self.gaps),
+                detected=tuple(s.fault_id for s in self.faults if s.fault_id in found),
+                gaps=tuple(open_),
+                generated=tuple(c.control_id for c in self.generated_controls),
+                refused=tuple(self.refused()),
+                radius_mismatches=tuple((r["fault_id"], r["table_name"], r["status"]) for r in radius),
+            )
+            require_verified(self.spark, path, names)
+            return report
+        finally:
+            if path:
+                remove_snapshot(self.spark, path)
+            self.close()
+
+    @staticmethod
+    def _require(what: str, bad: DataFrame, column: str) -> None:
+        names = sorted(r[column] for r in bad.select(column).distinct().collect())
+        if names:
+            raise CampaignFailed(f"{what}: {names}")
+
     # -- evidence -----------------------------------------------------------
     def write_evidence(self, root: str) -> dict[str, str]:
         """Write the campaign's results as write-once JSON under

@@ -111,7 +111,6 @@ BASELINE_CONTROLS = (
         "orders_customer_id_not_null",
         "raw_orders",
         predicate="customer_id IS NULL",
-        description="Every raw order must identify its customer.",
         detects_faults=(NULL_DENSITY_SURGE,),
     ),
     Control(
@@ -119,16 +118,22 @@ BASELINE_CONTROLS = (
         "raw_orders",
         kind="unique",
         columns=("order_id",),
-        description="Every raw order identifier must be unique.",
     ),
     Control(
         "daily_revenue_non_negative",
         "daily_revenue",
         predicate="revenue_cents < 0",
-        description="Daily revenue must not fall below zero.",
     ),
 )
 
+# What must hold of the sources before any fault is injected: keys present and unique.
+LOAD_CONTROLS = (
+    Control("orders_order_id_not_null", "raw_orders", predicate="order_id IS NULL"),
+    Control("orders_order_id_unique", "raw_orders", kind="unique", columns=("order_id",)),
+    Control("customers_customer_id_not_null", "raw_customers", predicate="customer_id IS NULL"),
+    Control("customers_customer_id_unique", "raw_customers", kind="unique", columns=("customer_id",)),
+)
+
 REF_INTEGRITY_CONTROL = Control(
     "orders_customer_exists",
     "raw_orders",
@@ -136,7 +141,6 @@ REF_INTEGRITY_CONTROL = Control(
     columns=("customer_id",),
     parent_table="raw_customers",
     parent_columns=("customer_id",),
-    description="Every order's customer must exist.",
 )
 
 

@@ -20,6 +20,7 @@ from faultbench.operators.faults import (
     FaultSpec,
 )
 from faultbench.operators.downstream import MANAGED_TABLES
+from faultbench.operators.selection import share
 from faultbench.plans.contract import DEFAULT_SEED, PRIMARY_KEYS, SCHEMA_CONTRACT, default_faults
 
 TS_FMT = "%Y-%m-%dT%H:%M:%S.%f"
@@ -92,7 +93,8 @@ class Oracle:
         p = spec.parameters
         if "row_count" in p:
             return str(int(p["row_count"]))
-        return f"({total} * {int(p['percent'])} // 100)"
+        part = share(p["percent"])
+        return f"({total} * {part.numerator} // {part.denominator})"
 
     def selection_ctes(self, i: int, spec: FaultSpec) -> list[str]:
         table = spec.target_table
@@ -249,8 +251,9 @@ def campaign_ctes(o: Oracle, baseline_controls_sql: str) -> list[str]:
     """base, gaps, profile, gen, allres, matrix, coverage."""
     ctes = [
         f"base AS ({baseline_controls_sql})",
-        "gaps AS (SELECT fault_id, kind FROM faults WHERE fault_id NOT IN "
-        "(SELECT variant FROM base WHERE NOT passed))",
+        "gaps AS (SELECT fault_id, kind FROM faults WHERE fault_id NOT IN (SELECT b.variant FROM "
+        "base AS b JOIN base AS c ON c.control_id = b.control_id AND c.variant = 'clean' WHERE "
+        "b.violation_count > c.violation_count))",
     ]
     prof, gen = [], []
     for fid, _kind, col, stat, cid, op in eligible_generators(o):
@@ -287,12 +290,14 @@ def campaign_ctes(o: Oracle, baseline_controls_sql: str) -> list[str]:
             f"SELECT f.fault_id, f.kind, COALESCE(string_agg(r.control_id, ',' ORDER BY "
             "r.control_id), '') AS failing_control_ids, count(r.control_id) AS failing_controls, "
             f"count(r.control_id) > 0 AS detected, {q(name)} AS phase FROM faults AS f LEFT JOIN "
-            f"(SELECT * FROM allres WHERE NOT passed AND {cond}) AS r ON r.variant = f.fault_id "
+            f"(SELECT b.* FROM allres AS b JOIN allres AS c ON c.control_id = b.control_id AND "
+            f"c.variant = 'clean' WHERE b.violation_count > c.violation_count AND b.{cond}) AS r "
+            "ON r.variant = f.fault_id "
             "GROUP BY f.fault_id, f.kind"
         )
 
     ctes.append(
-        "matrix AS (" + phase("baseline", "NOT generated") + " UNION ALL " + phase("improved", "TRUE") + ")"
+        "matrix AS (" + phase("baseline", "generated = FALSE") + " UNION ALL " + phase("improved", "variant <> 'clean'") + ")"
     )
     ctes.append(
         "coverage AS (SELECT phase, count(*) FILTER (WHERE detected) AS detected_faults, count(*) "

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+from itertools import count
 
 from pyspark.sql import SparkSession
 
@@ -32,6 +32,8 @@ def build_session(
         # irrelevant at scale, where partitions are far larger than this.
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Checkpoints go when the DataFrames that read them do.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -46,24 +48,27 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session. Only when it is unset (local
-    tests) a private scratch folder is created and registered.
+    ``spark.checkpoint.dir`` is read from the session. Where a local session has none
+    (tests, a shell), a folder in its warehouse is taken; a cluster must name one.
     """
-    configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(
-        CHECKPOINT_CONF, None
-    )
+    sc = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(
-                f"set {CHECKPOINT_CONF} to a folder shared by the cluster; a machine-local "
-                "temporary folder is not reachable from executors"
-            )
-        configured = tempfile.mkdtemp(prefix="faultbench-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set(CHECKPOINT_CONF, configured)
-    spark.sparkContext.setCheckpointDir(configured)
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(configured)
     return configured
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that the library wrote."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
@@ -88,11 +93,4 @@ def recommended_conf(total_input_bytes: int, *, target_partition_bytes: int = 25
     }
 
 
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
-
-
-_counter = _count()
+_counter = count(1)

@@ -172,11 +172,11 @@ def test_urn_eligibility_and_gate(spark):
     base = dict(urn=target, schema_name="raw", table_name="orders", platform="spark", environment="DEV",
                 path="/data/x", marker="true", tags=["p", "s"], approval_digest="a", manifest_digest="a")
     cases = [
-        ({}, None), ({"approval_digest": "b"}, "approval-bound-to-manifest"),
-        ({"table_name": "other"}, "urn-prefix-and-identity-allocated"),
-        ({"platform": "mysql"}, "platform-allowlisted"), ({"environment": "PROD"}, "environment-allowlisted"),
-        ({"path": "/elsewhere"}, "path-exactly-allowlisted"), ({"marker": "false"}, "sandbox-marker-present"),
-        ({"tags": ["s"]}, "project-tag-present"), ({"tags": ["p"]}, "sandbox-tag-present"),
+        ({}, None), ({"approval_digest": "b"}, "approved_manifest"),
+        ({"table_name": "other"}, "expected_name"),
+        ({"platform": "mysql"}, "known_platform"), ({"environment": "PROD"}, "known_environment"),
+        ({"path": "/elsewhere"}, "known_path"), ({"marker": "false"}, "marker"),
+        ({"tags": ["s"]}, "tag_of_project"), ({"tags": ["p"]}, "tag_of_sandbox"),
     ]
     schema = ("urn string, schema_name string, table_name string, platform string, environment string, "
               "path string, marker string, tags array<string>, approval_digest string, manifest_digest string")
@@ -188,9 +188,9 @@ def test_urn_eligibility_and_gate(spark):
         assert r["first_failed_check"] == first, change
     t = spark.createDataFrame([tuple(base[k] for k in base)], schema)
     [r] = C.injection_gate(t, manifest.limit(0), settings).collect()
-    assert r["first_failed_check"] == "target-in-manifest"
+    assert r["first_failed_check"] == "listed_target"
     [r] = C.injection_gate(t, manifest, {**settings, "enabled": False}).collect()
-    assert r["first_failed_check"] == "injection-explicitly-enabled"
+    assert r["first_failed_check"] == "switched_on"
 
 
 @pytest.mark.parametrize(

@@ -10,14 +10,8 @@ from faultbench.operators import catalog as C
 from faultbench.operators.checksum import table_checksums
 from faultbench.operators.snapshots import EvidenceConflict, write_evidence
 from faultbench.plans.contract import default_faults
-from faultbench.plans.manifest import (
-    generated_artifact,
-    manifest_frame,
-    manifest_sha256,
-    manifest_validation,
-)
+from faultbench.plans.manifest import manifest_frame, manifest_sha256, manifest_validation
 from faultbench.sources.synthetic import synthetic_commerce
-from faultbench.operators.controls import Control
 
 
 def test_synthetic_is_reproducible(spark):
@@ -49,14 +43,6 @@ def test_manifest_digest_and_validation(spark):
     assert any("duplicate_fault_id" in r["violations"] for r in rows)
 
 
-def test_artifact_is_linted_clean(spark):
-    ctl = [Control("orders_amount_cents_reasonable", "raw_orders", predicate="amount_cents > 124365")]
-    text, digest = generated_artifact(ctl, context_sha256="c", manifest_sha256_value="m", profile_sha256="p")
-    assert len(digest) == 64
-    df = spark.createDataFrame([("artifact", text)], "control_id string, violation_sql string")
-    assert C.control_sql_lint(df, ["raw_orders"]).first()["passed"]
-
-
 def test_tag_removal_fault_is_caught_by_governance(spark):
     from tests.test_catalog import POLICY, SRC, entity
     import json

@@ -120,18 +120,82 @@ def test_control_identifiers_are_checked():
         Control("c", "t", kind="unique", columns=("bad name",))
 
 
-def test_large_stale_selection_path_matches_broadcast_path(spark, monkeypatch):
-    import faultbench.operators.faults as FM
-
-    specs = default_faults(percent=40)
-    base = apply_faults(fixture_tables(spark), PRIMARY_KEYS, specs, 9)
-    monkeypatch.setattr(FM, "BROADCAST_KEYS", 0)
-    big = apply_faults(fixture_tables(spark), PRIMARY_KEYS, specs, 9)
-    a = expand(base.tables["raw_orders"], base.variants)
-    b = expand(big.tables["raw_orders"], big.variants)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    base.release()
-    big.release()
+def test_stale_fault_with_text_keys_joined_either_way(spark):
+    t = fixture_tables(spark)
+    orders = t["raw_orders"].withColumn("order_id", F.concat(F.lit("o-"), F.col("order_id").cast("string")))
+    specs = [s for s in default_faults(percent=40) if s.kind == "stale_partition"]
+    got = []
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in ("10m", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            ft = apply_faults({"raw_orders": orders}, PRIMARY_KEYS, specs, 9)
+            got.append(sorted(map(str, expand(ft.tables["raw_orders"], ft.variants).collect())))
+            assert ft.plans[0].selected_count == 12  # 40 % of the 30 latest rows
+            ft.release()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got[0] == got[1]
+
+
+def test_fault_kinds_can_be_added(spark):
+    from faultbench.operators import faults as FM
+
+    kind = FM.FaultKind(
+        "blank_text", {"column": FM.column_of(FM.T.StringType)}, changes=("column",),
+        updates=lambda p: {str(p["column"]): "''"}, needs="column",
+    )
+    FM.register_fault(kind)
+    try:
+        with pytest.raises(FaultError):
+            FM.register_fault(kind)
+        spec = FaultSpec("blank", "blank_text", "raw_orders", {"column": "currency", "row_count": 5})
+        ft = apply_faults(fixture_tables(spark), PRIMARY_KEYS, [spec], 1)
+        assert only(ft.tables["raw_orders"], ft.variants, "blank").filter("currency = ''").count() == 5
+        assert spec.changed_columns == ("currency",)
+    finally:
+        del FM.FAULT_KINDS["blank_text"]
+
+
+def test_payload_rename_is_top_level_only(spark):
+    rows = [(1, '{"k": 1, "n": {"k": "\\"k\\": 2"}}'), (2, "[1]"), (3, "not json"), (4, '{"k": 1, "j": 2}'), (5, '{"a": [{"k": 0}]}'), (6, None)]
+    df = spark.createDataFrame(rows, "event_id long, props string")
+    spec = FaultSpec("r", "payload_key_rename", "events", {"column": "props", "key": "k", "new_key": "j", "percent": 100})
+    ft = apply_faults({"events": df}, {"events": "event_id"}, [spec], 1)
+    got = {r["event_id"]: r["props"] for r in only(ft.tables["events"], ft.variants, "r").collect()}
+    import json
+
+    assert json.loads(got[1]) == {"j": 1, "n": {"k": '"k": 2'}}
+    assert {i: got[i] for i in (2, 3, 4, 5, 6)} == dict(rows[1:])
+
+
+def test_scaling_keeps_decimal_and_double_types(spark):
+    df = spark.range(50).selectExpr("id AS k", "CAST(id + 0.25 AS DECIMAL(8,2)) AS d", "id + 0.5D AS f")
+    specs = [FaultSpec(c, NUMERIC_SCALE, "t", {"column": c, "factor": 10, "percent": 20}) for c in ("d", "f")]
+    ft = apply_faults({"t": df}, {"t": "k"}, specs, 1)
+    assert dict(ft.tables["t"].dtypes)["d"] == "decimal(8,2)"
+    for c in ("d", "f"):
+        changed = only(ft.tables["t"], ft.variants, c).exceptAll(df).collect()
+        assert len(changed) == 10 and all(float(r[c]) == 10 * (r["k"] + (0.25 if c == "d" else 0.5)) for r in changed)
+
+
+def test_dropped_duplicate_parent_keeps_each_order_once(spark):
+    orders = fixture_tables(spark)["raw_orders"].filter("customer_id = 1").limit(4)
+    assert orders.count() == 4
+    parents = spark.createDataFrame(
+        [(1, "a", "x", "DE"), (1, "b", "x", "DE"), (2, "c", "y", "FR")],
+        "customer_id int, customer_name string, segment string, country_code string",
+    )
+    from faultbench.operators.downstream import build_enriched, customer_value
+
+    vs = VariantSet.of(["drop"])
+    st = stack(parents, vs, [RowChange("drop", "customer_id = 1", "delete")])
+    e = build_enriched(orders, st, vs, customers_vary=True)
+    assert only(e, vs, "clean").count() == 8 and only(e, vs, "drop").count() == 4
+    assert only(e, vs, "drop").filter("customer_name IS NULL").count() == 4
+    cv = customer_value(orders, st, vs, customers_vary=True)
+    assert [r["order_count"] for r in only(cv, vs, "drop").collect()] == [4]
+    assert sorted(r["customer_name"] for r in only(cv, vs, "clean").collect()) == ["a", "b"]
 
 
 def test_unknown_fault_kind_is_refused(spark):
