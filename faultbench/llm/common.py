@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from faultbench.session import checkpoint_dir
+
 #: Rows and text bytes that a Python task turns into Python objects at a time. They bound
 #: memory, not results: longer inputs are simply worked off in more slices.
 SLICE_ROWS = 1024
@@ -19,43 +21,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def use_shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, as ``spark.checkpoint.dir`` names it.
-
-    Where it is unset (tests, a local shell), a folder beside the warehouse is set; the
-    warehouse is shared by definition, so this never is an executor's own disk.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(base)
-    return base
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder; lost executors don't lose it."""
-    use_shared_dir(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in a folder of its own in the shared folder, and that folder."""
     spark = df.sparkSession
-    path = f"{use_shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Remove a folder that ``written`` made."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def sliced(
     batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = SLICE_ROWS, size: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
