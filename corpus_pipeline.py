@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultbench.llm import packing, pii, quality_cnn, quality_rules, simhash
-from faultbench.llm.common import dropped, read_table, written
+from faultbench.llm.common import read_table, written
+from faultbench.session import remove_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs, path = written(stage(spark, docs, sf_dir), name)
         if before:
-            dropped(spark, before)
+            remove_folder(spark, before)
         before = path
     packed = STAGES[-1][1](spark, docs, sf_dir)  # reads its input at once and checkpoints what it needs
-    dropped(spark, before)
+    remove_folder(spark, before)
     return packed
