@@ -68,6 +68,21 @@ def daily_revenue(enriched: DataFrame, vs: VariantSet) -> DataFrame:
     )
 
 
+def customer_totals(rows: DataFrame, vs: VariantSet) -> DataFrame:
+    """Totals per customer of an enriched variant table that is read, not joined, here: the
+    map-side sums then collapse a hot or NULL key."""
+    return wide_aggregate(
+        rows,
+        vs,
+        ["customer_id", *ATTRIBUTES],
+        [
+            ("order_count", "count", None),
+            ("lifetime_value_cents", "sum", F.col("amount_cents")),
+            ("last_order_ts", "max", F.col("order_ts")),
+        ],
+    )
+
+
 def customer_value(
     orders: DataFrame, customers: DataFrame, vs: VariantSet, *, customers_vary: bool = False
 ) -> DataFrame:

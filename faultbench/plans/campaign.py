@@ -44,6 +44,7 @@ from faultbench.operators.faults import (
 from faultbench.operators.downstream import (
     MANAGED_TABLES,
     build_enriched,
+    customer_totals,
     customer_value,
     daily_revenue,
     executive_dashboard,
@@ -94,11 +95,11 @@ class Campaign:
     baseline_controls: Sequence[Control] = BASELINE_CONTROLS
     # How the large shared intermediates (the stacked orders and the enriched variant
     # table) are kept between the campaign's jobs. "written" (default): checksums, which
-    # read every column of every table, write both once to the shared checkpoint folder,
-    # and what follows reads those; controls before that read only the columns they need
-    # from the sources. "none": every job goes back to the sources. "cache" (executor
-    # memory and disk) and "checkpoint" keep both from the start. ``close`` removes what
-    # was kept. Small aggregated results are always kept.
+    # read every column of every table, write the enriched table once to the shared
+    # checkpoint folder, and all marts are derived from that copy; controls before that
+    # read only the columns they need from the sources. "none": every job goes back to
+    # the sources. "cache" (executor memory and disk) and "checkpoint" keep both from the
+    # start. ``close`` removes what was kept. Small aggregated results are always kept.
     materialize: str = "written"
     # Source tables ``raw_customers`` / ``raw_orders``; read from ``sf_dir`` if None.
     tables_in: dict[str, DataFrame] | None = None
@@ -155,9 +156,14 @@ class Campaign:
     def _built(self, ft: FaultedTables, mode: str) -> dict[str, DataFrame]:
         vs, customers = ft.variants, ft.tables["raw_customers"]
         vary = any(pl.spec.target_table == "raw_customers" for pl in ft.plans)
-        orders = self._keep(ft.tables["raw_orders"], "orders", mode)
+        orders = ft.tables["raw_orders"]
+        if mode != "written":
+            orders = self._keep(orders, "orders", mode)
         enriched = self._keep(build_enriched(orders, customers, vs, customers_vary=vary), "enriched", mode)
-        cv = customer_value(orders, customers, vs, customers_vary=vary)
+        if mode == "written":  # the join is done already: sum its rows
+            cv = customer_totals(enriched, vs)
+        else:
+            cv = customer_value(orders, customers, vs, customers_vary=vary)
         return {
             "raw_customers": customers,
             "raw_orders": orders,

@@ -15,7 +15,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as entry  # noqa: E402
+from faultbench.plans.queries import QUERIES  # noqa: E402
 from faultbench.session import build_session  # noqa: E402
 
 PATTERNS = {
@@ -35,7 +35,7 @@ PATTERNS = {
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session("local[8]", shuffle_partitions=8)
-    qs = entry.queries()
+    qs = dict(QUERIES)
     print("# Physical plans of the registered queries\n")
     print(f"`explain(\"formatted\")` at `{sf}` (AQE initial plans; counts of plan nodes, "
           "including subqueries and cached sub-plans). Generated by `tools/plan_report.py`.\n")
