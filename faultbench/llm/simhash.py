@@ -112,13 +112,22 @@ def _grouped(docs: DataFrame, shingle: int, max_distance: int, seed: int) -> Dat
     """Rows (doc_id, row, fp, root, component_id); root is the component's smallest fingerprint."""
     fps = checkpointed(fingerprints(docs, shingle, seed))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(nodes.select("fp"), max_distance))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+    linked = connected_components(links(nodes.select("fp"), max_distance))
+    members = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
+    # Tables that the next join reads are written first: both its sides then are plain
+    # shuffles, whose hot keys (a large component, a text with many copies) Spark can split.
+    least = checkpointed(
+        members.join(nodes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("component_id"))
     )
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
-    return fps.join(named, fps["fp"] == named["_fp"]).drop("_fp")
+    named = members.join(least, "root").select("node", "root", "component_id")
+    labels = checkpointed(
+        nodes.join(named, nodes["fp"] == named["node"], "left").select(
+            F.col("fp").alias("_fp"),
+            F.coalesce("root", "fp").alias("root"),
+            F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
+        )
+    )
+    return fps.join(labels, fps["fp"] == labels["_fp"]).drop("_fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, seed: int = 42) -> DataFrame:
