@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from faultbench.llm.common import sliced, strings
+from faultbench.llm.common import sliced, strings, unused
 
 EMBED, WIDTH, STRIDE, FILTERS, HALF = 6, 8, 4, 24, 256
 #: Half chunks whose responses are computed at a time.
@@ -208,16 +208,20 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Net
     return net
 
 
-def score(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
-    """All columns of ``docs``, then ``_score`` and ``_predicted`` (1 if the score reaches the threshold).
+def score(
+    docs: DataFrame, net: Network, threshold: float = 0.7, names: tuple[str, str] = ("_score", "_predicted")
+) -> DataFrame:
+    """All columns of ``docs``, then the score and the prediction (1 if the score reaches the
+    threshold) under ``names``, which docs must not have.
 
     Every whole text is scored; null texts count as empty, an empty text as one blank chunk.
-    Columns of docs with these two names are replaced. There is no shuffle.
+    There is no shuffle.
     """
     weights = net.p
-    docs = docs.drop("_score", "_predicted")
-    names = docs.columns
-    schema = StructType([*docs.schema, StructField("_score", DoubleType()), StructField("_predicted", IntegerType())])
+    if unused(docs, *names) != list(names):
+        raise ValueError(f"docs has a column {names}")
+    columns = docs.columns
+    schema = StructType([*docs.schema, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network()
@@ -226,7 +230,13 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
             s = np.round(own.scores([t.encode() for t in strings(batch)]), 6)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())],
-                names=[*names, "_score", "_predicted"],
+                names=[*columns, *names],
             )
 
     return docs.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches the threshold."""
+    names = tuple(unused(docs, "_score", "_predicted"))
+    return score(docs, net, threshold, names).where(F.col(names[1]) == 1).select(*docs.columns)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultbench.llm.common import checkpointed, sliced, strings
+from faultbench.llm.common import checkpointed, sliced, strings, unused
 from faultbench.llm.components import connected_components
 
 BITS = 64
@@ -145,8 +145,8 @@ def one_of_each(docs: DataFrame, shingle: int = 4, max_distance: int = 4, seed:
     """One row of ``docs``, all columns, of each component: the one with the smallest doc_id."""
     grouped = _grouped(docs, shingle, max_distance, seed)
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first")
-    kept = grouped.groupBy("root").agg(first).select(F.col("first.row").alias("_kept"))
-    names = docs.columns
-    rows = docs.withColumn("_row", _row())
+    row, chosen = unused(docs, "_row", "_chosen")
+    kept = grouped.groupBy("root").agg(first).select(F.col("first.row").alias(chosen))
     # Repeated rows have one key; the join has brought them together already.
-    return rows.join(kept, rows["_row"] == kept["_kept"]).dropDuplicates(["_row"]).select(*names)
+    rows = docs.withColumn(row, _row()).join(kept, F.col(row) == F.col(chosen))
+    return rows.dropDuplicates([row]).select(*docs.columns)

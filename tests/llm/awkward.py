@@ -2,7 +2,7 @@
 
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-EXTRA = ["n_tokens", "fp", "root", "row", "host", "text_key", "kept", "part", "block", "removed", "_score", "slot", "least"]
+EXTRA = ["_row", "_kept", "_chosen", "_host", "_key", "_own_key", "_removed", "_predicted", "doc", "size", "n_tokens", "fp", "root", "row", "host", "text_key", "kept", "part", "block", "removed", "_score", "slot", "least"]
 LONG = " ".join(f"w{i % 977} x{i % 31}." for i in range(30_000)) + "\n" + "y" * 5000
 ROWS = [
     (0, None, "en", "s0"),

@@ -2,8 +2,9 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
-from faultbench.llm.quality_cnn import BLOCK, HALF, Network, Training, held_out, score, train
+from faultbench.llm.quality_cnn import BLOCK, HALF, Network, Training, accepted, held_out, score, train
 
 from awkward import documents, text
 
@@ -63,6 +64,7 @@ def test_blocks_do_not_change_scores():
 def test_learns_and_scores_rows_it_never_saw(spark):
     rows, docs, labels = corpus(spark)
     net = train(docs, labels, Training(rows=200, least_steps=300))
+    docs = docs.select("doc_id", "text")
     out = score(docs, net).select("doc_id", "_score", "_predicted", held_out().alias("held")).collect()
     assert all(r.held == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
     unseen = [r for r in out if r.held]
@@ -82,10 +84,14 @@ def test_awkward_rows(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(3, 1), (6, 1), (5, 0), (5, 0)], "doc_id long, quality int")
     net = train(docs, labels, Training(least_steps=5))
-    out = score(docs, net)
-    assert out.count() == len(text()) and out.where("_score is null").count() == 0
-    assert out.drop("_score", "_predicted").columns == [c for c in docs.columns if c != "_score"]
+    with pytest.raises(ValueError):
+        score(docs, net)  # it has columns of these names
+    out = score(docs, net, names=("s", "p"))
+    assert out.columns == [*docs.columns, "s", "p"]
+    assert out.count() == len(text()) and out.where("s is null").count() == 0
+    kept = accepted(docs, net)
+    assert kept.schema == docs.schema and kept.count() == out.where("p = 1").count()
     empty = documents(spark, [])
     none = train(empty, labels.limit(0))
-    assert score(empty, none).collect() == []
-    assert {r._score for r in score(docs, none).collect()} == {0.5}
+    assert score(empty, none, names=("s", "p")).collect() == []
+    assert {r.s for r in score(docs, none, names=("s", "p")).collect()} == {0.5}
