@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from faultbench.llm import packing, pii, quality_cnn, quality_rules, simhash
 from faultbench.llm.common import read_table, written
@@ -18,7 +17,7 @@ from faultbench.session import remove_folder
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the byte-level network, fitted to the labels, scores 0.7 or more."""
     net = quality_cnn.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality_cnn.score(docs, net, threshold=0.7).where(F.col("_predicted") == 1).select(*docs.columns)
+    return quality_cnn.accepted(docs, net, threshold=0.7)
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
