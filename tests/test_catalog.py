@@ -231,7 +231,24 @@ def test_context_digest_ignores_capture_time_and_order(spark):
     da = C.context_digest({"entities": a})
     db = C.context_digest({"entities": b})
     assert da.collect() == db.collect()
-    assert C.context_binding(da, db).collect()[0]["bound"]
+
+
+def test_context_is_bound_to_the_tables(spark):
+    from faultbench.operators.checksum import table_checksums
+
+    context = C.context_digest({"entities": spark.createDataFrame([("u", 1)], "urn string, v int")})
+    other = C.context_digest({"entities": spark.createDataFrame([("u", 2)], "urn string, v int")})
+    sums = table_checksums({"t": spark.range(5)})
+    changed = table_checksums({"t": spark.range(6)})
+    stored = C.bound_context(context, sums)
+
+    def compared(c, t):
+        r = C.context_binding(stored, C.bound_context(c, t)).first()
+        return r["same_context"], r["same_tables"], r["bound"]
+
+    assert compared(context, table_checksums({"t": spark.range(5).repartition(3)})) == (True, True, True)
+    assert compared(context, changed) == (True, False, False)
+    assert compared(other, sums) == (False, True, False)
 
 
 def test_assertion_gaps_and_ranking(spark):
