@@ -13,7 +13,7 @@ and size. Each job reads a source once for all its requests:
    that holds the N-th row and how many rows precede it: one row per request reaches
    the driver;
 2. the rows of those buckets are counted by (rank, key) and a running sum picks the
-   pair. A bucket holds one 2**18-th of the distinct keys; a key repeated any number
+   pair. A bucket holds one 2**16-th of the distinct keys; a key repeated any number
    of times is one row there, counted on the map side.
 
 A NULL key is never a candidate. Where keys repeat, whole keys are selected, as many as
@@ -37,7 +37,7 @@ from faultbench.functions.hashing import key_rank, key_rank_sql, qi, sql_str
 # Ranks are hash60 + 1, so rank 0 is free for a forced first row (an anchor);
 # they fit in 61 bits.
 RANK_BITS = 61
-BUCKET_BITS = 18
+BUCKET_BITS = 16
 
 
 class SelectionError(ValueError):
