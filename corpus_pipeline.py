@@ -21,8 +21,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that pass the quality rules, without lines that are too frequent on their host."""
-    return quality_rules.cleaned(docs)
+    """Rows that pass the quality rules, without lines that are too frequent on their host.
+
+    A group of what near_dedup takes for copies is one document of its host."""
+    return quality_rules.cleaned(docs, quality_rules.LineLimits(near=4))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,11 +108,16 @@ def links(nodes: DataFrame, max_distance: int) -> DataFrame:
     return a.join(b, ["k", "part"]).where((F.col("a") < F.col("b")) & once & near).select("a", "b").distinct()
 
 
+def roots(nodes: DataFrame, max_distance: int) -> DataFrame:
+    """Rows (node, root) for every ``fp`` of ``nodes`` that isn't its component's smallest."""
+    return connected_components(links(nodes, max_distance))
+
+
 def _grouped(docs: DataFrame, shingle: int, max_distance: int, seed: int) -> DataFrame:
     """Rows (doc_id, row, fp, root, component_id); root is the component's smallest fingerprint."""
     fps = checkpointed(fingerprints(docs, shingle, seed))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = connected_components(links(nodes.select("fp"), max_distance))
+    linked = roots(nodes.select("fp"), max_distance)
     members = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
     # Tables that the next join reads are written first: both its sides then are plain
     # shuffles, whose hot keys (a large component, a text with many copies) Spark can split.

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+from corpus_pipeline import clean_lines
 from faultbench.llm.quality_rules import LineLimits, cleaned, normalised, quality_rules, repeated_words
 
 from awkward import documents, text
@@ -85,3 +86,27 @@ def test_cleaned_removes_lines_and_keeps_columns(spark):
     assert got[300].text == rows[73][1]
     awkward = cleaned(documents(spark))
     assert sorted((r.doc_id for r in awkward.collect()), key=str) == sorted((d for d, t in text() if not failed(brute(t))), key=str)
+
+
+def near_copies():
+    """On one host, 30 texts of 20 short lines, one word changed in each; and other texts."""
+    random.seed(13)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    base = [[word() for _ in range(12)] for _ in range(20)]
+    rows = []
+    for i in range(30):
+        own = [list(x) for x in base]
+        own[i % 20][i % 12] = word()
+        rows.append((i, "\n".join(map(" ".join, own)), "en", "big"))
+    menu = " ".join(word() for _ in range(9))
+    return rows + [(100 + i, menu + "\n" + " ".join(word() for _ in range(60)), "en", "big") for i in range(25)], menu
+
+
+def test_near_copies_of_a_host_count_once(spark):
+    rows, menu = near_copies()
+    docs = documents(spark, rows)
+    assert {r.doc_id for r in quality_rules(docs).where("kept").collect()} == set(range(100, 125))
+    got = {r.doc_id: r for r in quality_rules(docs, LineLimits(near=4)).collect()}
+    assert all(r.kept and r.removed_words == (9 if d >= 100 else 0) for d, r in got.items()) and len(got) == 55
+    out = {r.doc_id: r.text for r in clean_lines(spark, docs, "").collect()}
+    assert out == {d: t.removeprefix(menu + "\n") for d, t, *_ in rows}
