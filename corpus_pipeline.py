@@ -6,6 +6,8 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
+import sys
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the quality rules, without lines that are too frequent on their host.
 
-    A group of what near_dedup takes for copies is one document of its host."""
-    return quality_rules.cleaned(docs, quality_rules.LineLimits(near=4))
+    Lines of any length count; a group of what near_dedup takes for copies is one document of its host."""
+    return quality_rules.cleaned(docs, quality_rules.LineLimits(max_words=sys.maxsize, near=4))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

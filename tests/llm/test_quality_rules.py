@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
 from corpus_pipeline import clean_lines
 from faultbench.llm.quality_rules import LineLimits, cleaned, normalised, quality_rules, repeated_words
@@ -110,3 +111,14 @@ def test_near_copies_of_a_host_count_once(spark):
     assert all(r.kept and r.removed_words == (9 if d >= 100 else 0) for d, r in got.items()) and len(got) == 55
     out = {r.doc_id: r.text for r in clean_lines(spark, docs, "").collect()}
     assert out == {d: t.removeprefix(menu + "\n") for d, t, *_ in rows}
+
+
+def test_long_lines_count_in_the_pipeline(spark):
+    random.seed(14)
+    line = lambda n: " ".join("".join(random.choices("abcdefghij", k=6)) for _ in range(n))
+    passages = [line(60) for _ in range(8)]
+    rows = [(i, "\n".join(x), "en", "big") for i, x in enumerate(combinations(passages, 3))]  # each in 21
+    rows += [(100 + i, f"{line(90)}\n{passages[0]}", "en", "big") for i in range(5)]
+    rows += [(200 + i, "\n".join(passages[:3]), "en", "small") for i in range(3)]
+    out = {r.doc_id: r.text for r in clean_lines(spark, documents(spark, rows), "").collect()}
+    assert out == {d: t.split("\n")[0] if d < 200 else t for d, t, *_ in rows if d >= 100}
