@@ -3,7 +3,8 @@
 The base spans come from fixed patterns with checks. The field then labels the document's
 candidate tokens (those with a digit or an @): neighbouring tokens share a chain potential, and
 tokens that are equal or similar (same text, same digits, same local part of an address), how-
-ever far apart, share a skip potential. Loopy message passing carries what the base spans know
+ever far apart, share a skip potential, also each with the nearest one in a base span. Loopy
+message passing carries what the base spans know
 to the other mentions, so that one number is personal data everywhere in a document or nowhere.
 Weights are learnt by pseudo-likelihood from a bounded sample, with base spans as labels.
 """
@@ -25,6 +26,8 @@ from faultbench.llm.common import sliced, strings
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = len(KINDS) + 1  # 0: none
 CLAMP = 8.0
+#: Messages that change by no more are settled; and the rounds after which unsettled ones end.
+SETTLED, MOST_ROUNDS = 1e-6, 1000
 
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -144,7 +147,8 @@ def _keys(core: str) -> list[str]:
 @dataclass
 class Graph:
     """Nodes and edges of many documents: feature matrix, base labels (0: none), and edges
-    (i, j) by type: 0 neighbours in the text, 1 equal or similar."""
+    (i, j) by type: 0 neighbours in the text, 1 equal or similar and next to each other among
+    those, 2 equal or similar to the nearest token of a base span (no training edge)."""
 
     x: np.ndarray
     base: np.ndarray
@@ -155,9 +159,11 @@ class Graph:
 
 def graph(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> Graph:
     feats, base, cores, edges = [], [], [], []
+    links = set()
     for d, (text, own) in enumerate(zip(texts, spans)):
         marked = sorted((a, b, k) for k, a, b in own)
         at, last_end, seen = 0, -2, {}
+        mentions: dict[str, list[int]] = {}
         longest: list[int] = []  # furthest end of the spans so far
         for a, b, _ in marked:
             longest.append(max(b, longest[-1] if longest else 0))
@@ -179,14 +185,30 @@ def graph(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> Graph:
                 if key in seen:
                     edges.append((seen[key], i, 1))
                 seen[key] = i
+                mentions.setdefault(key, []).append(i)
             last_end = end
+        for own in mentions.values():
+            links |= _to_nearest(own, base)
     x = np.zeros((len(cores), FEATURES), np.float32)
     for i, on in enumerate(feats):
         x[i, on] = 1
+    edges += [(a, b, 2) for a, b in links - {(a, b) for a, b, t in edges if t == 1}]
     e = np.array(sorted(set(edges)), np.int64).reshape(-1, 3)
     return Graph(x, np.array(base, np.int64), e[:, :2], e[:, 2], cores)
 
 
+def _to_nearest(nodes: list[int], base: list[int]) -> set[tuple[int, int]]:
+    """Edges between each of the ascending ``nodes`` without base label and the nearest with one."""
+    known = [i for i in nodes if base[i]]
+    out, at = set(), 0
+    for i in nodes if known else []:
+        if not base[i]:
+            while at + 1 < len(known) and abs(known[at + 1] - i) < abs(known[at] - i):
+                at += 1
+            out.add((min(i, known[at]), max(i, known[at])))
+    return out
+
+
 class SkipChain:
     """Weights: unary (features, labels), chain (label, next label), skip (label, label).
 
@@ -236,7 +258,8 @@ class SkipChain:
     def marginals(self, g: Graph, rounds: int = 30, damping: float = 0.5) -> np.ndarray:
         """Label probabilities by loopy message passing, all messages of a round at once.
 
-        The number of rounds is fixed, so a document's result doesn't depend on its batch.
+        After ``rounds`` rounds a document goes on until its own messages settle, so its result
+        doesn't depend on its batch. Loops may keep messages from settling: MOST_ROUNDS ends them.
         """
         field = g.x @ self.unary
         known = np.flatnonzero(g.base)
@@ -246,20 +269,30 @@ class SkipChain:
         m = len(i)
         src, dst = np.concatenate([i, j]), np.concatenate([j, i])
         back = np.concatenate([np.arange(m) + m, np.arange(m)])
-        pot = np.concatenate([self.pair[g.types], self.pair[g.types].transpose(0, 2, 1)])
+        pair = self.pair[np.minimum(g.types, 1)]
+        pot = np.concatenate([pair, pair.transpose(0, 2, 1)])
         msg = np.zeros((2 * m, LABELS))
-        total = field
-        for _ in range(rounds if m else 0):
+        doc = np.array([d for d, *_ in g.cores], np.int64)[src] if m else src
+        live = np.arange(2 * m)  # messages of the documents that go on
+        for round_ in range(1, max(rounds, MOST_ROUNDS) + 1):
+            if not len(live):
+                break
             total = field.copy()
-            np.add.at(total, dst, msg)
-            out = (total[src] - msg[back])[:, :, None] + pot
+            np.add.at(total, dst[live], msg[live])
+            out = (total[src[live]] - msg[back[live]])[:, :, None] + pot[live]
             top = out.max(axis=1)
             new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
             new = np.clip(new - new.max(axis=1, keepdims=True), -CLAMP * 4, 0)
-            msg = damping * msg + (1 - damping) * new
-        if m:
-            total = field.copy()
-            np.add.at(total, dst, msg)
+            new = damping * msg[live] + (1 - damping) * new
+            if round_ >= rounds:
+                change = np.zeros(doc.max() + 1)
+                np.maximum.at(change, doc[live], np.abs(new - msg[live]).max(axis=1))
+                msg[live] = new
+                live = live[change[doc[live]] > SETTLED]
+            else:
+                msg[live] = new
+        total = field.copy()
+        np.add.at(total, dst, msg)
         p = np.exp(total - total.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 

@@ -125,3 +125,21 @@ def test_awkward_rows(spark):
 def test_untrained_model_adds_nothing():
     t = "call +1 (499) 555-6503 or 12"
     assert [s[3] for s in find_spans([t], SkipChain())[0]] == [True]
+
+
+def test_evidence_reaches_every_mention():
+    model = SkipChain(agreement=4.0)
+    model.unary[:] = 0  # the tokens' shapes say nothing
+    t = "call +1 (415) 555-0199 now" + ", then 555-0199 again" * 100
+    g = graph([t], [base_spans(t)])
+    bare = [i for i, (_, a, b) in enumerate(g.cores) if not g.base[i]]
+    assert len(bare) == 100
+    assert model.marginals(g)[bare, KINDS.index("phone") + 1].min() > 0.95
+    # A long document's result doesn't depend on those beside it.
+    spans = find_spans([t], model)
+    assert len(spans[0]) == 101 and find_spans(["a1 b2", t, "x1 22 +333"], model)[1] == spans[0]
+    # With no pattern span near, evidence goes from mention to mention until it has arrived.
+    keep = g.types < 2
+    g.edges, g.types = g.edges[keep], g.types[keep]
+    p = model.marginals(g)[bare, KINDS.index("phone") + 1]
+    assert (np.diff(p) < 0).all() and p[60] > 0.2 + 1e-9
