@@ -17,6 +17,7 @@ from faultbench.llm.pii import digests, personal_spans
 from faultbench.llm.pii import train as train_pii
 from faultbench.llm.quality_cnn import held_out, score, train
 from faultbench.llm.quality_rules import quality_rules
+from faultbench.llm.runs import periodic_runs
 from faultbench.llm.sharding import shard_documents
 from faultbench.llm.simhash import near_duplicates
 from faultbench.llm.token_counts import count_tokens
@@ -84,6 +85,38 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` with every tenth text made periodic from some word on, as the crc32 of its id says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.withColumn("_g", F.floor(h / 10)).withColumn(
+        "_w", F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    )
+    a = words.withColumn("_n", F.size("_w")).withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    p = a.withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int"))
+    tail = F.expr("flatten(array_repeat(slice(_w, cast(_a as int) + 1, _p), cast(ceil((_n - _a) / _p) as int)))")
+    planted = F.array_join(F.slice(F.concat(F.expr("slice(_w, 1, cast(_a as int))"), tail), 1, F.col("_n")), " ")
+    return p.select("doc_id", F.when(F.col("_n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs(with_planted_runs(docs), shortest=24, repeats=3)
+    best = F.expr("""
+        reduce(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>),
+               (m, x) -> if(m is null or x.length * m.period > m.length * x.period, x, m))""")
+    each = F.expr("array_join(transform(runs, x -> concat(x.start, ',', x.length, ',', x.period, '\n')), '')")
+    return found.withColumn("_best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "_best.start",
+        "_best.length",
+        "_best.period",
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(each.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_bitsliced_top_k": op2_bitsliced_top_k,
@@ -95,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_skip_chain_pii": op8_skip_chain_pii,
     "op9_quality_cnn": op9_quality_cnn,
     "op10_token_counts": op10_token_counts,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {
@@ -162,4 +196,40 @@ SQL: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         WHERE rank <= 5""",
+    "op13_periodic_runs": r"""
+        WITH h AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   xor(4294967295, list_reduce(
+                       list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+                           string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                       lambda crc, b: list_reduce(
+                           list_prepend(xor(crc, b), range(8)),
+                           lambda v, k: xor(v >> 1, 3988292384 * (v & 1))))) AS h
+            FROM documents),
+        a AS (SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM h),
+        p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+        word AS (
+            SELECT r, i, CASE WHEN h % 10 = 0 AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS w
+            FROM p, unnest(range(n)) AS s(i)),
+        same AS (SELECT x.r, x.i, x.i - y.i AS q FROM word x JOIN word y ON x.r = y.r AND x.w = y.w AND y.i < x.i),
+        stretch AS (
+            SELECT r, q, min(i) - q AS start, count(*) + q AS length
+            FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same)
+            GROUP BY r, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+        run AS (
+            SELECT * FROM stretch s WHERE NOT EXISTS (
+                SELECT * FROM stretch t
+                WHERE t.r = s.r AND t.q < s.q AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+        gone AS (SELECT DISTINCT r, i FROM run, unnest(range(start + q, start + length)) AS s(i)),
+        best AS (
+            SELECT *, row_number() OVER (PARTITION BY r ORDER BY CAST(length AS DOUBLE) / q DESC, start, q) AS k FROM run),
+        each AS (
+            SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS t
+            FROM run GROUP BY r),
+        kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS BIGINT) AS start,
+               CAST(best.length AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period,
+               CAST(1000 * best.length // best.q AS BIGINT) AS exponent_milli,
+               sha256(coalesce(each.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+        FROM h LEFT JOIN each USING (r) LEFT JOIN kept USING (r) LEFT JOIN (SELECT * FROM best WHERE k = 1) best USING (r)""",
 }
