@@ -1,6 +1,6 @@
 """Byte-level pre-tokens, cut in two steps so that equal strings are cut only once.
 
-A text is first cut before every space that a visible character follows. The byte-level
+A text is first cut before every space that no white space follows. The byte-level
 pattern always starts a new pre-token there (white-space runs give back their last space to
 the word after it), so each cut piece can be pre-tokenised by itself, and a piece seen before
 needs no second look.
@@ -20,7 +20,9 @@ PATTERN = (
 )
 
 _pattern = regex.compile(PATTERN)
-_cut = re.compile(r" (?=\S)")
+_cut = re.compile(" (?=[^" + SPACE + "])")
+#: The characters of SPACE.
+WHITE = frozenset(c for c in map(chr, range(0x3001)) if re.match("[" + SPACE + "]", c))
 
 
 def pieces(text: str) -> list[str]:

@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 from faultbench.llm.bitsliced import top_k
 from faultbench.llm.bpe_codec import encode_decode_digests
 from faultbench.llm.chat import MarkedTurns, format_conversations, read_back
-from faultbench.llm.common import read_table
+from faultbench.llm.common import checkpointed, read_table
 from faultbench.llm.packing import pack_documents
 from faultbench.llm.pii import digests, personal_spans
 from faultbench.llm.pii import train as train_pii
 from faultbench.llm.quality_cnn import held_out, score, train
 from faultbench.llm.quality_rules import quality_rules
 from faultbench.llm.runs import periodic_runs
+from faultbench.llm.seekable import read_tokens, write_tokens
 from faultbench.llm.sharding import shard_documents
 from faultbench.llm.simhash import near_duplicates
 from faultbench.llm.token_counts import count_tokens
+from faultbench.session import remove_folder, scratch_path
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +87,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "frames")
+    write_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, end=0)
+    rows = read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    found = checkpointed(rows)  # read from the files, which go now
+    remove_folder(spark, folder)
+    return found
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """``docs`` with every tenth text made periodic from some word on, as the crc32 of its id says."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -128,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_skip_chain_pii": op8_skip_chain_pii,
     "op9_quality_cnn": op9_quality_cnn,
     "op10_token_counts": op10_token_counts,
+    "op12_seekable_frames": op12_seekable_frames,
     "op13_periodic_runs": op13_periodic_runs,
 }
 

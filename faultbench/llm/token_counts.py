@@ -10,19 +10,24 @@ table in numpy; after a round only pairs beside a merged symbol are looked up ag
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from faultbench.llm.common import sliced, strings
-from faultbench.llm.pretokens import pieces, pretokens
+from faultbench.llm.common import sliced
+from faultbench.llm.pretokens import WHITE, pieces, pretokens
 
 NONE = np.int32(2**31 - 1)
-#: Strings that a Python worker remembers, and the longest remembered one.
-MEMORY = 400_000
+#: Pieces that a Python worker remembers, and the longest remembered one.
+MEMORY = 1_000_000
 LONGEST = 256
+#: Rows and text bytes that are encoded at a time; longer texts are encoded alone.
+BATCH_ROWS, BATCH_BYTES = 16_384, 16 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -149,76 +154,171 @@ class ByteBPE:
 
 
 class ByteEncoder:
-    """Ids of whole texts as little-endian uint32 bytes, with remembered pieces."""
+    """Ids of whole texts, many texts at a time.
+
+    Arrow splits the texts at spaces and numbers their distinct pieces; only pieces that are not
+    remembered are merged, and ids or counts of the texts are then taken by number. The memory
+    is one dictionary into one array of ids; when it is full, pieces that were met in two calls stay.
+    """
 
     def __init__(self, path: str, memory: int = MEMORY):
-        self.bpe, self.memory, self.known = ByteBPE(path), memory, {}
-
-    def _split(self, text: str) -> list[str | int]:
-        """Parts between special strings, and the ids of the special strings."""
-        parts: list[str | int] = [text]
-        for special, number in self.bpe.specials.items():
-            if special in text:
-                parts = [
-                    y
-                    for x in parts
-                    for y in ([x] if isinstance(x, int) else [z for w in x.split(special) for z in (number, w)][1:])
-                ]
-        return parts
+        self.bpe, self.memory = ByteBPE(path), memory
+        self.known: dict[str, int] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        self.begin, self.size, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+        self.ids = np.zeros(0, np.uint32)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, four bytes an id."""
-        cut: list[list[str | int]] = []
-        for text in texts:
-            own: list[str | int] = []
-            for part in self._split(text):
-                if isinstance(part, int):
-                    own.append(part)
-                elif part:
-                    first, *rest = pieces(part)
-                    if first:
-                        own.append(" " + first)
-                    own += rest
-            cut.append(own)
-        seen = set().union(*cut)
-        known = self.known
-        if len(known) + len(seen) > self.memory:
-            known = self.known = {k: known[k] for k in seen if k in known}
-        self._learn([x for x in seen if x not in known], known)
-        out = [b"".join(map(known.__getitem__, own)) for own in cut]
-        for k in [k for k in seen if isinstance(k, str) and len(k) > LONGEST]:
-            del known[k]
+        """Ids of each text as little-endian uint32 bytes."""
+        ids, counts = self.encode_flat(pa.array(texts, pa.string()))
+        out, ends = ids.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
+        return [out[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and the number of ids of each text. Null: empty."""
+        number, of_text = self._pieces(texts)
+        size = self.size[number]
+        ends = np.cumsum(size)
+        shift = np.repeat(self.begin[number] - (ends - size), size)
+        ids = self.ids[shift + np.arange(len(shift))]
+        counts = self._per_text(size, of_text, len(texts))
+        self._forget()
+        return ids, counts
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text. Null: none."""
+        number, of_text = self._pieces(texts)
+        counts = self._per_text(self.size[number], of_text, len(texts))
+        self._forget()
+        return counts
+
+    @staticmethod
+    def _per_text(size: np.ndarray, of_text: np.ndarray, texts: int) -> np.ndarray:
+        """Sums of ``size`` over each text's pieces; ``of_text``: the number of pieces before each text's end."""
+        total = np.append(0, np.cumsum(size))
+        return np.diff(total[np.append(0, of_text)])
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers in memory of the pieces of all texts, and how many pieces stand before each text's end."""
+        texts = pc.fill_null(texts, "")
+        special = np.zeros(len(texts), bool)
+        for word in self.bpe.specials:
+            special |= pc.match_substring(texts, word).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(texts, " ")
+        stops = split.offsets.to_numpy().astype(np.int64)
+        stops -= stops[0]
+        values = split.flatten().dictionary_encode()
+        number, distinct = values.indices.to_numpy(), values.dictionary.to_pylist()
+        # A space before white space is no cut: texts with such a piece are cut again by the rule.
+        odd = np.fromiter((not x or x[0] in WHITE for x in distinct), bool, len(distinct))
+        broken = odd[number]
+        broken[stops[:-1]] = False
+        special |= np.diff(np.append(0, np.cumsum(broken))[stops]) > 0
+        number = self._remembered(["" if o else x for o, x in zip(odd.tolist(), distinct)])[number]
+        if len(texts):
+            first = values.take(pa.array(stops[:-1])).cast(pa.string()).to_pylist()
+            number[stops[:-1]] = self._remembered([x and " " + x for x in first])
+        at = np.flatnonzero(special)
+        if not len(at):
+            return number, stops[1:]
+        cut = [self._cut(x) for x in texts.take(pa.array(at)).to_pylist()]
+        sizes = np.diff(stops)
+        plain = number[np.repeat(~special, sizes)]
+        sizes[at] = [len(x) for x in cut]
+        # Pieces stand text by text: those cut again, then the others; put them in their texts' order.
+        order = np.append(at, np.flatnonzero(~special))
+        begin = np.zeros(len(texts), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        stops = np.cumsum(sizes)
+        shift = np.repeat(begin - (stops - sizes), sizes)
+        return np.append(self._remembered([y for x in cut for y in x]), plain)[shift + np.arange(len(shift))], stops
+
+    def _cut(self, text: str) -> list[str]:
+        """Pieces of one text by the rule, as ``_remembered`` takes them."""
+        out = []
+        for i, part in enumerate(self._special.split(text)) if self._special else [(0, text)]:
+            if i % 2:
+                out.append("\n" + part)
+            elif part:
+                first, *rest = pieces(part)
+                out += [" " + first, *rest] if first else rest
         return out
 
-    def _learn(self, new: list[str | int], known: dict[str | int, bytes]) -> None:
-        """New pieces. An int is a special string's id. A piece that stood after a space never begins
-        with one, so a space in front marks a text's first piece, which has none before it."""
-        for piece in new:
-            if isinstance(piece, int):
-                known[piece] = piece.to_bytes(4, "little")
+    @cached_property
+    def _special(self) -> re.Pattern | None:
+        each = sorted(self.bpe.specials, key=len, reverse=True)
+        return re.compile("(" + "|".join(map(re.escape, each)) + ")") if each else None
+
+    def _remembered(self, some: list[str]) -> np.ndarray:
+        """Numbers in memory of pieces.
+
+        A piece after a space stands without it; a text's first piece has a space in front here, which no
+        piece after a space begins with, nor with "\n", which marks a special string. An empty piece has no ids.
+        """
+        known = self.known
+        new = dict.fromkeys([x for x in some if x not in known])
+        if new:
+            self._learn(list(new))
+        number = np.fromiter(map(known.__getitem__, some), np.int64, len(some))
+        self.uses[number] += 1
+        return number
+
+    def _learn(self, new: list[str]) -> None:
+        self._add([x for x in new if not x], np.zeros(0, np.uint32), np.zeros(int("" in new), np.int64))
+        marked = [x for x in new if x[:1] == "\n"]
+        self._add(marked, np.array([self.bpe.specials[x[1:]] for x in marked], np.uint32), np.ones(len(marked), np.int64))
         # Letters only: the piece and the space before it are one pre-token.
-        plain = [p for p in new if isinstance(p, str) and p.isalpha()]
+        plain = [p for p in new if p.isalpha()]
         data = "".join([" " + p for p in plain]).encode()
         starts = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
-        known.update(zip(plain, self._cut(data, np.diff(np.r_[starts, len(data)]))))
-        other, words, counts, index = [], [], [], {}
-        for piece in new:
-            if isinstance(piece, str) and not piece.isalpha():
-                own = pretokens(piece[1:] if piece[0] == " " else " " + piece)
-                other.append(piece)
-                counts.append(len(own))
-                words += [index.setdefault(w, len(index)) for w in own]
+        ids, ends = self.bpe.merge(data, np.diff(np.r_[starts, len(data)]))
+        self._add(plain, ids, np.diff(np.append(0, ends)))
+        first = [p for p in new if p[:1] == " "]
+        rest = [p for p in new if p and p[0] not in " \n" and not p.isalpha()]
+        words, sizes = [], []
+        for piece in first:
+            own = pretokens(piece[1:])
+            words += own
+            sizes.append(len(own))
+        # Spaces in front of a visible character are the pieces' own starts, so one scan cuts them all.
+        joined = pretokens(" " + " ".join(rest)) if rest else []
+        begins = [i for i, w in enumerate(joined) if w[0] == " " and len(w) > 1 and w[1] not in WHITE]
+        words += joined
+        sizes = np.append(np.array(sizes, np.int64), np.diff(np.array([*begins, len(joined)])))
+        index: dict[str, int] = {}
+        number = np.array([index.setdefault(w, len(index)) for w in words], np.int64)
         each = [w.encode() for w in index]
-        ids = self._cut(b"".join(each), np.fromiter(map(len, each), np.int64, len(each)))
-        at = 0
-        for piece, n in zip(other, counts):
-            known[piece] = b"".join([ids[i] for i in words[at : at + n]])
-            at += n
-
-    def _cut(self, data: bytes, lens: np.ndarray) -> list[bytes]:
-        sym, ends = self.bpe.merge(data, lens)
-        out, ends = sym.astype("<u4").tobytes(), (ends * 4).tolist()
-        return [out[a:b] for a, b in zip([0, *ends], ends)]
+        ids, ends = self.bpe.merge(b"".join(each), np.fromiter(map(len, each), np.int64, len(each)))
+        size = np.diff(np.append(0, ends))[number]
+        shift = np.repeat((np.append(0, ends)[:-1])[number] - (np.cumsum(size) - size), size)
+        total = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(sizes))]
+        self._add(first + rest, ids[shift + np.arange(len(shift))], np.diff(total))
+
+    def _add(self, some: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        if some:
+            self.known.update(zip(some, range(len(self.size), len(self.size) + len(some))))
+            self.begin = np.append(self.begin, len(self.ids) + np.cumsum(size) - size)
+            self.size = np.append(self.size, size)
+            self.uses = np.append(self.uses, np.zeros(len(some), np.int64))
+            self.ids = np.append(self.ids, ids.astype(np.uint32))
+
+    def _forget(self) -> None:
+        """Keep pieces met in two calls at least, and none that is long; drop all if that is not enough."""
+        long = len(self.ids) > 16 * self.memory
+        if len(self.size) <= self.memory and not long:
+            return
+        kept = {p: i for p, i in self.known.items() if self.uses[i] > 1 and len(p) <= LONGEST}
+        if len(kept) > self.memory // 2:
+            kept = {}
+        at = np.fromiter(kept.values(), np.int64, len(kept))
+        begin, size = self.begin[at], self.size[at]
+        shift = np.repeat(begin - (np.cumsum(size) - size), size)
+        ids = self.ids[shift + np.arange(len(shift))]
+        self.known = {}
+        self._empty()
+        self._add(list(kept), ids, size)
 
 
 _encoders: dict[str, ByteEncoder] = {}
@@ -240,16 +340,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in sliced(batches):
-            texts = strings(batch)
-            n = [len(x) // 4 for x in enc.encode(texts)]
+        for batch in sliced(batches, rows=BATCH_ROWS, size=BATCH_BYTES):
+            n = enc.counts(batch.column("text"))
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()),
-                    pa.array([len(t.encode()) for t in texts], pa.int64()),
-                    pa.array(n, pa.int64()),
-                    pa.array([x > limit for x in n], pa.bool_()),
-                ],
+                [batch.column("doc_id").cast(pa.int64()), size.cast(pa.int64()), pa.array(n), pa.array(n > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
