@@ -13,6 +13,7 @@ from faultbench.llm.bpe_codec import encode_decode_digests
 from faultbench.llm.chat import MarkedTurns, format_conversations, read_back
 from faultbench.llm.common import checkpointed, read_table
 from faultbench.llm.packing import pack_documents
+from faultbench.llm.phrases import collocations
 from faultbench.llm.pii import digests, personal_spans
 from faultbench.llm.pii import train as train_pii
 from faultbench.llm.quality_cnn import held_out, score, train
@@ -87,6 +88,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"), longest=4, least=30, share=80, top=2000)
+
+
 def op12_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "frames")
     write_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, end=0)
@@ -139,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_skip_chain_pii": op8_skip_chain_pii,
     "op9_quality_cnn": op9_quality_cnn,
     "op10_token_counts": op10_token_counts,
+    "op11_phrase_mining": op11_phrase_mining,
     "op12_seekable_frames": op12_seekable_frames,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -208,6 +214,38 @@ SQL: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         WHERE rank <= 5""",
+    "op11_phrase_mining": r"""
+        WITH piece AS (
+            SELECT r, row_number() OVER () AS p, lang, regexp_extract_all(x, '[^\x20\x09]+') AS w
+            FROM (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[.,;:!?\x0A-\x0D]')) AS x
+                  FROM documents)),
+        gram AS (
+            SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k
+            FROM piece, unnest(range(1, len(w) + 1)) AS s(i), unnest([1, 2, 3, 4]) AS t(k) WHERE i + k - 1 <= len(w)),
+        f AS (SELECT lang, phrase, k, count(*) AS f FROM gram GROUP BY lang, phrase, k),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        candidate AS (
+            SELECT lang, phrase, k AS m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+        cut AS (
+            SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r,
+                   CAST(CAST(2000000 AS HUGEINT) * a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+            FROM candidate c, unnest(range(1, m)) AS s(k)
+            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+        scored AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM cut) WHERE o = 1),
+        inside AS (
+            SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS a
+            FROM candidate, unnest(range(1, m + 1)) AS s(i), unnest([2, 3]) AS t(k) WHERE k < m AND i + k - 1 <= m
+            GROUP BY 1, 2),
+        kept AS (
+            SELECT s.* FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+            WHERE i.a IS NULL OR 100 * i.a < 80 * s.a)
+        SELECT lang, rank, phrase, a, l, r, n, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+        JOIN n USING (lang) WHERE rank <= 2000""",
     "op13_periodic_runs": r"""
         WITH h AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
