@@ -2,9 +2,9 @@
 
 Documents are dealt to partitions of bounded size, and each partition is packed by best-fit
 decreasing. Dual feasible functions give a lower bound on the bins that any packing of the
-partition needs; where best fit meets it, the partition is certified and done. Partitions with
-a gap exchange their documents: they are dealt anew among each other and packed again, for as
-long as that saves bins.
+partition needs; where best fit meets it, the partition is certified. Partitions with a gap
+exchange their documents: they are dealt anew among each other and packed again, for as long as
+that saves bins; at last the bins with free space of all partitions are packed anew together.
 """
 
 from __future__ import annotations
@@ -14,14 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultbench.llm.common import checkpointed, sliced, strings
-from faultbench.llm.token_counts import encoder
+from faultbench.llm.common import checkpointed, sliced
+from faultbench.llm.token_counts import BATCH_BYTES, BATCH_ROWS, encoder
 
-#: Pieces that one partition packs, on average, and the most often that gaps are dealt anew.
-ITEMS, ROUNDS = 50_000, 4
+#: Pieces that one partition packs, on average.
+ITEMS = 50_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -35,14 +35,16 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in sliced(batches):
-            rows = []
-            for doc, ids in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), enc.encode(strings(batch))):
-                ids += last
-                n = len(ids) // 4
-                stops = [*range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [n]
-                for i, (a, b) in enumerate(zip([0, *stops], stops)):
-                    rows.append((doc, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+        for batch in sliced(batches, rows=BATCH_ROWS, size=BATCH_BYTES):
+            ids, counts = enc.encode_flat(batch.column("text"))
+            data, at, rows = memoryview(ids.astype("<u4").tobytes()), 0, []
+            for doc, n in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), (counts + 1).tolist()):
+                own = data[at : at + 4 * n - 4]
+                at += 4 * n - 4
+                cuts = [0, *range(n % capacity or capacity, n, capacity)] if n > capacity else [0]
+                for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    rows.append((doc, i, a, b - a, zlib.crc32(own[4 * a : 4 * b])))
+                rows.append((doc, len(cuts) - 1, cuts[-1], n - cuts[-1], zlib.crc32(last, zlib.crc32(own[4 * cuts[-1] :]))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.int64()] * 3))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
@@ -112,7 +114,7 @@ def _packed(items: DataFrame, parts: int, round_: int, capacity: int) -> DataFra
         table = table.select(names)
         for name, value in (
             ("part", np.full(n, part)),
-            ("sequence_id", (round_ << 56) + (part << 20) + bins),
+            ("sequence_id", (part << 20) + bins),
             ("offset", offsets),
             ("bins", np.full(n, bins.max() + 1)),
             ("bound", np.full(n, lower_bound(lengths, capacity))),
@@ -120,38 +122,64 @@ def _packed(items: DataFrame, parts: int, round_: int, capacity: int) -> DataFra
             table = table.append_column(name, pa.array(value, pa.int64()))
         return table
 
-    part = F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(parts)).cast("long")
+    part = F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(parts)).cast("long") + F.lit(round_ << 32)
     schema = f"uid long, {PIECE}, part long, sequence_id long, offset long, bins long, bound long"
     return checkpointed(items.select(*names, part.alias("part")).groupBy("part").applyInArrow(pack, schema))
 
 
+def _bins(packed: DataFrame) -> int:
+    return packed.groupBy("part").agg(F.first("bins").alias("bins")).agg(F.sum("bins")).first()[0] or 0
+
+
+def exchanged(now: DataFrame, capacity: int) -> DataFrame:
+    """``now`` (from ``_packed``) after exchanges between its partitions, for as long as they save bins.
+
+    Partitions above their bound are dealt anew among each other and packed again; a lone one
+    exchanges with a certified partition. When that saves nothing more, the bins with free
+    space of all partitions are packed anew together (each partition may hold a last bin that is
+    nearly empty), again for as long as that saves bins.
+    """
+    round_, certified = 1, False
+    while True:
+        if not certified:
+            parts = now.groupBy("part").agg(*[F.first(c).alias(c) for c in ("bins", "bound")], F.count("*").alias("n"))
+            gap = F.col("bins") > F.col("bound")
+            gaps, partner = parts.agg(F.count_if(gap), F.min(F.when(~gap, F.col("part")))).first()
+            chosen = gap if gaps != 1 or partner is None else gap | (F.col("part") == partner)
+            bins, n = parts.where(chosen).agg(F.sum("bins"), F.sum("n")).first()
+            if gaps == 0 or (gaps == 1 and partner is None):
+                certified = True
+                continue
+            rest, items = now.where(~chosen), now.where(chosen)
+        else:
+            used = F.sum("length").over(Window.partitionBy("sequence_id"))
+            open_ = checkpointed(now.withColumn("_open", used < capacity))
+            rest, items = open_.where("not _open").drop("_open"), open_.where("_open").drop("_open")
+            bins, n = items.agg(F.count_distinct("sequence_id"), F.count("*")).first()
+        if not bins:
+            return now
+        again = _packed(items, max(1, -(-n // ITEMS)), round_, capacity)
+        if _bins(again) < bins:
+            now = rest.unionByName(again)
+        elif certified:
+            return now
+        else:
+            certified = True
+        round_ += 1
+
+
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece of the closing id alone; repeated rows are packed one by
     one; null doc_ids and extra columns do no harm; an empty table gives an empty result. The
-    driver sees three sums a round.
+    driver sees a few sums a round.
     """
     # Fixed by the checkpoint, so a piece's number stays its own when tasks run again.
     pieces = checkpointed(pieces_of(docs, path, capacity, end)).withColumn("uid", F.monotonically_increasing_id())
     full = pieces.where(F.col("length") == capacity)
     items = pieces.where(F.col("length") < capacity)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    done = [full.select(*columns[:5], (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    whole = full.select(*columns[:5], (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     now = _packed(items, max(1, -(-items.count() // ITEMS)), 0, capacity)
-    for round_ in range(1, ROUNDS):
-        by_part = now.where("bins > bound").groupBy("part").agg(F.first("bins").alias("bins"), F.count("*").alias("n"))
-        gaps, bins, n = by_part.agg(F.count("*"), F.sum("bins"), F.sum("n")).first()
-        if gaps < 2:
-            break
-        again = _packed(now.where("bins > bound"), max(1, -(-n // ITEMS)), round_, capacity)
-        got = again.groupBy("part").agg(F.first("bins").alias("bins")).agg(F.sum("bins")).first()[0]
-        if got >= bins:
-            break
-        done.append(now.where("bins = bound").select(*columns))
-        now = again
-    done.append(now.select(*columns))
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out
+    return whole.union(exchanged(now, capacity).select(*columns))

@@ -5,8 +5,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from pyspark.sql import functions as F
+
 from faultbench.llm import packing
-from faultbench.llm.packing import best_fit_decreasing, lower_bound, pack_documents
+from faultbench.llm.packing import best_fit_decreasing, lower_bound, pack_documents, pieces_of
 
 from awkward import documents, text
 
@@ -72,6 +74,34 @@ def test_exchange_keeps_every_piece_and_saves_bins(spark, monkeypatch):
     docs = documents(spark, [(i, "a " * (3 + i * 7 % 29), "en", "s") for i in range(200)])
     rows = pack_documents(docs, PATH, capacity=32).collect()
     assert {r.doc_id for r in rows} == set(range(200))
-    after = check(rows, 32)
-    monkeypatch.setattr(packing, "ROUNDS", 1)
-    assert after <= check(pack_documents(docs, PATH, capacity=32).collect(), 32)
+    once = pieces_of(docs, PATH, 32).withColumn("uid", F.monotonically_increasing_id()).where("length < 32")
+    dealt = packing._packed(once, 25, 0, 32)
+    before = dealt.select("sequence_id").distinct().count()
+    assert check(packing.exchanged(dealt, 32).collect(), 32) < before
+    assert check(rows, 32) <= before + sum(r.length == 32 for r in rows)
+
+
+def placed(spark, lengths, round_, start):
+    rows = [(start + i, start + i, 0, 0, n, 0) for i, n in enumerate(lengths)]
+    return packing._packed(spark.createDataFrame(rows, f"uid long, {packing.PIECE}"), 1, round_, 32)
+
+
+def test_open_bins_of_all_partitions_are_packed_together(spark):
+    """Six of 11 need 3 bins and 10, 9 one more, all certified; together they need 3."""
+    now = placed(spark, [11] * 6, 0, 0).union(placed(spark, [10, 9], 1, 6))
+    assert now.where("bins > bound").count() == 0 and now.select("sequence_id").distinct().count() == 4
+    got = packing.exchanged(now, 32).collect()
+    assert sorted(r.uid for r in got) == list(range(8)) and check(got, 32) == 3
+
+
+def test_lone_gap_exchanges_with_a_certified_partition(spark):
+    rng = np.random.default_rng(7)
+    while True:
+        gap = rng.integers(6, 17, 12)
+        if best_fit_decreasing(gap, 32)[0].max() + 1 > lower_bound(gap, 32):
+            break
+    now = placed(spark, gap.tolist(), 0, 0).union(placed(spark, [1] * 40, 1, 12))
+    assert now.where("bins > bound").select("part").distinct().count() == 1
+    got = packing.exchanged(now, 32).collect()
+    assert sorted(r.uid for r in got) == list(range(52))
+    assert check(got, 32) < now.select("sequence_id").distinct().count()
