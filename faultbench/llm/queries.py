@@ -221,24 +221,32 @@ SQL: dict[str, str] = {
                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                       '[.,;:!?\x0A-\x0D]')) AS x
                   FROM documents)),
+        word AS (SELECT lang, p, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM piece),
+        next AS (
+            SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4
+            FROM word WINDOW o AS (PARTITION BY p ORDER BY i)),
         gram AS (
-            SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k
-            FROM piece, unnest(range(1, len(w) + 1)) AS s(i), unnest([1, 2, 3, 4]) AS t(k) WHERE i + k - 1 <= len(w)),
-        f AS (SELECT lang, phrase, k, count(*) AS f FROM gram GROUP BY lang, phrase, k),
+            SELECT lang, 1 AS k, w1 AS phrase FROM next
+            UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM next WHERE w2 IS NOT NULL
+            UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM next WHERE w3 IS NOT NULL
+            UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM next WHERE w4 IS NOT NULL),
+        f AS MATERIALIZED (SELECT lang, phrase, k, count(*) AS f FROM gram GROUP BY lang, phrase, k),
         n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
         candidate AS (
             SELECT lang, phrase, k AS m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
         cut AS (
-            SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r,
-                   CAST(CAST(2000000 AS HUGEINT) * a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
-            FROM candidate c, unnest(range(1, m)) AS s(k)
-            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
-            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+            SELECT c.*, x.f AS l, y.f AS r,
+                   CAST(CAST(2000000 AS HUGEINT) * c.a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+            FROM (SELECT lang, phrase, a, o, array_to_string(w[1:o], ' ') AS before, array_to_string(w[o + 1:], ' ') AS after
+                  FROM (SELECT *, unnest(range(1, m)) AS o FROM candidate)) c
+            JOIN f x ON x.lang = c.lang AND x.phrase = c.before
+            JOIN f y ON y.lang = c.lang AND y.phrase = c.after),
         scored AS (
-            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM cut) WHERE o = 1),
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, o) AS best FROM cut)
+            WHERE best = 1),
         inside AS (
             SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS a
-            FROM candidate, unnest(range(1, m + 1)) AS s(i), unnest([2, 3]) AS t(k) WHERE k < m AND i + k - 1 <= m
+            FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM candidate), unnest([2, 3]) AS t(k) WHERE k < m AND i + k - 1 <= m
             GROUP BY 1, 2),
         kept AS (
             SELECT s.* FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
