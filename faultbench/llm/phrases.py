@@ -18,17 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from faultbench.llm.common import checkpointed, sliced
-from faultbench.llm.token_counts import BATCH_BYTES, BATCH_ROWS
 
 #: Occurrences that a group of prefixes may have, bits of the filter, bits that number the buckets of prefixes.
 BUDGET, FILTER_BITS, BUCKET_BITS = 1 << 20, 25, 16
 SEED = 42
+#: Rows and text bytes that a task counts at a time.
+ROWS, BYTES = 16_384, 8 << 20
+#: Rows that a task hands over at a time.
+EMIT = 1 << 17
 #: What ends a piece, as bytes; the mark of an end; what parts words.
 ENDS, END, BLANKS = b".,;:!?\n\x0b\x0c\r", b"\x0b", b" \t"
 _table = bytes.maketrans(ENDS + BLANKS, END * len(ENDS) + b" " * len(BLANKS))
@@ -36,17 +40,17 @@ _table = bytes.maketrans(ENDS + BLANKS, END * len(ENDS) + b" " * len(BLANKS))
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
     """For each language of a slice: its distinct words, and all words in order, -1 where a piece ends."""
-    for batch in sliced(batches, rows=BATCH_ROWS, size=BATCH_BYTES):
+    for batch in sliced(batches, rows=ROWS, size=BYTES):
         by_lang: dict[str, list[bytes]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             if text:
                 by_lang.setdefault("und" if lang is None else lang, []).append(text.encode())
         for lang, texts in by_lang.items():
             data = END.join(texts).lower().translate(_table).replace(END, b" " + END + b" ")
-            values = pa.array(data.split(b" "), pa.binary()).dictionary_encode()
+            values = pc.split_pattern(pa.array([data], pa.binary()), " ").flatten().dictionary_encode()
             number, words = values.indices.to_numpy(), values.dictionary.to_pylist()
             is_word = np.array([w not in (b"", END) for w in words], bool)
-            new = np.where(is_word, np.cumsum(is_word) - 1, [-2 if w == b"" else -1 for w in words])
+            new = np.where(is_word, np.cumsum(is_word) - 1, [-2 if w == b"" else -1 for w in words]).astype(np.int32)
             flat = new[number]
             yield lang, [w for w in words if w not in (b"", END)], flat[flat != -2]
 
@@ -77,17 +81,24 @@ def _following(flat: np.ndarray, longest: int) -> np.ndarray:
 
 def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows of small whole numbers from -1 on, and how often each occurs."""
-    key = np.zeros(len(rows), np.int64)
-    for column in rows.T:  # numbers stay below rows * words, so they never overflow
-        key = np.unique(key * (int(rows.max(initial=0)) + 2) + column + 1, return_inverse=True)[1]
+    key, size = np.zeros(len(rows), np.int64), int(rows.max(initial=0)) + 2
+    fits = size ** rows.shape[1] < 1 << 62
+    for column in rows.T:
+        key = key * size + (column + 1)
+        if not fits:  # numbers instead of keys: they stay below rows * words
+            key = np.unique(key, return_inverse=True)[1]
+    if fits:
+        key, count = np.unique(key, return_counts=True)
+        out = np.empty((len(key), rows.shape[1]), np.int32)
+        for i in range(rows.shape[1] - 1, -1, -1):
+            key, out[:, i] = np.divmod(key, size)
+        return out - 1, count
     _, first, count = np.unique(key, return_index=True, return_counts=True)
     return rows[first], count
 
 
 def _joined(words: list[bytes], rows: np.ndarray) -> pa.Array:
     """Each row's words joined by single spaces."""
-    import pyarrow.compute as pc
-
     # A word after the first brings its space along; a missing one is the empty string.
     known = pa.array([b"", *[b" " + w for w in words]], pa.binary())
     first = pa.array([b"", *words], pa.binary()).take(pa.array(rows[:, 0] + 1))
@@ -131,12 +142,15 @@ def _frequent_filter(words: DataFrame, least: int) -> np.ndarray:
     return bits
 
 
-def _suffixes(docs: DataFrame, bits: np.ndarray, heavy: set[tuple[str, bytes]], longest: int) -> DataFrame:
-    """Rows (lang, suffix, count, depth): equal suffixes of a slice counted, and the words of their prefix."""
-    sent = docs.sparkSession.sparkContext.broadcast((bits, heavy))
+def _suffixes(
+    docs: DataFrame, bits: np.ndarray, heavy: set[tuple[str, bytes]], groups: list[int], longest: int
+) -> DataFrame:
+    """Rows (group, lang, suffix, count, depth): equal suffixes of a slice counted, and how many words their
+    prefix has, by which they are grouped."""
+    sent = docs.sparkSession.sparkContext.broadcast((bits, heavy, np.array(groups, np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, heavy = sent.value
+        bits, heavy, groups = sent.value
         mask = (1 << FILTER_BITS) - 1
         for lang, words, flat in _words(batches):
             start = lang.encode() + b"\0"
@@ -145,23 +159,35 @@ def _suffixes(docs: DataFrame, bits: np.ndarray, heavy: set[tuple[str, bytes]],
             for p in (h & np.uint64(mask), (h >> np.uint64(FILTER_BITS)) & np.uint64(mask)):
                 p = p.astype(np.int64)
                 frequent[:-1] &= (bits[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
-            rows = _following(np.where(frequent[flat], flat, -1), longest)
+            frequent[-1] = False  # where -1 points to
+            number = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
+            h, words = h[frequent[:-1]], [w for w, f in zip(words, frequent) if f]
+            rows = _following(number[flat], longest)
             rows, count = _distinct(rows[rows[:, 1] >= 0])  # single words are counted already
-            depth = np.ones(len(rows), np.int32)
+            if not len(rows):
+                continue
+            depth, bucket = np.ones(len(rows), np.int32), (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)[rows[:, 0]]
             now = np.arange(len(rows))
             for d in range(1, longest):
-                if not any(one == lang and p.count(b" ") == d - 1 for one, p in heavy):
-                    break
                 if d == 1:
                     own = np.array([(lang, w) in heavy for w in words], bool)[rows[:, 0]]
                 else:
                     own = np.array([(lang, p) in heavy for p in _joined(words, rows[now, :d]).to_pylist()], bool)
                 now = now[own]
+                if not len(now):
+                    break
                 depth[now] = d + 1
-            if len(rows):
-                yield _rows(lang, _joined(words, rows), count, ["lang", "suffix", "count", "depth"], depth)
+            now = np.flatnonzero(depth > 1)
+            for d in np.unique(depth[now]).tolist():
+                at = np.flatnonzero(depth == d)
+                own = [xxhash.xxh64_intdigest(start + p, SEED) for p in _joined(words, rows[at, :d]).to_pylist()]
+                bucket[at] = np.array(own, np.uint64) >> np.uint64(64 - BUCKET_BITS)
+            names = ["lang", "suffix", "count", "depth", "group"]
+            for a in range(0, len(rows), EMIT):
+                own = slice(a, a + EMIT)
+                yield _rows(lang, _joined(words, rows[own]), count[own], names, depth[own], groups[bucket[own]])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, suffix string, count long, depth int")
+    return docs.select("lang", "text").mapInArrow(run, "lang string, suffix string, count long, depth int, group int")
 
 
 def _bucket(prefix: F.Column) -> F.Column:
@@ -197,12 +223,8 @@ def subtree_counts(langs: np.ndarray, rows: np.ndarray, counts: np.ndarray, dept
         yield order[begins[good]], size, total[good]
 
 
-def _grown(suffixes: DataFrame, of: list[int], longest: int, least: int) -> DataFrame:
+def _grown(suffixes: DataFrame, longest: int, least: int) -> DataFrame:
     """Rows (lang, phrase, f): nodes of every group's subtrees with ``least`` occurrences."""
-    import pyarrow.compute as pc
-
-    sent = suffixes.sparkSession.sparkContext.broadcast(np.array(of, np.int32))
-
     def grow(table: pa.Table) -> pa.Table:
         langs = table["lang"].combine_chunks().dictionary_encode().indices.to_numpy()
         split = pc.split_pattern(table["suffix"].combine_chunks(), " ")
@@ -222,15 +244,7 @@ def _grown(suffixes: DataFrame, of: list[int], longest: int, least: int) -> Data
             made.append(pa.Table.from_arrays([table["lang"].take(pa.array(at)), phrases, pa.array(total)], schema=own))
         return pa.concat_tables(made)
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            group = sent.value[batch.column("bucket").to_numpy()]
-            yield batch.drop_columns(["bucket"]).append_column("group", pa.array(group))
-
-    prefix = F.expr("substring_index(suffix, ' ', depth)")
-    bucketed = suffixes.withColumn("bucket", _bucket(prefix))
-    grouped = bucketed.mapInArrow(number, "lang string, suffix string, count long, depth int, group int")
-    return grouped.groupBy("group").applyInArrow(grow, "lang string, phrase string, f long")
+    return suffixes.groupBy("group").applyInArrow(grow, "lang string, phrase string, f long")
 
 
 def phrase_counts(docs: DataFrame, longest: int = 4, least: int = 30, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
@@ -251,7 +265,7 @@ def phrase_counts(docs: DataFrame, longest: int = 4, least: int = 30, budget: in
         known.append(level if size < longest else level.limit(0))
     buckets = sizes.groupBy(_bucket(F.col("phrase")).alias("b")).agg(F.sum("f")).collect()  # 2^16 rows at most
     of = _groups([tuple(r) for r in buckets], budget)
-    phrases = _grown(_suffixes(docs, _frequent_filter(words, least), heavy, longest), of, longest, least)
+    phrases = _grown(_suffixes(docs, _frequent_filter(words, least), heavy, of, longest), longest, least)
     for more in known:
         phrases = phrases.union(more)
     return words, checkpointed(phrases)

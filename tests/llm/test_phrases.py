@@ -65,7 +65,7 @@ def corpus(n=400):
 @pytest.mark.parametrize("budget", [1 << 20, 200, 20])
 def test_equals_brute_force(spark, monkeypatch, budget):
     rows = corpus()
-    monkeypatch.setattr(phrases, "BATCH_ROWS", 50)  # counts of many slices are added up
+    monkeypatch.setattr(phrases, "ROWS", 50)  # counts of many slices are added up
     got = collocations(documents(spark, rows), budget=budget, least=10).collect()
     want = brute(rows, least=10)
     assert len(want) > 200 and sorted(map(tuple, got)) == want
