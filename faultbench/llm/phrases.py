@@ -27,7 +27,7 @@ from pyspark.sql import Window
 from faultbench.llm.common import checkpointed, sliced
 
 #: Occurrences that a group of prefixes may have, bits of the filter, bits that number the buckets of prefixes.
-BUDGET, FILTER_BITS, BUCKET_BITS = 1 << 20, 25, 16
+BUDGET, FILTER_BITS, BUCKET_BITS = 1 << 18, 25, 16
 SEED = 42
 #: Rows and text bytes that a task counts at a time.
 ROWS, BYTES = 16_384, 8 << 20
