@@ -306,9 +306,10 @@ def _finish(pend: _Pending, boundary: Boundary, df: DataFrame, seed: int) -> tup
     flag = None
     if kind.latest is not None:
         # The selected rows are known by key only: one join for any type and number of
-        # keys, planned by their real size (broadcast or sort-merge).
+        # keys, planned by their real size (broadcast or sort-merge). A key may be the latest
+        # of several groups: it is joined once, and all its rows are selected.
         flag = f"_sel{pend.index}"
-        keyed = req.candidates.filter(selected).select(key).withColumn(flag, F.lit(True))
+        keyed = req.candidates.filter(selected).select(key).distinct().withColumn(flag, F.lit(True))
         df = df.join(keyed, key, "left")
         selected = f"{qi(flag)} IS NOT NULL"
     elif kind.needs:

@@ -54,7 +54,13 @@ def literal_sql(value: object) -> str:
         return f"TIMESTAMP'{value.isoformat(sep=' ')}'" if value.tzinfo else f"TIMESTAMP_NTZ'{value.isoformat(sep=' ')}'"
     if isinstance(value, date):
         return f"DATE'{value.isoformat()}'"
-    return repr(int(value))  # type: ignore[call-overload]
+    if isinstance(value, float):
+        return f"CAST('{value!r}' AS DOUBLE)"
+    if isinstance(value, bool):
+        return repr(value)
+    if isinstance(value, int):
+        return repr(value)
+    raise SelectionError(f"keys of type {type(value).__name__} can't be selected")
 
 
 @dataclass(frozen=True)

@@ -41,6 +41,7 @@ from faultbench.operators.faults import (
     apply_faults,
     mutation_evidence,
 )
+from faultbench.operators.deltas import DeltaRebuild
 from faultbench.operators.downstream import (
     MANAGED_TABLES,
     build_enriched,
@@ -201,8 +202,21 @@ class Campaign:
             out = part if out is None else out.unionByName(part.filter(F.col("variant") != CLEAN))
         return out
 
+    # -- rebuild by deltas --------------------------------------------------
+    @functools.cached_property
+    def rebuilds(self) -> list[DeltaRebuild]:
+        """The managed tables of each block as clean tables and signed deltas."""
+        return [DeltaRebuild(self.spark, self.sources, ft) for ft in self.blocks]
+
+    def delta_checksums(self) -> DataFrame:
+        """As ``checksums``, from clean sums and the hashes of changed rows only."""
+        first, *more = [r.checksums() for r in self.rebuilds]
+        return functools.reduce(DataFrame.unionByName, [first, *[m.filter(F.col("variant") != CLEAN) for m in more]])
+
     def close(self) -> None:
         """Release cached intermediates and remove written ones."""
+        for rebuild in self.__dict__.get("rebuilds", []):
+            rebuild.close()
         for df in self._kept:
             df.unpersist()
         for path in self._paths:
@@ -210,7 +224,7 @@ class Campaign:
         self._kept, self._paths = [], []
         for ft in self.__dict__.get("blocks", []):
             ft.release()
-        for name in ("_lazy_tables", "_written_tables", "baseline_results", "_gaps_and_profile", "blocks"):
+        for name in ("_lazy_tables", "_written_tables", "baseline_results", "_gaps_and_profile", "rebuilds", "blocks"):
             self.__dict__.pop(name, None)
 
     def fault_table(self) -> DataFrame:
@@ -315,12 +329,16 @@ class Campaign:
         aggs = []
         for fault_id, col, stat in wanted:
             fn = F.max if stat == "max" else F.min
+            value = F.col(col)
+            if isinstance(src.schema[col].dataType, (T.DoubleType, T.FloatType)):
+                # NaN exceeds every number and no value exceeds it, nor infinity: bounds come from finite values.
+                value = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
             aggs.append(
                 F.struct(
                     F.lit(fault_id).alias("fault_id"),
                     F.lit(col).alias("column_name"),
                     F.lit(stat).alias("statistic"),
-                    fn(F.col(col)).cast("string").alias("value"),
+                    fn(value).cast("string").alias("value"),
                 )
             )
         if not aggs:

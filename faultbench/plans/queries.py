@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from faultbench.functions.ordering import pack_sql, unpack_key_sql, unpack_ts_sql
 from faultbench.operators import checksum as ck
 from faultbench.operators.controls import Control, evaluate_controls
+from faultbench.operators.deltas import DeltaRebuild
 from faultbench.operators.faults import (
     DUPLICATE_KEYS,
     JOIN_KEY_CORRUPTION,
@@ -24,6 +25,7 @@ from faultbench.operators.faults import (
     FaultSpec,
 )
 from faultbench.operators.downstream import MANAGED_TABLES, build_tables, plain
+from faultbench.operators.minimize import critical_factors, critical_row_counts
 from faultbench.operators.variants import VariantSet, as_column, expand, only
 from faultbench.plans.campaign import Campaign
 from faultbench.plans.contract import BASELINE_CONTROLS, LOAD_CONTROLS, PRIMARY_KEYS, REF_INTEGRITY_CONTROL
@@ -111,6 +113,11 @@ def campaign(spark: SparkSession, sf: str, profile: str = "events", faults=None,
     return _CAMPAIGNS[key]
 
 
+def _rebuild(c: Campaign) -> DeltaRebuild:
+    c.faulted  # one block
+    return c.rebuilds[0]
+
+
 EV = Oracle("events")
 OR = Oracle("orders")
 INT = Oracle("orders", INTEGRITY_FAULTS)
@@ -634,12 +641,17 @@ register("column_profile", _profile_sql())(
 )
 
 
-# -- M14: smallest escaping mutation (eight factors, one pass) ---------------------
+# -- M14: smallest escaping mutation: a grid of factors, and the exact limits of a range ---
+LOWEST, HIGHEST = 2, 1000
+
+
 @register(
     "fault_minimization",
     MIN.with_(
         "SELECT *, min(CASE WHEN NOT detected THEN factor END) OVER () AS smallest_escaping_factor, "
-        "min(CASE WHEN detected THEN factor END) OVER () AS smallest_detected_factor FROM ("
+        "min(CASE WHEN detected THEN factor END) OVER () AS smallest_detected_factor, "
+        "(SELECT min(CAST(f AS INT)) FILTER (WHERE n > 0) FROM every) AS exact_smallest_detected_factor, "
+        "(SELECT min(CAST(f AS INT)) FILTER (WHERE n = 0) FROM every) AS exact_smallest_escaping_factor FROM ("
         "SELECT v.variant AS fault_id, f.factor, count(*) FILTER (WHERE v.amount_cents > "
         "(SELECT max(amount_cents) FROM raw_orders)) AS violation_count, s.mutated_rows, "
         "count(*) FILTER (WHERE v.amount_cents > (SELECT max(amount_cents) FROM raw_orders)) > 0 "
@@ -647,32 +659,120 @@ register("column_profile", _profile_sql())(
         + ", ".join(f"({q(s.fault_id)}, {s.parameters['factor']})" for s in MINIMIZATION_FAULTS)
         + ") AS t(fault_id, factor)) AS f ON v.variant = f.fault_id JOIN selcounts AS s ON "
         "s.fault_id = v.variant GROUP BY v.variant, f.factor, s.mutated_rows)",
-        [_selected_counts(MIN)],
+        [
+            _selected_counts(MIN),
+            "every AS (SELECT f, count(*) FILTER (WHERE f * amount_cents > (SELECT max(amount_cents) FROM raw_orders)) AS n "
+            f"FROM raw_orders, range({LOWEST}, {HIGHEST + 1}) AS r(f) WHERE order_id IN (SELECT k FROM sel0) GROUP BY f)",
+        ],
     ),
 )
 def fault_minimization(spark: SparkSession, sf: str) -> DataFrame:
-    """The generated amount bound against scale factors 2..1000 on the same rows, and the
-    smallest factors that escape it and that it detects."""
+    """The generated amount bound against scale factors 2..1000 on the same rows: counts on a grid, and
+    the exact smallest factors that escape it and that it detects."""
     c = campaign(spark, sf, "events", MINIMIZATION_FAULTS)
+    plans = c.faulted.plans
     factors = spark.createDataFrame(
-        [(s.fault_id, int(s.parameters["factor"])) for s in MINIMIZATION_FAULTS],
-        "fault_id string, factor int",
+        [(p.spec.fault_id, int(p.spec.parameters["factor"]), p.selected_count) for p in plans],
+        "fault_id string, factor int, mutated_rows bigint",
     )
-    ev = c.mutation_evidence().select("fault_id", "mutated_rows")
+    column, _, bound = c.clean_profile_frame([MINIMIZATION_FAULTS[0].fault_id]).first()[1:]
+    control = Control(f"orders_{column}_reasonable", "raw_orders", predicate=f"{column} > {int(bound)}")
     grid = (
-        c.control_results(c.generated_controls)
+        c.control_results([control])
         .join(factors, F.col("variant") == F.col("fault_id"))
-        .join(ev, "fault_id")
         .select("fault_id", "factor", "violation_count", "mutated_rows", (F.col("violation_count") > 0).alias("detected"))
     )
+    exact = critical_factors(_rebuild(c), MINIMIZATION_FAULTS[0], [control], LOWEST, HIGHEST).first()
     every = Window.partitionBy()  # one row per factor
     return grid.select(
         "*",
         F.min(F.when(~F.col("detected"), F.col("factor"))).over(every).alias("smallest_escaping_factor"),
         F.min(F.when(F.col("detected"), F.col("factor"))).over(every).alias("smallest_detected_factor"),
+        F.lit(exact["smallest_detected_factor"]).cast("int").alias("exact_smallest_detected_factor"),
+        F.lit(exact["smallest_escaping_factor"]).cast("int").alias("exact_smallest_escaping_factor"),
+    )
+
+
+SUM_BOUNDS = (("daily_revenue", "revenue_cents"), ("customer_value", "lifetime_value_cents"))
+
+
+def _critical_factors_sql() -> str:
+    scaled = "CASE WHEN order_id IN (SELECT k FROM sel0) THEN f * amount_cents ELSE amount_cents END"
+    counts = [
+        "SELECT 'orders_amount_cents_reasonable' AS control_id, f, count(*) FILTER (WHERE x > (SELECT max(amount_cents) "
+        "FROM raw_orders)) AS n, 0 AS c FROM scaled GROUP BY f",
+        "SELECT 'orders_customer_id_not_null', f, count(*) FILTER (WHERE customer_id IS NULL), "
+        "(SELECT count(*) FROM raw_orders WHERE customer_id IS NULL) FROM scaled GROUP BY f",
+    ]
+    for (t, column), keys in zip(SUM_BOUNDS, (["order_date", "currency"], ["customer_id", "customer_name", "segment", "country_code"])):
+        over = f"(SELECT max({column}) FROM v_{t} WHERE variant = 'clean')"
+        counts.append(
+            f"SELECT {q(f'{t}_{column}_reasonable')}, f, count(*) FILTER (WHERE s > {over}), 0 FROM "
+            f"(SELECT f, {', '.join(keys)}, sum(x) AS s FROM scaled GROUP BY ALL) GROUP BY f"
+        )
+    counts.append(
+        "SELECT 'daily_revenue_non_negative', f, count(*) FILTER (WHERE s < 0), 0 FROM (SELECT f, order_date, currency, "
+        "sum(x) AS s FROM scaled GROUP BY ALL) GROUP BY f"
+    )
+    return EV.with_(
+        "SELECT control_id, CAST(min(f) FILTER (WHERE n > c) AS INT) AS smallest_detected_factor, "
+        "CAST(min(f) FILTER (WHERE n <= c) AS INT) AS smallest_escaping_factor FROM counted GROUP BY control_id",
+        [
+            f"scaled AS (SELECT f, order_date, currency, customer_id, customer_name, segment, country_code, {scaled} AS x FROM "
+            f"v_orders_enriched, range({LOWEST}, {HIGHEST + 1}) AS r(f) WHERE variant = 'clean')",
+            "counted AS (" + " UNION ALL ".join(counts) + ")",
+        ],
     )
 
 
+@register("critical_factors", _critical_factors_sql())
+def critical_factors_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact limits of the scale fault's factor for controls on cells, on sums by day and by customer."""
+    c = campaign(spark, sf)
+    spec, rebuild = c.faults[0], _rebuild(c)
+    column, _, bound = c.clean_profile_frame([spec.fault_id]).first()[1:]
+    controls = [
+        Control(f"orders_{column}_reasonable", "raw_orders", predicate=f"{column} > {int(bound)}"),
+        BASELINE_CONTROLS[0],
+        BASELINE_CONTROLS[2],
+    ]
+    for t, name in SUM_BOUNDS:
+        most = rebuild.clean[t].agg(F.max(name)).first()[0]
+        controls.append(Control(f"{t}_{name}_reasonable", t, predicate=f"{name} > {int(most)}"))
+    return critical_factors(rebuild, spec, controls, LOWEST, HIGHEST)
+
+
+def _row_counts_sql() -> str:
+    parts = []
+    for spec, control, gain in (
+        (OR.faults[0], "orders_amount_cents_reasonable", "CAST(100 * amount_cents > (SELECT max(amount_cents) FROM raw_orders) AS INT)"),
+        (OR.faults[2], "orders_customer_id_not_null", "1"),
+    ):
+        needs = "customer_id IS NOT NULL" if spec is OR.faults[2] else "TRUE"
+        r = OR.rank(spec.fault_id, "order_id")
+        parts.append(
+            f"SELECT {q(spec.fault_id)} AS fault_id, {q(control)} AS control_id, min(n) FILTER (WHERE more > 0) AS "
+            "smallest_detected_rows, min(n) FILTER (WHERE more = 0) AS smallest_escaping_rows FROM (SELECT row_number() OVER o AS n, "
+            f"sum({gain}) OVER o AS more FROM raw_orders WHERE {needs} WINDOW o AS (ORDER BY {r}, order_id "
+            "ROWS UNBOUNDED PRECEDING))"
+        )
+    return OR.with_(" UNION ALL ".join(parts))
+
+
+@register("critical_row_counts", _row_counts_sql())
+def critical_row_counts_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Over every number of mutated rows: the smallest one that is detected, and that escapes."""
+    c = campaign(spark, sf, "orders")
+    orders = c.sources["raw_orders"]
+    column, _, bound = c.clean_profile_frame([c.faults[0].fault_id]).first()[1:]
+    amount = Control(f"orders_{column}_reasonable", "raw_orders", predicate=f"{column} > {int(bound)}")
+    out = [
+        critical_row_counts(orders, "order_id", spec, [control], c.seed).select(F.lit(spec.fault_id).alias("fault_id"), "*")
+        for spec, control in ((c.faults[0], amount), (c.faults[2], BASELINE_CONTROLS[0]))
+    ]
+    return out[0].unionByName(out[1])
+
+
 # -- G1, G4, M2 on DECIMAL and DOUBLE columns: prices of line items ------------------
 PRICE_FAULTS = (
     FaultSpec("scale-price-3x", NUMERIC_SCALE, "raw_orders", {"column": "price", "factor": 3, "percent": 10}),
@@ -1040,3 +1140,38 @@ def generated_artifact(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.concat(F.lit(head + "-- profile_sha256="), F.sha2("p", 256), F.lit("\n"), F.col("s"),
                         F.lit("\nORDER BY control_id\n")), 256).alias("artifact_sha256"),
     )
+
+
+# -- S4, T1-T4, F1 by deltas: only what a fault changes is computed again -------------
+register("delta_checksums", EV.with_("SELECT * FROM checksums", [EV.checksums_cte()]))(
+    lambda spark, sf: campaign(spark, sf).delta_checksums()
+)
+register("delta_checksums_integrity", INT.with_("SELECT * FROM checksums", [INT.checksums_cte()]))(
+    lambda spark, sf: _integrity(spark, sf).delta_checksums()
+)
+for _t, _profile, _o in (
+    ("daily_revenue", "events", EV),
+    ("customer_value", "orders", OR),
+    ("executive_dashboard", "orders", OR),
+):
+    register(f"delta_{_t}", _o.with_(f"SELECT * FROM v_{_t}"))(
+        (lambda t, profile: lambda spark, sf: expand(
+            _rebuild(campaign(spark, sf, profile)).mart(t), campaign(spark, sf, profile).variants
+        ))(_t, _profile)
+    )
+
+
+def _delta_sizes_sql(o: Oracle) -> str:
+    parts = []
+    for t in MANAGED_TABLES:
+        cols = ", ".join(c for c, _ in COLUMNS[t])
+        for s in o.faults:
+            now, was = (f"SELECT {cols} FROM v_{t} WHERE variant = {q(v)}" for v in (s.fault_id, "clean"))
+            parts.append(
+                f"SELECT {q(s.fault_id)} AS variant, {q(t)} AS table_name, (SELECT count(*) FROM ({was} EXCEPT ALL {now})) "
+                f"AS removed, (SELECT count(*) FROM ({now} EXCEPT ALL {was})) AS added"
+            )
+    return o.with_("SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE removed + added > 0")
+
+
+register("delta_sizes", _delta_sizes_sql(INT))(lambda spark, sf: _rebuild(_integrity(spark, sf)).sizes())
