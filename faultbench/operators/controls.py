@@ -7,6 +7,8 @@ A control counts violations in one table; it passes iff the count is 0. Kinds:
   count per (control, variant): a single scan however many controls and faults.
 * ``unique``: number of key values that occur more than once.
 * ``orphan``: rows whose non-null key has no row in a parent table.
+* ``behind``: groups whose latest date fell behind their mark (see ``groupwise``).
+* ``null_share``: groups with more NULLs in a column than their share explains.
 
 Predicates are plain SQL expressions over safe identifiers, so the same text runs
 in Spark (``F.expr``) and in any SQL engine (the exported artifact).
@@ -49,9 +51,13 @@ class Control:
     description: str = ""
     detects_faults: tuple[str, ...] = ()
     generated: bool = False
+    # behind, null_share: the column looked at, and what is still in order
+    measure: str | None = None
+    slack: int = 0
+    limit: int = 0
 
     def __post_init__(self) -> None:
-        if self.kind not in ("row", "unique", "orphan"):
+        if self.kind not in ("row", "unique", "orphan", "behind", "null_share"):
             raise ControlError(f"unknown control kind {self.kind}")
         if self.kind == "row" and not self.predicate:
             raise ControlError("row controls need a predicate")
@@ -69,6 +75,20 @@ class Control:
                 "SELECT count(*) AS violation_count FROM ("
                 f"SELECT {cols} FROM {t} GROUP BY {cols} HAVING count(*) > 1) AS d"
             )
+        if self.kind == "behind":
+            (g,), d = self.columns, self.measure
+            return (
+                f"SELECT greatest(count(*) - {self.limit}, 0) AS violation_count FROM {self.parent_table} AS m LEFT JOIN "
+                f"(SELECT {g}, max({d}) AS latest FROM {t} GROUP BY {g}) AS l ON l.{g} IS NOT DISTINCT FROM m.{g} "
+                f"WHERE l.latest IS NULL OR m._mark - l.latest > {self.slack}"
+            )
+        if self.kind == "null_share":
+            g = ", ".join(self.columns) or "0"
+            return (
+                f"SELECT count(*) AS violation_count FROM (SELECT {g} AS g, count(*) FILTER (WHERE {self.measure} IS NULL) AS n "
+                f"FROM {t} GROUP BY g) AS c LEFT JOIN {self.parent_table} AS l ON l._g IS NOT DISTINCT FROM c.g "
+                "WHERE c.n > coalesce(l._limit, 0)"
+            )
         on = " AND ".join(f"c.{a} = p.{b}" for a, b in zip(self.columns, self.parent_columns))
         nn = " AND ".join(f"c.{a} IS NOT NULL" for a in self.columns)
         return (
@@ -145,6 +165,25 @@ def _orphan_control(df: DataFrame, parent: DataFrame, vs: VariantSet, c: Control
     )
 
 
+def _group_control(tables: Mapping[str, DataFrame], vs: VariantSet, c: Control) -> DataFrame:
+    from faultbench.operators.groupwise import behind_counts, null_share_results
+
+    if c.parent_table not in tables:
+        raise ControlError(f"{c.control_id}: unknown table {c.parent_table}")
+    df, bounds = tables[c.target_table], tables[c.parent_table]
+    if c.kind == "behind":
+        behind = behind_counts(df, bounds, vs, c)
+        counts = behind.select("variant", F.greatest(F.col("behind") - c.limit, F.lit(0)).alias("violation_count"))
+    else:
+        counts = null_share_results(df, bounds, vs, c.measure, c.columns[0] if c.columns else None)
+    return counts.select(
+        "variant",
+        F.lit(c.control_id).alias("control_id"),
+        F.lit(c.target_table).alias("target_table"),
+        F.col("violation_count").cast("bigint").alias("violation_count"),
+    )
+
+
 def evaluate_controls(
     tables: Mapping[str, DataFrame], vs: VariantSet, controls: Sequence[Control]
 ) -> DataFrame:
@@ -161,6 +200,8 @@ def evaluate_controls(
             by_table.setdefault(c.target_table, []).append(c)
         elif c.kind == "unique":
             parts.append(_unique_control_wide(tables[c.target_table], vs, c))
+        elif c.kind in ("behind", "null_share"):
+            parts.append(_group_control(tables, vs, c))
         else:
             if c.parent_table not in tables:
                 raise ControlError(f"{c.control_id}: unknown parent {c.parent_table}")

@@ -34,6 +34,7 @@ from faultbench.operators.controls import (
     safe_identifier,
 )
 from faultbench.operators.faults import (
+    NULL_DENSITY_SURGE,
     NUMERIC_SCALE,
     STALE_PARTITION,
     FaultedTables,
@@ -42,6 +43,15 @@ from faultbench.operators.faults import (
     mutation_evidence,
 )
 from faultbench.operators.deltas import DeltaRebuild
+from faultbench.operators.groupwise import (
+    FALSE_ALARM,
+    WITHDRAWN,
+    marks,
+    marks_control,
+    null_limits,
+    null_share_control,
+    profile_groups,
+)
 from faultbench.operators.downstream import (
     MANAGED_TABLES,
     build_enriched,
@@ -102,6 +112,9 @@ class Campaign:
     # the sources. "cache" (executor memory and disk) and "checkpoint" keep both from the
     # start. ``close`` removes what was kept. Small aggregated results are always kept.
     materialize: str = "written"
+    # Rates that the bounds by group are set for (see ``operators.groupwise``).
+    false_alarm: float = FALSE_ALARM
+    withdrawn: float = WITHDRAWN
     # Source tables ``raw_customers`` / ``raw_orders``; read from ``sf_dir`` if None.
     tables_in: dict[str, DataFrame] | None = None
 
@@ -224,7 +237,8 @@ class Campaign:
         self._kept, self._paths = [], []
         for ft in self.__dict__.get("blocks", []):
             ft.release()
-        for name in ("_lazy_tables", "_written_tables", "baseline_results", "_gaps_and_profile", "rebuilds", "blocks"):
+        for name in ("_lazy_tables", "_written_tables", "baseline_results", "bound_results", "_group_bounds",
+                     "_gaps_and_profile", "rebuilds", "blocks"):
             self.__dict__.pop(name, None)
 
     def fault_table(self) -> DataFrame:
@@ -320,7 +334,8 @@ class Campaign:
     def refused(self, gaps: Sequence[str] | None = None) -> list[tuple[str, str]]:
         """(fault_id, reason) of gaps for which no control is generated."""
         found = [(g, self._generator(g)) for g in (self.gaps if gaps is None else gaps)]
-        return [(g, how) for g, how in found if isinstance(how, str)]
+        by_group = self._group_bounds[2] if gaps is None else {}
+        return [(g, how) for g, how in found if isinstance(how, str) and g not in by_group]
 
     def clean_profile_frame(self, gaps: Sequence[str] | None = None) -> DataFrame:
         """One aggregate over the clean source for all profiled columns."""
@@ -392,13 +407,63 @@ class Campaign:
             )
         return tuple(out)
 
+    @functools.cached_property
+    def bound_results(self) -> DataFrame:
+        """Results of the generated bounds, kept like those of the baseline."""
+        df = self.control_results(self.generated_controls).persist(StorageLevel.MEMORY_AND_DISK)
+        self._kept.append(df)
+        return df
+
+    @functools.cached_property
+    def _group_bounds(self) -> tuple[tuple[Control, ...], dict[str, DataFrame], dict[str, str]]:
+        """Controls by group for faults that neither baseline nor column bounds detect, the tables that
+        they compare with, and which control was made for which fault."""
+        results = self.baseline_results
+        if self.generated_controls:
+            results = results.unionByName(self.bound_results)
+        open_ = {r["fault_id"] for r in detection_matrix(results, self.fault_table()).filter("NOT detected").collect()}
+        orders = self.sources["raw_orders"]
+        types = {f.name: f.dataType for f in orders.schema.fields}
+        controls: dict[str, Control] = {}
+        tables: dict[str, DataFrame] = {}
+        made: dict[str, str] = {}
+        for s in self.faults:
+            if s.fault_id not in open_ or s.target_table != "raw_orders":
+                continue
+            if s.kind == STALE_PARTITION and isinstance(types.get(str(s.parameters["partition_column"])), T.DateType):
+                group, day = (safe_identifier(str(s.parameters[p])) for p in ("group_column", "partition_column"))
+                name = f"marks_{group}_{day}"
+                if name not in tables:
+                    profile = profile_groups(orders, group, day, self.false_alarm, self.withdrawn)
+                    tables[name] = self._keep(marks(orders, group, day), name, "written")
+                    controls[name] = marks_control(profile, "raw_orders", name, (STALE_PARTITION,))
+            elif s.kind == NULL_DENSITY_SURGE:
+                column = safe_identifier(str(s.parameters["column"]))
+                name = f"nulls_{column}"
+                if name not in tables:
+                    tables[name] = self._keep(null_limits(orders, column, None, self.false_alarm), name, "written")
+                    controls[name] = null_share_control(column, None, "raw_orders", name, (NULL_DENSITY_SURGE,))
+            else:
+                continue
+            made[s.fault_id] = controls[name].control_id
+        return tuple(controls.values()), tables, made
+
+    @property
+    def group_controls(self) -> tuple[Control, ...]:
+        return self._group_bounds[0]
+
+    def group_results(self) -> DataFrame:
+        controls, tables, _ = self._group_bounds
+        return self._each_block(lambda built, vs: evaluate_controls({**built, **tables}, vs, controls))
+
     def all_results(self) -> DataFrame:
         """Control results of baseline + generated controls."""
-        base = self.baseline_results.withColumn("generated", F.lit(False))
-        if not self.generated_controls:
-            return base
-        gen = self.control_results(self.generated_controls).withColumn("generated", F.lit(True))
-        return base.unionByName(gen)
+        out = self.baseline_results.withColumn("generated", F.lit(False))
+        if self.generated_controls:
+            out = out.unionByName(self.bound_results.withColumn("generated", F.lit(True)))
+        if self.group_controls:
+            out = out.unionByName(self.group_results().withColumn("generated", F.lit(True)))
+        return out
 
     def matrices(self) -> DataFrame:
         res = self.all_results()
@@ -463,7 +528,7 @@ class Campaign:
                 baseline_detected=tuple(s.fault_id for s in self.faults if s.fault_id not in self.gaps),
                 detected=tuple(s.fault_id for s in self.faults if s.fault_id in found),
                 gaps=tuple(open_),
-                generated=tuple(c.control_id for c in self.generated_controls),
+                generated=tuple(c.control_id for c in (*self.generated_controls, *self.group_controls)),
                 refused=tuple(self.refused()),
                 radius_mismatches=tuple((r["fault_id"], r["table_name"], r["status"]) for r in radius),
             )

@@ -247,8 +247,10 @@ def eligible_generators(o: Oracle) -> list[tuple[str, str, str, str, str, str]]:
     return out
 
 
-def campaign_ctes(o: Oracle, baseline_controls_sql: str) -> list[str]:
-    """base, gaps, profile, gen, allres, matrix, coverage."""
+def campaign_ctes(
+    o: Oracle, baseline_controls_sql: str, more_ctes: Sequence[str] = (), more_results: str = ""
+) -> list[str]:
+    """base, gaps, profile, gen, allres, matrix, coverage; ``more_results`` joins the generated ones."""
     ctes = [
         f"base AS ({baseline_controls_sql})",
         "gaps AS (SELECT fault_id, kind FROM faults WHERE fault_id NOT IN (SELECT b.variant FROM "
@@ -281,8 +283,10 @@ def campaign_ctes(o: Oracle, baseline_controls_sql: str) -> list[str]:
         + (" UNION ALL ".join(gen) or empty_gen)
         + "))"
     )
+    ctes += more_ctes
+    more = f" UNION ALL {more_results}" if more_results else ""
     ctes.append(
-        "allres AS (SELECT *, FALSE AS generated FROM base UNION ALL SELECT *, TRUE AS generated FROM gen)"
+        f"allres AS (SELECT *, FALSE AS generated FROM base UNION ALL SELECT *, TRUE AS generated FROM gen{more})"
     )
 
     def phase(name: str, cond: str) -> str:

@@ -20,10 +20,19 @@ from faultbench.operators.deltas import DeltaRebuild
 from faultbench.operators.faults import (
     DUPLICATE_KEYS,
     JOIN_KEY_CORRUPTION,
+    NULL_DENSITY_SURGE,
     NUMERIC_SCALE,
     REF_INTEGRITY_BREAK,
     FaultSpec,
 )
+from faultbench.operators.groupwise import (
+    FALSE_ALARM,
+    WITHDRAWN,
+    behind_counts,
+    null_limits,
+    null_share_control,
+    profile_groups,
+)
 from faultbench.operators.downstream import MANAGED_TABLES, build_tables, plain
 from faultbench.operators.minimize import critical_factors, critical_row_counts
 from faultbench.operators.variants import VariantSet, as_column, expand, only
@@ -434,8 +443,8 @@ from faultbench.operators.variants import CLEAN  # noqa: E402
 from faultbench.plans.oracle import campaign_ctes, eligible_generators  # noqa: E402
 
 
-def _camp_sql(o: Oracle, body: str, extra=()) -> str:
-    return o.with_(body, [*campaign_ctes(o, _results_sql(o, BASELINE_CONTROLS)), *extra])
+def _camp_sql(o: Oracle, body: str, extra=(), more_ctes=(), more_results: str = "") -> str:
+    return o.with_(body, [*campaign_ctes(o, _results_sql(o, BASELINE_CONTROLS), more_ctes, more_results), *extra])
 
 
 register("clean_profile", _camp_sql(EV, "SELECT * FROM profile"))(
@@ -523,11 +532,140 @@ register(
     "campaign_coverage",
     _camp_sql(EV, "SELECT m.*, c.detected_faults, c.total_faults, c.coverage_pct FROM matrix AS m JOIN coverage AS c ON m.phase = c.phase"),
 )(lambda spark, sf: campaign_coverage_frame(campaign(spark, sf)))
+def _selected_counts(o: Oracle) -> str:
+    return "selcounts AS (" + " UNION ALL ".join(
+        f"SELECT {q(s.fault_id)} AS fault_id, count(*) AS mutated_rows FROM sel{i}"
+        for i, s in enumerate(o.faults)
+    ) + ")"
+
+
+# -- G1, G3, G4 by group: marks and shares of NULL, for gaps that column bounds leave open --
+MARKS_CONTROL = "orders_customer_id_not_behind"
+STALE = "stale-order-partitions-45d"
+
+
+def _limit_sql(expected: str, level: str) -> str:
+    e, l = f"({expected})", f"({level})"  # noqa: E741
+    return f"CAST(floor({e} + {l} / 3 + sqrt({l} * {l} / 9 + 2 * {e} * {l})) AS BIGINT)"
+
+
+MARKS_CTES = [
+    "marks AS (SELECT customer_id, max(source_partition) AS mark FROM raw_orders WHERE source_partition IS NOT NULL GROUP BY customer_id)",
+    "days AS (SELECT DISTINCT customer_id, source_partition AS d FROM raw_orders WHERE source_partition IS NOT NULL)",
+    "gap AS (SELECT * FROM (SELECT date_diff('day', lag(d) OVER (PARTITION BY customer_id ORDER BY d), d) AS gap FROM days) WHERE gap IS NOT NULL)",
+    "slack AS (SELECT coalesce(min(gap), 0) AS slack FROM (SELECT gap, row_number() OVER (ORDER BY gap) AS i, count(*) OVER () AS n "
+    f"FROM gap) WHERE i >= ceil(n * {FALSE_ALARM}))",
+    "gaps_of AS (SELECT count(*) AS gaps, count(*) FILTER (WHERE gap > slack) AS longer FROM gap, slack)",
+    "prof AS (SELECT (SELECT count(*) FROM marks) AS groups, gaps, slack, CASE WHEN gaps = 0 THEN CAST(1 AS DOUBLE) ELSE "
+    "CAST(longer AS DOUBLE) / gaps END AS share FROM gaps_of, slack)",
+    f"allowed AS (SELECT *, {_limit_sql(f'groups * {WITHDRAWN}::DOUBLE * share', f'-ln({FALSE_ALARM}::DOUBLE)')} AS most FROM prof)",
+    "latest AS (SELECT variant, customer_id, max(source_partition) AS latest FROM v_raw_orders GROUP BY variant, customer_id)",
+    "behind AS (SELECT v.variant, count(*) FILTER (WHERE l.latest IS NULL OR date_diff('day', l.latest, m.mark) > (SELECT slack FROM "
+    "slack)) AS behind FROM (SELECT DISTINCT variant FROM v_raw_orders) AS v CROSS JOIN marks AS m LEFT JOIN latest AS l ON l.variant = "
+    "v.variant AND l.customer_id IS NOT DISTINCT FROM m.customer_id GROUP BY v.variant)",
+    f"marked AS (SELECT variant, {q(MARKS_CONTROL)} AS control_id, 'raw_orders' AS target_table, CAST(greatest(behind - (SELECT most "
+    "FROM allowed), 0) AS BIGINT) AS violation_count FROM behind)",
+]
+_FIRST_RESULTS = "(SELECT * FROM base UNION ALL SELECT * FROM gen)"
+MARKS_RESULTS = (
+    "SELECT *, violation_count = 0 AS passed, TRUE AS generated FROM marked WHERE NOT EXISTS (SELECT 1 FROM "
+    f"{_FIRST_RESULTS} AS b JOIN {_FIRST_RESULTS} AS c ON c.control_id = b.control_id AND c.variant = 'clean' WHERE "
+    f"b.variant = {q(STALE)} AND b.violation_count > c.violation_count)"
+)
 register(
     "campaign_coverage_orders",
-    _camp_sql(OR, "SELECT m.*, c.detected_faults, c.total_faults, c.coverage_pct FROM matrix AS m JOIN coverage AS c ON m.phase = c.phase"),
+    _camp_sql(
+        OR,
+        "SELECT m.*, c.detected_faults, c.total_faults, c.coverage_pct FROM matrix AS m JOIN coverage AS c ON m.phase = c.phase",
+        more_ctes=MARKS_CTES,
+        more_results=MARKS_RESULTS,
+    ),
 )(lambda spark, sf: campaign_coverage_frame(campaign(spark, sf, "orders")))
 
+
+@register(
+    "group_bound_profile",
+    OR.with_(
+        "SELECT 'customer_id' AS group_column, 'source_partition' AS date_column, groups, gaps, CAST(slack AS BIGINT) AS slack_days, "
+        "round(share, 6) AS share, most AS most_behind FROM allowed",
+        MARKS_CTES,
+    ),
+)
+def group_bound_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """What the control on marks is made of: the clean gaps between a customer's dates and what they allow."""
+    p = profile_groups(campaign(spark, sf, "orders").sources["raw_orders"], "customer_id", "source_partition")
+    return spark.createDataFrame(
+        [(p.group, p.date, p.groups, p.gaps, p.slack, round(p.share, 6), p.limit)],
+        "group_column string, date_column string, groups bigint, gaps bigint, slack_days bigint, share double, most_behind bigint",
+    )
+
+
+register(
+    "group_control_results",
+    OR.with_("SELECT variant, control_id, target_table, violation_count, violation_count = 0 AS passed FROM marked", MARKS_CTES),
+)(lambda spark, sf: campaign(spark, sf, "orders").group_results())
+
+
+@register(
+    "group_recall",
+    OR.with_(
+        "SELECT s.fault_id, b.behind, s.mutated_rows, CAST(round(b.behind / s.mutated_rows, 4) AS DOUBLE) AS recall FROM behind AS b "
+        "JOIN selcounts AS s ON s.fault_id = b.variant",
+        [*MARKS_CTES, _selected_counts(OR)],
+    ),
+)
+def group_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups behind their mark against the rows that each fault mutated."""
+    c = campaign(spark, sf, "orders")
+    controls, tables, _ = c._group_bounds
+    control = next(k for k in controls if k.kind == "behind")
+    behind = behind_counts(c.tables["raw_orders"], tables[control.parent_table], c.variants, control)
+    mutated = spark.createDataFrame(
+        [(p.spec.fault_id, p.selected_count) for p in c.faulted.plans], "fault_id string, mutated_rows bigint"
+    )
+    recall = F.round(F.col("behind") / F.col("mutated_rows"), 4)
+    return behind.join(mutated, F.col("variant") == F.col("fault_id")).select("fault_id", "behind", "mutated_rows", recall.alias("recall"))
+
+
+NULL_FAULTS = (
+    FaultSpec("null-amounts-5pct", NULL_DENSITY_SURGE, "raw_orders", {"column": "amount_cents", "percent": 5}),
+    FaultSpec("null-partitions-half-pct", NULL_DENSITY_SURGE, "raw_orders", {"column": "source_partition", "percent": "0.5"}),
+    FaultSpec("scale-amounts-2x", NUMERIC_SCALE, "raw_orders", {"column": "amount_cents", "factor": 2, "percent": 10}),
+)
+NUL = Oracle("events", NULL_FAULTS)
+
+
+def _null_share_sql() -> str:
+    parts, ctes = [], []
+    for c, g in (("amount_cents", None), ("source_partition", "currency"), ("amount_cents", "currency")):
+        key, name = g or "0", f"{c}_{g}"
+        level = f"ln(count(*) OVER () / {FALSE_ALARM}::DOUBLE)" if g else f"-ln({FALSE_ALARM}::DOUBLE)"
+        ctes.append(
+            f"lim_{name} AS (SELECT g, {_limit_sql('n * (x + 1) / CAST(n + 2 AS DOUBLE)', level)} AS most FROM (SELECT {key} AS g, "
+            f"count(*) AS n, count(*) FILTER (WHERE {c} IS NULL) AS x FROM raw_orders GROUP BY 1))"
+        )
+        control = f"orders_{c}_null_share" + (f"_by_{g}" if g else "")
+        parts.append(
+            f"SELECT variant, {q(control)} AS control_id, count(*) FILTER (WHERE x > coalesce(most, 0)) AS violation_count FROM (SELECT "
+            f"variant, {key} AS g, count(*) FILTER (WHERE {c} IS NULL) AS x FROM v_raw_orders GROUP BY 1, 2) AS v LEFT JOIN "
+            f"lim_{name} AS l ON l.g IS NOT DISTINCT FROM v.g GROUP BY variant"
+        )
+    return NUL.with_("SELECT *, violation_count = 0 AS passed FROM (" + " UNION ALL ".join(parts) + ")", ctes)
+
+
+@register("null_share_results", _null_share_sql())
+def null_share_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of NULL by column and by event type, against their limits."""
+    c = campaign(spark, sf, "events", NULL_FAULTS)
+    orders, tables, controls = c.sources["raw_orders"], {}, []
+    for column, group in (("amount_cents", None), ("source_partition", "currency"), ("amount_cents", "currency")):
+        name = f"limits_{column}_{group}"
+        tables[name] = null_limits(orders, column, group)
+        controls.append(null_share_control(column, group, "raw_orders", name))
+    found = evaluate_controls({**c.tables, **tables}, c.variants, controls)
+    return found.select("variant", "control_id", "violation_count", "passed")
+
+
 DECLARED = (
     ("orders_customer_id_not_null", "null_density_surge"),
     ("orders_amount_cents_reasonable", "numeric_scale"),
@@ -552,7 +690,7 @@ def detection_attribution(spark: SparkSession, sf: str) -> DataFrame:
     c = campaign(spark, sf)
     res = c.all_results().filter(F.col("variant") != CLEAN)
     faults = c.fault_table().select("fault_id", "kind")
-    pairs = [(cid, k) for ctl in (*c.baseline_controls, *c.generated_controls)
+    pairs = [(cid, k) for ctl in (*c.baseline_controls, *c.generated_controls, *c.group_controls)
              for cid, k in [(ctl.control_id, kk) for kk in ctl.detects_faults]]
     declared = spark.createDataFrame(pairs, "control_id string, kind string").withColumn(
         "declared", F.lit(True)
@@ -600,13 +738,6 @@ def weighted_coverage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _selected_counts(o: Oracle) -> str:
-    return "selcounts AS (" + " UNION ALL ".join(
-        f"SELECT {q(s.fault_id)} AS fault_id, count(*) AS mutated_rows FROM sel{i}"
-        for i, s in enumerate(o.faults)
-    ) + ")"
-
-
 register(
     "generated_recall",
     _camp_sql(
