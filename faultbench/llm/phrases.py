@@ -7,9 +7,11 @@ is extended by a word, as often as needed, and prefixes are put into groups that
 budget. Each group's subtree is then built by itself, in one task's memory, from sorted suffixes.
 
 Suffixes that are equal are counted together before they are shuffled, and end before the first word
-that is too rare to be in any phrase. Rare words are found by a filter of fixed size (a few pass it
-wrongly, which costs time only); what goes to the driver is that filter, a table of bucket sizes of
-fixed size, and the prefixes over the budget, of which there are at most words / budget a level.
+or pair of words that is too rare to be in any phrase. Rare ones are told by filters of fixed size
+made from the counts of words and (hashed) pairs, which the partitioning needs too; a few pass wrongly,
+which costs time only, since every phrase's count comes from the leaves. What goes to the driver are
+those filters, a table of bucket sizes of fixed size, and the hashes of the prefixes over the budget,
+of which there are at most words / budget a level.
 """
 
 from __future__ import annotations
@@ -105,36 +107,12 @@ def _joined(words: list[bytes], rows: np.ndarray) -> pa.Array:
     return pc.binary_join_element_wise(first, *[known.take(pa.array(c + 1)) for c in rows.T[1:]], pa.scalar(b"", pa.binary()))
 
 
-def _extended(docs: DataFrame, heavy: set[tuple[str, bytes]], size: int) -> DataFrame:
-    """Rows (lang, phrase, f): phrases of ``size`` words whose first words are a heavy prefix."""
-    sent = docs.sparkSession.sparkContext.broadcast(heavy)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, flat in _words(batches):
-            firsts = {p.split(b" ")[0] for one, p in sent.value if one == lang}
-            own = np.array([w in firsts for w in words], bool)
-            at = np.flatnonzero(np.append(own, False)[flat])  # -1 is the last: no word
-            rows = _following(flat, size)[at]
-            rows, count = _distinct(rows[rows[:, -1] >= 0])
-            before = _joined(words, rows[:, :-1]).to_pylist()
-            keep = np.array([(lang, p) in sent.value for p in before], bool)
-            if keep.any():
-                yield _rows(lang, _joined(words, rows[keep]), count[keep], ["lang", "phrase", "f"])
-
-    some = docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, f long")
-    return some.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-
-
 def _word_hash(lang: F.Column, phrase: F.Column) -> F.Column:
     return F.xxhash64(F.concat(lang, F.lit("\0"), phrase))
 
 
-def _frequent_filter(words: DataFrame, least: int) -> np.ndarray:
-    """Bits set at two places for each (lang, word) that occurs ``least`` times: bytes of a fixed number."""
-    h, mask = _word_hash(F.col("lang"), F.col("phrase")), (1 << FILTER_BITS) - 1
-    places = words.where(F.col("f") >= least).select(
-        F.explode(F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, FILTER_BITS).bitwiseAND(mask))).alias("p")
-    )
+def _bits(places: DataFrame) -> np.ndarray:
+    """A filter of fixed size with a bit set at each ``p``."""
     part = places.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b"))
     bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     for batch in part.toArrow().to_batches():  # 2^20 rows at most, whatever the input
@@ -142,56 +120,131 @@ def _frequent_filter(words: DataFrame, least: int) -> np.ndarray:
     return bits
 
 
+def _word_filter(words: DataFrame, least: int) -> np.ndarray:
+    """Bits set at two places for each (lang, word) that occurs ``least`` times."""
+    h, mask = _word_hash(F.col("lang"), F.col("phrase")), (1 << FILTER_BITS) - 1
+    two = F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, FILTER_BITS).bitwiseAND(mask))
+    return _bits(words.where(F.col("f") >= least).select(F.explode(two).alias("p")))
+
+
+def _passes(bits: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    out = np.ones(len(first), bool)
+    for p in (first, second):
+        out &= (bits[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
+    return out
+
+
+def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64((1 << FILTER_BITS) - 1)
+    return (h & mask).astype(np.int64), ((h >> np.uint64(FILTER_BITS)) & mask).astype(np.int64)
+
+
+def _fold(key: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The hash of a phrase from that of its first words and that of its last one."""
+    key = (key ^ (key >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    key = (key ^ (key >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + h
+    return key ^ (key >> np.uint64(31))
+
+
+def _frequent_words(
+    batches: Iterator[pa.RecordBatch], bits: np.ndarray
+) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
+    """As ``_words``, with words that are too rare taken for ends, and the words' hashes."""
+    for lang, words, flat in _words(batches):
+        start = lang.encode() + b"\0"
+        h = np.array([xxhash.xxh64_intdigest(start + w, SEED) for w in words], np.uint64)
+        frequent = np.append(_passes(bits, *_places(h)), False)  # the last is where -1 points to
+        number = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
+        yield lang, [w for w, f in zip(words, frequent) if f], number[flat], h[frequent[:-1]]
+
+
+def _phrase_sizes(
+    docs: DataFrame, bits: np.ndarray, size: int, least: int, parts: int, within: np.ndarray | None = None
+) -> DataFrame:
+    """Rows (h, n): hashes of phrases of ``size`` frequent words, with their occurrences, ``least`` or more.
+
+    Only prefixes over the budget (``within``: their sorted hashes) are followed, if given. Hashes travel
+    as sorted arrays, one for each part of their range, and are merged there. Two phrases of one
+    hash seem more frequent than they are: that costs time later, not results.
+    """
+    sent, bits_of_part = docs.sparkSession.sparkContext.broadcast((bits, within)), parts.bit_length() - 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, within = sent.value
+        for _, _, flat, h in _frequent_words(batches, bits):
+            rows = _following(flat, size)
+            rows = rows[rows[:, -1] >= 0]
+            key = h[rows[:, 0]]
+            for d in range(1, size):
+                if d == size - 1 and within is not None:
+                    own = np.isin(key, within)
+                    rows, key = rows[own], key[own]
+                key = _fold(key, h[rows[:, d]])
+            key, n = np.unique(key, return_counts=True)
+            part = (key >> np.uint64(64 - bits_of_part)).astype(np.int64) if bits_of_part else np.zeros(len(key), np.int64)
+            at = np.searchsorted(part, np.arange(parts + 1)).tolist()
+            kept = [(p, a, b) for p, (a, b) in enumerate(zip(at, at[1:])) if a < b]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([p for p, _, _ in kept], pa.int32()),
+                    pa.array([key[a:b].tobytes() for _, a, b in kept], pa.binary()),
+                    pa.array([n[a:b].astype(np.uint32).tobytes() for _, a, b in kept], pa.binary()),
+                ],
+                names=["part", "keys", "counts"],
+            )
+
+    def merge(table: pa.Table) -> pa.Table:
+        key = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])
+        n = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order].astype(np.int64)
+        begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        total = np.add.reduceat(n, begins)
+        good = total >= least
+        return pa.table({"h": key[begins][good].view(np.int64), "n": total[good]})
+
+    some = docs.select("lang", "text").mapInArrow(count, "part int, keys binary, counts binary")
+    return checkpointed(some.groupBy("part").applyInArrow(merge, "h long, n long"))
+
+
 def _suffixes(
-    docs: DataFrame, bits: np.ndarray, heavy: set[tuple[str, bytes]], groups: list[int], longest: int
+    docs: DataFrame, bits: np.ndarray, pairs: np.ndarray, heavy: list[np.ndarray], groups: list[int], longest: int
 ) -> DataFrame:
     """Rows (group, lang, suffix, count, depth): equal suffixes of a slice counted, and how many words their
-    prefix has, by which they are grouped."""
-    sent = docs.sparkSession.sparkContext.broadcast((bits, heavy, np.array(groups, np.int32)))
+    prefix has, by which they are grouped. A suffix ends before the first word that is too rare,
+    alone or with the word before it. ``heavy``: for 1, 2.. words, the sorted hashes of prefixes over the budget."""
+    sent = docs.sparkSession.sparkContext.broadcast((bits, pairs, heavy, np.array(groups, np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, heavy, groups = sent.value
-        mask = (1 << FILTER_BITS) - 1
-        for lang, words, flat in _words(batches):
-            start = lang.encode() + b"\0"
-            h = np.array([xxhash.xxh64_intdigest(start + w, SEED) for w in words], np.uint64)
-            frequent = np.ones(len(words) + 1, bool)
-            for p in (h & np.uint64(mask), (h >> np.uint64(FILTER_BITS)) & np.uint64(mask)):
-                p = p.astype(np.int64)
-                frequent[:-1] &= (bits[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
-            frequent[-1] = False  # where -1 points to
-            number = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
-            h, words = h[frequent[:-1]], [w for w, f in zip(words, frequent) if f]
-            rows = _following(number[flat], longest)
-            rows, count = _distinct(rows[rows[:, 1] >= 0])  # single words are counted already
+        bits, pairs, heavy, groups = sent.value
+        for lang, words, flat, h in _frequent_words(batches, bits):
+            both = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
+            both = both[_passes(pairs, *_places(_fold(h[flat[both]], h[flat[both + 1]])))]
+            linked = np.zeros(len(flat) + longest, bool)  # whether a word goes with the one before it
+            linked[both + 1] = True
+            rows = _following(flat, longest)[both]
+            for d in range(2, longest):
+                rows[~linked[both + d], d:] = -1
+            rows, count = _distinct(rows)
             if not len(rows):
                 continue
-            depth, bucket = np.ones(len(rows), np.int32), (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)[rows[:, 0]]
-            now = np.arange(len(rows))
+            depth, prefix, now = np.ones(len(rows), np.int32), h[rows[:, 0]], np.arange(len(rows))
             for d in range(1, longest):
-                if d == 1:
-                    own = np.array([(lang, w) in heavy for w in words], bool)[rows[:, 0]]
-                else:
-                    own = np.array([(lang, p) in heavy for p in _joined(words, rows[now, :d]).to_pylist()], bool)
-                now = now[own]
-                if not len(now):
-                    break
+                now = now[np.isin(prefix[now], heavy[d - 1])] if len(heavy) >= d else now[:0]
                 depth[now] = d + 1
-            now = np.flatnonzero(depth > 1)
-            for d in np.unique(depth[now]).tolist():
-                at = np.flatnonzero(depth == d)
-                own = [xxhash.xxh64_intdigest(start + p, SEED) for p in _joined(words, rows[at, :d]).to_pylist()]
-                bucket[at] = np.array(own, np.uint64) >> np.uint64(64 - BUCKET_BITS)
+                now = now[rows[now, d] >= 0]  # a suffix that ends here has no longer prefix
+                prefix[now] = _fold(prefix[now], h[rows[now, d]])
+            group = groups[(prefix >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
             names = ["lang", "suffix", "count", "depth", "group"]
             for a in range(0, len(rows), EMIT):
                 own = slice(a, a + EMIT)
-                yield _rows(lang, _joined(words, rows[own]), count[own], names, depth[own], groups[bucket[own]])
+                yield _rows(lang, _joined(words, rows[own]), count[own], names, depth[own], group[own])
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, suffix string, count long, depth int, group int")
 
 
-def _bucket(prefix: F.Column) -> F.Column:
-    return F.shiftrightunsigned(_word_hash(F.col("lang"), prefix), 64 - BUCKET_BITS).cast("int")
+def _bucket(h: F.Column) -> F.Column:
+    return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
 
 
 def _groups(sizes: list[tuple[int, int]], budget: int) -> list[int]:
@@ -207,11 +260,14 @@ def _groups(sizes: list[tuple[int, int]], budget: int) -> list[int]:
 
 
 def subtree_counts(langs: np.ndarray, rows: np.ndarray, counts: np.ndarray, depth: np.ndarray, least: int):
-    """(row, words, count) of every node of the subtrees from ``depth`` (2 at least) words on that ``least`` leaves
-    lie below. ``rows``: suffixes as numbers, -1 from their end on."""
-    order = np.lexsort((*rows.T[::-1], langs, depth))
+    """(row, words, count) of the nodes of 2 words or more that ``least`` leaves of a group lie below.
+
+    ``rows``: suffixes as numbers, -1 from their end on; ``depth``: words of their prefix. The nodes above
+    a prefix that was extended have leaves in other groups too, so they are given whatever their count.
+    """
+    order = np.lexsort((*rows.T[::-1], langs))
     langs, rows, counts, depth = langs[order], rows[order], counts[order], depth[order]
-    new = np.append(True, (langs[1:] != langs[:-1]) | (depth[1:] != depth[:-1]))[: len(rows)]
+    new = np.append(True, langs[1:] != langs[:-1])[: len(rows)]
     for size in range(1, rows.shape[1] + 1):
         column = rows[:, size - 1]
         new = new | np.append(True, column[1:] != column[:-1])[: len(rows)]
@@ -219,7 +275,8 @@ def subtree_counts(langs: np.ndarray, rows: np.ndarray, counts: np.ndarray, dept
             continue
         begins = np.flatnonzero(new)
         total = np.add.reduceat(counts, begins)
-        good = (total >= least) & (column[begins] >= 0) & (depth[begins] <= size)
+        shared = np.maximum.reduceat(depth, begins) > size
+        good = (column[begins] >= 0) & ((total >= least) | shared)
         yield order[begins[good]], size, total[good]
 
 
@@ -250,25 +307,29 @@ def _grown(suffixes: DataFrame, longest: int, least: int) -> DataFrame:
 def phrase_counts(docs: DataFrame, longest: int = 4, least: int = 30, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
     """Rows (lang, phrase, f): all words with their counts, and all phrases of 2 to ``longest`` words that
     occur ``least`` times. Both are written to the shared checkpoint folder."""
-    words = checkpointed(word_counts(docs))
-    level, known, heavy = words.where(F.col("f") > budget), [], set()
-    sizes = words.where((F.col("f") <= budget) & (F.col("f") >= least))
+    words = checkpointed(word_counts(docs)).withColumn("h", _word_hash(F.col("lang"), F.col("phrase")))
+    total = words.agg(F.sum("f")).first()[0] or 0
+    parts = 1 << max(5, min(20, (total // (8 * budget)).bit_length()))  # about 2^21 occurrences each
+    bits = _word_filter(words, least)
+    frequent = words.where(F.col("f") >= least).select("h", F.col("f").alias("n"))
+    level, sizes, heavy, pairs = frequent, frequent.where(F.col("n") <= budget), [], None
     for size in range(2, longest + 1):
-        found = {(r.lang, r.phrase.encode()) for r in level.select("lang", "phrase").toLocalIterator()}
-        if not found:
+        # Prefixes over the budget: words / budget of them at most.
+        over = np.sort(np.array([r.h for r in level.where(F.col("n") > budget).toLocalIterator()], np.int64).view(np.uint64))
+        if size > 2 and not len(over):
             break
-        heavy |= found
-        counts = checkpointed(_extended(docs, found, size))
-        sizes = sizes.union(counts.where((F.col("f") <= budget) | F.lit(size == longest)))
-        level = counts.where(F.col("f") > budget)
-        # A phrase over the budget is extended: no group has its total.
-        known.append(level if size < longest else level.limit(0))
-    buckets = sizes.groupBy(_bucket(F.col("phrase")).alias("b")).agg(F.sum("f")).collect()  # 2^16 rows at most
-    of = _groups([tuple(r) for r in buckets], budget)
-    phrases = _grown(_suffixes(docs, _frequent_filter(words, least), heavy, of, longest), longest, least)
-    for more in known:
-        phrases = phrases.union(more)
-    return words, checkpointed(phrases)
+        heavy.append(over)
+        level = _phrase_sizes(docs, bits, size, least, parts, None if size == 2 else over)
+        if size == 2:
+            mask = (1 << FILTER_BITS) - 1
+            two = F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", FILTER_BITS).bitwiseAND(mask))
+            pairs = _bits(level.select(F.explode(two).alias("p")))
+        if len(over):
+            sizes = sizes.union(level.where((F.col("n") <= budget) | F.lit(size == longest)))
+    buckets = sizes.groupBy(_bucket(F.col("h")).alias("b")).agg(F.sum("n")).collect()  # 2^16 rows at most
+    suffixes = _suffixes(docs, bits, pairs, heavy, _groups([tuple(r) for r in buckets], budget), longest)
+    grown = _grown(suffixes, longest, least).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return words.drop("h"), checkpointed(grown.where(F.col("f") >= least))
 
 
 def collocations(

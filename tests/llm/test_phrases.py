@@ -89,7 +89,7 @@ def test_saturated_filter_changes_nothing(spark, monkeypatch):
     rows = corpus(100)
     want = sorted(map(tuple, phrase_counts(documents(spark, rows), least=5)[1].collect()))
     full = np.full(1 << (phrases.FILTER_BITS - 5), 2**32 - 1, np.uint32)
-    monkeypatch.setattr(phrases, "_frequent_filter", lambda words, least: full)
+    monkeypatch.setattr(phrases, "_bits", lambda places: full)
     assert sorted(map(tuple, phrase_counts(documents(spark, rows), least=5)[1].collect())) == want
 
 
