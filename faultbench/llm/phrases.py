@@ -33,8 +33,6 @@ BUDGET, FILTER_BITS, BUCKET_BITS = 1 << 18, 25, 16
 SEED = 42
 #: Rows and text bytes that a task counts at a time.
 ROWS, BYTES = 16_384, 8 << 20
-#: Rows that a task hands over at a time.
-EMIT = 1 << 17
 #: What ends a piece, as bytes; the mark of an end; what parts words.
 ENDS, END, BLANKS = b".,;:!?\n\x0b\x0c\r", b"\x0b", b" \t"
 _table = bytes.maketrans(ENDS + BLANKS, END * len(ENDS) + b" " * len(BLANKS))
@@ -167,7 +165,7 @@ def _phrase_sizes(
     as sorted arrays, one for each part of their range, and are merged there. Two phrases of one
     hash seem more frequent than they are: that costs time later, not results.
     """
-    sent, bits_of_part = docs.sparkSession.sparkContext.broadcast((bits, within)), parts.bit_length() - 1
+    sent, b = docs.sparkSession.sparkContext.broadcast((bits, within)), parts.bit_length() - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, within = sent.value
@@ -177,49 +175,72 @@ def _phrase_sizes(
             key = h[rows[:, 0]]
             for d in range(1, size):
                 if d == size - 1 and within is not None:
-                    own = np.isin(key, within)
+                    own = np.isin(_short(key, parts), within)
                     rows, key = rows[own], key[own]
                 key = _fold(key, h[rows[:, d]])
-            key, n = np.unique(key, return_counts=True)
-            part = (key >> np.uint64(64 - bits_of_part)).astype(np.int64) if bits_of_part else np.zeros(len(key), np.int64)
-            at = np.searchsorted(part, np.arange(parts + 1)).tolist()
-            kept = [(p, a, b) for p, (a, b) in enumerate(zip(at, at[1:])) if a < b]
+            key, n = np.unique(key >> np.uint64(32 - b), return_counts=True)
+            at = np.searchsorted(key >> np.uint64(32), np.arange(parts + 1)).tolist()
+            kept = [(p, a, z) for p, (a, z) in enumerate(zip(at, at[1:])) if a < z]
+            low = key.astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([p for p, _, _ in kept], pa.int32()),
-                    pa.array([key[a:b].tobytes() for _, a, b in kept], pa.binary()),
-                    pa.array([n[a:b].astype(np.uint32).tobytes() for _, a, b in kept], pa.binary()),
+                    pa.array([_planes(np.diff(low[a:z], prepend=np.uint32(0))) for _, a, z in kept], pa.binary()),
+                    pa.array([_planes(n[a:z]) for _, a, z in kept], pa.binary()),
                 ],
                 names=["part", "keys", "counts"],
             )
 
     def merge(table: pa.Table) -> pa.Table:
-        key = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
+        key = np.concatenate([np.cumsum(_numbers(x), dtype=np.uint64) for x in table["keys"].to_pylist()])
+        n = np.concatenate([_numbers(x) for x in table["counts"].to_pylist()]).astype(np.int64)
         order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order].astype(np.int64)
+        key, n = key[order], n[order]
         begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         total = np.add.reduceat(n, begins)
         good = total >= least
-        return pa.table({"h": key[begins][good].view(np.int64), "n": total[good]})
+        h = ((key[begins][good] | np.uint64(table["part"][0].as_py() << 32)) << np.uint64(32 - b))
+        first, second = _phrase_places(h)
+        return pa.table({"h": h.view(np.int64), "n": total[good], "first": first, "second": second})
 
     some = docs.select("lang", "text").mapInArrow(count, "part int, keys binary, counts binary")
-    return checkpointed(some.groupBy("part").applyInArrow(merge, "h long, n long"))
+    return checkpointed(some.groupBy("part").applyInArrow(merge, "h long, n long, first long, second long"))
+
+
+def _short(key: np.ndarray, parts: int) -> np.ndarray:
+    """The leading bits of hashes by which phrases are counted: 32 within each part."""
+    low = np.uint64((1 << (33 - parts.bit_length())) - 1)
+    return key & ~low
+
+
+def _phrase_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    shift = np.uint64(64 - FILTER_BITS)
+    return tuple((h * np.uint64(c) >> shift).astype(np.int64) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, all first bytes first: small ones leave planes of zeros, which compress."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _suffixes(
-    docs: DataFrame, bits: np.ndarray, pairs: np.ndarray, heavy: list[np.ndarray], groups: list[int], longest: int
+    docs: DataFrame, bits: np.ndarray, pairs: np.ndarray, heavy: list[np.ndarray], groups: list[int], longest: int, parts: int
 ) -> DataFrame:
-    """Rows (group, lang, suffix, count, depth): equal suffixes of a slice counted, and how many words their
-    prefix has, by which they are grouped. A suffix ends before the first word that is too rare,
-    alone or with the word before it. ``heavy``: for 1, 2.. words, the sorted hashes of prefixes over the budget."""
+    """Rows (group, lang, suffixes, counts, depths): the distinct suffixes of a slice that fall into a group, a
+    line each, how often each occurs there, and how many words its prefix has, by which it is grouped. A
+    suffix ends before the first word that is too rare, alone or with the word before it. ``heavy``: for 1, 2..
+    words, the sorted hashes of prefixes over the budget."""
     sent = docs.sparkSession.sparkContext.broadcast((bits, pairs, heavy, np.array(groups, np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, pairs, heavy, groups = sent.value
         for lang, words, flat, h in _frequent_words(batches, bits):
             both = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
-            both = both[_passes(pairs, *_places(_fold(h[flat[both]], h[flat[both + 1]])))]
+            both = both[_passes(pairs, *_phrase_places(_short(_fold(h[flat[both]], h[flat[both + 1]]), parts)))]
             linked = np.zeros(len(flat) + longest, bool)  # whether a word goes with the one before it
             linked[both + 1] = True
             rows = _following(flat, longest)[both]
@@ -228,19 +249,34 @@ def _suffixes(
             rows, count = _distinct(rows)
             if not len(rows):
                 continue
-            depth, prefix, now = np.ones(len(rows), np.int32), h[rows[:, 0]], np.arange(len(rows))
+            depth, prefix, now = np.ones(len(rows), np.uint8), h[rows[:, 0]], np.arange(len(rows))
             for d in range(1, longest):
-                now = now[np.isin(prefix[now], heavy[d - 1])] if len(heavy) >= d else now[:0]
+                own = prefix[now] if d == 1 else _short(prefix[now], parts)
+                now = now[np.isin(own, heavy[d - 1])] if len(heavy) >= d else now[:0]
                 depth[now] = d + 1
                 now = now[rows[now, d] >= 0]  # a suffix that ends here has no longer prefix
                 prefix[now] = _fold(prefix[now], h[rows[now, d]])
             group = groups[(prefix >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-            names = ["lang", "suffix", "count", "depth", "group"]
-            for a in range(0, len(rows), EMIT):
-                own = slice(a, a + EMIT)
-                yield _rows(lang, _joined(words, rows[own]), count[own], names, depth[own], group[own])
+            order = np.argsort(group, kind="stable")
+            group, rows, count, depth = group[order], rows[order], count[order], depth[order]
+            begins = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            ends = np.append(begins[1:], len(group))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(group)), pa.int32()), _joined(words, rows))
+            spans = list(zip(begins.tolist(), ends.tolist()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(group[begins], pa.int32()),
+                    pa.array([lang] * len(begins), pa.string()),
+                    pc.binary_join(lists, b"\n"),
+                    pa.array([_planes(count[a:z]) for a, z in spans], pa.binary()),
+                    pa.array([depth[a:z].tobytes() for a, z in spans], pa.binary()),
+                ],
+                names=["group", "lang", "suffixes", "counts", "depths"],
+            )
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, suffix string, count long, depth int, group int")
+    return docs.select("lang", "text").mapInArrow(
+        run, "group int, lang string, suffixes binary, counts binary, depths binary"
+    )
 
 
 def _bucket(h: F.Column) -> F.Column:
@@ -282,23 +318,27 @@ def subtree_counts(langs: np.ndarray, rows: np.ndarray, counts: np.ndarray, dept
 
 def _grown(suffixes: DataFrame, longest: int, least: int) -> DataFrame:
     """Rows (lang, phrase, f): nodes of every group's subtrees with ``least`` occurrences."""
+
     def grow(table: pa.Table) -> pa.Table:
-        langs = table["lang"].combine_chunks().dictionary_encode().indices.to_numpy()
-        split = pc.split_pattern(table["suffix"].combine_chunks(), " ")
+        lines = pc.split_pattern(table["suffixes"].combine_chunks(), "\n")
+        own_lang = table["lang"].combine_chunks().dictionary_encode()
+        langs = np.repeat(own_lang.indices.to_numpy(), np.diff(lines.offsets.to_numpy()))
+        split = pc.split_pattern(lines.flatten(), " ")
         words = split.flatten().dictionary_encode()
         stops = split.offsets.to_numpy().astype(np.int64)
         stops -= stops[0]
         sizes = np.diff(stops)
-        rows = np.full((len(sizes), longest), -1, np.int64)
+        rows = np.full((len(sizes), longest), -1, np.int32)
         row = np.repeat(np.arange(len(sizes)), sizes)
         rows[row, np.arange(len(row)) - stops[:-1][row]] = words.indices.to_numpy()
-        known = words.dictionary.cast(pa.binary()).to_pylist()
-        depth, counts = table["depth"].to_numpy(), table["count"].to_numpy()
+        counts = np.concatenate([_numbers(x) for x in table["counts"].to_pylist()]).astype(np.int64)
+        depth = np.concatenate([np.frombuffer(x, np.uint8) for x in table["depths"].to_pylist()])
+        known = words.dictionary.to_pylist()
         own = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
         made = [own.empty_table()]
         for at, size, total in subtree_counts(langs, rows, counts, depth, least):
             phrases = _joined(known, rows[at, :size]).cast(pa.string())
-            made.append(pa.Table.from_arrays([table["lang"].take(pa.array(at)), phrases, pa.array(total)], schema=own))
+            made.append(pa.Table.from_arrays([own_lang.dictionary.take(pa.array(langs[at])), phrases, pa.array(total)], schema=own))
         return pa.concat_tables(made)
 
     return suffixes.groupBy("group").applyInArrow(grow, "lang string, phrase string, f long")
@@ -321,13 +361,12 @@ def phrase_counts(docs: DataFrame, longest: int = 4, least: int = 30, budget: in
         heavy.append(over)
         level = _phrase_sizes(docs, bits, size, least, parts, None if size == 2 else over)
         if size == 2:
-            mask = (1 << FILTER_BITS) - 1
-            two = F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", FILTER_BITS).bitwiseAND(mask))
-            pairs = _bits(level.select(F.explode(two).alias("p")))
+            pairs = _bits(level.select(F.explode(F.array("first", "second")).alias("p")))
+        level = level.select("h", "n")
         if len(over):
             sizes = sizes.union(level.where((F.col("n") <= budget) | F.lit(size == longest)))
     buckets = sizes.groupBy(_bucket(F.col("h")).alias("b")).agg(F.sum("n")).collect()  # 2^16 rows at most
-    suffixes = _suffixes(docs, bits, pairs, heavy, _groups([tuple(r) for r in buckets], budget), longest)
+    suffixes = _suffixes(docs, bits, pairs, heavy, _groups([tuple(r) for r in buckets], budget), longest, parts)
     grown = _grown(suffixes, longest, least).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return words.drop("h"), checkpointed(grown.where(F.col("f") >= least))
 
