@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from faultbench.llm import bitsliced
-from faultbench.llm.bitsliced import build, search, top_k
+from faultbench.llm.bitsliced import build, order_key, search, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, rank int, part int, x int, copy int"
 
@@ -40,6 +40,12 @@ def test_block_search_is_exact():
             assert sorted(zip((-s[q == o]).tolist(), v[q == o].tolist())) == want
 
 
+def test_keys_order_like_scores():
+    random.seed(10)
+    some = [0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63)] + [random.randint(-(2**n), 2**n) for n in range(1, 300) for _ in range(5)]
+    assert [x for _, x in sorted((order_key(x), x) for x in some)] == sorted(some)
+
+
 def test_awkward_vectors(spark, monkeypatch):
     monkeypatch.setattr(bitsliced, "BLOCK_ROWS", 25)
     monkeypatch.setattr(bitsliced, "QUERY_ROWS", 7)
@@ -56,3 +62,17 @@ def test_awkward_vectors(spark, monkeypatch):
     assert got == want
     assert top_k(table(spark, []), F.col("vec_id") % 10 == 0).collect() == []
     assert top_k(table(spark, [(50, [1.0])]), F.col("vec_id") % 10 == 0).collect() == []
+
+
+def test_components_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(bitsliced, "BLOCK_ROWS", 25)
+    random.seed(9)
+    f = lambda: float(np.float32(random.uniform(-1, 1)))
+    rows = [(i, [f() for _ in range(4)]) for i in range(60)]
+    big = (70000.0, -70000.0, 1e9, -1e19, 1e30, -3e38, 3e38, float(np.float32(2**40 + 2**20)))
+    rows += [(100 + i, [f(), float(np.float32(x)), f(), f()]) for i, x in enumerate(big)]
+    rows += [(110, [float(np.float32(1e30))] * 4), (120, [float(np.float32(1e30))] * 4)]  # ties beyond a bigint
+    got = sorted(tuple(r) for r in top_k(table(spark, rows), F.col("vec_id") % 10 == 0, 5).collect())
+    want = {(q, r, i, min(max(s, -(2**63)), 2**63 - 1)) for q, r, i, s in brute(rows, 10, 5)}
+    assert got == sorted(want)
+    assert {r for r in got if r[0] == 0} and any(abs(s) == 2**63 - 1 for *_, s in got)
