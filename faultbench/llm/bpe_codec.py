@@ -3,7 +3,9 @@
 The symbols of many words lie in one flat array, words apart by a wall that is in no pair. A
 round looks up every adjacent pair by binary search over the sorted pair keys, finds each
 word's lowest rank, and merges that pair in all words together; words without a known pair
-are taken out. Words met before are remembered.
+are taken out. Words met before are remembered. A word of thousands of letters would need thousands of
+rounds over all of them: such a word keeps its pairs in a heap, by rank and place, and after a merge
+only the two pairs beside it are looked up, among the same sorted keys.
 
 Normalisation and pre-tokens follow the tokenizer file's pipeline: NFC, white-space runs to one
 space, lower case letter by letter, then contractions, letter runs, single digits and runs of
@@ -18,8 +20,10 @@ import json
 import re
 import sys
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,8 @@ from faultbench.llm.token_counts import byte_alphabet
 WALL, NONE = -1, np.int64(2**62)
 #: Words that a Python worker remembers, and the longest remembered one.
 MEMORY, LONGEST = 300_000, 256
+#: Bytes from which on a word is merged by itself, and bits of a place in it.
+ALONE, PLACE = 4096, 40
 
 # The words where only ASCII, Latin-1 and Latin Extended-A letters occur.
 _latin = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\s0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-ſ]+")
@@ -110,7 +116,10 @@ class WordBPE:
         """Ids of each word. Every word of one merge round merges its own lowest pair."""
         out: list[list[int]] = [[] for _ in words]
         data = [w.encode() for w in words]
-        here = np.array([i for i, w in enumerate(data) if w], dtype=np.int64)
+        for i, w in enumerate(data):
+            if len(w) > ALONE:
+                out[i] = self._merge_alone(w)
+        here = np.array([i for i, w in enumerate(data) if 0 < len(w) <= ALONE], dtype=np.int64)
         if not len(here):
             return out
         raw = np.frombuffer(b"".join([data[i] + b"\0" for i in here]), dtype=np.uint8)
@@ -145,6 +154,45 @@ class WordBPE:
             ends = np.flatnonzero(flat == WALL)
         return out
 
+    def _merge_alone(self, word: bytes) -> list[int]:
+        """Ids of one long word. A new pair's rank is above that of the merge that made it, so ranks only rise."""
+        raw = np.frombuffer(word, np.uint8)
+        flat = self.first[raw]
+        flat[-1] = self.last[raw[-1]]
+        rank = self.ranks(flat)
+        at = np.flatnonzero(rank != NONE)
+        heap = ((rank[at] << PLACE) | at).tolist()
+        heapify(heap)
+        sym, n, size = flat.tolist(), len(flat), self.size
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        keys, ranks, merged = self._lists
+        last = len(keys)
+
+        def find(left: int, right: int) -> int:
+            key = left * size + right
+            i = bisect_left(keys, key)
+            return ranks[i] if i < last and keys[i] == key else -1
+
+        while heap:
+            x = heappop(heap)
+            r, i = x >> PLACE, x & ((1 << PLACE) - 1)
+            j = after[i]
+            if sym[i] < 0 or j >= n or find(sym[i], sym[j]) != r:
+                continue  # merged since
+            sym[i], sym[j] = merged[r], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := find(sym[i], sym[k])) >= 0:
+                    heappush(heap, r << PLACE | i)
+            if (h := before[i]) >= 0 and (r := find(sym[h], sym[i])) >= 0:
+                heappush(heap, r << PLACE | h)
+        return [x for x in sym if x >= 0]
+
+    @cached_property
+    def _lists(self) -> tuple[list[int], list[int], list[int]]:
+        return self.keys.tolist(), self.rank.tolist(), self.merged.tolist()
+
     def _learn(self, new: list[str]) -> None:
         for word, ids in zip(new, self.encode_words(new)):
             self.known[word] = (len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]))

@@ -1,6 +1,7 @@
 import hashlib
 import os
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -55,6 +56,17 @@ def test_word_ids_and_decoding_equal_the_library(word):
         assert decoded == word.decode(want.ids, skip_special_tokens=False), t
 
 
+def test_long_words_equal_the_library(word):
+    random.seed(17)
+    some = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (4095, 4096, 4097, 30_000)]
+    some += ["ab" * 5000, "a" * 9999, "".join(random.choices("aeé日z", k=8000)), "the" * 4000 + " x"]
+    for t, (n, ids, _) in zip(some, WordBPE(WORD).encode(some)):
+        assert ids == " ".join(map(str, word.encode(t, add_special_tokens=False).ids))
+    start = time.process_time()
+    assert WordBPE(WORD).encode(["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))])[0][0] > 10_000
+    assert time.process_time() - start < 30  # about 6 seconds on an idle machine
+
+
 def test_characters_newer_than_python(word):
     some = [f"x {chr(c)}y{chr(c)} 1" for c in (0x1C89, 0xA7CB, 0x558, 0x105C0, 0x10D50)]
     assert [x[1] for x in WordBPE(WORD).encode(some)] == [
