@@ -1,10 +1,13 @@
 """Document quality rules: base statistics, and line frequency across a host's documents.
 
-Lines are normalised (lower case, digits to 0, white space to one space) and hashed. A short
-line that occurs in too many distinct documents of one host is boilerplate; it is removed, and
-a document of which too little remains is rejected. Documents with equal texts count once, or,
-with ``LineLimits.near``, each group of near copies on a host: such groups are the near-duplicate
-stage's business and would otherwise lose their last member here.
+Lines of any length are normalised (lower case, digits to 0, white space to one space) and
+hashed. A line that occurs in too many distinct documents of one host is boilerplate; it is removed,
+and a document of which too little remains is rejected. A group of near copies on a host is one
+document: such groups are the near-duplicate stage's business and would otherwise lose their last
+member here. Groups are made only of texts that hold a line above the limits by a plain count of
+texts, since no other line can be above them by groups.
+
+Texts are told apart by 128 bits (MD5), lines of a host by 64 bits: two lines of one hash count together.
 """
 
 from __future__ import annotations
@@ -30,18 +33,17 @@ _digits = re.compile(r"\d")
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line is removed if it has at most ``max_words`` words and is in more than ``min_docs``
-    distinct documents and more than ``min_share`` of all distinct documents of its host. A
-    document is rejected if less than ``min_kept`` of its words remain.
+    """A line is removed if it is in more than ``min_docs`` documents of its host, and in more than
+    ``min_share`` of the host's distinct texts. A document is rejected if less than ``min_kept`` of its
+    words remain.
 
-    With ``near``, documents of one component of SimHash fingerprints at most that many bits apart
-    are one document of a host; without, those of equal texts are."""
+    Documents that SimHash fingerprints at most ``near`` bits apart lead to, among the texts with a line
+    above these limits, count as one; with None, only those of equal texts do."""
 
-    max_words: int = 30
     min_docs: int = 20
     min_share: float = 0.0005
     min_kept: float = 0.2
-    near: int | None = None
+    near: int | None = 4
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -78,25 +80,24 @@ def line_hash(line: str) -> int:
     return xxhash.xxh64_intdigest(normalised(line).encode()) - 2**63
 
 
-def statistics(text: str, max_words: int) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the hashes of its short
-    lines with the words that each holds in all."""
+def statistics(text: str) -> tuple:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the hashes of its lines with
+    the words that each holds in all."""
     data = text.encode()
     words = data.split()
     lines = [x for x in data.split(b"\n") if x.strip(SPACE)]
-    short: dict[int, int] = {}
+    held: dict[int, int] = {}
     for line in lines:
-        if (n := len(line.split())) <= max_words:
-            h = line_hash(line.decode())
-            short[h] = short.get(h, 0) + n
+        h = line_hash(line.decode())
+        held[h] = held.get(h, 0) + len(line.split())
     return (
         len(words),
         len(text) - (len(data) - len(data.translate(None, SPACE))),
         len(data) - len(data.translate(None, SYMBOLS)),
         len(lines) - len(set(lines)),
         repeated_words(words),
-        list(short),
-        list(short.values()),
+        list(held),
+        list(held.values()),
     )
 
 
@@ -104,12 +105,12 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _measured(docs: DataFrame, limits: LineLimits) -> DataFrame:
-    """One narrow row per document: counts, a text key, its short lines, and its fingerprint (null without ``near``)."""
+    """One narrow row per document: counts, a text key, its lines, and its fingerprint (null without ``near``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = strings(batch)
-            columns = list(zip(*[statistics(t, limits.max_words) for t in texts]))
+            columns = list(zip(*[statistics(t) for t in texts]))
             if limits.near is None:
                 fps = pa.nulls(len(texts), pa.int64())
             else:
@@ -127,7 +128,7 @@ def _measured(docs: DataFrame, limits: LineLimits) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys(), "text")
-    schema = "doc_id long, host string, text_key long, " + ", ".join(f"{c} long" for c in COUNTS)
+    schema = "doc_id long, host string, text_key binary, " + ", ".join(f"{c} long" for c in COUNTS)
     return checkpointed(rows.mapInArrow(run, schema + ", hashes array<long>, sizes array<long>, fp long"))
 
 
@@ -135,26 +136,13 @@ def _keys() -> list:
     """A null host is the host with the empty name; the key of a null text is the empty text's."""
     return [
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
+        F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"),
     ]
 
 
-def _frequent_lines(measured: DataFrame, limits: LineLimits) -> tuple[DataFrame, DataFrame]:
-    """Lines of each distinct (host, text), and (host, h) of the lines above the limits."""
-    texts = measured.dropDuplicates(["host", "text_key"])
-    lines = texts.select("host", "text_key", F.explode(F.arrays_zip("hashes", "sizes")).alias("x")).select(
-        "host", "text_key", F.col("x.hashes").alias("h"), F.col("x.sizes").alias("size")
-    )
-    if limits.near is None:
-        counted, docs = lines, texts
-    else:
-        linked = roots(measured.select("fp").distinct(), limits.near)
-        grouped = texts.select("host", "hashes", "fp").join(linked, F.col("fp") == F.col("node"), "left")
-        grouped = checkpointed(grouped.select("host", "hashes", F.coalesce("root", "fp").alias("root")))
-        counted = grouped.select("host", "root", F.explode("hashes").alias("h")).distinct()
-        docs = grouped.select("host", "root").distinct()
-    hosts = checkpointed(docs.groupBy("host").agg(F.count("*").alias("docs")))
-    frequent = (
+def _above(counted: DataFrame, hosts: DataFrame, limits: LineLimits) -> DataFrame:
+    """(host, h) of the lines with more rows in ``counted`` than the limits allow."""
+    return (
         counted.groupBy("host", "h")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") > limits.min_docs)
@@ -162,7 +150,27 @@ def _frequent_lines(measured: DataFrame, limits: LineLimits) -> tuple[DataFrame,
         .where(F.col("n") > limits.min_share * F.col("docs"))
         .select("host", "h")
     )
-    return lines, frequent
+
+
+def _frequent_lines(measured: DataFrame, limits: LineLimits) -> tuple[DataFrame, DataFrame]:
+    """Lines of each distinct (host, text), and (host, h) of the lines above the limits."""
+    texts = measured.dropDuplicates(["host", "text_key"])
+    lines = texts.select("host", "text_key", F.explode(F.arrays_zip("hashes", "sizes")).alias("x")).select(
+        "host", "text_key", F.col("x.hashes").alias("h"), F.col("x.sizes").alias("size")
+    )
+    hosts = checkpointed(texts.groupBy("host").agg(F.count("*").alias("docs")))
+    frequent = _above(lines, hosts, limits)
+    if limits.near is None:
+        return lines, frequent
+    # A line is in no more groups than texts, so only these lines and the texts with them matter.
+    held = checkpointed(lines.join(checkpointed(frequent), ["host", "h"]).select("host", "text_key", "h"))
+    own = held.select("host", "text_key").distinct()
+    fps = checkpointed(texts.select("host", "text_key", "fp").join(own, ["host", "text_key"]))
+    linked = roots(fps.select("fp").distinct(), limits.near)
+    grouped = fps.join(linked, F.col("fp") == F.col("node"), "left")
+    grouped = checkpointed(grouped.select("host", "text_key", F.coalesce("root", "fp").alias("root")))
+    counted = held.join(grouped, ["host", "text_key"]).select("host", "root", "h").distinct()
+    return lines, _above(counted, hosts, limits)
 
 
 def judged(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
@@ -198,11 +206,9 @@ def quality_rules(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFra
     return judged(docs, limits).select("doc_id", *COUNTS, "base_failed", "removed_words", "kept")
 
 
-def drop_lines(text: str, removed: set[int], max_words: int) -> str:
-    """The text without its short lines whose hash is in ``removed``."""
-    return "\n".join(
-        [x for x in text.split("\n") if not (0 < len(x.encode().split()) <= max_words and line_hash(x) in removed)]
-    )
+def drop_lines(text: str, removed: set[int]) -> str:
+    """The text without its lines whose hash is in ``removed``."""
+    return "\n".join([x for x in text.split("\n") if not (x.encode().split() and line_hash(x) in removed)])
 
 
 def cleaned(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
@@ -227,7 +233,7 @@ def cleaned(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
             out = {n: batch.column(n) for n in names}
             if any(marks):
                 texts = batch.column("text").to_pylist()
-                new = [drop_lines(t, set(m), limits.max_words) if m else t for t, m in zip(texts, marks)]
+                new = [drop_lines(t, set(m)) if m else t for t, m in zip(texts, marks)]
                 out["text"] = pa.array(new, out["text"].type)
                 if "n_chars" in out:
                     old = out["n_chars"].to_pylist()

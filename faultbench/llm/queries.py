@@ -166,40 +166,6 @@ SQL: dict[str, str] = {
                                FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(shown) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_rewrites
         FROM e GROUP BY conv_id""",
-    "op5_quality_rules": r"""
-        WITH d AS (
-            SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
-                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-                   list_filter(string_split(coalesce(text, ''), chr(10)),
-                               lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
-            FROM documents),
-        win AS (
-            SELECT r, i, words[i:i + 4] AS w FROM d, unnest(generate_series(1, len(words) - 4)) AS s(i)),
-        twice AS (SELECT r, w FROM win GROUP BY r, w HAVING count(*) > 1),
-        repeated AS (
-            SELECT r, count(DISTINCT i + k) AS n FROM win JOIN twice USING (r, w), unnest([0, 1, 2, 3, 4]) AS o(k) GROUP BY r),
-        line AS (
-            SELECT r, host, text, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
-                   regexp_replace(regexp_replace(trim(lower(x), ' ' || chr(9) || chr(11) || chr(12) || chr(13)),
-                                  '[\x20\x09-\x0D]+', ' ', 'g'), '\d', '0', 'g') AS x
-            FROM (SELECT r, host, text, unnest(lines) AS x FROM d)),
-        hosts AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host),
-        frequent AS (
-            SELECT host, x FROM line JOIN hosts USING (host) WHERE n <= 30 GROUP BY host, x, docs
-            HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > CAST(0.0005 AS DOUBLE) * docs),
-        gone AS (SELECT r, sum(n) AS n FROM line JOIN frequent USING (host, x) WHERE n <= 30 GROUP BY r),
-        c AS (
-            SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
-                   CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
-                   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-                   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-                   CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words,
-                   CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words
-            FROM d LEFT JOIN repeated USING (r) LEFT JOIN gone USING (r))
-        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
-               AND n_words - removed_words >= CAST(0.2 AS DOUBLE) * n_words AS kept
-        FROM c""",
     "op2_bitsliced_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x

@@ -56,11 +56,13 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
                 names=["doc_id", "row", "fp"],
             )
 
-    return docs.select("doc_id", _row().alias("row"), "text").mapInArrow(run, "doc_id long, row long, fp long")
+    return docs.select("doc_id", _row().alias("row"), "text").mapInArrow(run, "doc_id long, row binary, fp long")
 
 
 def _row() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    """128 bits that tell rows of different ids or texts apart (a null one is no empty one)."""
+    each = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "text")]
+    return F.unhex(F.md5(F.concat_ws("|", *each)))
 
 
 def _segments(max_distance: int) -> list[tuple[int, int]]:

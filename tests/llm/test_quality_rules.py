@@ -7,6 +7,7 @@ from corpus_pipeline import clean_lines
 from faultbench.llm.quality_rules import LineLimits, cleaned, normalised, quality_rules, repeated_words
 
 from awkward import documents, text
+from test_simhash import brute_components, brute_fingerprint
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -56,28 +57,72 @@ def corpus():
     return rows, menu
 
 
+def lines_of(t):
+    return [x for x in t.split("\n") if WORD.search(x)]
+
+
+def frequent_lines(rows, limits):
+    """(host, normalised line) above the limits, in plain Python."""
+    texts, many = {}, {}
+    for _, t, _, h in rows:
+        texts.setdefault(h or "", set()).add(t or "")
+    held = {(h, t): {normalised(x) for x in lines_of(t)} for h, own in texts.items() for t in own}
+    for (h, t), own in held.items():
+        for x in own:
+            many.setdefault((h, x), set()).add(t)
+
+    def above(counts):
+        return {k for k, v in counts.items() if len(v) > max(limits.min_docs, limits.min_share * len(texts[k[0]]))}
+
+    found = above(many)
+    if limits.near is None:
+        return found
+    some = {t for (h, t), own in held.items() if any((h, x) in found for x in own)}
+    fps = {t: brute_fingerprint(t) for t in some}
+    nodes = sorted(set(fps.values()))
+    root = brute_components([(a, b) for a, b in combinations(nodes, 2) if (a ^ b).bit_count() <= limits.near], nodes)
+    return above({k: {root[fps[t]] for t in many[k]} for k in found})
+
+
+def verdict(t, h, found, limits):
+    """Removed words, and whether the document is kept."""
+    gone = sum(len(WORD.findall(x)) for x in lines_of(t) if (h or "", normalised(x)) in found)
+    c = brute(t)
+    return gone, not failed(c) and c[0] - gone >= limits.min_kept * c[0]
+
+
 def test_line_frequency_against_brute_force(spark):
     rows, menu = corpus()
-    limits = LineLimits(max_words=30, min_docs=10, min_share=0.01, min_kept=0.2)
-    got = {r.doc_id: r for r in quality_rules(documents(spark, rows), limits).collect()}
-    texts = {}
-    for _, t, _, h in rows:
-        texts.setdefault(h, set()).add(t)
-    many = {h: Counter(x for t in own for x in {normalised(y) for y in t.split("\n")}) for h, own in texts.items()}
-    for d, t, _, h in rows:
-        short = [x for x in t.split("\n") if len(x.split()) <= 30]
-        gone = sum(len(x.split()) for x in short if many[h][normalised(x)] > max(10, 0.01 * len(texts[h])))
-        n = len(t.split())
-        assert got[d].removed_words == gone
-        assert got[d].kept == (not failed(brute(t)) and n - gone >= 0.2 * n)
-    assert not any(got[100 + i].kept for i in range(30))  # menus alone
-    assert all(got[d].kept for d in [*range(40), *range(200, 203), *range(300, 360), *range(400, 460)])
+    for near in (None, 4, 20):
+        limits = LineLimits(min_docs=10, min_share=0.01, min_kept=0.2, near=near)
+        got = {r.doc_id: r for r in quality_rules(documents(spark, rows), limits).collect()}
+        found = frequent_lines(rows, limits)
+        assert found
+        assert {d: (got[d].removed_words, got[d].kept) for d in got} == {d: verdict(t, h, found, limits) for d, t, _, h in rows}
+        if near is None:
+            assert not any(got[100 + i].kept for i in range(30))  # menus alone
+        assert all(got[d].kept for d in [*range(40), *range(200, 203), *range(300, 360)])
+
+
+def test_lines_of_any_length_count(spark):
+    """200 documents of one host, each one line that all share and one word of its own."""
+    random.seed(15)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    for size in (30, 40, 400):
+        shared = " ".join(word() for _ in range(size))
+        rows = [(i, f"{shared}\n{word()}", "en", "big") for i in range(200)]
+        limits = LineLimits(near=None)
+        assert not any(r.kept for r in quality_rules(documents(spark, rows), limits).collect())
+        # by groups they are few documents, all near copies of one
+        many = frequent_lines(rows, LineLimits())
+        got = {r.doc_id: r.kept for r in quality_rules(documents(spark, rows)).collect()}
+        assert got == {d: verdict(t, h, many, LineLimits())[1] for d, t, _, h in rows}
 
 
 def test_cleaned_removes_lines_and_keeps_columns(spark):
     rows, menu = corpus()
     docs = documents(spark, rows)
-    out = cleaned(docs, LineLimits(min_docs=10, min_share=0.01))
+    out = cleaned(docs, LineLimits(min_docs=10, min_share=0.01, near=None))
     assert out.schema == docs.schema
     got = {r.doc_id: r for r in out.collect()}
     assert not any(100 <= d < 130 for d in got) and len(got) == len(rows) - 30
@@ -106,8 +151,8 @@ def near_copies():
 def test_near_copies_of_a_host_count_once(spark):
     rows, menu = near_copies()
     docs = documents(spark, rows)
-    assert {r.doc_id for r in quality_rules(docs).where("kept").collect()} == set(range(100, 125))
-    got = {r.doc_id: r for r in quality_rules(docs, LineLimits(near=4)).collect()}
+    assert {r.doc_id for r in quality_rules(docs, LineLimits(near=None)).where("kept").collect()} == set(range(100, 125))
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
     assert all(r.kept and r.removed_words == (9 if d >= 100 else 0) for d, r in got.items()) and len(got) == 55
     out = {r.doc_id: r.text for r in clean_lines(spark, docs, "").collect()}
     assert out == {d: t.removeprefix(menu + "\n") for d, t, *_ in rows}

@@ -90,3 +90,11 @@ def test_awkward_rows_and_one_of_each(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(least.values(), key=str)
     empty = documents(spark, [])
     assert near_duplicates(empty).collect() == [] and one_of_each(empty).collect() == []
+
+
+def test_rows_have_keys_of_128_bits(spark):
+    from faultbench.llm.simhash import _row
+
+    rows = [(1, "a b"), (1, "a  b"), (11, ""), (1, None), (None, "1"), (None, None), (11, None), (1, "1")]
+    keys = documents(spark, [(d, t, "en", "s") for d, t in rows]).select(_row().alias("k")).collect()
+    assert len({bytes(r.k) for r in keys}) == len(rows) and {len(r.k) for r in keys} == {16}
