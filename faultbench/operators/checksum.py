@@ -29,13 +29,17 @@ from faultbench.operators.variants import (
 )
 
 
+def row_hash_sql(df: DataFrame, table_name: str) -> str:
+    """The hash of a row of ``df``, as SQL over its columns."""
+    cols = data_columns(df)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return hash60_sql(row_text_sql(types, cols, table_prefix(table_name, cols)))
+
+
 def _hashed(df: DataFrame, table_name: str, vs: VariantSet) -> DataFrame:
     """``(table_name, _vmask, _h)``: one row hash per stored row."""
     df = with_mask(df, vs)
-    cols = data_columns(df)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    h = hash60_sql(row_text_sql(types, cols, table_prefix(table_name, cols)))
-    return df.selectExpr(f"'{table_name}' AS table_name", "_vmask", f"{h} AS _h")
+    return df.selectExpr(f"'{table_name}' AS table_name", "_vmask", f"{row_hash_sql(df, table_name)} AS _h")
 
 
 def table_checksums(tables: Mapping[str, DataFrame], vs: VariantSet | None = None) -> DataFrame:

@@ -6,11 +6,15 @@ variant table every variant is rebuilt in the same job.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultbench.functions.hashing import qi
 from faultbench.operators.variants import MASK, VariantSet, wide_aggregate, with_mask
+from faultbench.session import remove_folder, scratch_path
 
 # Managed tables in dependency order (fixed names of the campaign's data model).
 SOURCE_TABLES = ("raw_customers", "raw_orders")
@@ -151,3 +155,27 @@ def build_tables(
 def plain(df: DataFrame) -> DataFrame:
     """Drop the mask of a single-variant table."""
     return df.drop(MASK) if MASK in df.columns else df
+
+
+@contextmanager
+def written_tables(customers: DataFrame, orders: DataFrame) -> Iterator[dict[str, DataFrame]]:
+    """The six clean tables; the joined one is written first and the marts derive from that copy,
+    which goes at the end."""
+    spark, vs = orders.sparkSession, VariantSet()
+    path = scratch_path(spark, "enriched")
+    try:
+        joined = build_enriched(orders, customers, vs)
+        joined.write.parquet(path)
+        enriched = spark.read.schema(joined.schema).parquet(path)
+        totals = customer_totals(enriched, vs)
+        tables = {
+            "raw_customers": customers,
+            "raw_orders": orders,
+            "orders_enriched": enriched,
+            "daily_revenue": daily_revenue(enriched, vs),
+            "customer_value": totals,
+            "executive_dashboard": executive_dashboard(totals, vs),
+        }
+        yield {name: plain(df) for name, df in tables.items()}
+    finally:
+        remove_folder(spark, path)

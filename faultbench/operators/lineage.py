@@ -1,24 +1,45 @@
 """Lineage operators over edge tables of any size.
 
-``closure`` is a breadth-first frontier loop: each hop joins the last hop's nodes with
-the edges on the source node, merges the targets into the one table of nodes reached so
-far and checkpoints that (reliable checkpoint in the shared checkpoint folder), so the
-plan of hop k does not grow with k and lost executors only cost one hop. Cycles
-terminate because a hop that reaches no new node is the last.
+``closure`` is a breadth-first frontier loop. Edges and reached nodes stay where they are,
+partitioned by node; a hop joins its frontier with the edges in place, shuffles the targets it
+found, and drops those that are known by joins in place too. Reached nodes are kept in parts that
+are checkpointed (in the shared checkpoint folder) and merged when a newer part has grown as large
+as the one before, so a node is moved about once for each doubling, not once a hop. A node with very
+many edges is spread over several partitions. Cycles terminate: a hop without a new node is the last.
+
+``reach_sizes`` estimates for every node how many nodes it reaches, without any node's closure.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultbench.session import checkpoint_dir
 from faultbench.sources.tables import read_table
 
+#: Edges of one node that are kept together.
+TOGETHER = 100_000
+
+
+def placed(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """``df`` checkpointed in ``n`` partitions by ``columns``, which later joins on them need not shuffle again.
+
+    An adaptive plan does not tell a checkpoint how its rows are partitioned, so this one shuffle is planned
+    without.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return df.repartition(n, *columns).checkpoint(eager=True)
+    finally:
+        conf.set(name, before)
+
 
 def closure(
-    edges: DataFrame, seeds: DataFrame, *, max_hops: int | None = None
+    edges: DataFrame, seeds: DataFrame, *, max_hops: int | None = None, together: int = TOGETHER
 ) -> DataFrame:
     """Nodes reachable from ``seeds`` (including them) with their hop distance.
 
@@ -26,28 +47,79 @@ def closure(
     """
     spark = edges.sparkSession
     checkpoint_dir(spark)
-    # Every hop joins the same edges: keep them (lost blocks recompute from lineage).
-    e = (
-        edges.select(F.col("src"), F.col("dst"))
-        .filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL")
+    # Nodes with very many edges, and over how many places these are spread: edges / together of them at most.
+    hot = held.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > together)
+    hot = hot.select(F.col("src").alias("_hot"), F.ceil(F.col("_n") / together).cast("int").alias("_places")).checkpoint(eager=True)
+    spread = held.join(hot, F.col("src") == F.col("_hot"), "left").select(
+        "src", F.when(F.col("_places").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.col("_places"))).cast("int").alias("_place"), "dst"
     )
-    # One table of all nodes so far. A hop adds the targets of the last hop's nodes and keeps
-    # the first hop of each node: one shuffle on the node, and the former table can go.
-    reached = seeds.select("node").filter(F.col("node").isNotNull()).distinct()
-    reached = reached.withColumn("hops", F.lit(0)).checkpoint(eager=True)
-    known, hop = reached.count(), 0
+    e = placed(spread, n, "src", "_place")
+
+    def kept(nodes: DataFrame) -> tuple[DataFrame, int]:
+        out = placed(nodes.checkpoint(eager=True), n, "node")
+        return out, out.count()
+
+    frontier, size = kept(seeds.select("node").filter(F.col("node").isNotNull()).distinct().withColumn("hops", F.lit(0)))
+    parts, hop = [(frontier, size)], 0
+    while size and (max_hops is None or hop < max_hops):
+        hop += 1
+        places = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_places"), F.lit(1)) - 1))
+        here = frontier.join(hot, F.col("node") == F.col("_hot"), "left").select("node", places.alias("_at"))
+        found = here.join(e, (F.col("node") == F.col("src")) & (F.col("_at") == F.col("_place"))).select(F.col("dst").alias("node"))
+        new = found.distinct()
+        for part, _ in parts:
+            new = new.join(part.select("node"), "node", "left_anti")
+        frontier, size = kept(new.withColumn("hops", F.lit(hop)))
+        parts.append((frontier, size))
+        while len(parts) > 1 and parts[-1][1] >= parts[-2][1]:
+            (a, x), (b, y) = parts.pop(), parts.pop()
+            parts.append((kept(a.unionByName(b))[0], x + y))
+    out = parts[0][0]
+    for part, _ in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _least_values(rows: DataFrame, k: int) -> DataFrame:
+    """Each node's k smallest distinct values, with whatever else is its own; a hot node is cut before its shuffle."""
+    first = Window.partitionBy("node").orderBy("value")
+    return rows.distinct().withColumn("_i", F.row_number().over(first)).filter(F.col("_i") <= k).drop("_i")
+
+
+def reach_sizes(edges: DataFrame, *, k: int = 256, max_hops: int | None = None) -> DataFrame:
+    """``(node, size, exact)``: about how many nodes each node reaches, itself included.
+
+    Every node has a hash; a node's sketch is the k smallest hashes among the nodes that it reaches. Sketches
+    pass against the edges' direction, merged and cut to k, until none changes: a hop carries on only
+    those that changed. A sketch of fewer than k hashes is the closure itself, so its size is exact; otherwise
+    the k-th smallest hash tells how dense the hashes lie, with a relative standard error of 1 / sqrt(k - 2).
+    Memory and shuffle are at most k rows a node, whatever the closures' sizes; cycles are no special case.
+    """
+    spark = edges.sparkSession
+    checkpoint_dir(spark)
+    e = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    own = F.xxhash64(F.col("node").cast("string")).alias("value")
+    sketch = nodes.select("node", own).checkpoint(eager=True)
+    changed, hop = sketch, 0
     while max_hops is None or hop < max_hops:
-        last = reached.filter(F.col("hops") == hop)
         hop += 1
-        nxt = last.join(e, last.node == e.src).select(F.col("dst").alias("node"), F.lit(hop).alias("hops"))
-        reached = reached.unionByName(nxt).groupBy("node").agg(F.min("hops").alias("hops")).checkpoint(eager=True)
-        now = reached.count()
-        if now == known:
+        passed = changed.withColumnRenamed("node", "dst").join(e, "dst").select(F.col("src").alias("node"), "value")
+        passed = _least_values(passed, k)
+        merged = _least_values(sketch.unionByName(passed), k).checkpoint(eager=True)
+        changed = merged.join(sketch, ["node", "value"], "left_anti").checkpoint(eager=True)
+        sketch = merged
+        if changed.isEmpty():
             break
-        known = now
     e.unpersist()
-    return reached
+    space = float(1 << 64)
+    # Hashes as fractions of their range, from the smallest value on.
+    last = (F.max("value").cast("double") + F.lit(float(1 << 63))) / F.lit(space)
+    counted = sketch.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), last.alias("_last"))
+    exact = F.col("_n") < k
+    return counted.select("node", F.when(exact, F.col("_n").cast("double")).otherwise((k - 1) / F.col("_last")).alias("size"), exact.alias("exact"))
 
 
 def neighbors(edges: DataFrame) -> DataFrame:

@@ -42,7 +42,11 @@ SUMS = {
 def _scaled(rows: DataFrame, v: int, column: str, control: Control) -> tuple[DataFrame, str] | None:
     """Rows (u, s) whose value at factor f is u + f * s, and the comparison; None: scaling can't change the verdict."""
     found = _COMPARISON.match(control.predicate or "")
-    if control.kind != "row" or not found:
+    if control.kind != "row":
+        return None
+    if not found or re.search(r"\b(and|or|not)\b", control.predicate, re.IGNORECASE):
+        if re.search(rf"\b{column}\b", control.predicate):
+            raise FaultError(f"{control.control_id} is no comparison of one column")
         return None
     name, sign, bound = found.groups()
     chosen = f"{SELECTED} & {1 << v} != 0"

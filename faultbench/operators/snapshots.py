@@ -2,8 +2,9 @@
 
 A snapshot is a fresh folder under the shared checkpoint folder: one parquet
 directory per table, then a manifest (table, rows, checksum, snapshot id) written
-last; a folder without a manifest is not a snapshot. The manifest's checksums are
-taken from the source tables; before it is written, the files must have the same ones.
+last; a folder without a manifest is not a snapshot. The manifest's checksums are taken
+from the source tables while they are copied, so these are read once; before it is written,
+the files must have the same ones.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from faultbench.operators.checksum import table_checksums
+from faultbench.operators.checksum import row_hash_sql, table_checksums
 from faultbench.session import remove_folder, scratch_path
 
 MANIFEST = "_manifest"
@@ -33,9 +34,14 @@ def _sums(tables: Mapping[str, DataFrame]) -> dict[str, tuple[int, str]]:
 def snapshot(spark: SparkSession, tables: Mapping[str, DataFrame], seed: int, path: str | None = None) -> str:
     """Copy ``tables`` and publish their manifest; raises if a copy differs from its source."""
     path = path or scratch_path(spark, "snapshot")
-    wanted = _sums(tables)
+    wanted = {}
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        seen = Observation(f"copy-{name}")
+        h = F.expr(f"sum(CAST({row_hash_sql(df, name)} AS DECIMAL(20,0)))")
+        watched = df.observe(seen, F.count(F.lit(1)).alias("n"), h.alias("h"))
+        watched.write.mode("errorifexists").parquet(f"{path}/{name}")
+        found = seen.get
+        wanted[name] = (int(found["n"]), str(int(found["h"] or 0)))
     written = _sums(restore(spark, path, list(tables), require_manifest=False))
     differing = sorted(t for t in wanted if written.get(t) != wanted[t])
     if differing:
@@ -118,12 +124,24 @@ class EvidenceConflict(RuntimeError):
 def write_evidence(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     """Write-once evidence: a new path is written; an existing one must hold exactly
     the same rows (multiset, compared with ``exceptAll`` both ways) or it is an error.
-    Returns ``"written"`` or ``"identical"``."""
+    Returns ``"written"`` or ``"identical"``.
+
+    The writer claims the path first, by a file beside it that the file system creates for one
+    writer only. Of several writers at once one writes; the others find the claim and, until the
+    evidence is complete, an error. A write that fails gives its claim back.
+    """
     spark = df.sparkSession
     if _readable(spark, fmt, path):
         old = spark.read.format(fmt).schema(df.schema).load(path)
         if old.exceptAll(df).isEmpty() and df.exceptAll(old).isEmpty():
             return "identical"
         raise EvidenceConflict(f"{path} already holds different evidence")
-    df.write.mode("errorifexists").format(fmt).save(path)
+    claim = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.claim")
+    if not claim.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(claim):
+        raise EvidenceConflict(f"{path} is claimed by a writer that has not finished")
+    try:
+        df.write.mode("errorifexists").format(fmt).save(path)
+    except BaseException:
+        remove_folder(spark, claim.toString())
+        raise
     return "written"

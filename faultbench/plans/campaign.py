@@ -380,6 +380,12 @@ class Campaign:
         kind = dtype.simpleString() if isinstance(dtype, T.DecimalType) else "double"
         return f"CAST('{value}' AS {kind.upper()})"
 
+    def _finite(self, column: str) -> str:
+        """Bounds come from finite values and judge finite values: infinity is no number to be scaled, and
+        NaN sorts above it."""
+        floating = isinstance(self.sources["raw_orders"].schema[column].dataType, (T.DoubleType, T.FloatType))
+        return f" AND {column} < CAST('Infinity' AS DOUBLE)" if floating else ""
+
     @property
     def generated_controls(self) -> tuple[Control, ...]:
         """One control for each bound column and statistic, for all faults that share it."""
@@ -399,7 +405,7 @@ class Campaign:
                 Control(
                     name,
                     "raw_orders",
-                    predicate=f"{col} {op} {self._bound(col, value)}",
+                    predicate=f"{col} {op} {self._bound(col, value)}{self._finite(col)}",
                     description=f"{stat} of {col} on clean data, for " + ", ".join(fault_ids),
                     detects_faults=(kind,),
                     generated=True,

@@ -33,7 +33,7 @@ from faultbench.operators.groupwise import (
     null_share_control,
     profile_groups,
 )
-from faultbench.operators.downstream import MANAGED_TABLES, build_tables, plain
+from faultbench.operators.downstream import MANAGED_TABLES, build_tables, plain, written_tables
 from faultbench.operators.minimize import critical_factors, critical_row_counts
 from faultbench.operators.variants import VariantSet, as_column, expand, only
 from faultbench.plans.campaign import Campaign
@@ -163,11 +163,13 @@ register("source_customers", RAW_CUSTOMERS_SQL)(lambda spark, sf: raw_customers(
 )
 def table_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Rows counted in each table as it is built, so a builder that loses or doubles rows shows."""
-    counts = [
-        table.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
-        for name, table in _clean_tables(spark, sf).items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    with written_tables(raw_customers(spark, sf), raw_orders(spark, sf, "orders")) as tables:
+        counts = [
+            table.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
+            for name, table in tables.items()
+        ]
+        found = reduce(DataFrame.unionByName, counts)
+        return spark.createDataFrame(found.collect(), found.schema)
 
 
 def _control_sql(o: Oracle, c: Control, variants_table: str = "v_") -> str:
@@ -436,7 +438,7 @@ register(
 
 # -- G1-G5, R1-R5: profile, generation, scoring (events campaign) ------------------
 from faultbench.operators.controls import coverage as _coverage  # noqa: E402
-from faultbench.operators.lineage import RECORD_EDGES_SQL, closure, neighbor_counts, neighbors, record_edges  # noqa: E402
+from faultbench.operators.lineage import RECORD_EDGES_SQL, closure, neighbor_counts, neighbors, reach_sizes, record_edges  # noqa: E402
 from faultbench.operators.profile import column_profile as _column_profile  # noqa: E402
 from faultbench.operators.snapshots import remove_snapshot, snapshot, verify_restore  # noqa: E402
 from faultbench.operators.variants import CLEAN  # noqa: E402
@@ -994,8 +996,8 @@ register(
 )
 def restore_verification(spark: SparkSession, sf: str) -> DataFrame:
     """Snapshot, restore and compare; the six result rows outlive the snapshot."""
-    tables = _clean_tables(spark, sf)
-    path = snapshot(spark, tables, seed=DEFAULT_SEED)
+    with written_tables(raw_customers(spark, sf), raw_orders(spark, sf, "orders")) as tables:
+        path = snapshot(spark, tables, seed=DEFAULT_SEED)
     try:
         found = verify_restore(spark, path, list(tables))
         return spark.createDataFrame(found.collect(), found.schema)
@@ -1205,7 +1207,8 @@ from faultbench.operators.snapshots import read_manifest  # noqa: E402
 )
 def snapshot_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Write the six clean tables to a fresh snapshot folder and return its manifest."""
-    path = snapshot(spark, _clean_tables(spark, sf), seed=DEFAULT_SEED)
+    with written_tables(raw_customers(spark, sf), raw_orders(spark, sf, "orders")) as tables:
+        path = snapshot(spark, tables, seed=DEFAULT_SEED)
     try:
         manifest = read_manifest(spark, path).select(
             "table_name",
@@ -1306,3 +1309,43 @@ def _delta_sizes_sql(o: Oracle) -> str:
 
 
 register("delta_sizes", _delta_sizes_sql(INT))(lambda spark, sf: _rebuild(_integrity(spark, sf)).sizes())
+
+
+# -- L4: how many records each record reaches, from sketches passed against the edges ----------
+REACH_K = 256
+_REACH_SQL = (
+    "WITH l AS (SELECT l_orderkey AS k, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1), "
+    "o AS (SELECT o_custkey AS c, o_orderkey AS k, 1 + coalesce(n, 0) AS size FROM orders LEFT JOIN l ON l.k = o_orderkey), "
+    "c AS (SELECT c_nationkey AS n, c_custkey AS k, 1 + coalesce(s, 0) AS size FROM customer LEFT JOIN (SELECT c, sum(size) AS s FROM o "
+    "GROUP BY c) ON c = c_custkey), "
+    "sizes AS (SELECT 'l:' || l_orderkey || ':' || l_linenumber AS node, 1 AS size FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) "
+    "UNION ALL SELECT 'o:' || k, size FROM o UNION ALL SELECT 'c:' || k, size FROM c "
+    "UNION ALL SELECT 'n:' || n, 1 + sum(size) FROM c GROUP BY n) "
+)
+
+
+@register("reach_sizes", _REACH_SQL + f"SELECT node, CAST(size AS BIGINT) AS size FROM sizes WHERE size < {REACH_K}")
+def reach_sizes_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of the closures that are smaller than a sketch, which are exact."""
+    found = reach_sizes(record_edges(spark, sf), k=REACH_K)
+    return found.filter("exact").select("node", F.col("size").cast("bigint").alias("size"))
+
+
+@register(
+    "reach_size_errors",
+    _REACH_SQL + "SELECT node, CAST(size AS BIGINT) AS size, TRUE AS within_four_errors FROM sizes WHERE node LIKE 'n:%'",
+)
+def reach_size_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every nation's exact size beside its estimate: off by four standard errors at most."""
+    edges = record_edges(spark, sf)
+    nations = edges.select("src").filter("src LIKE 'n:%'").distinct()
+    estimate = reach_sizes(edges, k=REACH_K).join(nations, F.col("node") == F.col("src")).select("node", "size")
+    # A record has one upstream at most, so sums over the levels are exact here.
+    up, own = edges.distinct(), nations.select(F.col("src").alias("root"), F.col("src").alias("node"))
+    total = own.select("root")
+    for _ in range(3):
+        own = own.join(up, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"))
+        total = total.unionByName(own.select("root"))
+    exact = total.groupBy(F.col("root").alias("node")).agg(F.count(F.lit(1)).alias("exact_size"))
+    error = F.abs(F.col("size") / F.col("exact_size") - 1) * (REACH_K - 2) ** 0.5
+    return exact.join(estimate, "node").select("node", F.col("exact_size").alias("size"), (error <= 4).alias("within_four_errors"))

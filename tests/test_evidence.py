@@ -33,6 +33,33 @@ def test_write_once_evidence(spark):
         write_evidence(df.limit(1), path)
 
 
+def test_one_of_two_concurrent_writers_fails(spark):
+    from threading import Barrier, Thread
+
+    path, start, out = os.path.join(tempfile.mkdtemp(prefix="fb-ev-"), "e"), Barrier(2), []
+    rows = [spark.range(n).toDF("k") for n in (10, 20)]
+
+    def write(df):
+        start.wait()
+        try:
+            out.append(write_evidence(df, path))
+        except EvidenceConflict:
+            out.append("conflict")
+
+    threads = [Thread(target=write, args=(df,)) for df in rows]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(out) == ["conflict", "written"]
+    assert spark.read.parquet(path).count() in (10, 20)
+    failing = spark.range(3).selectExpr("raise_error('x') AS k")
+    other = path + "2"
+    with pytest.raises(Exception, match="x"):
+        write_evidence(failing, other)
+    assert write_evidence(rows[0], path + "3") == "written" and not os.path.exists(other + ".claim")
+
+
 def test_manifest_digest_and_validation(spark):
     specs = default_faults()
     assert manifest_sha256(specs, 1) == manifest_sha256(specs, 1) != manifest_sha256(specs, 2)

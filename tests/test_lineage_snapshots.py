@@ -1,6 +1,10 @@
 """Lineage closure (cycles, hops), contract prediction, snapshot and restore."""
 
-from faultbench.operators.lineage import closure
+import random
+
+from pyspark.sql import functions as F
+
+from faultbench.operators.lineage import closure, placed, reach_sizes
 from faultbench.operators.downstream import MANAGED_TABLES
 from faultbench.operators.snapshots import snapshot, verify_restore
 from faultbench.plans.lineage_contract import downstream_tables, predicted_tables
@@ -14,6 +18,50 @@ def test_closure_terminates_on_cycles(spark):
     assert got == {"a": 0, "b": 1, "c": 2, "d": 3}
 
 
+def brute_reach(pairs):
+    out = {}
+    for start in {x for p in pairs for x in p}:
+        seen, todo = {start}, [start]
+        while todo:
+            now = todo.pop()
+            for a, b in pairs:
+                if a == now and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        out[start] = seen
+    return out
+
+
+def test_closure_of_random_graphs(spark):
+    for seed in range(3):
+        draw = random.Random(seed)
+        pairs = [(f"n{draw.randint(0, 40)}", f"n{draw.randint(0, 40)}") for _ in range(60)] + [("hub", f"n{i}") for i in range(30)]
+        edges = spark.createDataFrame([*pairs, pairs[0], (None, "n1")], "src string, dst string")
+        reach = brute_reach(pairs)
+        for together in (100_000, 4):  # 4: the hub's edges lie in several places
+            got = {r["node"] for r in closure(edges, spark.createDataFrame([("hub",), ("alone",)], "node string"), together=together).collect()}
+            assert got == reach["hub"] | {"alone"}
+        sizes = {r["node"]: (r["size"], r["exact"]) for r in reach_sizes(edges, k=64).collect()}
+        assert sizes == {n: (len(r), len(r) < 64) for n, r in reach.items()}
+        rough = {r["node"]: r["size"] for r in reach_sizes(edges, k=16).collect()}
+        assert all(abs(rough[n] / len(r) - 1) < 4 / 14**0.5 for n, r in reach.items())
+
+
+def test_known_nodes_are_not_shuffled_again(spark):
+    """A checkpointed part keeps its partitioning by node, so only the new targets move."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        part = spark.range(1000).select(F.col("id").cast("string").alias("node"))
+        part = placed(part, 8, "node")
+        new = spark.range(900, 1100).select(F.col("id").cast("string").alias("node")).distinct().join(part, "node", "left_anti")
+        assert new.count() == 100
+        plan = new._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_contract_prediction():
     assert len(downstream_tables("raw_orders")) == 5
     assert "daily_revenue" not in predicted_tables("raw_orders", ["customer_id"])

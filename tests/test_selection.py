@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultbench.operators.selection import (
+    Boundary,
     SelectionError,
     SelectionRequest,
     resolve_boundaries,
@@ -68,6 +69,16 @@ def test_text_decimal_and_date_keys(spark):
         assert b.n == 12 and df.filter(selection_predicate(b, 9, "k", c)).count() == 12
 
 
+def test_double_keys_are_compared_as_doubles(spark):
+    df = spark.range(400).selectExpr("id / 7 - 20.3D AS k", "CAST(id / 3 AS FLOAT) AS f", "id % 2 = 0 AS flag", "array(id) AS a")
+    for n in (1, 13, 200):
+        reqs = [SelectionRequest(df, c, 9, "k", {"row_count": n}) for c in ("k", "f")]
+        for c, b in zip(("k", "f"), resolve_boundaries(reqs)):
+            assert b.n == n and df.filter(selection_predicate(b, 9, "k", c)).count() == n
+    with pytest.raises(SelectionError, match="list"):
+        selection_predicate(Boundary(1, [1], 1, 1), 9, "k", "a")
+
+
 def test_fractions_of_a_percent(spark):
     df = spark.range(8000).withColumnRenamed("id", "k")
     for p, n in ((0.05, 4), ("0.0125", 1), (99.9, 7992)):
