@@ -68,7 +68,7 @@ def assert_equal_to_rebuild(spark, tables, faults):
         ft.release()
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_awkward_tables(spark, seed):
     assert_equal_to_rebuild(spark, awkward_tables(spark, seed), many_faults(random.Random(seed)))
 
