@@ -179,3 +179,12 @@ def written_tables(customers: DataFrame, orders: DataFrame) -> Iterator[dict[str
         yield {name: plain(df) for name, df in tables.items()}
     finally:
         remove_folder(spark, path)
+
+
+#: How each derived table follows from the plain tables before it.
+BUILDERS = {
+    "orders_enriched": lambda t: plain(build_enriched(t["raw_orders"], t["raw_customers"], VariantSet())),
+    "daily_revenue": lambda t: plain(daily_revenue(t["orders_enriched"], VariantSet())),
+    "customer_value": lambda t: plain(customer_totals(t["orders_enriched"], VariantSet())),
+    "executive_dashboard": lambda t: plain(executive_dashboard(t["customer_value"], VariantSet())),
+}

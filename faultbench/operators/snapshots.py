@@ -2,15 +2,15 @@
 
 A snapshot is a fresh folder under the shared checkpoint folder: one parquet
 directory per table, then a manifest (table, rows, checksum, snapshot id) written
-last; a folder without a manifest is not a snapshot. The manifest's checksums are taken
-from the source tables while they are copied, so these are read once; before it is written,
-the files must have the same ones.
+last; a folder without a manifest is not a snapshot. The manifest's checksums are
+taken from the source tables; before it is written, the files must have the same ones.
+Derived tables are built from the copies, and their checksums taken while they are written.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -31,18 +31,30 @@ def _sums(tables: Mapping[str, DataFrame]) -> dict[str, tuple[int, str]]:
     return {r["table_name"]: (int(r["row_count"]), r["checksum"]) for r in rows}
 
 
-def snapshot(spark: SparkSession, tables: Mapping[str, DataFrame], seed: int, path: str | None = None) -> str:
-    """Copy ``tables`` and publish their manifest; raises if a copy differs from its source."""
+def snapshot(
+    spark: SparkSession,
+    tables: Mapping[str, DataFrame],
+    seed: int,
+    path: str | None = None,
+    derive: Mapping[str, Callable[[Mapping[str, DataFrame]], DataFrame]] | None = None,
+) -> str:
+    """Copy ``tables`` and publish their manifest; raises if a copy differs from its source.
+
+    ``derive``: further tables in order, each a function of the copies before it; the sources are read
+    twice, however many there are.
+    """
     path = path or scratch_path(spark, "snapshot")
-    wanted = {}
+    wanted = _sums(tables)
     for name, df in tables.items():
-        seen = Observation(f"copy-{name}")
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+    copies = restore(spark, path, list(tables), require_manifest=False)
+    for name, build in (derive or {}).items():
+        seen, df = Observation(f"copy-{name}"), build(copies)
         h = F.expr(f"sum(CAST({row_hash_sql(df, name)} AS DECIMAL(20,0)))")
-        watched = df.observe(seen, F.count(F.lit(1)).alias("n"), h.alias("h"))
-        watched.write.mode("errorifexists").parquet(f"{path}/{name}")
-        found = seen.get
-        wanted[name] = (int(found["n"]), str(int(found["h"] or 0)))
-    written = _sums(restore(spark, path, list(tables), require_manifest=False))
+        df.observe(seen, F.count(F.lit(1)).alias("n"), h.alias("h")).write.mode("errorifexists").parquet(f"{path}/{name}")
+        wanted[name] = (int(seen.get["n"]), str(int(seen.get["h"] or 0)))
+        copies[name] = spark.read.parquet(f"{path}/{name}")
+    written = _sums(copies)
     differing = sorted(t for t in wanted if written.get(t) != wanted[t])
     if differing:
         raise SnapshotMismatch(f"the copies of {differing} differ from their sources")

@@ -33,7 +33,7 @@ from faultbench.operators.groupwise import (
     null_share_control,
     profile_groups,
 )
-from faultbench.operators.downstream import MANAGED_TABLES, build_tables, plain, written_tables
+from faultbench.operators.downstream import BUILDERS, MANAGED_TABLES, build_tables, plain, written_tables
 from faultbench.operators.minimize import critical_factors, critical_row_counts
 from faultbench.operators.variants import VariantSet, as_column, expand, only
 from faultbench.plans.campaign import Campaign
@@ -996,10 +996,10 @@ register(
 )
 def restore_verification(spark: SparkSession, sf: str) -> DataFrame:
     """Snapshot, restore and compare; the six result rows outlive the snapshot."""
-    with written_tables(raw_customers(spark, sf), raw_orders(spark, sf, "orders")) as tables:
-        path = snapshot(spark, tables, seed=DEFAULT_SEED)
+    sources = {"raw_customers": raw_customers(spark, sf), "raw_orders": raw_orders(spark, sf, "orders")}
+    path = snapshot(spark, sources, seed=DEFAULT_SEED, derive=BUILDERS)
     try:
-        found = verify_restore(spark, path, list(tables))
+        found = verify_restore(spark, path, list(MANAGED_TABLES))
         return spark.createDataFrame(found.collect(), found.schema)
     finally:
         remove_snapshot(spark, path)
@@ -1207,8 +1207,8 @@ from faultbench.operators.snapshots import read_manifest  # noqa: E402
 )
 def snapshot_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Write the six clean tables to a fresh snapshot folder and return its manifest."""
-    with written_tables(raw_customers(spark, sf), raw_orders(spark, sf, "orders")) as tables:
-        path = snapshot(spark, tables, seed=DEFAULT_SEED)
+    sources = {"raw_customers": raw_customers(spark, sf), "raw_orders": raw_orders(spark, sf, "orders")}
+    path = snapshot(spark, sources, seed=DEFAULT_SEED, derive=BUILDERS)
     try:
         manifest = read_manifest(spark, path).select(
             "table_name",
