@@ -153,24 +153,26 @@ def _above(counted: DataFrame, hosts: DataFrame, limits: LineLimits) -> DataFram
 
 
 def _frequent_lines(measured: DataFrame, limits: LineLimits) -> tuple[DataFrame, DataFrame]:
-    """Lines of each distinct (host, text), and (host, h) of the lines above the limits."""
-    texts = measured.dropDuplicates(["host", "text_key"])
+    """Lines of distinct texts (host, text_key, h, size) above the limits by a plain count, and (host, h) of
+    those above them by groups."""
+    # Written once: it is read for the hosts, the counts and the lines above the limits.
+    texts = checkpointed(measured.dropDuplicates(["host", "text_key"]).select("host", "text_key", "hashes", "sizes", "fp"))
     lines = texts.select("host", "text_key", F.explode(F.arrays_zip("hashes", "sizes")).alias("x")).select(
         "host", "text_key", F.col("x.hashes").alias("h"), F.col("x.sizes").alias("size")
     )
     hosts = checkpointed(texts.groupBy("host").agg(F.count("*").alias("docs")))
-    frequent = _above(lines, hosts, limits)
+    frequent = checkpointed(_above(lines, hosts, limits))
+    held = checkpointed(lines.join(frequent, ["host", "h"]).select("host", "text_key", "h", "size"))
     if limits.near is None:
-        return lines, frequent
+        return held, frequent
     # A line is in no more groups than texts, so only these lines and the texts with them matter.
-    held = checkpointed(lines.join(checkpointed(frequent), ["host", "h"]).select("host", "text_key", "h"))
     own = held.select("host", "text_key").distinct()
     fps = checkpointed(texts.select("host", "text_key", "fp").join(own, ["host", "text_key"]))
     linked = roots(fps.select("fp").distinct(), limits.near)
     grouped = fps.join(linked, F.col("fp") == F.col("node"), "left")
     grouped = checkpointed(grouped.select("host", "text_key", F.coalesce("root", "fp").alias("root")))
     counted = held.join(grouped, ["host", "text_key"]).select("host", "root", "h").distinct()
-    return lines, _above(counted, hosts, limits)
+    return held, _above(counted, hosts, limits)
 
 
 def judged(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
