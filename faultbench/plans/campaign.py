@@ -237,8 +237,8 @@ class Campaign:
         self._kept, self._paths = [], []
         for ft in self.__dict__.get("blocks", []):
             ft.release()
-        for name in ("_lazy_tables", "_written_tables", "baseline_results", "bound_results", "_group_bounds",
-                     "_gaps_and_profile", "rebuilds", "blocks"):
+        for name in ("_lazy_tables", "_written_tables", "baseline_results", "bound_results", "_open", "_group_bounds",
+                     "measured_bounds", "_gaps_and_profile", "rebuilds", "blocks"):
             self.__dict__.pop(name, None)
 
     def fault_table(self) -> DataFrame:
@@ -421,20 +421,38 @@ class Campaign:
         return df
 
     @functools.cached_property
-    def _group_bounds(self) -> tuple[tuple[Control, ...], dict[str, DataFrame], dict[str, str]]:
-        """Controls by group for faults that neither baseline nor column bounds detect, the tables that
-        they compare with, and which control was made for which fault."""
+    def _open(self) -> set[str]:
+        """Faults that neither baseline nor column bounds detect."""
         results = self.baseline_results
         if self.generated_controls:
             results = results.unionByName(self.bound_results)
-        open_ = {r["fault_id"] for r in detection_matrix(results, self.fault_table()).filter("NOT detected").collect()}
+        return {r["fault_id"] for r in detection_matrix(results, self.fault_table()).filter("NOT detected").collect()}
+
+    @functools.cached_property
+    def _group_bounds(self) -> tuple[tuple[Control, ...], dict[str, DataFrame], dict[str, str]]:
+        """Controls by group for faults that neither baseline nor column bounds detect, the tables that
+        they compare with, and which control was made for which fault."""
+        return self._bounds_by_group([s for s in self.faults if s.fault_id in self._open])
+
+    @functools.cached_property
+    def measured_bounds(self) -> tuple[tuple[Control, ...], dict[str, DataFrame], dict[str, str]]:
+        """As ``_group_bounds``, with marks also where another control detects a stale partition already:
+        one group that fell below a column's bound says nothing about the others."""
+        wanted = [s for s in self.faults if s.fault_id in self._open or s.kind == STALE_PARTITION]
+        if all(s.fault_id in self._open for s in wanted):
+            return self._group_bounds
+        return self._bounds_by_group(wanted)
+
+    def _bounds_by_group(
+        self, faults: Sequence[FaultSpec]
+    ) -> tuple[tuple[Control, ...], dict[str, DataFrame], dict[str, str]]:
         orders = self.sources["raw_orders"]
         types = {f.name: f.dataType for f in orders.schema.fields}
         controls: dict[str, Control] = {}
         tables: dict[str, DataFrame] = {}
         made: dict[str, str] = {}
-        for s in self.faults:
-            if s.fault_id not in open_ or s.target_table != "raw_orders":
+        for s in faults:
+            if s.target_table != "raw_orders":
                 continue
             if s.kind == STALE_PARTITION and isinstance(types.get(str(s.parameters["partition_column"])), T.DateType):
                 group, day = (safe_identifier(str(s.parameters[p])) for p in ("group_column", "partition_column"))
@@ -458,8 +476,9 @@ class Campaign:
     def group_controls(self) -> tuple[Control, ...]:
         return self._group_bounds[0]
 
-    def group_results(self) -> DataFrame:
-        controls, tables, _ = self._group_bounds
+    def group_results(self, measured: bool = False) -> DataFrame:
+        """Results of the controls by group; ``measured``: of all of ``measured_bounds``."""
+        controls, tables, _ = self.measured_bounds if measured else self._group_bounds
         return self._each_block(lambda built, vs: evaluate_controls({**built, **tables}, vs, controls))
 
     def all_results(self) -> DataFrame:

@@ -605,7 +605,7 @@ def group_bound_profile(spark: SparkSession, sf: str) -> DataFrame:
 register(
     "group_control_results",
     OR.with_("SELECT variant, control_id, target_table, violation_count, violation_count = 0 AS passed FROM marked", MARKS_CTES),
-)(lambda spark, sf: campaign(spark, sf, "orders").group_results())
+)(lambda spark, sf: campaign(spark, sf, "orders").group_results(measured=True))
 
 
 @register(

@@ -141,3 +141,32 @@ def test_bounds_come_from_finite_values(spark):
     results = {r["variant"]: r["violation_count"] for r in c.control_results(c.generated_controls).collect()}
     assert results["scale"] > results["clean"] == 0
     c.close()
+
+
+def test_marks_where_a_column_bound_detects_the_stale_fault(spark, tmp_path):
+    """Customers whose only orders are of the first days fall below the least date; the marks are measured all the same."""
+    import duckdb
+
+    from faultbench.plans.queries import QUERIES, SQL
+
+    day = datetime(1995, 1, 1)
+    orders = [(i, i % 60, "O", 10.0 + i, day + timedelta(days=i % 60 if i % 60 < 40 else i), "5-LOW") for i in range(600)]
+    for name, rows, schema in (
+        ("orders", orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"),
+        ("customer", [(i, f"c{i}", i % 5, 1.0, "A") for i in range(60)], "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        ("nation", [(i, f"n{i}", 0) for i in range(5)], "n_nationkey int, n_name string, n_regionkey int"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in ("orders", "customer", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    c = Campaign(spark, str(tmp_path), "orders")
+    assert "stale-order-partitions-45d" not in c._open and c.group_controls == ()
+    c.close()
+    for name in ("group_control_results", "campaign_coverage_orders"):
+        got = QUERIES[name](spark, str(tmp_path))
+        want = con.execute(SQL[name])
+        order = [d[0] for d in want.description]
+        assert sorted(got.columns) == sorted(order)
+        assert sorted(map(repr, map(tuple, got.select(*order).collect()))) == sorted(map(repr, want.fetchall()))
