@@ -619,7 +619,7 @@ register(
 def group_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Groups behind their mark against the rows that each fault mutated."""
     c = campaign(spark, sf, "orders")
-    controls, tables, _ = c._group_bounds
+    controls, tables, _ = c.measured_bounds
     control = next(k for k in controls if k.kind == "behind")
     behind = behind_counts(c.tables["raw_orders"], tables[control.parent_table], c.variants, control)
     mutated = spark.createDataFrame(

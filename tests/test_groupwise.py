@@ -164,7 +164,7 @@ def test_marks_where_a_column_bound_detects_the_stale_fault(spark, tmp_path):
     c = Campaign(spark, str(tmp_path), "orders")
     assert "stale-order-partitions-45d" not in c._open and c.group_controls == ()
     c.close()
-    for name in ("group_control_results", "campaign_coverage_orders"):
+    for name in ("group_control_results", "group_recall", "campaign_coverage_orders"):
         got = QUERIES[name](spark, str(tmp_path))
         want = con.execute(SQL[name])
         order = [d[0] for d in want.description]
