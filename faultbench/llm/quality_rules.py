@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from faultbench.llm.common import checkpointed, sliced, strings, unused
 from faultbench.llm.simhash import fingerprint, roots
+from faultbench.session import release
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\r\x0b\x0c"
@@ -168,7 +169,9 @@ def _frequent_lines(measured: DataFrame, limits: LineLimits) -> tuple[DataFrame,
     # A line is in no more groups than texts, so only these lines and the texts with them matter.
     own = held.select("host", "text_key").distinct()
     fps = checkpointed(texts.select("host", "text_key", "fp").join(own, ["host", "text_key"]))
-    linked = roots(fps.select("fp").distinct(), limits.near)
+    del texts, lines
+    release(measured.sparkSession)
+    linked = roots(fps.select("fp").distinct(), limits.near, halves=True)
     grouped = fps.join(linked, F.col("fp") == F.col("node"), "left")
     grouped = checkpointed(grouped.select("host", "text_key", F.coalesce("root", "fp").alias("root")))
     counted = held.join(grouped, ["host", "text_key"]).select("host", "root", "h").distinct()

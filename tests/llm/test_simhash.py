@@ -5,6 +5,7 @@ import xxhash
 
 from faultbench.llm.components import connected_components
 from faultbench.llm.simhash import fingerprint, links, near_duplicates, one_of_each
+from tests.shuffles import bytes_shuffled
 
 from awkward import documents, text
 
@@ -98,3 +99,25 @@ def test_rows_have_keys_of_128_bits(spark):
     rows = [(1, "a b"), (1, "a  b"), (11, ""), (1, None), (None, "1"), (None, None), (11, None), (1, "1")]
     keys = documents(spark, [(d, t, "en", "s") for d, t in rows]).select(_row().alias("k")).collect()
     assert len({bytes(r.k) for r in keys}) == len(rows) and {len(r.k) for r in keys} == {16}
+
+
+def test_keys_of_halves_find_the_same_links(spark):
+    draw = random.Random(11)
+    base = [draw.getrandbits(64) for _ in range(40)]
+    fps = {x ^ sum(1 << b for b in draw.sample(range(64), n)) for x in base for n in (0, 1, 2, 3, 4, 5, 6)} | {0, 1, 2**64 - 1}
+    table = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in fps], "fp long")
+    for d in (1, 2, 3, 4, 7):
+        want = {tuple(r) for r in links(table, d).collect()}
+        got = [tuple(r) for r in links(table, d, halves=True).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_keys_of_halves_move_little():
+    """Bytes shuffled for each fingerprint (a key for each of 64 bits: 718)."""
+    code = """
+from pyspark.sql import functions as F
+from faultbench.llm.simhash import links
+spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+links(spark.range(20000).select(F.xxhash64("id").alias("fp")), 4, halves=True).write.format("noop").mode("overwrite").save()
+"""
+    assert bytes_shuffled(code) < 300 * 20000
