@@ -12,15 +12,22 @@ many edges is spread over several partitions. Cycles terminate: a hop without a
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultbench.session import checkpoint_dir
+from faultbench.session import checkpoint_dir, release, remove_folder, scratch_path
 from faultbench.sources.tables import read_table
 
 #: Edges of one node that are kept together.
 TOGETHER = 100_000
+#: Parts of the sketches, one for each hop, before they are made one.
+MOST_PARTS = 8
 
 
 def placed(df: DataFrame, n: int, *columns: str) -> DataFrame:
@@ -82,10 +89,45 @@ def closure(
     return out
 
 
+def _joined_lists(k: int):
+    """Of each Arrow batch of (node, values): one list of the k smallest distinct values for each node.
+
+    So a hot node, and a value that many edges bring, are cut before their shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded, lists = batch.column("node").dictionary_encode(), batch.column("values")
+            lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            node = np.repeat(coded.indices.to_numpy(zero_copy_only=False), lengths)
+            value = lists.flatten().to_numpy(zero_copy_only=False)
+            order = np.lexsort((value, node))
+            node, value = node[order], value[order]
+            new = np.ones(len(node), bool)
+            new[1:] = (node[1:] != node[:-1]) | (value[1:] != value[:-1])
+            node, value = node[new], value[new]
+            first = np.searchsorted(node, node)
+            least = np.arange(len(node)) - first < k
+            node, value = node[least], value[least]
+            starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
+            out = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(node)], pa.int32()), pa.array(value, pa.int64()))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(node[starts])), out], names=["node", "values"])
+
+    return run
+
+
 def _least_values(rows: DataFrame, k: int) -> DataFrame:
-    """Each node's k smallest distinct values, with whatever else is its own; a hot node is cut before its shuffle."""
-    first = Window.partitionBy("node").orderBy("value")
-    return rows.distinct().withColumn("_i", F.row_number().over(first)).filter(F.col("_i") <= k).drop("_i")
+    """(node, values): each node's k smallest distinct values, sorted, of rows (node, values) of any number a node."""
+    kind = rows.schema["node"].dataType.simpleString()
+    each = rows.mapInArrow(_joined_lists(k), f"node {kind}, values array<bigint>").repartition("node")
+    each = each.select("node", F.explode("values").alias("value"))
+    rank = F.dense_rank().over(Window.partitionBy("node").orderBy("value"))
+    least = each.withColumn("_i", rank).filter(F.col("_i") <= k)
+    return least.groupBy("node").agg(F.sort_array(F.collect_set("value")).alias("values"))
+
+
+def _least_of(values: Column, k: int) -> Column:
+    return F.slice(F.array_sort(F.array_distinct(values)), 1, k)
 
 
 def reach_sizes(edges: DataFrame, *, k: int = 256, max_hops: int | None = None) -> DataFrame:
@@ -93,33 +135,84 @@ def reach_sizes(edges: DataFrame, *, k: int = 256, max_hops: int | None = None)
 
     Every node has a hash; a node's sketch is the k smallest hashes among the nodes that it reaches. Sketches
     pass against the edges' direction, merged and cut to k, until none changes: a hop carries on only
-    those that changed. A sketch of fewer than k hashes is the closure itself, so its size is exact; otherwise
-    the k-th smallest hash tells how dense the hashes lie, with a relative standard error of 1 / sqrt(k - 2).
-    Memory and shuffle are at most k rows a node, whatever the closures' sizes; cycles are no special case.
+    the hashes that are new to a sketch. A sketch of fewer than k hashes is the closure itself, so its size is
+    exact; otherwise the k-th smallest hash tells how dense the hashes lie, with a relative standard error of
+    1 / sqrt(k - 2). Memory and shuffle are at most k hashes a node, whatever the closures' sizes; cycles are
+    no special case.
+
+    A node without edges of its own reaches itself only, so its hash passes once, with the edges, and later hops
+    need only the edges between nodes that have some. Sketches are lists in Parquet parts in the shared
+    checkpoint folder: a hop writes those that changed. ``edges`` is read twice. The result is a table in that
+    folder, which stays until the folder goes.
     """
     spark = edges.sparkSession
-    checkpoint_dir(spark)
-    e = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    own = F.xxhash64(F.col("node").cast("string")).alias("value")
-    sketch = nodes.select("node", own).checkpoint(eager=True)
-    changed, hop = sketch, 0
-    while max_hops is None or hop < max_hops:
-        hop += 1
-        passed = changed.withColumnRenamed("node", "dst").join(e, "dst").select(F.col("src").alias("node"), "value")
-        passed = _least_values(passed, k)
-        merged = _least_values(sketch.unionByName(passed), k).checkpoint(eager=True)
-        changed = merged.join(sketch, ["node", "value"], "left_anti").checkpoint(eager=True)
-        sketch = merged
-        if changed.isEmpty():
-            break
-    e.unpersist()
-    space = float(1 << 64)
-    # Hashes as fractions of their range, from the smallest value on.
-    last = (F.max("value").cast("double") + F.lit(float(1 << 63))) / F.lit(space)
-    counted = sketch.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), last.alias("_last"))
-    exact = F.col("_n") < k
-    return counted.select("node", F.when(exact, F.col("_n").cast("double")).otherwise((k - 1) / F.col("_last")).alias("size"), exact.alias("exact"))
+    paths: list[str] = []
+
+    def written(df: DataFrame, name: str = "reach") -> DataFrame:
+        path = scratch_path(spark, name)
+        if name == "reach":
+            paths.append(path)
+        df.write.parquet(path)
+        release(spark)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def hashed(column: str) -> Column:
+        return F.xxhash64(F.col(column).cast("string"))
+
+    def removed(*gone: str) -> None:
+        for path in gone:
+            remove_folder(spark, path)
+            paths.remove(path)
+
+    try:
+        e = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL")
+        own = [hashed("src")] if max_hops == 0 else [hashed("src"), hashed("dst")]
+        least = _least_values(e.select(F.col("src").alias("node"), F.array(*own).alias("values")), k)
+        itself = F.array(hashed("node"))
+        # kept: what a part before knew of a node, or the node itself; added: what this hop brought.
+        kept, added = F.array_intersect("values", itself).alias("kept"), F.array_except("values", itself).alias("added")
+        parts, at = [written(least.select("node", kept, added))], [paths[-1]]
+        sources = parts[0].select("node")
+        own_edges = F.when(F.col("node").isNotNull(), F.col("src")).alias("src")
+        targets = written(e.join(sources, F.col("dst") == F.col("node"), "left").select("dst", own_edges))
+        inner, hop = targets.filter("src IS NOT NULL"), 1
+        while max_hops is None or hop < max_hops:
+            hop += 1
+            frontier = parts[-1].filter("size(added) > 0").select(F.col("node").alias("_from"), F.col("added").alias("values"))
+            passed = frontier.join(inner, F.col("_from") == F.col("dst")).select(F.col("src").alias("node"), "values")
+            # Written, so that Spark knows whether it is small enough to be sent to where the sketches are.
+            got, got_at = written(_least_values(passed, k)), paths[-1]
+            had = reduce(DataFrame.unionByName, parts).select("node", F.concat("kept", "added").alias("had"))
+            met = got.join(had, "node").groupBy("node").agg(F.first("values").alias("got"), F.flatten(F.collect_list("had")).alias("had"))
+            met = met.withColumn("values", _least_of(F.concat("had", "got"), k))
+            kept, added = F.array_intersect("values", "had").alias("kept"), F.array_except("values", "had").alias("added")
+            part, part_at = written(met.select("node", kept, added).filter("size(added) > 0")), paths[-1]
+            removed(got_at)
+            if part.isEmpty():
+                break
+            if len(parts) == MOST_PARTS:
+                known = F.flatten(F.collect_list(F.concat("kept", "added")))
+                one = reduce(DataFrame.unionByName, parts).groupBy("node").agg(_least_of(known, k).alias("kept"))
+                parts = [written(one.withColumn("added", F.array().cast("array<bigint>")))]
+                removed(*at)
+                at = [paths[-1]]
+            parts.append(part)
+            at.append(part_at)
+        # The newest part that holds a node has its sketch.
+        newest = [
+            p.select("node", F.struct(F.lit(i).alias("i"), (F.size("kept") + F.size("added")).alias("_n"), F.array_max(F.concat("kept", "added")).alias("_last")).alias("s"))
+            for i, p in enumerate(parts)
+        ]
+        sketch = reduce(DataFrame.unionByName, newest).groupBy("node").agg(F.max("s").alias("s")).select("node", "s._n", "s._last")
+        ends = targets.filter("src IS NULL").select(F.col("dst").alias("node")).distinct()
+        counted = sketch.unionByName(ends.select("node", F.lit(1).alias("_n"), hashed("node").alias("_last")))
+        # Hashes as fractions of their range, from the smallest value on.
+        last = (F.col("_last").cast("double") + F.lit(float(1 << 63))) / F.lit(float(1 << 64))
+        exact = F.col("_n") < k
+        size = F.when(exact, F.col("_n").cast("double")).otherwise((k - 1) / last)
+        return written(counted.select("node", size.alias("size"), exact.alias("exact")), "reach-sizes")
+    finally:
+        removed(*list(paths))
 
 
 def neighbors(edges: DataFrame) -> DataFrame:

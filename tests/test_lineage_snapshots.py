@@ -4,11 +4,13 @@ import random
 
 from pyspark.sql import functions as F
 
+from faultbench.operators import lineage
 from faultbench.operators.lineage import closure, placed, reach_sizes
 from faultbench.operators.downstream import MANAGED_TABLES
 from faultbench.operators.snapshots import snapshot, verify_restore
 from faultbench.plans.lineage_contract import downstream_tables, predicted_tables
 from tests.fixture import fixture_tables
+from tests.shuffles import bytes_shuffled
 
 
 def test_closure_terminates_on_cycles(spark):
@@ -47,6 +49,31 @@ def test_closure_of_random_graphs(spark):
         assert all(abs(rough[n] / len(r) - 1) < 4 / 14**0.5 for n, r in reach.items())
 
 
+def test_sketches_over_many_hops(spark, monkeypatch):
+    """A chain with a loop, a shortcut and repeated edges: more hops than parts are kept."""
+    monkeypatch.setattr(lineage, "MOST_PARTS", 2)
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(6)] + [("n6", "n4"), ("n1", "n5"), ("n4", "leaf")]
+    edges = spark.createDataFrame([*pairs, *pairs[:3], (None, "n1"), ("n1", None)], "src string, dst string")
+    reach = brute_reach(pairs)
+    got = {r["node"]: (r["size"], r["exact"]) for r in reach_sizes(edges, k=64).collect()}
+    assert got == {n: (len(r), True) for n, r in reach.items()}
+    cut = {r["node"]: r["exact"] for r in reach_sizes(edges, k=5).collect()}
+    assert cut == {n: len(r) < 5 for n, r in reach.items()}
+    short = {r["node"]: r["size"] for r in reach_sizes(edges, k=64, max_hops=1).collect()}
+    assert short == {n: 1 + len({b for a, b in pairs if a == n} - {n}) for n in reach}
+    assert {r["size"] for r in reach_sizes(edges, k=64, max_hops=0).collect()} == {1.0}
+
+
+def test_sketches_move_little(spark):
+    """Bytes shuffled for each edge of a graph of many ends (before: 268, from several shuffles of all sketches a hop)."""
+    code = """
+from faultbench.operators.lineage import reach_sizes
+edges = spark.range(60000).selectExpr("concat('o:', id DIV 6) AS src", "concat('l:', id DIV 6, ':', id % 6) AS dst")
+reach_sizes(edges, k=16).write.format("noop").mode("overwrite").save()
+"""
+    assert bytes_shuffled(code) < 100 * 60000
+
+
 def test_known_nodes_are_not_shuffled_again(spark):
     """A checkpointed part keeps its partitioning by node, so only the new targets move."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
