@@ -215,6 +215,31 @@ def reach_sizes(edges: DataFrame, *, k: int = 256, max_hops: int | None = None)
         removed(*list(paths))
 
 
+def path_counts(edges: DataFrame, hops: int) -> DataFrame:
+    """``(node, paths)``: how many paths of 1 to ``hops`` different edges' steps leave each node that has edges.
+
+    Counts move against the edges' direction, so no path is a row; only edges to nodes with edges of their own are joined.
+    """
+    spark = edges.sparkSession
+    pairs = edges.select("src", "dst").filter("src IS NOT NULL")
+
+    def written(df: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "paths")
+        df.write.parquet(path)
+        release(spark)
+        return spark.read.schema(df.schema).parquet(path)
+
+    steps = written(pairs.distinct().groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("steps")))
+    out = steps.select("node", F.col("steps").alias("paths"))
+    if hops < 2:
+        return out
+    inner = written(pairs.join(steps.select("node"), F.col("dst") == F.col("node"), "left_semi").distinct())
+    for _ in range(hops - 1):
+        on = inner.join(out, F.col("dst") == F.col("node")).groupBy("src").agg(F.sum("paths").alias("on"))
+        out = steps.join(on, F.col("node") == F.col("src"), "left").select("node", (F.col("steps") + F.coalesce("on", F.lit(0))).alias("paths"))
+    return out
+
+
 def neighbors(edges: DataFrame) -> DataFrame:
     """Direct neighbours as rows ``(node, neighbor, direction)``; direction is ``downstream``
     or ``upstream`` of the node. Rows, not lists: a node may have any number of them."""

@@ -438,7 +438,15 @@ register(
 
 # -- G1-G5, R1-R5: profile, generation, scoring (events campaign) ------------------
 from faultbench.operators.controls import coverage as _coverage  # noqa: E402
-from faultbench.operators.lineage import RECORD_EDGES_SQL, closure, neighbor_counts, neighbors, reach_sizes, record_edges  # noqa: E402
+from faultbench.operators.lineage import (  # noqa: E402
+    RECORD_EDGES_SQL,
+    closure,
+    neighbor_counts,
+    neighbors,
+    path_counts,
+    reach_sizes,
+    record_edges,
+)
 from faultbench.operators.profile import column_profile as _column_profile  # noqa: E402
 from faultbench.operators.snapshots import remove_snapshot, snapshot, verify_restore  # noqa: E402
 from faultbench.operators.variants import CLEAN  # noqa: E402
@@ -1340,12 +1348,8 @@ def reach_size_errors(spark: SparkSession, sf: str) -> DataFrame:
     edges = record_edges(spark, sf)
     nations = edges.select("src").filter("src LIKE 'n:%'").distinct()
     estimate = reach_sizes(edges, k=REACH_K).join(nations, F.col("node") == F.col("src")).select("node", "size")
-    # A record has one upstream at most, so sums over the levels are exact here.
-    up, own = edges.distinct(), nations.select(F.col("src").alias("root"), F.col("src").alias("node"))
-    total = own.select("root")
-    for _ in range(3):
-        own = own.join(up, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"))
-        total = total.unionByName(own.select("root"))
-    exact = total.groupBy(F.col("root").alias("node")).agg(F.count(F.lit(1)).alias("exact_size"))
+    # A record has one upstream at most, so the paths over the levels are exact here.
+    paths = path_counts(edges, 3).join(nations, F.col("node") == F.col("src"))
+    exact = paths.select("node", (F.col("paths") + 1).alias("exact_size"))
     error = F.abs(F.col("size") / F.col("exact_size") - 1) * (REACH_K - 2) ** 0.5
     return exact.join(estimate, "node").select("node", F.col("exact_size").alias("size"), (error <= 4).alias("within_four_errors"))

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from faultbench.operators import lineage
-from faultbench.operators.lineage import closure, placed, reach_sizes
+from faultbench.operators.lineage import closure, path_counts, placed, reach_sizes
 from faultbench.operators.downstream import MANAGED_TABLES
 from faultbench.operators.snapshots import snapshot, verify_restore
 from faultbench.plans.lineage_contract import downstream_tables, predicted_tables
@@ -74,6 +74,14 @@ reach_sizes(edges, k=16).write.format("noop").mode("overwrite").save()
     assert bytes_shuffled(code) < 100 * 60000
 
 
+def test_paths_of_a_tree_and_a_diamond(spark):
+    pairs = [("r", "a"), ("r", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("d", "e"), ("r", None), ("r", "a")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    for hops, r, c in ((1, 3, 1), (2, 5, 2), (3, 7, 2)):
+        got = {x["node"]: x["paths"] for x in path_counts(edges, hops).collect()}
+        assert (got["r"], got["c"], got["d"]) == (r, c, 1) and set(got) == {"r", "a", "b", "c", "d"}
+
+
 def test_known_nodes_are_not_shuffled_again(spark):
     """A checkpointed part keeps its partitioning by node, so only the new targets move."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
