@@ -24,10 +24,12 @@ from faultbench.llm.pretokens import WHITE, pieces, pretokens
 
 NONE = np.int32(2**31 - 1)
 #: Pieces that a Python worker remembers, and the longest remembered one.
-MEMORY = 1_000_000
+MEMORY = 200_000
 LONGEST = 256
+#: Pieces whose ids are merged or gathered at a time; it bounds the arrays in between, not results.
+AT_ONCE = 65_536
 #: Rows and text bytes that are encoded at a time; longer texts are encoded alone.
-BATCH_ROWS, BATCH_BYTES = 16_384, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 8192, 8 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -158,7 +160,7 @@ class ByteEncoder:
 
     Arrow splits the texts at spaces and numbers their distinct pieces; only pieces that are not
     remembered are merged, and ids or counts of the texts are then taken by number. The memory
-    is one dictionary into one array of ids; when it is full, pieces that were met in two calls stay.
+    is one dictionary into one array of ids; when it is full, pieces that were met in most calls stay.
     """
 
     def __init__(self, path: str, memory: int = MEMORY):
@@ -180,9 +182,14 @@ class ByteEncoder:
         """Ids of all texts in one array, and the number of ids of each text. Null: empty."""
         number, of_text = self._pieces(texts)
         size = self.size[number]
-        ends = np.cumsum(size)
-        shift = np.repeat(self.begin[number] - (ends - size), size)
-        ids = self.ids[shift + np.arange(len(shift))]
+        ids, at = np.empty(int(size.sum()), np.uint32), 0
+        for i in range(0, len(number), AT_ONCE):
+            own = size[i : i + AT_ONCE]
+            ends = np.cumsum(own)
+            shift = np.repeat(self.begin[number[i : i + AT_ONCE]] - (ends - own), own)
+            shift += np.arange(len(shift))
+            ids[at : at + len(shift)] = self.ids[shift]
+            at += len(shift)
         counts = self._per_text(size, of_text, len(texts))
         self._forget()
         return ids, counts
@@ -258,9 +265,9 @@ class ByteEncoder:
         piece after a space begins with, nor with "\n", which marks a special string. An empty piece has no ids.
         """
         known = self.known
-        new = dict.fromkeys([x for x in some if x not in known])
-        if new:
-            self._learn(list(new))
+        new = list(dict.fromkeys([x for x in some if x not in known]))
+        for i in range(0, len(new), AT_ONCE):
+            self._learn(new[i : i + AT_ONCE])
         number = np.fromiter(map(known.__getitem__, some), np.int64, len(some))
         self.uses[number] += 1
         return number
@@ -305,13 +312,14 @@ class ByteEncoder:
             self.ids = np.append(self.ids, ids.astype(np.uint32))
 
     def _forget(self) -> None:
-        """Keep pieces met in two calls at least, and none that is long; drop all if that is not enough."""
+        """Keep pieces met in two calls at least, and none that is long; of more than half the memory, those met oftenest."""
         long = len(self.ids) > 16 * self.memory
         if len(self.size) <= self.memory and not long:
             return
-        kept = {p: i for p, i in self.known.items() if self.uses[i] > 1 and len(p) <= LONGEST}
-        if len(kept) > self.memory // 2:
-            kept = {}
+        uses, half = self.uses, self.memory // 2
+        least = max(1, -np.partition(-uses, half)[half]) if len(uses) > half else 1
+        often = (uses > least).tolist()
+        kept = {p: i for p, i in self.known.items() if often[i] and len(p) <= LONGEST}
         at = np.fromiter(kept.values(), np.int64, len(kept))
         begin, size = self.begin[at], self.size[at]
         shift = np.repeat(begin - (np.cumsum(size) - size), size)

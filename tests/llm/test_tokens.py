@@ -2,12 +2,15 @@ import hashlib
 import os
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from faultbench.llm.bpe_codec import WordBPE, encode_decode, encode_decode_digests
+from faultbench.llm import token_counts
 from faultbench.llm.token_counts import ByteEncoder, count_tokens
 
 from awkward import documents, text
@@ -48,6 +51,38 @@ def test_small_memory_changes_nothing():
     assert [narrow.encode([t])[0] for t in some] == WordBPE(WORD).encode(some)
 
 
+def test_a_batch_of_many_short_words_takes_bounded_memory(byte):
+    unit = "a b "
+    some = pa.array([unit * 1024] * (token_counts.BATCH_BYTES // 4096))
+    enc = ByteEncoder(BYTE)
+    tracemalloc.start()
+    ids, counts = enc.encode_flat(some)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids[: counts[0]].tolist() == byte.encode(unit * 1024, add_special_tokens=False).ids
+    assert peak < 250e6  # without Arrow's own
+
+
+def test_learning_many_words_takes_bounded_memory():
+    some = pa.array([" ".join(f"{i * 7919:x}" for i in range(j, j + 10_000)) for j in range(0, 300_000, 10_000)])
+    enc = ByteEncoder(BYTE)
+    tracemalloc.start()
+    ids, counts = enc.encode_flat(some)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(enc.known) <= 100_000
+    assert held < 60e6 and peak < 200e6, (held, peak)
+
+
+def test_a_full_memory_keeps_the_pieces_met_oftenest():
+    enc, often = ByteEncoder(BYTE, memory=20), "the of and to in is it as"
+    for i in range(5):
+        enc.encode([often])
+    enc.encode([f"once {often} twice some other words here"])
+    enc.encode(["once twice some other words here " + " ".join(map(str, range(20)))])
+    assert set(often.split()[1:]) <= set(enc.known) and len(enc.known) <= 10
+
+
 def test_word_ids_and_decoding_equal_the_library(word):
     some = texts(4000) + [f"a{chr(c)}b{chr(c)}1" for c in range(0x250, 0x2000)]
     got = WordBPE(WORD).encode(some)
