@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultbench.llm.common import checkpointed, sliced
-from faultbench.llm.token_counts import BATCH_BYTES, BATCH_ROWS, encoder
+from faultbench.llm.token_counts import encoder
 
 #: Pieces that one partition packs, on average.
 ITEMS = 50_000
+#: Remembered pieces, and rows and text bytes that are encoded at a time. Less than the encoder's own
+#: limits: as a pipeline's last stage, packing shares an executor with all that earlier stages left there.
+MEMORY, BATCH_ROWS, BATCH_BYTES = 200_000, 8192, 8 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -34,7 +37,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) ->
     last = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, MEMORY)
         for batch in sliced(batches, rows=BATCH_ROWS, size=BATCH_BYTES):
             ids, counts = enc.encode_flat(batch.column("text"))
             data, at, rows = memoryview(ids.astype("<u4").tobytes()), 0, []

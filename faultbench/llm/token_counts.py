@@ -24,12 +24,12 @@ from faultbench.llm.pretokens import WHITE, pieces, pretokens
 
 NONE = np.int32(2**31 - 1)
 #: Pieces that a Python worker remembers, and the longest remembered one.
-MEMORY = 200_000
+MEMORY = 1_000_000
 LONGEST = 256
 #: Pieces whose ids are merged or gathered at a time; it bounds the arrays in between, not results.
 AT_ONCE = 65_536
 #: Rows and text bytes that are encoded at a time; longer texts are encoded alone.
-BATCH_ROWS, BATCH_BYTES = 8192, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 16_384, 16 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -329,14 +329,14 @@ class ByteEncoder:
         self._add(list(kept), ids, size)
 
 
-_encoders: dict[str, ByteEncoder] = {}
+_encoders: dict[tuple[str, int], ByteEncoder] = {}
 
 
-def encoder(path: str) -> ByteEncoder:
+def encoder(path: str, memory: int = MEMORY) -> ByteEncoder:
     """The worker's encoder of a vocabulary file, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = ByteEncoder(path)
-    return _encoders[path]
+    if (path, memory) not in _encoders:
+        _encoders[path, memory] = ByteEncoder(path, memory)
+    return _encoders[path, memory]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:

@@ -10,8 +10,8 @@ import pyarrow as pa
 import pytest
 
 from faultbench.llm.bpe_codec import WordBPE, encode_decode, encode_decode_digests
-from faultbench.llm import token_counts
-from faultbench.llm.token_counts import ByteEncoder, count_tokens
+from faultbench.llm import packing
+from faultbench.llm.token_counts import ByteEncoder, count_tokens, encoder
 
 from awkward import documents, text
 
@@ -53,7 +53,7 @@ def test_small_memory_changes_nothing():
 
 def test_a_batch_of_many_short_words_takes_bounded_memory(byte):
     unit = "a b "
-    some = pa.array([unit * 1024] * (token_counts.BATCH_BYTES // 4096))
+    some = pa.array([unit * 1024] * (packing.BATCH_BYTES // 4096))
     enc = ByteEncoder(BYTE)
     tracemalloc.start()
     ids, counts = enc.encode_flat(some)
@@ -65,7 +65,7 @@ def test_a_batch_of_many_short_words_takes_bounded_memory(byte):
 
 def test_learning_many_words_takes_bounded_memory():
     some = pa.array([" ".join(f"{i * 7919:x}" for i in range(j, j + 10_000)) for j in range(0, 300_000, 10_000)])
-    enc = ByteEncoder(BYTE)
+    enc = encoder(BYTE, packing.MEMORY)
     tracemalloc.start()
     ids, counts = enc.encode_flat(some)
     held, peak = tracemalloc.get_traced_memory()
